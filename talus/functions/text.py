@@ -11,10 +11,16 @@ LARGE_SUFFIX = "_large"
 MEDIUM_SUFFIX = "_medium"
 
 
+def _capitalised(word: Column) -> Column:
+    # a letter whose capital form is two letters keeps only the first as a capital
+    first = F.upper(F.left(word, F.lit(1)))
+    return F.concat(F.left(first, F.lit(1)), F.lower(F.substr(first, F.lit(2))), F.lower(F.substr(word, F.lit(2))))
+
+
 def title(slug: Column) -> Column:
     """Slug to display name: dashes to spaces, every run of letters capitalised, '' for NULL."""
     runs = F.regexp_extract_all(F.replace(slug, F.lit("-"), F.lit(" ")), F.lit(r"(\p{L}+|[^\p{L}]+)"), F.lit(1))
-    cased = F.transform(runs, lambda w: F.concat(F.upper(F.left(w, F.lit(1))), F.lower(F.substr(w, F.lit(2)))))
+    cased = F.transform(runs, _capitalised)
     return F.coalesce(F.array_join(cased, ""), F.lit(""))
 
 
@@ -96,6 +102,9 @@ def merge_maps(*maps: Column) -> Column:
     """Union of string maps where a later map wins on a shared key, whatever the session's dedup policy."""
     merged = maps[0]
     for later in maps[1:]:
-        kept = F.map_filter(merged, lambda k, v, later=later: ~F.map_contains_key(later, k))
-        merged = F.map_concat(kept, later)
+        merged = F.map_concat(_without_keys(merged, later), later)
     return merged
+
+
+def _without_keys(merged: Column, later: Column) -> Column:
+    return F.map_filter(merged, lambda k, v: ~F.map_contains_key(later, k))

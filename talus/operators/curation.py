@@ -134,7 +134,7 @@ def contiguous_split(groups: DataFrame, train: float, val: float, true_dfs: bool
 
 def epoch_orders(groups: DataFrame, epochs: int, seed: int = 42) -> DataFrame:
     """The route rows once per epoch with `shuffle_key`, a fresh order for each epoch."""
-    every = groups.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))).cast("long"))
+    every = groups.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(epochs - 1).cast("long"))))
     return every.withColumn("shuffle_key", order_key(seed, F.col("epoch"), F.col("route_id")))
 
 

@@ -125,19 +125,28 @@ def _spread(n: int):
     return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
 
 
-def _block_top(queries, stored, k, exclude_self, query_count, block_rows) -> DataFrame:
-    query_blocks = _blocks(query_count, block_rows)
-    stored_blocks = _blocks(stored.count(), block_rows)
-    left = queries.withColumn("qb", F.pmod(F.xxhash64("id"), F.lit(query_blocks))).withColumn("sb", _spread(stored_blocks))
-    right = stored.withColumn("sb", F.pmod(F.xxhash64("id"), F.lit(stored_blocks))).withColumn("qb", _spread(query_blocks))
+def _side(df: DataFrame, prefix: str) -> DataFrame:
+    """Every column under a new name, so that a table can be cogrouped with itself."""
+    return df.select(*[F.col(c).alias(f"{prefix}_{c.lstrip('_')}") for c in df.columns])
+
 
+def _block_compare(k: int, exclude_self: bool):
     def compare(q: pd.DataFrame, s: pd.DataFrame) -> pd.DataFrame:
         if q.empty or s.empty:
             return pd.DataFrame({"query_id": [], "neighbour_id": [], "similarity": []})
-        sims = _stack(q["vector"]) @ _stack(s["vector"]).T
-        a, b, c = _top_arrow(q["id"].to_numpy(), s["id"].to_numpy(), sims, k, exclude_self)
+        sims = _stack(q["q_vector"]) @ _stack(s["s_vector"]).T
+        a, b, c = _top_arrow(q["q_id"].to_numpy(), s["s_id"].to_numpy(), sims, k, exclude_self)
         return pd.DataFrame({"query_id": a, "neighbour_id": b, "similarity": c})
 
+    return compare
+
+
+def _block_top(queries, stored, k, exclude_self, query_count, block_rows) -> DataFrame:
+    query_blocks = _blocks(query_count, block_rows)
+    stored_blocks = _blocks(stored.count(), block_rows)
+    left = _side(queries, "q").withColumn("qb", F.pmod(F.xxhash64("q_id"), F.lit(query_blocks))).withColumn("sb", _spread(stored_blocks))
+    right = _side(stored, "s").withColumn("sb", F.pmod(F.xxhash64("s_id"), F.lit(stored_blocks))).withColumn("qb", _spread(query_blocks))
+    compare = _block_compare(k, exclude_self)
     return left.groupBy("qb", "sb").cogroup(right.groupBy("qb", "sb")).applyInPandas(compare, CANDIDATES)
 
 
@@ -171,8 +180,8 @@ def with_partner(df: DataFrame, label: str, id: str, vector: str, threshold: flo
     def across(q: pd.DataFrame, s: pd.DataFrame) -> pd.DataFrame:
         if q.empty or s.empty:
             return pd.DataFrame({"_id": []})
-        hit = (_stack(q["_vec"]) @ _stack(s["_vec"]).T > threshold).any(axis=1)
-        return pd.DataFrame({"_id": q["_id"][hit]})
+        hit = (_stack(q["q_vec"]) @ _stack(s["s_vec"]).T > threshold).any(axis=1)
+        return pd.DataFrame({"_id": q["q_id"][hit]})
 
     # the open rows of a label are regrouped into full waves; each wave visits every block of its label
     waves = open_rows.groupBy("_label").agg(F.ceil(F.count(F.lit(1)) / F.lit(block_rows)).cast("int").alias("_waves"))
@@ -184,8 +193,9 @@ def with_partner(df: DataFrame, label: str, id: str, vector: str, threshold: flo
         .where(F.col("_block") != F.col("_home"))
     )
     hosts = crowded.join(waves, "_label").withColumn("_wave", F.explode(F.sequence(F.lit(0), F.col("_waves") - 1)))
+    visiting, hosts = _side(visiting, "q"), _side(hosts, "s")
     late = (
-        visiting.groupBy("_label", "_block", "_wave").cogroup(hosts.groupBy("_label", "_block", "_wave"))
+        visiting.groupBy("q_label", "q_block", "q_wave").cogroup(hosts.groupBy("s_label", "s_block", "s_wave"))
         .applyInPandas(across, f"_id {id_type}").distinct()
     )
     return df.join(matched.unionByName(late).withColumnRenamed("_id", id), id, "left_semi")
@@ -298,13 +308,9 @@ def probe_nearest(queries: DataFrame, cells: DataFrame, centroids: np.ndarray, k
         .withColumn("_block", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
     )
 
-    def compare(q: pd.DataFrame, s: pd.DataFrame) -> pd.DataFrame:
-        if q.empty or s.empty:
-            return pd.DataFrame({"query_id": [], "neighbour_id": [], "similarity": []})
-        sims = _stack(q["vector"]) @ _stack(s["vector"]).T
-        a, b, c = _top_arrow(q["id"].to_numpy(), s["id"].to_numpy(), sims, k, exclude_self)
-        return pd.DataFrame({"query_id": a, "neighbour_id": b, "similarity": c})
-
-    cell_block = ["cell", "_block", "_wave"]
-    found = asking.groupBy(*cell_block).cogroup(stored.groupBy(*cell_block)).applyInPandas(compare, CANDIDATES)
+    asking, stored = _side(asking, "q"), _side(stored, "s")
+    found = (
+        asking.groupBy("q_cell", "q_block", "q_wave").cogroup(stored.groupBy("s_cell", "s_block", "s_wave"))
+        .applyInPandas(_block_compare(k, exclude_self), CANDIDATES)
+    )
     return _rank(found, k)

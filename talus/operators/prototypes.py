@@ -34,11 +34,11 @@ def prototype_scores(df: DataFrame, vector: str, prototypes: DataFrame, name: st
     positive = prototypes.select("positive").scalar()
     negative = prototypes.select("negative").scalar()
     return (
-        df.withColumn("_unit", unit)
-        .withColumn("_pos", V.dot(F.col("_unit"), positive))
-        .withColumn("_neg", V.dot(F.col("_unit"), negative))
+        df.withColumns({"_unit": unit, "_p": positive, "_n": negative})
+        .withColumn("_pos", V.dot(F.col("_unit"), F.col("_p")))
+        .withColumn("_neg", V.dot(F.col("_unit"), F.col("_n")))
         .withColumn(name, V.softmax_first(F.col("_pos"), F.col("_neg")))
-        .drop("_unit", "_pos", "_neg")
+        .drop("_unit", "_p", "_n", "_pos", "_neg")
     )
 
 
