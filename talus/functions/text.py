@@ -11,17 +11,18 @@ LARGE_SUFFIX = "_large"
 MEDIUM_SUFFIX = "_medium"
 
 
-def _capitalised(word: Column) -> Column:
-    # a letter whose capital form is two letters keeps only the first as a capital
-    first = F.upper(F.left(word, F.lit(1)))
-    return F.concat(F.left(first, F.lit(1)), F.lower(F.substr(first, F.lit(2))), F.lower(F.substr(word, F.lit(2))))
+# The point before a cased letter that follows anything but one.
+WORD_START = r"(?<=[^\p{Lu}\p{Ll}\p{Lt}])(?=[\p{Lu}\p{Ll}\p{Lt}])"
+MARK = "\u0001 "
 
 
 def title(slug: Column) -> Column:
-    """Slug to display name: dashes to spaces, every run of letters capitalised, '' for NULL."""
-    runs = F.regexp_extract_all(F.replace(slug, F.lit("-"), F.lit(" ")), F.lit(r"(\p{L}+|[^\p{L}]+)"), F.lit(1))
-    cased = F.transform(runs, _capitalised)
-    return F.coalesce(F.array_join(cased, ""), F.lit(""))
+    """Slug to display name: dashes to spaces, every run of letters capitalised, '' for NULL.
+
+    `initcap` only starts words after a blank, so a marked blank is put before every other run of letters and
+    taken out again."""
+    spaced = F.regexp_replace(F.replace(slug, F.lit("-"), F.lit(" ")), WORD_START, MARK)
+    return F.coalesce(F.replace(F.initcap(spaced), F.lit(MARK), F.lit("")), F.lit(""))
 
 
 def path_label(parent: Column, child: Column) -> Column:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from talus.functions.vectors import dot, sigmoid
+
 
 def balanced_logistic(df: DataFrame, keep: str, vector: str, train: DataFrame | None = None, c: float = 1.0,
                       max_iter: int = 1000, name: str = "score") -> DataFrame:
@@ -12,21 +14,20 @@ def balanced_logistic(df: DataFrame, keep: str, vector: str, train: DataFrame |
     The penalty 1/(c * sum of weights) makes Spark's averaged objective the usual sum form with inverse
     strength c; features are not standardised."""
     from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-
-    def prepared(rows: DataFrame) -> DataFrame:
-        return rows.withColumn("_features", array_to_vector(F.col(vector).cast("array<double>"))).withColumn("_label", F.col(keep).cast("double"))
+    from pyspark.ml.functions import array_to_vector
 
-    training = prepared(df if train is None else train)
-    counts = training.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("_label") == 1).alias("pos")).first()
+    training = (df if train is None else train).select(
+        array_to_vector(F.col(vector).cast("array<double>")).alias("features"), F.col(keep).cast("double").alias("label")
+    )
+    counts = training.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("label") == 1).alias("pos")).first()
     total, positives = counts["n"], counts["pos"]
     negatives = total - positives
     if not positives or not negatives:
         raise ValueError("both classes are needed")
-    weight = F.when(F.col("_label") == 1, total / (2.0 * positives)).otherwise(total / (2.0 * negatives))
+    weight = F.when(F.col("label") == 1, total / (2.0 * positives)).otherwise(total / (2.0 * negatives))
     model = LogisticRegression(
-        featuresCol="_features", labelCol="_label", weightCol="_weight", regParam=1.0 / (c * total), elasticNetParam=0.0,
-        standardization=False, maxIter=max_iter, probabilityCol="_probability", rawPredictionCol="_raw", predictionCol="_prediction",
-    ).fit(training.withColumn("_weight", weight))
-    scored = model.transform(prepared(df)).withColumn(name, vector_to_array("_probability")[1])
-    return scored.drop("_features", "_label", "_probability", "_raw", "_prediction")
+        weightCol="weight", regParam=1.0 / (c * total), elasticNetParam=0.0, standardization=False, maxIter=max_iter
+    ).fit(training.withColumn("weight", weight))
+    # the fitted head is one weight per dimension, so scoring is a plain expression
+    head = F.array(*[F.lit(float(w)) for w in model.coefficients])
+    return df.withColumn(name, sigmoid(dot(F.col(vector), head) + F.lit(float(model.intercept))))

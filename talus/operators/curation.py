@@ -79,11 +79,9 @@ def full_manifest(route_images: DataFrame, routes: DataFrame, areas: DataFrame,
         hierarchy.area_paths(lines).withColumnRenamed("id", "area_id"), "area_id"
     )
     route_columns = routes.select(F.col("id").alias("route_id"), F.col("name").alias("route_name"), *[c for c in routes.columns if c in ("area_id", "grade", "type", "description", "location", "gps")])
-    rows = (
-        usable.select(F.col("id").alias("route_image_id"), "route_id", "image_url")
-        .join(route_columns.join(places, "area_id"), "route_id")
-    )
-    return with_group_minimum(rows, "route_id", min_images)
+    # a route's photos all survive the joins or none does, so they are counted before them, on two columns
+    photos = with_group_minimum(usable.select(F.col("id").alias("route_image_id"), "route_id", "image_url"), "route_id", min_images)
+    return photos.join(route_columns.join(places, "area_id"), "route_id")
 
 
 def dataset_rows(manifest: DataFrame, scores: DataFrame, filter_version: str, threshold: float, min_images: int = 2) -> DataFrame:

@@ -25,7 +25,6 @@ def lineages(areas: DataFrame, id: str = "id", parent: str = "parent_id", name:
         F.col(parent).isNull().alias("rooted"),
         F.col(parent).isNull().alias("done"),
     )
-    state = cut(state)
     active = True
     while active:
         up = state.select(*[F.col(c).alias(f"up_{c}") for c in state.columns])
@@ -87,18 +86,27 @@ def depth_first_key(path: Column) -> Column:
     return F.replace(path, F.lit("/"), F.lit("\u0001"))
 
 
+def _written(df: DataFrame) -> tuple[DataFrame, int]:
+    """The rows written once, and their number, in one job."""
+    seen = Observation()
+    written = cut(df.observe(seen, F.count(F.lit(1)).alias("rows")))
+    return written, seen.get["rows"]
+
+
 def reachable(links: DataFrame, roots: DataFrame, pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Pages reached from `roots` over `links(src, dst)`, each once with its distance, and the targets that
     are linked or given as a root but not stored in `pages(url)`.
 
     One breadth-first level per round; only the new frontier is expanded, and each level is written once.
     """
-    frontier = cut(roots.select(F.col("url"), F.lit(0).alias("distance")).distinct())
+    frontier, count = _written(roots.select(F.col("url"), F.lit(0).alias("distance")).distinct())
     visited, distance = frontier, 0
-    while not frontier.isEmpty():
+    while count:
         distance += 1
+        if distance % 16 == 0:
+            visited = cut(visited)
         stored = frontier.join(pages.select("url"), "url", "left_semi")
         targets = stored.join(links, F.col("url") == F.col("src")).select(F.col("dst").alias("url")).distinct()
-        frontier = cut(targets.join(visited, "url", "left_anti").withColumn("distance", F.lit(distance)))
+        frontier, count = _written(targets.join(visited, "url", "left_anti").withColumn("distance", F.lit(distance)))
         visited = visited.unionByName(frontier)
     return visited.join(pages.select("url"), "url", "left_semi"), visited.join(pages.select("url"), "url", "left_anti")

@@ -144,8 +144,8 @@ def _block_compare(k: int, exclude_self: bool):
 def _block_top(queries, stored, k, exclude_self, query_count, block_rows) -> DataFrame:
     query_blocks = _blocks(query_count, block_rows)
     stored_blocks = _blocks(stored.count(), block_rows)
-    left = _side(queries, "q").withColumn("qb", F.pmod(F.xxhash64("q_id"), F.lit(query_blocks))).withColumn("sb", _spread(stored_blocks))
-    right = _side(stored, "s").withColumn("sb", F.pmod(F.xxhash64("s_id"), F.lit(stored_blocks))).withColumn("qb", _spread(query_blocks))
+    left = _side(queries, "q").withColumn("qb", F.pmod(F.xxhash64("q_id"), F.lit(query_blocks)).cast("int")).withColumn("sb", _spread(stored_blocks))
+    right = _side(stored, "s").withColumn("sb", F.pmod(F.xxhash64("s_id"), F.lit(stored_blocks)).cast("int")).withColumn("qb", _spread(query_blocks))
     compare = _block_compare(k, exclude_self)
     return left.groupBy("qb", "sb").cogroup(right.groupBy("qb", "sb")).applyInPandas(compare, CANDIDATES)
 

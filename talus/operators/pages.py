@@ -43,46 +43,59 @@ def plain(fragment: Column) -> Column:
 
 
 def _class_test(*names: str) -> str:
-    """Lookaheads that require every class name inside the opening tag's class attribute."""
+    """A class attribute with every one of the names, up to the end of its opening tag."""
     each = "".join(rf"(?=[^\"]*(?<![\w-]){n}(?![\w-]))" for n in names)
-    return rf"[^>]*\bclass=\"{each}[^\"]*\"[^>]*>"
+    return rf"class=\"{each}[^\"]*\"[^>]*>"
 
 
-def _first(html: Column, pattern: str) -> Column:
-    return F.nullif(F.regexp_extract(html, pattern, 1), F.lit(""))
+def _first(html: Column, pattern: str, marker: str | None = None) -> Column:
+    """First match; `marker` is a plain text without which the pattern cannot match, tested first."""
+    found = F.nullif(F.regexp_extract(html, pattern, 1), F.lit(""))
+    return found if marker is None else F.when(F.contains(html, F.lit(marker)), found)
+
+
+# The functions below take cleaned markup.
 
 
 def has_heading(html: Column) -> Column:
-    return clean(html).rlike(r"(?i)<h1[\s>]")
+    return html.rlike(r"(?i)<h1[\s>]")
 
 
 def heading(html: Column) -> Column:
-    return plain(_first(clean(html), HEADING))
+    return plain(_first(html, HEADING))
 
 
 def grade(html: Column) -> Column:
-    return plain(_first(clean(html), rf"(?is)<\w+{_class_test(GRADE_CLASS)}(.*?)</"))
+    return plain(_first(html, rf"(?is){_class_test(GRADE_CLASS)}(.*?)</", GRADE_CLASS))
 
 
 def details(html: Column) -> Column:
     """Two-column detail table as a map."""
-    table = F.coalesce(_first(clean(html), rf"(?is)<table{_class_test(DETAILS_CLASS)}(.*?)</table>"), F.lit(""))
+    table = F.coalesce(_first(html, rf"(?is){_class_test(DETAILS_CLASS)}(.*?)</table>", DETAILS_CLASS), F.lit(""))
     rows = F.regexp_extract_all(table, F.lit(r"(?is)<tr\b[^>]*>(.*?)</tr>"), F.lit(1))
     cells = F.transform(rows, lambda r: F.regexp_extract_all(r, F.lit(r"(?is)<td\b[^>]*>(.*?)</td>"), F.lit(1)))
     usable = F.filter(cells, lambda c: F.size(c) >= 2)
     return _entries(F.transform(usable, lambda c: F.struct(plain(c[0]).alias("key"), plain(c[1]).alias("value"))))
 
 
-def blocks(html: Column) -> Column:
-    """Titled description blocks as a map. A block runs up to the next block's opening tag."""
-    opening = rf"(?is)<div{_class_test(*BLOCK_CLASSES)}"
-    marked = F.split(F.regexp_replace(clean(html), opening, "\u0001"), "\u0001")
-    bodies = F.slice(marked, F.lit(2), F.greatest(F.size(marked) - 1, F.lit(0)))
-    pair = lambda b: F.struct(
-        plain(_first(b, rf"(?is)<\w+{_class_test(BLOCK_TITLE_CLASS)}(.*?)</")).alias("key"),
-        plain(_first(b, rf"(?is)<\w+{_class_test(BLOCK_TEXT_CLASS)}(.*?)</div>")).alias("value"),
+def _sections(html: Column, *classes: str) -> Column:
+    """What follows each opening tag with these classes, up to the next one."""
+    marked = F.split(F.regexp_replace(html, rf"(?is)<\w+ [^>]*?{_class_test(*classes)}", "\u0001"), "\u0001")
+    sections = F.slice(marked, F.lit(2), F.greatest(F.size(marked) - 1, F.lit(0)))
+    return F.when(F.contains(html, F.lit(classes[-1])), sections).otherwise(F.array().cast("array<string>"))
+
+
+def _block_entry(section: Column) -> Column:
+    return F.struct(
+        plain(_first(section, rf"(?is){_class_test(BLOCK_TITLE_CLASS)}(.*?)</")).alias("key"),
+        plain(_first(section, rf"(?is){_class_test(BLOCK_TEXT_CLASS)}(.*?)</div>")).alias("value"),
     )
-    return _entries(F.filter(F.transform(bodies, pair), lambda e: e["key"].isNotNull() & e["value"].isNotNull()))
+
+
+def blocks(html: Column) -> Column:
+    """Titled description blocks as a map."""
+    entries = F.transform(_sections(html, *BLOCK_CLASSES), _block_entry)
+    return _entries(F.filter(entries, lambda e: e["key"].isNotNull() & e["value"].isNotNull()))
 
 
 def _entries(entries: Column) -> Column:
@@ -96,11 +109,8 @@ def _entries(entries: Column) -> Column:
 
 def images(html: Column) -> Column:
     """Lazy-loaded image urls in page order, normalised, each once."""
-    container = rf"(?is)<\w+{_class_test(*IMAGE_CLASSES)}"
-    marked = F.split(F.regexp_replace(clean(html), container, "\u0001"), "\u0001")
-    bodies = F.slice(marked, F.lit(2), F.greatest(F.size(marked) - 1, F.lit(0)))
-    first_image = F.transform(bodies, lambda b: F.regexp_extract(b, r"(?is)<img\b[^>]*>", 0))
-    sources = F.transform(first_image, lambda t: F.regexp_extract(t, r"(?is)\bdata-src=\"([^\"]*)\"", 1))
+    tags = F.transform(_sections(html, *IMAGE_CLASSES), lambda b: F.regexp_extract(b, r"(?is)<img\b[^>]*>", 0))
+    sources = F.transform(tags, lambda t: F.regexp_extract(t, r"(?is)\bdata-src=\"([^\"]*)\"", 1))
     return F.array_distinct(F.transform(F.filter(sources, lambda u: u != ""), X.normalise_image_url))
 
 
@@ -109,23 +119,29 @@ def links(fragment: Column) -> Column:
 
 
 def route_table(html: Column) -> Column:
-    return _first(clean(html), rf"(?is)<\w+[^>]*\bid=\"{ROUTE_TABLE_ID}\"[^>]*>(.*?)</table>")
+    return _first(html, rf"(?is)id=\"{ROUTE_TABLE_ID}\"[^>]*>(.*?)</table>", ROUTE_TABLE_ID)
 
 
 def area_table(html: Column) -> Column:
-    return _first(clean(html), rf"(?is)<\w+[^>]*\bclass=\"{AREA_TABLE_CLASSES}\"[^>]*>(.*?)</div>\s*</div>|\u0001")
+    return _first(html, rf"(?is)class=\"{AREA_TABLE_CLASSES}\"[^>]*>(.*?)</div>\s*</div>", AREA_TABLE_CLASSES)
 
 
 def navigation(html: Column) -> Column:
-    return _first(clean(html), r"(?is)<nav\b[^>]*>(.*?)</nav>")
+    return _first(html, r"(?is)<nav\b[^>]*>(.*?)</nav>")
+
+
+def cleaned(pages: DataFrame) -> DataFrame:
+    """Pages with their markup cleaned once for all later expressions."""
+    return pages.withColumn("html", clean(F.col("html")))
 
 
 def outgoing_links(pages: DataFrame) -> DataFrame:
     """(url, kind, pos, href). A page with a route table yields its route links, else its area links, else
     those of its navigation list."""
-    route, area, nav = (f(F.col("html")) for f in (route_table, area_table, navigation))
-    kind = F.when(route.isNotNull(), "route").when(area.isNotNull(), "area").otherwise("nav")
-    return pages.select("url", kind.alias("kind"), F.posexplode(links(F.coalesce(route, area, nav, F.lit("")))).alias("pos", "href"))
+    h = F.col("html")
+    parts = cleaned(pages).select("url", route_table(h).alias("route"), area_table(h).alias("area"), navigation(h).alias("nav"))
+    kind = F.when(F.col("route").isNotNull(), "route").when(F.col("area").isNotNull(), "area").otherwise("nav")
+    return parts.select("url", kind.alias("kind"), F.posexplode(links(F.coalesce("route", "area", "nav", F.lit("")))).alias("pos", "href"))
 
 
 def sitemap_areas(xml: Column) -> Column:
@@ -138,13 +154,13 @@ def crawlable(url: Column) -> Column:
 
 def stored_pages(pages: DataFrame) -> DataFrame:
     """Captured pages without the ones that carry no heading (error pages)."""
-    return pages.where(has_heading(F.col("html")))
+    return pages.where(has_heading(clean(F.col("html"))))
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
     """url, name, grade, images and one map of free attributes in which description blocks win."""
     h = F.col("html")
-    return pages.select(
-        "url", heading(h).alias("name"), grade(h).alias("grade"), images(h).alias("images"),
-        X.merge_maps(details(h), blocks(h)).alias("attributes"),
+    parts = cleaned(pages).select(
+        "url", heading(h).alias("name"), grade(h).alias("grade"), images(h).alias("images"), details(h).alias("details"), blocks(h).alias("blocks")
     )
+    return parts.select("url", "name", "grade", "images", X.merge_maps(F.col("details"), F.col("blocks")).alias("attributes"))

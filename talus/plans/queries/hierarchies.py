@@ -104,9 +104,8 @@ def trimmed_tree(c):
     return T.trim_lines(node_lines(c)).select(kind.alias("kind"), "url")
 
 
-def _loaded(c):
-    arrival = F.concat_ws(".", F.lpad(F.length("url").cast("string"), 4, "0"), F.col("url"))
-    return T.load_rows(node_lines(c).withColumn("arrival", arrival))
+def _arriving(c):
+    return node_lines(c).withColumn("arrival", F.concat_ws(".", F.lpad(F.length("url").cast("string"), 4, "0"), F.col("url")))
 
 
 @query("R7 K7", """
@@ -114,13 +113,14 @@ def _loaded(c):
     numbered="""SELECT id AS old, parent_id, name, row_number() OVER (ORDER BY lpad(length(url)::VARCHAR, 4, '0') || '.' || url) AS id
                 FROM areas WHERE parent_id IS NOT NULL""")
 def tree_area_rows(c):
-    return _loaded(c)[0].select("id", "parent_id", "name")
+    return T.area_rows(_arriving(c)).select("id", "parent_id", "name")
 
 
 @query("R7 K7", """
     SELECT row_number() OVER (ORDER BY lpad(length(url)::VARCHAR, 4, '0') || '.' || url) AS id, name, grade, type FROM routes""")
 def tree_route_rows(c):
-    return _loaded(c)[1].select("id", "name", "grade", "type")
+    lines = _arriving(c)
+    return T.route_rows(lines, T.area_rows(lines)).select("id", "name", "grade", "type")
 
 
 @query("R7 K7", """
@@ -128,7 +128,8 @@ def tree_route_rows(c):
     i="SELECT row_number() OVER (ORDER BY lpad(length(image_url)::VARCHAR, 4, '0') || '.' || image_url) AS id, route_id, image_url FROM route_images",
     r="SELECT id AS old, row_number() OVER (ORDER BY lpad(length(url)::VARCHAR, 4, '0') || '.' || url) AS id FROM routes")
 def tree_image_rows(c):
-    return _loaded(c)[2]
+    lines = _arriving(c)
+    return T.image_rows(lines, T.route_rows(lines, T.area_rows(lines)))
 
 
 @query("K8 S1", """

@@ -20,7 +20,7 @@ def stored_pages(c):
 @query("H1 D3", rf"SELECT page_id, regexp_replace({H1}, '^\s+|\s+$', '', 'g') AS name, NULL::VARCHAR AS grade FROM pages")
 def page_headings(c):
     html = F.col("html")
-    return c.table("pages").select("page_id", P.heading(html).alias("name"), P.grade(html).alias("grade"))
+    return P.cleaned(c.table("pages")).select("page_id", P.heading(html).alias("name"), P.grade(html).alias("grade"))
 
 
 @query("H5", rf"""

@@ -116,7 +116,7 @@ LETTERS = "(length(lower(text)) - length(replace(lower(text), '{}', '')))"
 
 
 @query("M10 J5 K5 J13 D2 P16", f"""
-    SELECT i.doc_id AS image_id, round({LETTERS.format('a')} / total::DOUBLE, 4) AS a, round({LETTERS.format('e')} / total::DOUBLE, 4) AS e
+    SELECT i.doc_id AS image_id, round(({LETTERS.format('a')} / total::DOUBLE)::FLOAT::DOUBLE, 4) AS a, round(({LETTERS.format('e')} / total::DOUBLE)::FLOAT::DOUBLE, 4) AS e
     FROM (SELECT *, {' + '.join(LETTERS.format(x) for x in string.ascii_lowercase)} AS total FROM documents) i
     WHERE total > 0 AND NOT EXISTS (SELECT 1 FROM image_embeddings v WHERE v.image_id = i.doc_id)""")
 def newly_embedded(c):

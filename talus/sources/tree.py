@@ -200,21 +200,29 @@ def trim_lines(lines: DataFrame, max_areas: int = 2, max_routes: int = 2) -> Dat
 # --- loading ----------------------------------------------------------------------------------------------
 
 
-def load_rows(lines: DataFrame, arrival: str = "arrival") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """areas, routes and route_images rows from node lines: first line of a url wins, ids follow arrival."""
+def _numbered(lines: DataFrame, kind: str, arrival: str) -> DataFrame:
+    """Lines of one kind, first line of a url wins, ids in arrival order."""
     from talus.operators.ordering import global_rank
     from talus.operators.rows import first_per_key
 
-    def numbered(kind):
-        rows = first_per_key(lines.where(F.col("kind") == kind), ["url"], F.struct(arrival, "parent_url"))
-        return global_rank(rows, [arrival, "url"], name="id")
+    rows = first_per_key(lines.where(F.col("kind") == kind), ["url"], F.struct(arrival, "parent_url"))
+    return global_rank(rows, [arrival, "url"], name="id")
 
-    areas, routes, images = cut(numbered("area")), cut(numbered("route")), numbered("image")
-    area_ids = areas.select(F.col("url").alias("parent_url"), F.col("id").alias("parent_id"))
-    loaded_areas = areas.join(area_ids, "parent_url", "left").select("id", "parent_id", X.last_segment(F.col("url")).alias("name"), "url")
-    loaded_routes = routes.join(area_ids.withColumnRenamed("parent_id", "area_id"), "parent_url").select(
+
+def area_rows(lines: DataFrame, arrival: str = "arrival") -> DataFrame:
+    """Areas (id, parent_id, name, url) of node lines; the name is the last url segment."""
+    areas = _numbered(lines, "area", arrival)
+    parents = areas.select(F.col("url").alias("parent_url"), F.col("id").alias("parent_id"))
+    return areas.join(parents, "parent_url", "left").select("id", "parent_id", X.last_segment(F.col("url")).alias("name"), "url")
+
+
+def route_rows(lines: DataFrame, areas: DataFrame, arrival: str = "arrival") -> DataFrame:
+    homes = areas.select(F.col("url").alias("parent_url"), F.col("id").alias("area_id"))
+    return _numbered(lines, "route", arrival).join(homes, "parent_url").select(
         "id", "area_id", "name", "grade", "url", *[F.col("attributes")[k].alias(k) for k in ROUTE_ATTRIBUTES]
     )
-    route_ids = routes.select(F.col("url").alias("parent_url"), F.col("id").alias("route_id"))
-    loaded_images = images.join(route_ids, "parent_url").select("id", "route_id", F.col("url").alias("image_url"))
-    return loaded_areas, loaded_routes, loaded_images
+
+
+def image_rows(lines: DataFrame, routes: DataFrame, arrival: str = "arrival") -> DataFrame:
+    owners = routes.select(F.col("url").alias("parent_url"), F.col("id").alias("route_id"))
+    return _numbered(lines, "image", arrival).join(owners, "parent_url").select("id", "route_id", F.col("url").alias("image_url"))
