@@ -48,12 +48,17 @@ def _class_test(*names: str) -> str:
     return rf"class=\"{each}[^\"]*\"[^>]*>"
 
 
-def _first(html: Column, pattern: str, marker: str | None = None) -> Column:
+def _first(html: Column, pattern: str, marker: str | None = None, group: int = 1) -> Column:
     """First match; `marker` is a plain text without which the pattern cannot match, tested first."""
-    found = F.nullif(F.regexp_extract(html, pattern, 1), F.lit(""))
+    found = F.nullif(F.regexp_extract(html, pattern, group), F.lit(""))
     return found if marker is None else F.when(F.contains(html, F.lit(marker)), found)
 
 
+def _element(*names: str) -> str:
+    """Pattern of an element with these classes: group 1 is the tag, group 2 the content up to its end tag."""
+    return rf"(?is)<(\w+)\b[^>]*?{_class_test(*names)}(.*?)</\1>"
+
+
 # The functions below take cleaned markup.
 
 
@@ -66,12 +71,12 @@ def heading(html: Column) -> Column:
 
 
 def grade(html: Column) -> Column:
-    return plain(_first(html, rf"(?is){_class_test(GRADE_CLASS)}(.*?)</", GRADE_CLASS))
+    return plain(_first(html, _element(GRADE_CLASS), GRADE_CLASS, 2))
 
 
 def details(html: Column) -> Column:
     """Two-column detail table as a map."""
-    table = F.coalesce(_first(html, rf"(?is){_class_test(DETAILS_CLASS)}(.*?)</table>", DETAILS_CLASS), F.lit(""))
+    table = F.coalesce(_first(html, _element(DETAILS_CLASS), DETAILS_CLASS, 2), F.lit(""))
     rows = F.regexp_extract_all(table, F.lit(r"(?is)<tr\b[^>]*>(.*?)</tr>"), F.lit(1))
     cells = F.transform(rows, lambda r: F.regexp_extract_all(r, F.lit(r"(?is)<td\b[^>]*>(.*?)</td>"), F.lit(1)))
     usable = F.filter(cells, lambda c: F.size(c) >= 2)
@@ -87,8 +92,8 @@ def _sections(html: Column, *classes: str) -> Column:
 
 def _block_entry(section: Column) -> Column:
     return F.struct(
-        plain(_first(section, rf"(?is){_class_test(BLOCK_TITLE_CLASS)}(.*?)</")).alias("key"),
-        plain(_first(section, rf"(?is){_class_test(BLOCK_TEXT_CLASS)}(.*?)</div>")).alias("value"),
+        plain(_first(section, _element(BLOCK_TITLE_CLASS), group=2)).alias("key"),
+        plain(_first(section, _element(BLOCK_TEXT_CLASS), group=2)).alias("value"),
     )
 
 
