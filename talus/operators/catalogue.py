@@ -39,8 +39,10 @@ def of_version(df: DataFrame, version: str, column: str = "model_version") -> Da
 def query_blocks(queries: DataFrame, size: int = MAX_QUERIES_IN_TASK):
     """The query vectors in blocks of at most `size`, as (ids, matrix). A request carries a few; a longer list
     is streamed to the driver block by block, one scan of the stored side per block."""
+    ordered = queries.select("query_id", "vector").orderBy("query_id")
+    first = ordered.limit(size + 1).collect()
     ids, rows = [], []
-    for row in queries.select("query_id", "vector").orderBy("query_id").toLocalIterator():
+    for row in first if len(first) <= size else ordered.toLocalIterator():
         ids.append(row["query_id"])
         rows.append(row["vector"])
         if len(ids) == size:

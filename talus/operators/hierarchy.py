@@ -27,34 +27,37 @@ def lineages(areas: DataFrame, id: str = "id", parent: str = "parent_id", name:
     )
     active = True
     while active:
-        up = state.select(*[F.col(c).alias(f"up_{c}") for c in state.columns])
-        missing = F.col("up_id").isNull()
-        step = (
-            state.where(~F.col("done")).join(up, F.col("next") == F.col("up_id"), "left")
-            .select(
-                "id",
-                F.when(missing, F.col("chain")).otherwise(F.concat("chain", "up_chain")).alias("chain"),
-                F.col("up_next").alias("next"),
-                F.coalesce("up_done", F.lit(True)).alias("done"),
-                (~missing & F.col("up_done") & F.col("up_rooted")).alias("rooted"),
-            )
-            .withColumn("cyclic", F.size(F.array_distinct("chain.id")) < F.size("chain"))
-            .select(
-                "id",
-                F.when(F.col("cyclic"), F.array_distinct("chain")).otherwise(F.col("chain")).alias("chain"),
-                "next",
-                (F.col("rooted") & ~F.col("cyclic")).alias("rooted"),
-                (F.col("done") | F.col("cyclic")).alias("done"),
-            )
-        )
         seen = Observation()
-        state = cut(
-            state.where(F.col("done")).unionByName(step).observe(seen, F.count_if(~F.col("done")).alias("active"))
-        )
+        state = cut(_doubled(state).observe(seen, F.count_if(~F.col("done")).alias("active")))
         active = seen.get["active"] > 0
     return state.select("id", "chain", "rooted")
 
 
+def _doubled(state: DataFrame) -> DataFrame:
+    """Every open chain continued by the chain its pointer leads to."""
+    up = state.select(*[F.col(c).alias(f"up_{c}") for c in state.columns])
+    missing = F.col("up_id").isNull()
+    step = (
+        state.where(~F.col("done")).join(up, F.col("next") == F.col("up_id"), "left")
+        .select(
+            "id",
+            F.when(missing, F.col("chain")).otherwise(F.concat("chain", "up_chain")).alias("chain"),
+            F.col("up_next").alias("next"),
+            F.coalesce("up_done", F.lit(True)).alias("done"),
+            (~missing & F.col("up_done") & F.col("up_rooted")).alias("rooted"),
+        )
+        .withColumn("cyclic", F.size(F.array_distinct("chain.id")) < F.size("chain"))
+        .select(
+            "id",
+            F.when(F.col("cyclic"), F.array_distinct("chain")).otherwise(F.col("chain")).alias("chain"),
+            "next",
+            (F.col("rooted") & ~F.col("cyclic")).alias("rooted"),
+            (F.col("done") | F.col("cyclic")).alias("done"),
+        )
+    )
+    return state.where(F.col("done")).unionByName(step)
+
+
 def closure(lines: DataFrame, max_depth: int | None = None) -> DataFrame:
     """(ancestor, descendant, depth), each node being its own ancestor at depth 0."""
     pairs = lines.select(F.col("id").alias("descendant"), F.posexplode("chain").alias("depth", "node")).select(

@@ -48,12 +48,14 @@ def _rank(candidates: DataFrame, k: int) -> DataFrame:
 
 
 def nearest(queries: DataFrame, stored: DataFrame, k: int, exclude_self: bool = False,
-            broadcast_floats: int = BROADCAST_FLOATS, block_rows: int = BLOCK_ROWS) -> DataFrame:
+            broadcast_floats: int = BROADCAST_FLOATS, block_rows: int = BLOCK_ROWS, lists: int = 256) -> DataFrame:
     """(query_id, neighbour_id, similarity, rank): the exact k nearest by cosine.
 
     Both inputs have (id long, vector array). Self is excluded by id, not by position. A query set whose
-    size was counted and fits goes to every task and the stored side is read once without a shuffle;
-    otherwise both sides are cut into blocks that meet in a cogroup.
+    size was counted and fits goes to every task and the stored side is read once without a shuffle.
+    Otherwise the stored side is put into cells; a query looks into its nearest cells first, and its k-th
+    similarity there rules out every cell whose centre is too far away for the cell's radius, so the rest of
+    the search visits only cells that can still hold a neighbour.
     """
     queries = queries.select("id", "vector").where(F.col("vector").isNotNull())
     stored = stored.select("id", "vector").where(F.col("vector").isNotNull())
@@ -63,7 +65,7 @@ def nearest(queries: DataFrame, stored: DataFrame, k: int, exclude_self: bool =
     if stats["n"] * stats["dim"] <= broadcast_floats:
         found = _scan_top(queries, stored, k, exclude_self)
     else:
-        found = _block_top(queries, stored, k, exclude_self, stats["n"], block_rows)
+        found = _cell_top(queries, stored, k, exclude_self, block_rows, lists)
     return _rank(found, k)
 
 
@@ -117,14 +119,6 @@ def _trim(frame: pd.DataFrame, k: int) -> pd.DataFrame:
     return keyed.groupby("query_id").head(k).drop(columns="_r")
 
 
-def _blocks(rows: int, block_rows: int) -> int:
-    return max(1, math.ceil(rows / block_rows))
-
-
-def _spread(n: int):
-    return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-
-
 def _side(df: DataFrame, prefix: str) -> DataFrame:
     """Every column under a new name, so that a table can be cogrouped with itself."""
     return df.select(*[F.col(c).alias(f"{prefix}_{c.lstrip('_')}") for c in df.columns])
@@ -141,64 +135,103 @@ def _block_compare(k: int, exclude_self: bool):
     return compare
 
 
-def _block_top(queries, stored, k, exclude_self, query_count, block_rows) -> DataFrame:
-    query_blocks = _blocks(query_count, block_rows)
-    stored_blocks = _blocks(stored.count(), block_rows)
-    left = _side(queries, "q").withColumn("qb", F.pmod(F.xxhash64("q_id"), F.lit(query_blocks)).cast("int")).withColumn("sb", _spread(stored_blocks))
-    right = _side(stored, "s").withColumn("sb", F.pmod(F.xxhash64("s_id"), F.lit(stored_blocks)).cast("int")).withColumn("qb", _spread(query_blocks))
-    compare = _block_compare(k, exclude_self)
-    return left.groupBy("qb", "sb").cogroup(right.groupBy("qb", "sb")).applyInPandas(compare, CANDIDATES)
+def _probe(asking: DataFrame, stored: DataFrame, k: int, exclude_self: bool, block_rows: int) -> DataFrame:
+    """Candidates of queries (id, vector, cell) among stored rows (id, vector, cell) of the same cell. A crowded
+    cell is split into blocks, and many queries for one cell into waves, so no task holds a whole hot cell."""
+    blocks = F.ceil(F.count(F.lit(1)) / F.lit(block_rows)).cast("int")
+    # at most one row per cell on either side
+    plan = stored.groupBy("cell").agg(blocks.alias("_blocks")).join(asking.groupBy("cell").agg(blocks.alias("_waves")), "cell")
+    hosts = (
+        stored.select("id", "vector", "cell").join(plan, "cell").withColumn("_block", F.pmod(F.xxhash64("id"), F.col("_blocks")).cast("int"))
+        .withColumn("_wave", F.explode(F.sequence(F.lit(0), F.col("_waves") - 1)))
+    )
+    guests = (
+        asking.select("id", "vector", "cell").join(plan, "cell").withColumn("_wave", F.pmod(F.xxhash64("id"), F.col("_waves")).cast("int"))
+        .withColumn("_block", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    )
+    guests, hosts = _side(guests, "q"), _side(hosts, "s")
+    return (
+        guests.groupBy("q_cell", "q_block", "q_wave").cogroup(hosts.groupBy("s_cell", "s_block", "s_wave"))
+        .applyInPandas(_block_compare(k, exclude_self), CANDIDATES)
+    )
+
+
+def _cell_top(queries, stored, k, exclude_self, block_rows, lists, probes: int = 2) -> DataFrame:
+    index = CellIndex(stored, lists)
+    asking = cut(index.nearest_cells(queries, probes))
+    first = cut(_rank(_probe(asking, index.rows, k, exclude_self, block_rows), k).drop("rank"))
+    reached = first.groupBy(F.col("query_id").alias("id")).agg(F.count(F.lit(1)).alias("n"), F.min("similarity").alias("low"))
+    bound = F.when(F.col("n") >= k, F.acos(F.greatest(F.least("low", F.lit(1.0)), F.lit(-1.0)))).otherwise(F.lit(math.pi))
+    open_queries = queries.join(reached, "id", "left").select("id", "vector", F.coalesce(bound, F.lit(math.pi)).alias("bound"))
+    rest = cut(index.cells_within(open_queries, "bound", skip=probes))
+    return first.unionByName(_probe(rest, index.rows, k, exclude_self, block_rows))
 
 
 # --- partner mining ---------------------------------------------------------------------------------------
 
 
-def with_partner(df: DataFrame, label: str, id: str, vector: str, threshold: float, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def with_partner(df: DataFrame, label: str, id: str, vector: str, threshold: float, block_rows: int = BLOCK_ROWS, lists: int = 256) -> DataFrame:
     """Rows that form at least one pair with cosine > threshold inside their label.
 
-    Labels are cut into blocks of about `block_rows`, so a label holding a third of the table is many tasks.
-    First every row meets its own block, which settles most rows; only the rest travel to the other blocks of
-    their label, and each task answers with the ids it could match, never with pairs.
+    A label that fits one block is one comparison. A larger one is split by cell (near vectors share a cell,
+    so most partners meet at once) and crowded cells again by hash; a label with a third of the table is thus
+    many tasks. Rows still without a partner visit the blocks of those cells that can hold one, by centre
+    distance and cell radius. Tasks answer with matched ids, never with pairs.
     """
-    slim = df.select(F.col(label).alias("_label"), F.col(id).alias("_id"), F.col(vector).alias("_vec")).where(F.col("_vec").isNotNull())
-    sizes = slim.groupBy("_label").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1)
-    blocks = sizes.select("_label", F.ceil(F.col("_n") / F.lit(block_rows)).cast("int").alias("_blocks"))
-    placed = cut(slim.join(blocks, "_label").withColumn("_block", F.pmod(F.xxhash64("_id"), F.col("_blocks")).cast("int")))
+    slim = df.select(F.col(label).alias("label"), F.col(id).alias("id"), F.col(vector).alias("vector")).where(F.col("vector").isNotNull())
+    sizes = cut(slim.groupBy("label").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1))
+    large = sizes.where(F.col("n") > block_rows)
+    small_rows = slim.join(sizes.where(F.col("n") <= block_rows).select("label"), "label", "left_semi")
+    matched = _matched_inside(small_rows.withColumn("cell", F.lit(0)).withColumn("block", F.lit(0)), threshold)
+    matched = matched.where("matched").select("id")
+    if not large.isEmpty():
+        matched = matched.unionByName(_large_label_partners(slim.join(large.select("label"), "label", "left_semi"), threshold, block_rows, lists))
+    return df.join(matched.withColumnRenamed("id", id), id, "left_semi")
+
+
+def _matched_inside(placed: DataFrame, threshold: float) -> DataFrame:
+    """(id, matched): whether a row has a partner in its own block."""
 
     def inside(pdf: pd.DataFrame) -> pd.DataFrame:
-        unit = _stack(pdf["_vec"])
+        unit = _stack(pdf["vector"])
         sims = unit @ unit.T
         np.fill_diagonal(sims, np.nan)
-        return pd.DataFrame({"_id": pdf["_id"], "matched": (sims > threshold).any(axis=1)})
+        return pd.DataFrame({"id": pdf["id"], "matched": (sims > threshold).any(axis=1)})
+
+    id_type = placed.schema["id"].dataType.simpleString()
+    return placed.groupBy("label", "cell", "block").applyInPandas(inside, f"id {id_type}, matched boolean")
 
-    id_type = slim.schema["_id"].dataType.simpleString()
-    settled = cut(placed.groupBy("_label", "_block").applyInPandas(inside, f"_id {id_type}, matched boolean"))
-    matched = settled.where("matched").select("_id")
-    crowded = placed.where(F.col("_blocks") > 1)
-    open_rows = crowded.join(settled.where(~F.col("matched")).select("_id"), "_id", "left_semi")
+
+def _large_label_partners(rows: DataFrame, threshold: float, block_rows: int, lists: int) -> DataFrame:
+    index = CellIndex(rows, lists)
+    blocks = index.rows.groupBy("label", "cell").agg(F.ceil(F.count(F.lit(1)) / F.lit(block_rows)).cast("int").alias("blocks"))
+    placed = cut(index.rows.join(blocks, ["label", "cell"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")))
+    settled = cut(_matched_inside(placed, threshold))
+    open_rows = placed.join(settled.where(~F.col("matched")).select("id"), "id", "left_semi").select(
+        "label", "id", "vector", F.col("cell").alias("home_cell"), F.col("block").alias("home_block"),
+        F.lit(math.acos(max(-1.0, min(1.0, threshold)))).alias("bound"),
+    )
+    # (label, cell) places an open row has to visit; those without rows of the label fall out in the join
+    visits = index.cells_within(open_rows, "bound").join(blocks, ["label", "cell"])
+    visits = visits.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    visits = cut(visits.where((F.col("cell") != F.col("home_cell")) | (F.col("block") != F.col("home_block"))))
+    place = ["label", "cell", "block"]
+    waves = visits.groupBy(*place).agg(F.ceil(F.count(F.lit(1)) / F.lit(block_rows)).cast("int").alias("waves"))
+    guests = visits.join(waves, place).withColumn("wave", F.pmod(F.xxhash64("id"), F.col("waves")).cast("int"))
+    hosts = placed.join(waves, place).withColumn("wave", F.explode(F.sequence(F.lit(0), F.col("waves") - 1)))
+    guests, hosts = _side(guests, "q"), _side(hosts, "s")
 
     def across(q: pd.DataFrame, s: pd.DataFrame) -> pd.DataFrame:
         if q.empty or s.empty:
-            return pd.DataFrame({"_id": []})
-        hit = (_stack(q["q_vec"]) @ _stack(s["s_vec"]).T > threshold).any(axis=1)
-        return pd.DataFrame({"_id": q["q_id"][hit]})
-
-    # the open rows of a label are regrouped into full waves; each wave visits every block of its label
-    waves = open_rows.groupBy("_label").agg(F.ceil(F.count(F.lit(1)) / F.lit(block_rows)).cast("int").alias("_waves"))
-    visiting = (
-        open_rows.join(waves, "_label")
-        .withColumn("_wave", F.pmod(F.xxhash64("_id", F.lit(1)), F.col("_waves")).cast("int"))
-        .withColumn("_home", F.col("_block"))
-        .withColumn("_block", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-        .where(F.col("_block") != F.col("_home"))
-    )
-    hosts = crowded.join(waves, "_label").withColumn("_wave", F.explode(F.sequence(F.lit(0), F.col("_waves") - 1)))
-    visiting, hosts = _side(visiting, "q"), _side(hosts, "s")
+            return pd.DataFrame({"id": []})
+        return pd.DataFrame({"id": q["q_id"][(_stack(q["q_vector"]) @ _stack(s["s_vector"]).T > threshold).any(axis=1)]})
+
+    id_type = rows.schema["id"].dataType.simpleString()
     late = (
-        visiting.groupBy("q_label", "q_block", "q_wave").cogroup(hosts.groupBy("s_label", "s_block", "s_wave"))
-        .applyInPandas(across, f"_id {id_type}").distinct()
+        guests.groupBy("q_label", "q_cell", "q_block", "q_wave").cogroup(hosts.groupBy("s_label", "s_cell", "s_block", "s_wave"))
+        .applyInPandas(across, f"id {id_type}").distinct()
     )
-    return df.join(matched.unionByName(late).withColumnRenamed("_id", id), id, "left_semi")
+    return settled.where("matched").select("id").unionByName(late)
 
 
 # --- pair statistics without pairs ------------------------------------------------------------------------
@@ -256,11 +289,11 @@ def uniformity(df: DataFrame, id: str, vector: str, sample: int = 2000, seed: in
     return parts.agg(F.log(F.try_divide(F.sum("total"), F.sum("pairs"))).alias("uniformity"))
 
 
-# --- coarse-cell index ------------------------------------------------------------------------------------
+# --- cells ------------------------------------------------------------------------------------------------
 
 
 def build_cells(stored: DataFrame, lists: int = 100, train_rows: int | None = None, seed: int = 42) -> np.ndarray:
-    """Unit centroids of `lists` k-means cells, trained on a seeded sample of the (id, vector) rows."""
+    """Unit centroids of at most `lists` k-means cells, trained on a seeded sample of the (id, vector) rows."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
@@ -268,7 +301,8 @@ def build_cells(stored: DataFrame, lists: int = 100, train_rows: int | None = No
     from talus.operators.sampling import order_key
 
     rows = train_rows or max(10_000, 50 * lists)
-    picked = stored.orderBy(order_key(seed, F.col("id")), "id").limit(rows)
+    usable = stored.where(F.exists("vector", lambda x: x != 0))
+    picked = usable.orderBy(order_key(seed, F.col("id")), "id").limit(rows)
     features = cut(picked.select(array_to_vector(normalise(F.col("vector"))).alias("features")))
     model = KMeans(k=lists, seed=seed, maxIter=10).fit(features)
     return unit_rows(np.array(model.clusterCenters()))
@@ -281,36 +315,69 @@ def assign_cells(df: DataFrame, centroids: np.ndarray, vector: str, probes: int
 
     @F.arrow_udf("array<int>")
     def cells(vectors: pa.Array) -> pa.Array:
-        sims = np.nan_to_num(unit_rows(to_matrix(vectors, dim)) @ centroids.T, nan=-2.0)
-        best = np.argsort(-sims, axis=1, kind="stable")[:, :take].astype(np.int32)
+        best = np.argsort(-_centre_sims(vectors, centroids), axis=1, kind="stable")[:, :take].astype(np.int32)
         offsets = pa.array(np.arange(len(vectors) + 1, dtype=np.int32) * take)
         return pa.ListArray.from_arrays(offsets, pa.array(best.ravel()))
 
     return df.withColumn(name, F.explode(cells(vector)))
 
 
+def _centre_sims(vectors: pa.Array, centroids: np.ndarray) -> np.ndarray:
+    """Cosines to the centres; -2 for a vector without direction."""
+    sims = unit_rows(to_matrix(vectors, centroids.shape[1])) @ centroids.T
+    return np.where(np.isnan(sims), -2.0, np.clip(sims, -1.0, 1.0))
+
+
+class CellIndex:
+    """Rows with their nearest cell, and each cell's radius: the largest angle between a member and the
+    centre. On the sphere angles obey the triangle inequality, so a row at angle `a` from a centre is at least
+    `a - radius` away from every member."""
+
+    SLACK = 1e-6  # covers rounding in angles
+
+    def __init__(self, rows: DataFrame, lists: int = 256):
+        self.centroids = build_cells(rows, lists)
+        self.rows = cut(assign_cells(rows, self.centroids, "vector").withColumn("_angle", self._angle("vector", "cell")))
+        self.radius = np.full(len(self.centroids), -np.inf)
+        # one row per cell
+        for row in self.rows.groupBy("cell").agg(F.max("_angle").alias("r")).collect():
+            self.radius[row["cell"]] = row["r"]
+        self.rows = self.rows.drop("_angle")
+
+    def _angle(self, vector: str, cell: str):
+        centroids = self.centroids
+
+        @F.arrow_udf("double")
+        def angle(vectors: pa.Array, cells: pa.Array) -> pa.Array:
+            sims = _centre_sims(vectors, centroids)[np.arange(len(vectors)), cells.to_numpy(zero_copy_only=False)]
+            return pa.array(np.where(sims < -1.0, 0.0, np.arccos(np.clip(sims, -1.0, 1.0))))
+
+        return angle(vector, cell)
+
+    def nearest_cells(self, df: DataFrame, probes: int) -> DataFrame:
+        return assign_cells(df, self.centroids, "vector", probes)
+
+    def cells_within(self, df: DataFrame, bound: str, skip: int = 0) -> DataFrame:
+        """One row per cell that can hold a member within the row's angle `bound`, without its `skip` nearest."""
+        centroids, radius, slack = self.centroids, self.radius, self.SLACK
+
+        @F.arrow_udf("array<int>")
+        def cells(vectors: pa.Array, bounds: pa.Array) -> pa.Array:
+            sims = _centre_sims(vectors, centroids)
+            angles = np.where(sims < -1.0, np.inf, np.arccos(np.clip(sims, -1.0, 1.0)))
+            near = angles - radius[None, :] <= bounds.to_numpy(zero_copy_only=False)[:, None] + slack
+            if skip:
+                done = np.argsort(-sims, axis=1, kind="stable")[:, :skip]
+                near[np.arange(len(near))[:, None], done] = False
+            offsets = np.concatenate([[0], np.cumsum(near.sum(axis=1))]).astype(np.int32)
+            return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.nonzero(near)[1].astype(np.int32)))
+
+        return df.withColumn("cell", F.explode(cells("vector", bound)))
+
+
 def probe_nearest(queries: DataFrame, cells: DataFrame, centroids: np.ndarray, k: int, probes: int = 10,
                   exclude_self: bool = False, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Approximate top-k: each query meets the vectors of its nearest `probes` cells only.
-
-    `cells` is `assign_cells` output (id, vector, cell), best kept as a table partitioned by cell. A crowded
-    cell is split into blocks, and many queries for one cell into waves, so no task holds a whole hot cell."""
-    blocks = F.ceil(F.count(F.lit(1)) / F.lit(block_rows)).cast("int")
+    """Approximate top-k: each query meets the vectors of its nearest `probes` cells only. `cells` is
+    `assign_cells` output (id, vector, cell), best kept as a table partitioned by cell."""
     asking = cut(assign_cells(queries.select("id", "vector"), centroids, "vector", probes))
-    # at most one row per cell on either side
-    plan = cells.groupBy("cell").agg(blocks.alias("_blocks")).join(asking.groupBy("cell").agg(blocks.alias("_waves")), "cell")
-    stored = (
-        cells.join(plan, "cell").withColumn("_block", F.pmod(F.xxhash64("id"), F.col("_blocks")).cast("int"))
-        .withColumn("_wave", F.explode(F.sequence(F.lit(0), F.col("_waves") - 1)))
-    )
-    asking = (
-        asking.join(plan, "cell").withColumn("_wave", F.pmod(F.xxhash64("id"), F.col("_waves")).cast("int"))
-        .withColumn("_block", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-    )
-
-    asking, stored = _side(asking, "q"), _side(stored, "s")
-    found = (
-        asking.groupBy("q_cell", "q_block", "q_wave").cogroup(stored.groupBy("s_cell", "s_block", "s_wave"))
-        .applyInPandas(_block_compare(k, exclude_self), CANDIDATES)
-    )
-    return _rank(found, k)
+    return _rank(_probe(asking, cells, k, exclude_self, block_rows), k)

@@ -52,9 +52,7 @@ def threshold_sweep(df: DataFrame, score: str, truth: str, thresholds: list[floa
     buckets = df.where(F.col(score).isNotNull()).groupBy(reached.alias("bucket")).agg(
         F.count_if(F.col(truth)).alias("pos"), F.count_if(~F.col(truth)).alias("neg")
     )
-    steps = df.sparkSession.createDataFrame(
-        [(i, None if i == 0 else grid[i - 1]) for i in range(len(grid) + 1)], "bucket int, threshold double"
-    )
+    steps = df.sparkSession.range(1).select(F.posexplode(F.array(F.lit(None).cast("double"), *[F.lit(t) for t in grid])).alias("bucket", "threshold"))
     filled = steps.join(buckets, "bucket", "left").select(
         "bucket", "threshold", F.coalesce("pos", F.lit(0)).alias("pos"), F.coalesce("neg", F.lit(0)).alias("neg")
     )

@@ -74,7 +74,7 @@ def photos_with_partner(c):
 def photos_with_partner_in_small_blocks(c):
     """The same with labels cut into small blocks, as a hot label is at scale."""
     rows = c.table("embeddings").select(F.col("vec_id").alias("id"), "label", "embedding")
-    return knn.with_partner(rows, "label", "id", "embedding", 0.3, block_rows=64).select("id")
+    return knn.with_partner(rows, "label", "id", "embedding", 0.3, block_rows=32, lists=8).select("id")
 
 
 @query("M6 W3 J9 J11", """

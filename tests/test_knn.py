@@ -20,7 +20,7 @@ def brute(data, k):
     return {(i, int(j), r + 1) for i in range(len(data)) for r, j in enumerate(np.lexsort((np.arange(len(data)), -np.round(sims[i], 12)))[:k])}
 
 
-@pytest.mark.parametrize("options", [{}, {"broadcast_floats": 0, "block_rows": 40}])
+@pytest.mark.parametrize("options", [{}, {"broadcast_floats": 0, "block_rows": 40, "lists": 6}, {"broadcast_floats": 0, "block_rows": 7, "lists": 2}])
 def test_exact_neighbours(spark, options):
     data, rows = random_rows(150)
     df = spark.createDataFrame([r[:2] for r in rows], VECTORS).repartition(5)
@@ -50,7 +50,7 @@ def test_partner_search_equals_brute_force_on_a_hot_label(spark, block):
     np.fill_diagonal(sims, -1)
     for threshold in (0.5, 0.85):
         expected = {int(i) for i in np.flatnonzero((sims > threshold).any(axis=1))}
-        got = {r["id"] for r in knn.with_partner(df, "label", "id", "vector", threshold, block_rows=block).collect()}
+        got = {r["id"] for r in knn.with_partner(df, "label", "id", "vector", threshold, block_rows=block, lists=5).collect()}
         assert got == expected and got
 
 
