@@ -61,7 +61,8 @@ def _best_per_route(scored: DataFrame, ids: list[int]) -> DataFrame:
     """(query_id, route_id, similarity) maxima; combined per task before the shuffle."""
     labels = F.array(*[F.lit(int(i)).cast("long") for i in ids])
     return (
-        scored.select("route_id", F.posexplode("scores").alias("q", "similarity"))
+        # the outer form: a plain explode makes Spark infer a filter that would run the scoring twice
+        scored.select("route_id", F.posexplode_outer("scores").alias("q", "similarity"))
         .groupBy(F.element_at(labels, F.col("q") + 1).alias("query_id"), "route_id")
         .agg(F.max("similarity").alias("similarity"))
     )
@@ -121,29 +122,31 @@ def search_areas(areas: DataFrame, routes: DataFrame, lines: DataFrame, query: s
     per_area = routes.groupBy("area_id").agg(F.count(F.lit(1)).alias("n"))
     below = hierarchy.closure(lines, AREA_DEPTH).join(matching.select(F.col("id").alias("ancestor")), "ancestor", "left_semi")
     counts = below.join(per_area, F.col("descendant") == F.col("area_id")).groupBy("ancestor").agg(F.sum("n").alias("routes"))
+    top = (
+        matching.join(counts, F.col("id") == F.col("ancestor"), "left")
+        .select("id", "name", "parent_id", F.coalesce("routes", F.lit(0)).alias("route_count"))
+        .orderBy(F.col("route_count").desc(), "id").limit(AREA_ROWS)
+    )
     parents = areas.select(F.col("id").alias("p_id"), F.col("name").alias("parent_name"))
     return (
-        matching.join(parents, F.col("parent_id") == F.col("p_id"), "left")
-        .join(counts, F.col("id") == F.col("ancestor"), "left")
-        .select(
-            "id", X.title(F.col("name")).alias("name"),
-            X.path_label(F.col("parent_name"), F.col("name")).alias("full_path"),
-            F.coalesce("routes", F.lit(0)).alias("route_count"),
-        )
-        .orderBy(F.col("route_count").desc(), "id").limit(AREA_ROWS)
+        top.join(parents, F.col("parent_id") == F.col("p_id"), "left")
+        .select("id", X.title(F.col("name")).alias("name"), X.path_label(F.col("parent_name"), F.col("name")).alias("full_path"), "route_count")
+        .orderBy(F.col("route_count").desc(), "id")
     )
 
 
 def search_routes(areas: DataFrame, routes: DataFrame, query: str, escape: bool = False) -> DataFrame:
     check_query(query)
-    parents = areas.select(F.col("id").alias("p_id"), F.col("name").alias("p_name"))
     homes = areas.select(F.col("id").alias("a_id"), F.col("name").alias("a_name"), "parent_id")
-    return (
+    by_name = [F.col("name").asc_nulls_last(), F.col("id")]
+    top = (
         approved(routes).where(X.matches_text(F.col("name"), query, escape)).select("id", "name", "grade", "area_id")
-        .join(homes, F.col("area_id") == F.col("a_id"))
-        .join(parents, F.col("parent_id") == F.col("p_id"), "left")
+        .join(homes, F.col("area_id") == F.col("a_id")).orderBy(*by_name).limit(ROUTE_ROWS)
+    )
+    parents = areas.select(F.col("id").alias("p_id"), F.col("name").alias("p_name"))
+    return (
+        top.join(parents, F.col("parent_id") == F.col("p_id"), "left").orderBy(*by_name)
         .select("id", "name", "grade", X.path_label(F.col("p_name"), F.col("a_name")).alias("area"))
-        .orderBy(F.col("name").asc_nulls_last(), "id").limit(ROUTE_ROWS)
     )
 
 

@@ -319,7 +319,8 @@ def assign_cells(df: DataFrame, centroids: np.ndarray, vector: str, probes: int
         offsets = pa.array(np.arange(len(vectors) + 1, dtype=np.int32) * take)
         return pa.ListArray.from_arrays(offsets, pa.array(best.ravel()))
 
-    return df.withColumn(name, F.explode(cells(vector)))
+    # outer: a plain explode makes Spark infer a filter that would run the function twice
+    return df.withColumn(name, F.explode_outer(cells(vector)))
 
 
 def _centre_sims(vectors: pa.Array, centroids: np.ndarray) -> np.ndarray:
@@ -372,7 +373,7 @@ class CellIndex:
             offsets = np.concatenate([[0], np.cumsum(near.sum(axis=1))]).astype(np.int32)
             return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.nonzero(near)[1].astype(np.int32)))
 
-        return df.withColumn("cell", F.explode(cells("vector", bound)))
+        return df.withColumn("cell", F.explode_outer(cells("vector", bound))).where(F.col("cell").isNotNull())
 
 
 def probe_nearest(queries: DataFrame, cells: DataFrame, centroids: np.ndarray, k: int, probes: int = 10,

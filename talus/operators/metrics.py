@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from talus.functions.vectors import sigmoid
@@ -47,8 +50,7 @@ def threshold_sweep(df: DataFrame, score: str, truth: str, thresholds: list[floa
     A row only adds to the bucket "how many thresholds does it reach"; the table is read once whatever the
     number of thresholds, and the cumulative sums run over the buckets."""
     grid = sorted(set(float(t) for t in thresholds))
-    limits = F.array(*[F.lit(t) for t in grid])
-    reached = F.size(F.filter(limits, lambda t: t <= F.col(score)))
+    reached = reduce(add, [(F.col(score) >= F.lit(t)).cast("int") for t in grid])
     buckets = df.where(F.col(score).isNotNull()).groupBy(reached.alias("bucket")).agg(
         F.count_if(F.col(truth)).alias("pos"), F.count_if(~F.col(truth)).alias("neg")
     )

@@ -27,22 +27,37 @@ def blank(column: Column) -> Column:
 def review_decisions(events: DataFrame) -> DataFrame:
     """Review rows (image_id, seq, action, correct_route_id) as decisions. A correction applies only to an
     approval, and 0 means none."""
-    return events.select(
-        "image_id", "seq",
-        F.when(F.col("action") == "approve", "approved").otherwise("rejected").alias("status"),
-        F.when((F.col("action") == "approve") & (F.col("correct_route_id") != 0), F.col("correct_route_id")).alias("set_route"),
-    )
+    return events.select("image_id", "seq", _approves(), _review_route().alias("set_route"))
 
 
 def feedback_decisions(events: DataFrame) -> DataFrame:
     """Feedback rows (image_id, seq, confirmed, correct_route_id): both forms approve, the unconfirmed one
     also moves the image to the given route."""
-    return events.select(
-        "image_id", "seq", F.lit("approved").alias("status"),
-        F.when(~F.col("confirmed"), F.col("correct_route_id")).alias("set_route"),
+    return events.select("image_id", "seq", F.lit(True).alias("approved"), _feedback_route().alias("set_route"))
+
+
+def decisions_of(events: DataFrame) -> DataFrame:
+    """Applicable decisions of a log with both channels (channel 'review' or 'feedback'), in one pass."""
+    review = F.col("channel") == "review"
+    problem = F.when(review, decision_problem("review")).otherwise(decision_problem("feedback"))
+    return events.where(F.col("channel").isin("review", "feedback") & problem.isNull()).select(
+        "image_id", "seq", (~review | (F.col("action") == "approve")).alias("approved"),
+        F.when(review, _review_route()).otherwise(_feedback_route()).alias("set_route"),
     )
 
 
+def _approves():
+    return (F.col("action") == "approve").alias("approved")
+
+
+def _review_route():
+    return F.when((F.col("action") == "approve") & (F.col("correct_route_id") != 0), F.col("correct_route_id"))
+
+
+def _feedback_route():
+    return F.when(~F.col("confirmed"), F.col("correct_route_id"))
+
+
 def decision_problem(channel: str):
     """Reason column for events that cannot be applied (NULL where fine)."""
     if channel == "review":
@@ -52,11 +67,11 @@ def decision_problem(channel: str):
 
 
 def fold_decisions(decisions: DataFrame) -> DataFrame:
-    """One row per image: last status, last correction and their sequence. Folding partial folds again gives
-    the same result."""
+    """One row per image: last status, last correction and their sequence numbers. `seq` is anything that
+    orders; with a number all buffers are fixed-width and Spark aggregates by hash instead of by sort."""
     moved = F.col("set_route").isNotNull()
     return decisions.groupBy("image_id").agg(
-        F.max_by("status", "seq").alias("status"),
+        F.max_by("approved", "seq").alias("approved"),
         F.max_by("set_route", F.when(moved, F.col("seq"))).alias("set_route"),
         F.max("seq").alias("seq"),
         F.max(F.when(moved, F.col("seq"))).alias("route_seq"),
@@ -66,7 +81,7 @@ def fold_decisions(decisions: DataFrame) -> DataFrame:
 def refold_decisions(folds: DataFrame) -> DataFrame:
     """Merge partial folds (for instance one per micro-batch)."""
     return folds.groupBy("image_id").agg(
-        F.max_by("status", "seq").alias("status"),
+        F.max_by("approved", "seq").alias("approved"),
         F.max_by("set_route", "route_seq").alias("set_route"),
         F.max("seq").alias("seq"),
         F.max("route_seq").alias("route_seq"),
@@ -75,7 +90,8 @@ def refold_decisions(folds: DataFrame) -> DataFrame:
 
 def apply_decisions(images: DataFrame, folded: DataFrame) -> DataFrame:
     """Images with their current status and route."""
-    state = folded.select(F.col("image_id").alias("id"), F.col("status").alias("_status"), F.col("set_route").alias("_route"))
+    status = F.when(F.col("approved"), "approved").otherwise("rejected")
+    state = folded.select(F.col("image_id").alias("id"), status.alias("_status"), F.col("set_route").alias("_route"))
     return (
         images.join(state, "id", "left")
         .withColumn("status", F.coalesce("_status", "status"))

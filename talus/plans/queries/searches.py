@@ -213,7 +213,7 @@ def area_size_levels(c):
     FROM image_embeddings e, label_queries q GROUP BY 1""")
 def query_score_summary(c):
     (ids, matrix), = C.query_blocks(c.label_queries)
-    scored = C.score_vectors(c.image_embeddings, "image_id", ids, matrix).select(F.posexplode("scores").alias("q", "s"))
+    scored = C.score_vectors(c.image_embeddings, "image_id", ids, matrix).select(F.posexplode_outer("scores").alias("q", "s"))
     per = scored.groupBy("q").agg(F.count("s").alias("n"), F.round(F.max("s"), 6).alias("best"), F.round(F.avg("s"), 6).alias("mean"))
     labels = F.array(*[F.lit(int(i)).cast("long") for i in ids])
     return per.select(F.element_at(labels, F.col("q") + 1).alias("query_id"), "n", "best", "mean")

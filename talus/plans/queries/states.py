@@ -97,7 +97,7 @@ REVIEWED = """
 
 @query("K12 K13 W11", REVIEWED, decisions=DECISIONS, folded=FOLDED)
 def reviewed_images(c):
-    folded = S.fold_decisions(intake.decisions_of(c.review_log))
+    folded = S.fold_decisions(S.decisions_of(c.review_log))
     return S.apply_decisions(c.images, folded).select("id", "status", "route_id")
 
 

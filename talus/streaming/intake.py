@@ -12,18 +12,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from talus.operators import state
 
 
-def decisions_of(events: DataFrame) -> DataFrame:
-    """Applicable review and feedback events as one stream of decisions."""
-    review = events.where((F.col("channel") == "review") & state.decision_problem("review").isNull())
-    feedback = events.where((F.col("channel") == "feedback") & state.decision_problem("feedback").isNull())
-    return state.review_decisions(review).unionByName(state.feedback_decisions(feedback))
-
-
 def fold_batch(folder: str):
     """foreachBatch function that stores the batch's folds under `folder`/batch=<id>."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        state.fold_decisions(decisions_of(batch)).write.mode("overwrite").parquet(f"{folder}/batch={batch_id}")
+        state.fold_decisions(state.decisions_of(batch)).write.mode("overwrite").parquet(f"{folder}/batch={batch_id}")
 
     return write
 

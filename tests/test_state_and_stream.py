@@ -33,13 +33,13 @@ def as_set(df):
 
 
 def test_fold(spark):
-    decisions = intake.decisions_of(log(spark, *EVENTS))
+    decisions = S.decisions_of(log(spark, *EVENTS))
     assert as_set(S.apply_decisions(images(spark), S.fold_decisions(decisions))) == EXPECTED
 
 
 @pytest.mark.parametrize("cut", range(1, 6))
 def test_folds_of_folds(spark, cut):
-    decisions = intake.decisions_of(log(spark, *EVENTS))
+    decisions = S.decisions_of(log(spark, *EVENTS))
     early = S.fold_decisions(decisions.where(F.col("seq.event_id") < cut))
     late = S.fold_decisions(decisions.where(F.col("seq.event_id") >= cut))
     assert as_set(S.apply_decisions(images(spark), S.refold_decisions(late.unionByName(early)))) == EXPECTED
