@@ -241,16 +241,16 @@ def label_alignment(df: DataFrame, label: str, vector: str) -> DataFrame:
     """(label, members, alignment): mean of 2-2(a.b) over the pairs of each label with two or more members.
 
     The sum of all pairwise dot products is (|sum v|^2 - sum |v|^2) / 2, so no pair has to be formed."""
-    cells = df.select(F.col(label).alias("label"), F.posexplode(vector).alias("pos", "x")).groupBy("label", "pos").agg(
-        F.sum(F.col("x").cast("double")).alias("s"),
-        F.sum(F.col("x").cast("double") * F.col("x").cast("double")).alias("ss"),
-        F.count(F.lit(1)).alias("n"),
-    )
-    per = cells.groupBy("label").agg(
-        F.max("n").alias("members"), F.sum(F.col("s") * F.col("s")).alias("whole"), F.sum("ss").alias("own")
-    ).where(F.col("members") > 1)
-    pairs = F.col("members") * (F.col("members") - 1)
-    return per.select("label", "members", (F.lit(2.0) - F.lit(2.0) * (F.col("whole") - F.col("own")) / pairs).alias("alignment"))
+    from pyspark.ml.functions import vector_to_array
+
+    from talus.operators.prototypes import summaries
+
+    stats = summaries(df.select(F.col(label).alias("label"), vector), "label", vector, "count", "sum", "normL2").where(F.col("s.count") > 1)
+    square_sum = lambda v: F.aggregate(v, F.lit(0.0), lambda total, x: total + x * x)
+    whole, own = square_sum(vector_to_array("s.sum")), square_sum(vector_to_array("s.normL2"))
+    members = F.col("s.count")
+    mean_dot = (whole - own) / (members * (members - 1))
+    return stats.select("label", members.alias("members"), (F.lit(2.0) - F.lit(2.0) * mean_dot).alias("alignment"))
 
 
 def alignment(df: DataFrame, label: str, vector: str) -> DataFrame:

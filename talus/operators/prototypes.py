@@ -7,15 +7,22 @@ from pyspark.sql import DataFrame, functions as F
 from talus.functions import vectors as V
 
 
+def summaries(df: DataFrame, key: str, vector: str, *metrics: str) -> DataFrame:
+    """(key, s): per-class vector statistics. Each task combines its rows into one buffer per class, so what is
+    shuffled is a vector per class and task, however many rows a class has."""
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.stat import Summarizer
+
+    rows = df.where(F.col(vector).isNotNull()).select(key, array_to_vector(F.col(vector)).alias("v"))
+    return rows.groupBy(key).agg(Summarizer.metrics(*metrics).summary(F.col("v")).alias("s"))
+
+
 def mean_vectors(df: DataFrame, key: str, vector: str) -> DataFrame:
-    """(key, members, mean): the element-wise mean per class. (class, position) cells are combined inside each
-    task, so what is shuffled is classes x dimensions per task, not rows."""
-    cells = df.select(key, F.posexplode(vector).alias("pos", "x")).groupBy(key, "pos").agg(
-        F.avg(F.col("x").cast("double")).alias("x"), F.count(F.lit(1)).alias("n")
-    )
-    return cells.groupBy(key).agg(
-        F.max("n").alias("members"),
-        F.transform(F.sort_array(F.collect_list(F.struct("pos", "x"))), lambda c: c["x"]).alias("mean"),
+    """(key, members, mean): the element-wise mean per class."""
+    from pyspark.ml.functions import vector_to_array
+
+    return summaries(df, key, vector, "count", "mean").select(
+        key, F.col("s.count").alias("members"), vector_to_array("s.mean").alias("mean")
     )
 
 

@@ -291,3 +291,17 @@ def tags_from_json(c):
 @query("S3 P1 P14", "SELECT id AS route_id, area_id, grade, name FROM routes WHERE status = 'approved'")
 def approved_route_scan(c):
     return c.routes.where(F.col("status") == "approved").select(F.col("id").alias("route_id"), "area_id", "grade", "name")
+
+
+@query("S9 J12", """
+    SELECT source, sum(strlen(text) + 1)::BIGINT AS bytes, count(*) AS documents FROM documents WHERE n_chars > 2000 GROUP BY 1""")
+def stored_file_contents(c):
+    """Long documents written as text files per source, read back as bytes, for the sources that have a file."""
+    path = scratch(c.spark, "texts")
+    docs = c.table("documents").select("source", "text", "n_chars")
+    files.write_texts(docs.where("n_chars > 2000"), path, "source", "text")
+    found = files.read_binary(c.spark, path, "*.txt").withColumn("source", F.regexp_extract("path", "source=([^/]+)/", 1))
+    present = files.with_existing_file(docs, "source", found.select(F.col("source").alias("name")))
+    counts = present.where("n_chars > 2000").groupBy("source").agg(F.count(F.lit(1)).alias("documents"))
+    sizes = found.groupBy("source").agg(F.sum(F.length("content").cast("long")).alias("bytes"))
+    return counts.join(sizes, "source").select("source", "bytes", "documents")

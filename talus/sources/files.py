@@ -27,14 +27,20 @@ def append_rows(df: DataFrame, path: str) -> None:
 
 
 def write_shards(df: DataFrame, path: str, shard: str = "shard") -> None:
-    """One folder per shard; rows of a shard are brought together first, so each folder holds one file."""
-    df.repartition(F.col(shard)).write.mode("overwrite").partitionBy(shard).parquet(path)
+    """One folder per shard. Rows are gathered by shard with a rebalance, which splits a shard that is too
+    large for one task instead of writing it from one."""
+    df.hint("rebalance", shard).write.mode("overwrite").partitionBy(shard).parquet(path)
 
 
 def write_batches(df: DataFrame, path: str, batch: str = "batch") -> None:
     write_shards(df, path, batch)
 
 
+def write_texts(df: DataFrame, path: str, folder: str, text: str, rows_per_file: int = 1000) -> None:
+    """One text file per `rows_per_file` rows below a folder per value of `folder`."""
+    df.select(folder, F.col(text).alias("value")).write.mode("overwrite").option("maxRecordsPerFile", rows_per_file).partitionBy(folder).text(path)
+
+
 def read_shards(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
