@@ -10,6 +10,7 @@ from talus.operators.knn import with_partner
 from talus.operators.ordering import global_rank, running_before
 from talus.operators.rows import first_by_hash, last_per_key, with_group_minimum
 from talus.operators.sampling import order_key
+from talus.session import cut
 
 # Text columns of a training shard that are written as '' when empty.
 SHARD_TEXT = ["route_name", "grade", "type", "description", "location", "gps"]
@@ -43,7 +44,7 @@ def last_metadata(photos: DataFrame, metadata: DataFrame, url: str, position: st
 def mine_pairs(photos: DataFrame, label: str, id: str, vector: str, digest: str, position: str,
                threshold: float = 0.5, seen: DataFrame | None = None, **options) -> DataFrame:
     """Content dedup, then only photos with a similar partner inside their label."""
-    return with_partner(first_by_hash(photos, digest, position, seen), label, id, vector, threshold, **options)
+    return with_partner(cut(first_by_hash(photos, digest, position, seen)), label, id, vector, threshold, **options)
 
 
 def batch_of_rows(df: DataFrame, order: list, size: int, name: str = "batch", first: int = 0) -> DataFrame:

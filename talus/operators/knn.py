@@ -16,8 +16,9 @@ from pyspark.sql import DataFrame, Window, functions as F
 from talus.functions.vectors import to_matrix, unit_rows
 from talus.session import cut
 
-BROADCAST_FLOATS = 16_000_000  # largest query matrix kept in every task (128 MB as doubles)
-BLOCK_ROWS = 4096              # rows of one side in one block comparison
+BROADCAST_FLOATS = 4_000_000   # largest query matrix kept in every task (32 MB as doubles)
+TILE_CELLS = 4_000_000         # similarities held at once while scanning (32 MB)
+BLOCK_ROWS = 2048              # rows of one side in one block comparison
 ORDER_DIGITS = 12              # similarities are compared to this many digits, then by id
 
 
@@ -25,22 +26,6 @@ def _stack(vectors) -> np.ndarray:
     return unit_rows(np.stack([np.asarray(v, dtype=np.float64) for v in vectors]))
 
 
-def _best(ids, sims, k):
-    """Positions of the k best columns per row (similarity down, then id up); NaN never wins."""
-    keyed = np.where(np.isnan(sims), -np.inf, np.round(sims, ORDER_DIGITS))
-    if sims.shape[1] > 4 * k:
-        # keep everything at or above the k-th value, so equal values are still ordered by id
-        floor = -np.partition(-keyed, k - 1, axis=1)[:, k - 1]
-        return [_row_best(ids, keyed[i], np.flatnonzero(keyed[i] >= floor[i]), k) for i in range(len(keyed))]
-    every = np.arange(sims.shape[1])
-    return [_row_best(ids, keyed[i], every, k) for i in range(len(keyed))]
-
-
-def _row_best(ids, row, candidates, k):
-    candidates = candidates[row[candidates] > -np.inf]
-    return candidates[np.lexsort((ids[candidates], -row[candidates]))][:k]
-
-
 def _rank(candidates: DataFrame, k: int) -> DataFrame:
     order = [F.round("similarity", ORDER_DIGITS).desc(), F.col("neighbour_id").asc()]
     ranked = candidates.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order)))
@@ -76,13 +61,24 @@ def _empty(spark):
     return spark.createDataFrame([], CANDIDATES)
 
 
-def _top_arrow(query_ids, ids, sims, k, exclude_self):
+def _top(query_ids: np.ndarray, ids: np.ndarray, sims: np.ndarray, k: int, exclude_self: bool) -> pd.DataFrame:
+    """The k best columns of every row (similarity down, then id up); undefined similarities never count."""
+    keyed = np.round(sims, ORDER_DIGITS)
+    undefined = np.isnan(keyed)
     if exclude_self:
-        sims = np.where(query_ids[:, None] == ids[None, :], np.nan, sims)
-    picks = _best(ids, sims, k)
-    rows = np.repeat(np.arange(len(query_ids)), [len(p) for p in picks])
-    cols = np.concatenate(picks) if picks else np.array([], dtype=np.int64)
-    return query_ids[rows], ids[cols], sims[rows, cols]
+        undefined |= query_ids[:, None] == ids[None, :]
+    keyed[undefined] = -np.inf
+    wanted = ~undefined
+    width = keyed.shape[1]
+    if width > k:
+        # everything at or above the k-th value stays, so equal values are still ordered by id
+        wanted &= keyed >= np.partition(keyed, width - k, axis=1)[:, [width - k]]
+    rows, cols = np.nonzero(wanted)
+    order = np.lexsort((ids[cols], -keyed[rows, cols], rows))
+    rows, cols = rows[order], cols[order]
+    place = np.arange(len(rows)) - np.searchsorted(rows, rows, side="left")
+    rows, cols = rows[place < k], cols[place < k]
+    return pd.DataFrame({"query_id": query_ids[rows], "neighbour_id": ids[cols], "similarity": sims[rows, cols]})
 
 
 def _scan_top(queries: DataFrame, stored: DataFrame, k: int, exclude_self: bool) -> DataFrame:
@@ -94,20 +90,22 @@ def _scan_top(queries: DataFrame, stored: DataFrame, k: int, exclude_self: bool)
 
     def scan(batches):
         query_ids, matrix = shipped.value
-        ids = np.array([], dtype=np.int64)
-        held = None
+        held, waiting = [], 0
         for batch in batches:
-            new_ids = batch.column(0).to_numpy(zero_copy_only=False)
-            if not len(new_ids):
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            if not len(ids):
                 continue
-            sims = matrix @ unit_rows(to_matrix(batch.column(1), matrix.shape[1])).T
-            q, i, s = _top_arrow(query_ids, new_ids, sims, k, exclude_self)
-            part = pd.DataFrame({"query_id": q, "neighbour_id": i, "similarity": s})
-            held = part if held is None else pd.concat([held, part])
-            if len(held) > 8 * k * len(query_ids):
-                held = _trim(held, k)
-        if held is not None:
-            yield pa.RecordBatch.from_pandas(_trim(held, k), preserve_index=False)
+            units = unit_rows(to_matrix(batch.column(1), matrix.shape[1])).T
+            step = max(1, TILE_CELLS // len(ids))
+            for start in range(0, len(query_ids), step):
+                part = slice(start, start + step)
+                held.append(_top(query_ids[part], ids, matrix[part] @ units, k, exclude_self))
+                waiting += len(held[-1])
+            if waiting > 8 * k * len(query_ids):
+                held = [_trim(pd.concat(held), k)]
+                waiting = len(held[0])
+        if held:
+            yield pa.RecordBatch.from_pandas(_trim(pd.concat(held), k), preserve_index=False)
 
     return stored.mapInArrow(scan, CANDIDATES)
 
@@ -129,8 +127,7 @@ def _block_compare(k: int, exclude_self: bool):
         if q.empty or s.empty:
             return pd.DataFrame({"query_id": [], "neighbour_id": [], "similarity": []})
         sims = _stack(q["q_vector"]) @ _stack(s["s_vector"]).T
-        a, b, c = _top_arrow(q["q_id"].to_numpy(), s["s_id"].to_numpy(), sims, k, exclude_self)
-        return pd.DataFrame({"query_id": a, "neighbour_id": b, "similarity": c})
+        return _top(q["q_id"].to_numpy(), s["s_id"].to_numpy(), sims, k, exclude_self)
 
     return compare
 
@@ -338,22 +335,25 @@ class CellIndex:
 
     def __init__(self, rows: DataFrame, lists: int = 256):
         self.centroids = build_cells(rows, lists)
-        self.rows = cut(assign_cells(rows, self.centroids, "vector").withColumn("_angle", self._angle("vector", "cell")))
+        self.rows = cut(rows.withColumn("_home", self._home("vector")).select(*rows.columns, "_home.cell", F.col("_home.angle").alias("_angle")))
         self.radius = np.full(len(self.centroids), -np.inf)
         # one row per cell
         for row in self.rows.groupBy("cell").agg(F.max("_angle").alias("r")).collect():
             self.radius[row["cell"]] = row["r"]
         self.rows = self.rows.drop("_angle")
 
-    def _angle(self, vector: str, cell: str):
+    def _home(self, vector: str):
         centroids = self.centroids
 
-        @F.arrow_udf("double")
-        def angle(vectors: pa.Array, cells: pa.Array) -> pa.Array:
-            sims = _centre_sims(vectors, centroids)[np.arange(len(vectors)), cells.to_numpy(zero_copy_only=False)]
-            return pa.array(np.where(sims < -1.0, 0.0, np.arccos(np.clip(sims, -1.0, 1.0))))
+        @F.arrow_udf("cell int, angle double")
+        def home(vectors: pa.Array) -> pa.Array:
+            sims = _centre_sims(vectors, centroids)
+            best = sims.argmax(axis=1)
+            top = sims[np.arange(len(sims)), best]
+            angle = np.where(top < -1.0, 0.0, np.arccos(np.clip(top, -1.0, 1.0)))
+            return pa.StructArray.from_arrays([pa.array(best.astype(np.int32)), pa.array(angle)], ["cell", "angle"])
 
-        return angle(vector, cell)
+        return home(vector)
 
     def nearest_cells(self, df: DataFrame, probes: int) -> DataFrame:
         return assign_cells(df, self.centroids, "vector", probes)

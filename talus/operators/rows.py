@@ -34,7 +34,7 @@ def upsert(existing: DataFrame, incoming: DataFrame, keys: list[str], arrival: C
 
 
 def first_by_hash(df: DataFrame, digest: str, position: str, seen: DataFrame | None = None) -> DataFrame:
-    """First arrival of each content digest, skipping digests already in `seen`. `position` is unique."""
+    """First arrival of each content digest, skipping digests already in `seen`. One pass over `df`; give it
+    the digest and what is needed of the row, not the content."""
     fresh = df if seen is None else df.join(seen.select(digest), digest, "left_anti")
-    firsts = fresh.groupBy(digest).agg(F.min(position).alias(position)).select(position)
-    return fresh.join(firsts, position, "left_semi")
+    return first_per_key(fresh, [digest], F.col(position))

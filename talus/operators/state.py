@@ -61,7 +61,7 @@ def _feedback_route():
 def decision_problem(channel: str):
     """Reason column for events that cannot be applied (NULL where fine)."""
     if channel == "review":
-        return F.when(F.coalesce(~F.col("action").isin(ACTIONS), F.lit(True)), "action must be 'approve' or 'reject'")
+        return F.when(outside(F.col("action"), ACTIONS), "action must be 'approve' or 'reject'")
     missing = F.coalesce(~F.col("confirmed"), F.lit(True)) & F.col("correct_route_id").isNull()
     return F.when(missing, "correct_route_id is required when confirmed is false")
 
@@ -114,9 +114,19 @@ def first_decisions(rows: DataFrame, decisions: DataFrame) -> DataFrame:
     return rows.join(first, "id", "left").withColumn("status", changed).drop("_action")
 
 
+def outside(column: Column, domain: list[str]) -> Column:
+    """True for a value that is missing or not in the domain."""
+    return F.coalesce(~column.isin(domain), F.lit(True))
+
+
+def domain_problem(source: str = "source", status: str = "status") -> Column:
+    """Reason column for rows whose source or status is not a known value."""
+    return F.when(outside(F.col(source), SOURCES), "unknown source").when(outside(F.col(status), STATUSES), "unknown status")
+
+
 def submission_problem(content_type: str = "content_type", size: str = "size"):
     return (
-        F.when(F.coalesce(~F.col(content_type).isin(CONTENT_TYPES), F.lit(True)), "unsupported content type")
+        F.when(outside(F.col(content_type), CONTENT_TYPES), "unsupported content type")
         .when(F.col(size) > MAX_UPLOAD_BYTES, "file too large")
     )
 

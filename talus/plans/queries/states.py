@@ -189,3 +189,14 @@ def versioned_rewrite(c):
     files.write_versioned(again, path + "-next")
     files.write_versioned(c.image_embeddings.where(F.col("label") < 5), path + "-next")
     return c.spark.read.parquet(path + "-next").groupBy("model_version").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("P9", """
+    SELECT event_id, CASE WHEN event_type NOT IN ('view', 'click') THEN 'unknown source' WHEN event_type = 'click' THEN 'unknown status' END AS reason FROM events""")
+def domain_checks(c):
+    """Events with their type read as a source and a status."""
+    kind = F.col("event_type")
+    rows_ = c.table("events").select(
+        "event_id", F.when(kind == "view", "admin").when(kind == "click", "user").otherwise(kind).alias("source"),
+        F.when(kind == "view", "approved").alias("status"))
+    return rows_.select("event_id", S.domain_problem().alias("reason"))

@@ -71,6 +71,11 @@ def test_submission_checks(spark):
     assert [r["r"] for r in rows.select(S.submission_problem().alias("r")).collect()] == [None, "unsupported content type", "unsupported content type", None, "file too large"]
 
 
+def test_domains(spark):
+    rows = spark.createDataFrame([("user", "approved"), ("robot", "approved"), ("admin", None)], "source string, status string")
+    assert [r["r"] for r in rows.select(S.domain_problem().alias("r")).collect()] == [None, "unknown source", "unknown status"]
+
+
 def test_binary_files_and_presence(spark, tmp_path):
     (tmp_path / "a.jpg").write_bytes(b"one")
     (tmp_path / "sub").mkdir()
