@@ -131,6 +131,11 @@ def contiguous_split(groups: DataFrame, train: float, val: float, true_dfs: bool
     )
 
 
+def rows_of(rows: DataFrame, groups: DataFrame, *columns: str) -> DataFrame:
+    """Photo rows with columns of their route's group row, such as its split or its batch."""
+    return rows.join(groups.select("route_id", *columns), "route_id")
+
+
 def epoch_orders(groups: DataFrame, epochs: int, seed: int = 42) -> DataFrame:
     """The route rows once per epoch with `shuffle_key`, a fresh order for each epoch."""
     every = groups.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(epochs - 1).cast("long"))))

@@ -61,9 +61,9 @@ def _feedback_route():
 def decision_problem(channel: str):
     """Reason column for events that cannot be applied (NULL where fine)."""
     if channel == "review":
-        return F.when(outside(F.col("action"), ACTIONS), "action must be 'approve' or 'reject'")
+        return F.when(outside(F.col("action"), ACTIONS), "unknown action")
     missing = F.coalesce(~F.col("confirmed"), F.lit(True)) & F.col("correct_route_id").isNull()
-    return F.when(missing, "correct_route_id is required when confirmed is false")
+    return F.when(missing, "route is missing")
 
 
 def fold_decisions(decisions: DataFrame) -> DataFrame:
@@ -149,8 +149,8 @@ def area_suggestions(rows: DataFrame, areas: DataFrame) -> DataFrame:
     """Suggested areas (name, parent_id, ...) with trimmed name, status 'unreviewed' and a reason column; rows
     with a reason are refused."""
     checked = _with_approved(rows, areas, "parent_id", "_known")
-    reason = F.when(blank(F.col("name")), "Area name is required").when(
-        F.col("parent_id").isNotNull() & ~F.col("_known"), "Parent area not found or not yet approved"
+    reason = F.when(blank(F.col("name")), "name is empty").when(
+        F.col("parent_id").isNotNull() & ~F.col("_known"), "parent area is not approved"
     )
     return checked.withColumn("reason", reason).withColumn("name", F.trim("name")).withColumn("status", F.lit("unreviewed")).drop("_known")
 
@@ -158,9 +158,9 @@ def area_suggestions(rows: DataFrame, areas: DataFrame) -> DataFrame:
 def route_suggestions(rows: DataFrame, areas: DataFrame) -> DataFrame:
     checked = _with_approved(rows, areas, "area_id", "_known")
     reason = (
-        F.when(blank(F.col("name")), "Route name is required")
-        .when(blank(F.col("grade")), "Grade is required")
-        .when(~F.col("_known"), "Area not found or not yet approved")
+        F.when(blank(F.col("name")), "name is empty")
+        .when(blank(F.col("grade")), "grade is empty")
+        .when(~F.col("_known"), "area is not approved")
     )
     return (
         checked.withColumn("reason", reason).withColumn("name", F.trim("name")).withColumn("grade", F.trim("grade"))

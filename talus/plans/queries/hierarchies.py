@@ -141,7 +141,7 @@ def tree_line_files(c):
     return T.read_lines(c.spark, path).groupBy("kind").agg(F.count("url").alias("n"))
 
 
-LINKS = """SELECT p_partkey AS src, p_partkey * 2 AS dst FROM part WHERE p_partkey >= 1 UNION ALL SELECT p_partkey, p_partkey * 2 + 1 FROM part WHERE p_partkey >= 1"""
+LINKS = "SELECT id AS src, id * 2 AS dst FROM part_tree UNION ALL SELECT id, id * 2 + 1 FROM part_tree"
 REACHED = """SELECT 1::BIGINT AS url, 0 AS distance UNION ALL
     SELECT l.dst, r.distance + 1 FROM reached r JOIN part_tree p ON p.id = r.url JOIN links l ON l.src = r.url"""
 

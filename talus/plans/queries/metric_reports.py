@@ -129,13 +129,13 @@ def retrieval_metrics(c):
     return out.select(*[F.round(x, 6).alias(x) for x in out.columns])
 
 
-@query("M4 J10 Z4", "SELECT query_id, neighbour_id, rank, round(s, 6) + 0.0 AS similarity FROM neighbours WHERE rank <= 6", neighbours=NEIGHBOURS)
+@query("M4 J10 Z4", "SELECT query_id, neighbour_id, rank::INTEGER AS rank, round(s, 6) + 0.0 AS similarity FROM neighbours WHERE rank <= 6", neighbours=NEIGHBOURS)
 def exact_neighbours(c):
     rows = c.table("embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
     return knn.nearest(rows, rows, 6, exclude_self=True).withColumn("similarity", F.round("similarity", 6))
 
 
-@query("M4 J8", "SELECT query_id, neighbour_id, rank, round(s, 6) + 0.0 AS similarity FROM neighbours WHERE rank <= 6", neighbours=NEIGHBOURS)
+@query("M4 J8", "SELECT query_id, neighbour_id, rank::INTEGER AS rank, round(s, 6) + 0.0 AS similarity FROM neighbours WHERE rank <= 6", neighbours=NEIGHBOURS)
 def exact_neighbours_by_cells(c):
     """The same through the cell-pruned search that serves query sets too large for one task."""
     rows = c.table("embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from talus.operators import catalogue as C, rows, state as S
+from talus.plans.queries.vector_jobs import letter_encoder
 from talus.plans.registry import query
 from talus.session import scratch
 from talus.sources import files
@@ -56,8 +57,8 @@ def submitted_photos(c):
 
 
 @query("K11 P9 P12", """
-    SELECT s.event_id, trim(s.name) AS name, CASE WHEN trim(s.name) = '' THEN 'Area name is required'
-           WHEN s.parent_id IS NOT NULL AND a.id IS NULL THEN 'Parent area not found or not yet approved' END AS reason
+    SELECT s.event_id, trim(s.name) AS name, CASE WHEN trim(s.name) = '' THEN 'name is empty'
+           WHEN s.parent_id IS NOT NULL AND a.id IS NULL THEN 'parent area is not approved' END AS reason
     FROM (SELECT event_id, CASE WHEN event_type = 'error' THEN '  ' ELSE ' ' || event_type || ' ' END AS name,
                  CASE WHEN event_type <> 'view' THEN 1000 + user_id * 2 END AS parent_id FROM events) s
     LEFT JOIN (SELECT id FROM areas WHERE status = 'approved') a ON a.id = s.parent_id""")
@@ -70,8 +71,8 @@ def suggested_areas(c):
 
 
 @query("K11 P9 P12", """
-    SELECT s.event_id, trim(s.name) AS name, trim(s.grade) AS grade, CASE WHEN trim(s.name) = '' THEN 'Route name is required' WHEN trim(s.grade) = '' THEN 'Grade is required'
-           WHEN a.id IS NULL THEN 'Area not found or not yet approved' END AS reason
+    SELECT s.event_id, trim(s.name) AS name, trim(s.grade) AS grade, CASE WHEN trim(s.name) = '' THEN 'name is empty' WHEN trim(s.grade) = '' THEN 'grade is empty'
+           WHEN a.id IS NULL THEN 'area is not approved' END AS reason
     FROM (SELECT event_id, CASE WHEN event_type = 'error' THEN '' ELSE event_type END AS name, CASE WHEN event_type = 'click' THEN ' ' ELSE ' 5.9 ' END AS grade,
                  1000 + user_id * 2 AS area_id FROM events) s
     LEFT JOIN (SELECT id FROM areas WHERE status = 'approved') a ON a.id = s.area_id""")
@@ -101,16 +102,32 @@ def reviewed_images(c):
     return S.apply_decisions(c.images, folded).select("id", "status", "route_id")
 
 
+def _folded_stream(c) -> str:
+    """Run the review log through the file stream until everything has arrived; the folder of folds."""
+    base = scratch(c.spark, "intake")
+    schema = c.table("events").schema
+    arriving = type(c)(c.spark, c.folder)
+    events = c.spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(c.folder)
+    arriving.table = lambda name: events if name == "events" else c.table(name)
+    intake.run_available(arriving.review_log, f"{base}/folds", f"{base}/progress")
+    return f"{base}/folds"
+
+
 @query("G1 K12 K13", REVIEWED, decisions=DECISIONS, folded=FOLDED)
 def streamed_review_state(c):
-    """The same state through the file stream, stopped once everything has arrived."""
-    base = scratch(c.spark, "intake")
-    source = c.table("events").schema
-    stream = c.spark.readStream.schema(source).option("pathGlobFilter", "events.parquet").parquet(c.folder)
-    c_stream = type(c)(c.spark, c.folder)
-    c_stream.table = lambda name: stream if name == "events" else type(c).table(c_stream, name)
-    intake.run_available(c_stream.review_log, f"{base}/folds", f"{base}/progress")
-    return intake.current_images(c.images, f"{base}/folds").select("id", "status", "route_id")
+    """The same state through the file stream."""
+    return intake.current_images(c.images, _folded_stream(c)).select("id", "status", "route_id")
+
+
+@query("G1 M10 J5", """
+    SELECT i.id AS image_id, round(((length(i.content) - length(replace(i.content, 'e', ''))) / length(i.content)::DOUBLE)::FLOAT::DOUBLE, 4) AS e
+    FROM images i JOIN reviewed r ON r.id = i.id WHERE r.status = 'approved' AND i.id NOT IN (SELECT image_id FROM image_embeddings)""",
+    decisions=DECISIONS, folded=FOLDED, reviewed=REVIEWED)
+def embedded_after_intake(c):
+    """Review events through the stream, then the embedding job over what became approved; the new vectors."""
+    table, _ = intake.embed_approved(c.images, _folded_stream(c), c.image_embeddings.drop("label"), "content", letter_encoder, "v1")
+    new = table.where(F.size("embedding") == 26)
+    return new.select("image_id", F.round(F.col("embedding")[4].cast("double"), 4).alias("e"))
 
 
 @query("K12 Z11", """

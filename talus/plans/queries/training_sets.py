@@ -160,6 +160,12 @@ def contiguous_split_depth_first(c):
     return K.contiguous_split(manifest_groups_of(c), 0.7, 0.15, true_dfs=True).select("route_id", "n", "before", "split")
 
 
+@query("W5", f"SELECT r.idx, r.route_image_id, s.split FROM train_rows r JOIN ({SPLIT.format(train=0.8, val=0.1, source='train_groups', path='area_path')}) s USING (route_id)")
+def split_photos(c):
+    rows_ = train_rows_of(c)
+    return K.rows_of(rows_, K.contiguous_split(K.route_groups(rows_), 0.8, 0.1), "split").select("idx", "route_image_id", "split")
+
+
 @query("A22 W5", f"SELECT split, sum(n)::BIGINT AS images, count(*) AS routes FROM ({SPLIT.format(train=0.8, val=0.1, source='manifest_groups', path='area_path')}) GROUP BY 1")
 def split_sizes(c):
     split = K.contiguous_split(manifest_groups_of(c), 0.8, 0.1)

@@ -58,8 +58,9 @@ def linear_head_scores(c):
     scored = P.linear_scores(c.route_image_embeddings, "embedding", head_of(c), 0.1)
     log = scored.select(
         "route_image_id", F.lit("head").alias("filter_model_version"), F.col("score").alias("raw_score"), (F.col("score") >= 0.55).alias("passed"), F.lit(0.55).alias("threshold"))
-    merged = upsert(log.limit(0), log, ["route_image_id", "filter_model_version"], F.col("raw_score"))
-    return merged.select("route_image_id", F.round("raw_score", 6).alias("raw_score"), "passed")
+    earlier = c.filter_scores.select("route_image_id", "filter_model_version", F.col("score").alias("raw_score"), (F.col("score") >= 0.55).alias("passed"), F.lit(0.55).alias("threshold"))
+    merged = upsert(earlier, log, ["route_image_id", "filter_model_version"], F.col("raw_score"))
+    return merged.where(F.col("filter_model_version") == "head").select("route_image_id", F.round("raw_score", 6).alias("raw_score"), "passed")
 
 
 @query("M6 J9", """

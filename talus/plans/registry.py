@@ -36,8 +36,7 @@ VIEWS = {
         UNION ALL SELECT (1000 + c_custkey)::BIGINT, (100 + c_nationkey)::BIGINT, lower(replace(c_name, '#', '-')),
                CASE WHEN c_acctbal < 0 THEN 'unreviewed' ELSE 'approved' END FROM customer)""",
     "part_tree": """
-        SELECT p_partkey AS id, CASE WHEN p_partkey > 1 THEN p_partkey // 2 END AS parent_id, 'p' || p_partkey AS name
-        FROM part WHERE p_partkey >= 1""",
+        SELECT id, CASE WHEN id > 1 THEN id // 2 END AS parent_id, 'p' || id AS name FROM (SELECT p_partkey + 1 AS id FROM part)""",
     "routes": """
         SELECT o_orderkey AS id, 1000 + o_custkey AS area_id, 'Order ' || o_orderkey AS name, o_orderpriority AS grade,
                'https://x/route/' || o_orderkey AS url, o_orderstatus AS type,
@@ -47,7 +46,7 @@ VIEWS = {
     "images": """
         SELECT event_id AS id, user_id AS route_id, CASE WHEN event_type = 'signup' THEN 'admin' ELSE 'user' END AS source,
                CASE event_type WHEN 'error' THEN 'rejected' WHEN 'view' THEN 'unreviewed' ELSE 'approved' END AS status,
-               user_id AS submitted_by, ts AS created_at FROM events""",
+               user_id AS submitted_by, ts AS created_at, event_type AS content FROM events""",
     "route_images": """
         SELECT doc_id AS id, doc_id // 10 AS route_id, 'https://x/' || source || '/' || doc_id || '_large.jpg?c=1' AS image_url,
                text AS content FROM documents""",

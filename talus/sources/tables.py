@@ -66,15 +66,10 @@ class Catalogue:
 
     @cached_property
     def part_tree(self) -> DataFrame:
-        """A deep binary tree over the parts: node p hangs below p div 2, node 1 is the root."""
-        p = F.col("p_partkey")
-        return (
-            self.table("part").where(p >= 1)
-            .select(
-                p.alias("id"),
-                F.when(p > 1, F.expr("p_partkey div 2")).alias("parent_id"),
-                F.concat(F.lit("p"), p.cast("string")).alias("name"),
-            )
+        """A deep binary tree over the parts, numbered from 1: node n hangs below n div 2, node 1 is the root."""
+        numbered = self.table("part").select((F.col("p_partkey") + 1).alias("id"))
+        return numbered.select(
+            "id", F.when(F.col("id") > 1, F.expr("id div 2")).alias("parent_id"), F.concat(F.lit("p"), F.col("id").cast("string")).alias("name")
         )
 
     @cached_property
@@ -103,6 +98,7 @@ class Catalogue:
             F.when(kind == "error", "rejected").when(kind == "view", "unreviewed").otherwise("approved").alias("status"),
             F.col("user_id").alias("submitted_by"),
             F.col("ts").alias("created_at"),
+            kind.alias("content"),
         )
 
     @cached_property

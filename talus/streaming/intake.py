@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from talus.operators import state
+from talus.plans.embed_job import embed_pending
 
 
 def fold_batch(folder: str):
@@ -42,3 +43,9 @@ def compact(spark: SparkSession, folder: str, target: str) -> None:
 
 def current_images(images: DataFrame, folder: str) -> DataFrame:
     return state.apply_decisions(images, current_folds(images.sparkSession, folder))
+
+
+def embed_approved(images: DataFrame, folder: str, embeddings: DataFrame, content: str, make_encoder, model_version: str):
+    """(embeddings, failed rows) after encoding every image that the folded state shows as approved and that
+    has no vector of this version. A second run finds nothing to do."""
+    return embed_pending(current_images(images, folder), embeddings, content, make_encoder, model_version)
