@@ -136,8 +136,8 @@ def _probe(asking: DataFrame, stored: DataFrame, k: int, exclude_self: bool, blo
     """Candidates of queries (id, vector, cell) among stored rows (id, vector, cell) of the same cell. A crowded
     cell is split into blocks, and many queries for one cell into waves, so no task holds a whole hot cell."""
     blocks = F.ceil(F.count(F.lit(1)) / F.lit(block_rows)).cast("int")
-    # at most one row per cell on either side
-    plan = stored.groupBy("cell").agg(blocks.alias("_blocks")).join(asking.groupBy("cell").agg(blocks.alias("_waves")), "cell")
+    # one row per cell, and there are at most `lists` cells, so the plan may be broadcast
+    plan = F.broadcast(stored.groupBy("cell").agg(blocks.alias("_blocks")).join(asking.groupBy("cell").agg(blocks.alias("_waves")), "cell"))
     hosts = (
         stored.select("id", "vector", "cell").join(plan, "cell").withColumn("_block", F.pmod(F.xxhash64("id"), F.col("_blocks")).cast("int"))
         .withColumn("_wave", F.explode(F.sequence(F.lit(0), F.col("_waves") - 1)))
@@ -380,5 +380,6 @@ def probe_nearest(queries: DataFrame, cells: DataFrame, centroids: np.ndarray, k
                   exclude_self: bool = False, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Approximate top-k: each query meets the vectors of its nearest `probes` cells only. `cells` is
     `assign_cells` output (id, vector, cell), best kept as a table partitioned by cell."""
-    asking = cut(assign_cells(queries.select("id", "vector"), centroids, "vector", probes))
+    usable = queries.select("id", "vector").where(F.col("vector").isNotNull())
+    asking = cut(assign_cells(usable, centroids, "vector", probes))
     return _rank(_probe(asking, cells, k, exclude_self, block_rows), k)

@@ -54,3 +54,12 @@ def linear_scores(df: DataFrame, vector: str, weights: list[float], bias: float,
     head = F.array(*[F.lit(float(w)) for w in weights])
     z = V.dot(F.col(vector), head)
     return df.withColumn(name, V.sigmoid(F.try_divide(z, V.norm(F.col(vector))) + F.lit(float(bias))))
+
+
+def score_log(scored: DataFrame, id: str, version: str, threshold: float, score: str = "score") -> DataFrame:
+    """Rows of the filter-score table. The stored score is a FLOAT, but `passed` is decided on the double."""
+    limit = F.lit(float(threshold))
+    return scored.select(
+        id, F.lit(version).alias("filter_model_version"), F.col(score).cast("float").alias("raw_score"),
+        (F.col(score) >= limit).alias("passed"), limit.cast("float").alias("threshold"), F.current_timestamp().alias("scored_at"),
+    )

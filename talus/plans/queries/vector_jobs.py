@@ -52,15 +52,14 @@ def head_of(c) -> list[float]:
 
 
 @query("M9 F14 F12 P4 K6 Z5", f"""
-    SELECT route_image_id, round(s, 6) AS raw_score, s >= 0.55 AS passed FROM (
+    SELECT route_image_id, round(s::FLOAT::DOUBLE, 4) AS raw_score, s >= 0.55 AS passed FROM (
         SELECT route_image_id, 1 / (1 + exp(-(list_dot_product(embedding, {HEAD}) / sqrt(list_dot_product(embedding, embedding)) + 0.1))) AS s FROM route_image_embeddings)""")
 def linear_head_scores(c):
     scored = P.linear_scores(c.route_image_embeddings, "embedding", head_of(c), 0.1)
-    log = scored.select(
-        "route_image_id", F.lit("head").alias("filter_model_version"), F.col("score").alias("raw_score"), (F.col("score") >= 0.55).alias("passed"), F.lit(0.55).alias("threshold"))
-    earlier = c.filter_scores.select("route_image_id", "filter_model_version", F.col("score").alias("raw_score"), (F.col("score") >= 0.55).alias("passed"), F.lit(0.55).alias("threshold"))
-    merged = upsert(earlier, log, ["route_image_id", "filter_model_version"], F.col("raw_score"))
-    return merged.where(F.col("filter_model_version") == "head").select("route_image_id", F.round("raw_score", 6).alias("raw_score"), "passed")
+    earlier = P.score_log(c.filter_scores, "route_image_id", "best", 0.55)
+    merged = upsert(earlier, P.score_log(scored, "route_image_id", "head", 0.55), ["route_image_id", "filter_model_version"], F.col("scored_at"))
+    head = merged.where(F.col("filter_model_version") == "head")
+    return head.select("route_image_id", F.round(F.col("raw_score").cast("double"), 4).alias("raw_score"), "passed")
 
 
 @query("M6 J9", """
