@@ -122,13 +122,12 @@ def contiguous_split(groups: DataFrame, train: float, val: float, true_dfs: bool
     if train < 0 or val < 0 or train + val > 1.0:
         raise ValueError("train and val must not be negative and not exceed 1 together")
     path = hierarchy.depth_first_key(F.col("area_path")) if true_dfs else F.col("area_path")
-    ordered = running_before(groups.withColumn("_path", path), "n", ["_path", "first_idx"], name="before").drop("_path")
-    total = groups.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("t")).scalar()
-    n_train = F.floor(F.lit(float(train)) * total)
-    n_val = F.floor(F.lit(float(val)) * total)
+    ordered = running_before(groups.withColumn("_path", path), "n", ["_path", "first_idx"], name="before", total="_total")
+    n_train = F.floor(F.lit(float(train)) * F.col("_total"))
+    n_val = F.floor(F.lit(float(val)) * F.col("_total"))
     return ordered.withColumn(
         "split", F.when(F.col("before") < n_train, "train").when(F.col("before") < n_train + n_val, "val").otherwise("test")
-    )
+    ).drop("_path", "_total")
 
 
 def rows_of(rows: DataFrame, groups: DataFrame, *columns: str) -> DataFrame:

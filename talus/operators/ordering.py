@@ -56,12 +56,15 @@ def global_rank(df: DataFrame, order: list, groups: list[str] = (), name: str =
     )
 
 
-def running_before(df: DataFrame, value: str, order: list, groups: list[str] = (), name: str = "before") -> DataFrame:
-    """Sum of `value` over all rows ordered before this one (0 for the first)."""
+def running_before(df: DataFrame, value: str, order: list, groups: list[str] = (), name: str = "before", total: str | None = None) -> DataFrame:
+    """Sum of `value` over all rows ordered before this one (0 for the first); `total` adds the whole sum."""
     groups = list(groups)
     marked = mark_order(df, order, groups)
     parts = marked.groupBy("_part", *groups).agg(F.sum(value).alias("_n"))
-    parts = parts.withColumn("_before", _earlier_parts(F.col("_n"), groups)).drop("_n")
+    parts = parts.withColumn("_before", _earlier_parts(F.col("_n"), groups))
+    if total:
+        parts = parts.withColumn(total, F.sum("_n").over(Window.partitionBy(*(groups or [F.lit(0)]))))
+    parts = parts.drop("_n")
     inside = Window.partitionBy("_part", *groups).orderBy("_seq").rowsBetween(Window.unboundedPreceding, -1)
     local = marked.withColumn("_local", F.coalesce(F.sum(value).over(inside), F.lit(0)))
     joined = _join_parts(local, parts, groups)

@@ -45,13 +45,13 @@ def weighted_draws(df: DataFrame, positive: str, key: str, seed: int = 42) -> Da
     Draw i picks its class from one hash and a rank inside the class from another, then meets the ranked rows
     in an equi-join."""
     ranked = global_rank(df.select(F.col(key), F.col(positive).alias("_pos")), [key], ["_pos"], "_rank")
-    sizes = df.agg(F.count_if(F.col(positive)).alias("pos"), F.count_if(~F.col(positive)).alias("neg"))
-    numbered = df.sparkSession.range(1, df.count() + 1).withColumnRenamed("id", "draw")
-    pos, neg = sizes.select("pos").scalar(), sizes.select("neg").scalar()
+    sizes = df.agg(F.count_if(F.col(positive)).alias("pos"), F.count_if(~F.col(positive)).alias("neg")).first()
+    pos, neg = sizes["pos"], sizes["neg"]
+    u, v = uniform(seed, F.lit("class"), F.col("draw")), uniform(seed, F.lit("row"), F.col("draw"))
+    both = pos > 0 and neg > 0
     draws = (
-        numbered.withColumn("_u", uniform(seed, F.lit("class"), F.col("draw")))
-        .withColumn("_v", uniform(seed, F.lit("row"), F.col("draw")))
-        .withColumn("_pos", (neg == 0) | ((pos > 0) & (F.col("_u") < 0.5)))
-        .withColumn("_rank", (F.floor(F.col("_v") * F.when(F.col("_pos"), pos).otherwise(neg)) + 1).cast("long"))
+        df.sparkSession.range(1, pos + neg + 1).withColumnRenamed("id", "draw")
+        .withColumn("_pos", (u < 0.5) if both else F.lit(pos > 0))
+        .withColumn("_rank", (F.floor(v * F.when(F.col("_pos"), pos).otherwise(neg)) + 1).cast("long"))
     )
     return draws.join(ranked, ["_pos", "_rank"]).select("draw", key, F.col("_pos").alias(positive))
