@@ -1,7 +1,7 @@
 """Token ids of whole texts through the tokenizers library.
 
 A text may be cut before every single space that stands between two non-space characters: byte-level pre-tokens
-never cross such a place (the space belongs to the word after it). Pieces between cuts repeat a lot, so each task
+never cross such a place (the space belongs to the word after it). Pieces between cuts repeat a lot, so each process
 asks the library only for pieces it has not seen and joins the remembered ids. Texts with other white space after
 a space go to the library whole.
 """
@@ -9,13 +9,14 @@ a space go to the library whole.
 from __future__ import annotations
 
 import re
+from array import array
 
 import numpy as np
 
 from talus.llm.common import per_process
 
 END_ID = 2
-MEMORY = 300_000  # pieces remembered per process; beyond it the memory starts anew
+MEMORY = 400_000  # pieces, and pre-tokens, remembered per process; beyond it the memory starts anew
 _ODD = re.compile(r" [\s\x1c-\x1f\x85]| $")
 
 
@@ -25,15 +26,56 @@ def vocabulary(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in byte-level vocabularies: printable Latin-1 stands for itself, the
+    other bytes follow from code point 256 on."""
+    plain = [*range(ord("!"), ord("~") + 1), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    other = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(other)}
+
+
+class _Words(dict):
+    """Pre-token -> ids, from the library's model."""
+
+    def __init__(self, model):
+        super().__init__()
+        self.tokenize, self.letters = model.tokenize, byte_letters()
+
+    def __missing__(self, word: str) -> bytes:
+        tokens = self.tokenize(word.encode().decode("latin-1").translate(self.letters))
+        ids = self[word] = array("I", [t.id for t in tokens]).tobytes()
+        return ids
+
+
+class _Pieces(dict):
+    """Piece (the space before it left off) -> ids."""
+
+    def __init__(self, words: _Words, pattern: str):
+        super().__init__()
+        import regex
+
+        self.words, self.split = words, regex.compile(pattern).findall
+
+    def __missing__(self, piece: str) -> bytes:
+        spaced = " " + piece
+        ids = self[piece] = self.words[spaced] if piece.isalpha() else b"".join([self.words[w] for w in self.split(spaced)])
+        return ids
+
+
 class PieceEncoder:
-    """Ids of texts as little-endian unsigned 32-bit bytes. Special tokens' strings are ordinary text."""
+    """Ids of texts as little-endian unsigned 32-bit bytes. Special tokens' strings are ordinary text.
+
+    New pieces are split into pre-tokens by the vocabulary's pattern, and the library's model gives the ids of the
+    pre-tokens that are new as well.
+    """
 
     def __init__(self, path: str):
+        import public_tokenizers
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
+        self.pieces = _Pieces(_Words(self.library.model), public_tokenizers.PATTERN)
 
     def _whole(self, text: str) -> bytes:
         return np.asarray(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
@@ -41,17 +83,11 @@ class PieceEncoder:
     def encode(self, text: str) -> bytes:
         if _ODD.search(text):
             return self._whole(text)
+        for memory in (self.pieces, self.pieces.words):
+            if len(memory) > MEMORY:
+                memory.clear()
         first, *rest = text.split(" ")
-        known = self.known
-        missing = [p for p in set(rest) if p not in known]
-        if missing:
-            if len(known) + len(missing) > MEMORY:
-                known = self.known = {}
-                missing = list(set(rest))
-            for piece, found in zip(missing, self.library.encode_batch([" " + p for p in missing], add_special_tokens=False)):
-                known[piece] = np.asarray(found.ids, dtype="<u4").tobytes()
-        head = self._whole(first) if first else b""
-        return head + b"".join(map(known.__getitem__, rest))
+        return (self._whole(first) if first else b"") + b"".join(map(self.pieces.__getitem__, rest))
 
 
 def encoder(path: str) -> PieceEncoder:
