@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from talus.llm import simhash
+from talus.llm import simhash, winnowing
 from talus.llm.common import table
 from talus.llm.registry import query
 
@@ -12,3 +12,8 @@ from talus.llm.registry import query
 @query()
 def op3_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_groups(table(spark, folder, "documents"))
+
+
+@query()
+def op10_winnowing(spark: SparkSession, folder: str) -> DataFrame:
+    return winnowing.edited_report(table(spark, folder, "documents"))
