@@ -5,8 +5,8 @@ in bytes, is the window's score; a document has the sums and maxima of its windo
 calibrated on labelled rows turns these into a score from 0 to 1.
 
 Fitting takes a bounded sample of labelled rows (`max_rows` per class, in the order of a hash of the id); the
-scoring covers every window of every text. Half of the sample gives the dictionaries, the other half the
-calibration, so the curve does not see the windows that the dictionaries remember.
+scoring covers every window of every text. The curve is calibrated on each half of the sample with dictionaries of the
+other half; the final dictionaries are those of the whole sample.
 """
 
 from __future__ import annotations
@@ -30,6 +30,7 @@ MAX_BYTES = 6000  # of one labelled text, in fitting only
 WINDOW, STEP = 60, 40  # bytes; so short that zstandard leaves literals as they are, and a byte saved is a match
 GRAM = 5  # bytes of the substrings that tell toxic windows from the rest of a toxic text
 DICTIONARY = 112 << 10  # bytes
+BALANCE = 0.3  # weight of the toxic rows of the sample in the calibration, against 1 - BALANCE of the ordinary ones
 _WORD = re.compile(rb"[a-z\x80-\xff]+")
 
 
@@ -63,7 +64,7 @@ class Model:
         weights = np.array(self.weights)
 
         def score(text: bytes) -> float:
-            x = weights[0] + weights[1:] @ _features(text, one, two, self.threshold)
+            x = weights[0] + weights[1:] @ _features(_gains(text, one, two), self.threshold)
             return float(1 / (1 + np.exp(-np.clip(x, -30, 30))))
 
         return score
@@ -74,8 +75,8 @@ def _gains(text: bytes, one, two) -> list[int]:
     return [len(b(w)) - len(a(w)) for w in windows(text)] or [0]
 
 
-def _features(text: bytes, one, two, threshold: float) -> np.ndarray:
-    gains = np.sort(np.array(_gains(text, one, two), dtype=float))[::-1]
+def _features(gains: list[int], threshold: float) -> np.ndarray:
+    gains = np.sort(np.array(gains, dtype=float))[::-1]
     hits = (gains >= threshold).sum()
     return np.array([gains[0], gains[1] if len(gains) > 1 else min(gains[0], 0.0), np.log1p(hits), hits / len(gains)])
 
@@ -132,38 +133,42 @@ def fit(rows: list[tuple[bytes, int]], seed: int = 7) -> Model:
     toxic, ordinary = (_distinct([t for t, y in rows if bool(y) == kind]) for kind in (True, False))
     if min(len(toxic), len(ordinary)) < 8:
         return Model(b"", b"", 0.0, [(len(toxic) + 0.1) / (len(rows) + 1)])
-    half = [x[::2] for x in (toxic, ordinary)]
-    telling = _telling(*half)
+    # each half is scored with the dictionaries of the other, as a text's own dictionary remembers it
+    halves = [(x[::2], x[1::2]) for x in (toxic, ordinary)]
+    gains, labels = [], []
+    for own, other in ((0, 1), (1, 0)):
+        one, two = map(_compressor, _dictionaries(halves[0][own], halves[1][own], seed))
+        for label, texts_ in ((1, halves[0][other]), (0, halves[1][other])):
+            gains += [_gains(t, one, two) for t in texts_]
+            labels += [label] * len(texts_)
+    threshold = float(np.quantile(np.concatenate([g for g, y in zip(gains, labels) if not y]), 0.999)) + 1
+    weights = _logistic(np.array([_features(g, threshold) for g in gains]), np.array(labels, dtype=float))
+    return Model(*_dictionaries(toxic, ordinary, seed), threshold, list(weights))
+
+
+def _dictionaries(toxic: list[bytes], ordinary: list[bytes], seed: int) -> tuple[bytes, bytes]:
+    """(toxic, ordinary). Both know ordinary text; the toxic one ends in the words that carry telling substrings, the
+    commonest nearest to the window: the rest of a toxic window is ordinary text."""
+    telling, rng = _telling(toxic, ordinary), random.Random(seed)
 
     def weight(window: bytes) -> float:
-        return sum(telling.get(g, 0.0) for g in _grams(window))
+        return max((telling.get(g, 0.0) for g in _grams(window)), default=0.0)
 
-    rng = random.Random(seed)
-    marked = [w for text in half[0] for w in windows(text) if weight(w) > 4]
-    plain = [w for text in half[1] for w in _some(windows(text), rng)]
-    # of a toxic window only the words that carry telling substrings are toxic; the rest is ordinary text
-    words = Counter(b" " + w for window in marked for w in _WORD.findall(window)[1:-1] if weight(b" " + w + b" ") > 2)
+    marked = [w for text in toxic for w in windows(text) if weight(w)]
+    base = _train([w for text in ordinary for w in _some(windows(text), rng)])
+    words = Counter(b" " + w for window in marked for w in _WORD.findall(window)[1:-1] if weight(b" " + w + b" "))
     own = b"".join(w for w, _ in sorted(words.items(), key=lambda x: (x[1], x[0])))[-DICTIONARY:]
-    # both dictionaries know ordinary text; the toxic one ends in the toxic words, the commonest nearest to the window
-    base, own = _train(plain), own or _train(marked or [w for text in half[0] for w in windows(text)])
-    toxic_dictionary, ordinary_dictionary = base + own, base
-    one, two = _compressor(toxic_dictionary), _compressor(ordinary_dictionary)
-    other = [(t, 1) for t in toxic[1::2]] + [(t, 0) for t in ordinary[1::2]]
-    plain_gains = np.concatenate([_gains(t, one, two) for t, y in other if not y])
-    threshold = float(np.quantile(plain_gains, 0.999)) + 1
-    x = np.array([_features(t, one, two, threshold) for t, _ in other])
-    y = np.array([label for _, label in other], dtype=float)
-    return Model(toxic_dictionary, ordinary_dictionary, threshold, list(_logistic(x, y)))
+    return base + (own or _train(marked or [w for text in toxic for w in windows(text)])), base
 
 
 def _some(held: list[bytes], rng: random.Random) -> list[bytes]:
     return rng.sample(held, min(len(held), 12))
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.01) -> np.ndarray:
+def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.01, balance: float = BALANCE) -> np.ndarray:
     x = np.hstack([np.ones((len(x), 1)), x])
     w, keep = np.zeros(x.shape[1]), np.diag([1e-6] + [ridge] * (x.shape[1] - 1)) * len(y)
-    share = np.where(y > 0, 0.5 / max(y.mean(), 1e-9), 0.5 / max(1 - y.mean(), 1e-9))
+    share = np.where(y > 0, balance / max(y.mean(), 1e-9), (1 - balance) / max(1 - y.mean(), 1e-9))
     for _ in range(25):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         gradient = x.T @ (share * (p - y)) + keep @ w
@@ -199,3 +204,17 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0
+
+
+def drop_toxic(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
+    """The rows of `docs`, with all columns, whose text scores below `threshold`."""
+    columns = docs.columns
+    at = columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = model.scorer()
+        for batch in batches:
+            clean = [of(b"" if text is None else text) < threshold for text in batch.column(at).cast(pa.binary()).to_pylist()]
+            yield batch.filter(pa.array(clean, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
