@@ -12,6 +12,7 @@ two fingerprints are close exactly if they share a point within one bit of both.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -27,27 +28,47 @@ HOT = 64  # fingerprints of one block key above which the detour is taken
 BITS = 64
 
 
-def fingerprint(text: bytes, words: int = 3) -> int:
-    """SimHash of the word shingles, repeats included. Words are what ASCII white space separates, A-Z in lower
-    case; with fewer words than `words` the whole sequence is the only shingle; no word at all gives 0."""
+def _shingle_hashes(text: bytes, words: int) -> np.ndarray:
+    """XXH64 of the word shingles, repeats included. Words are what ASCII white space separates, A-Z in lower case;
+    with fewer words than `words` the whole sequence is the only shingle, and without a word there is none."""
     held = text.lower().split()
     if not held:
-        return 0
+        return np.zeros(0, dtype=np.uint64)
     line = b" ".join(held)
     ends = np.cumsum(np.fromiter(map(len, held), dtype=np.int64, count=len(held)) + 1) - 1
     n = max(1, len(held) - words + 1)
     starts = [0, *(ends[: n - 1] + 1).tolist()]
     stops = ends[min(words, len(held)) - 1 :].tolist()
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter([digest(line[a:b], SEED) for a, b in zip(starts, stops)], dtype=np.uint64, count=n)
-    counts = np.zeros(BITS, dtype=np.int64)
-    for at in range(0, n, 1 << 16):
-        part = hashes[at : at + (1 << 16)]
-        counts += np.unpackbits(part.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    out = 0
-    for bit in (counts * 2 > n).tolist():
-        out = out << 1 | bit
-    return out
+    return np.fromiter([digest(line[a:b], SEED) for a, b in zip(starts, stops)], dtype=np.uint64, count=n)
+
+
+def _majority(hashes: np.ndarray) -> np.ndarray:
+    """Of rows of big-endian 64-bit words, the bits that are set in over half the rows."""
+    counts = np.zeros(hashes.shape[1] * BITS, dtype=np.int64)
+    for at in range(0, len(hashes), 255):  # so few that a count fits a byte
+        part = np.ascontiguousarray(hashes[at : at + 255]).astype(">u8").view(np.uint8)
+        counts += np.add.reduce(np.unpackbits(part, axis=1), axis=0, dtype=np.uint8)
+    return counts * 2 > len(hashes)
+
+
+def fingerprint(text: bytes, words: int = 3) -> int:
+    """SimHash of a text's word shingles in 64 bits; 0 without a word."""
+    hashes = _shingle_hashes(text, words)
+    return int.from_bytes(np.packbits(_majority(hashes[:, None])).tobytes()) if len(hashes) else 0
+
+
+def wide_fingerprint(text: bytes, words: int, width: int) -> bytes:
+    """SimHash in `width` 64-bit words: each shingle's hash is mixed anew for every word."""
+    hashes = _shingle_hashes(text, words)
+    if not len(hashes):
+        return bytes(8 * width)
+    with np.errstate(over="ignore"):
+        mixed = (hashes[:, None] ^ np.arange(1, width + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xFF51AFD7ED558CCD)
+        mixed ^= mixed >> np.uint64(32)
+        mixed *= np.uint64(0xC4CEB9FE1A85EC53)
+        mixed ^= mixed >> np.uint64(29)
+    return np.packbits(_majority(mixed)).tobytes()
 
 
 def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
@@ -134,3 +155,98 @@ def near_groups(docs: DataFrame, words: int = 3, distance: int = 2) -> DataFrame
     classes = classes.select(F.col("fp").alias("c_fp"), F.coalesce("root", "rank").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     joined = prints.join(classes, F.col("fp") == F.col("c_fp"))
     return joined.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_links")
+
+
+# --- groups by similarity -------------------------------------------------------------------------------------
+#
+# Texts whose shingle sets are similar to 0.8 differ in about 15 % of their fingerprint's bits, far more than a
+# 64-bit fingerprint can split among blocks. A wide fingerprint has room for many blocks of enough bits each: a pair
+# at the threshold agrees in two of 80 blocks of 24 bits on average, closer pairs in many more.
+
+
+def bits_for(similarity: float, bits: int) -> int:
+    """Differing bits that sets of this Jaccard similarity have at most, with one standard deviation to spare."""
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return round(bits * share + math.sqrt(bits * share * (1 - share)))
+
+
+def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, blocks: int = 80, block_bits: int = 24, hot: int = 32) -> DataFrame:
+    """(doc_id, keep_id) for every row: documents linked by similar word shingles, and the smallest id of each group.
+
+    Pairs that share a block are verified by the Hamming distance of their whole fingerprints. In a block that more
+    than `hot` different fingerprints share, each is compared with the block's smallest id; those that are not
+    similar to it form the block anew, until all are linked or so few that every pair is compared. Equal fingerprints
+    are one class from the start. `block_bits` should be about the logarithm of the number of rows or more.
+
+    Null and empty texts have no shingle and are one class; a row with a null id is a group of its own.
+    """
+    if block_bits % 8 or blocks * block_bits % BITS:
+        raise ValueError("blocks are whole bytes and fill whole 64-bit words")
+    width, size = blocks * block_bits // BITS, block_bits // 8
+    limit = bits_for(similarity, blocks * block_bits)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [wide_fingerprint(t.as_buffer().to_pybytes(), words, width) for t in batch.column(1).cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["doc_id", "fp"])
+
+    prints = stored(texts(docs).where("doc_id IS NOT NULL").mapInArrow(run, "doc_id long, fp binary"), "wide-simhash")
+    classes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("node")), "wide-classes")
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flat = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint8).reshape(-1, blocks, size).astype(np.int64)
+            value = np.zeros(flat.shape[:2], dtype=np.int64)
+            for j in range(size):
+                value = value * 256 + flat[:, :, j]
+            buckets = value * blocks + np.arange(blocks)
+            nodes = np.repeat(batch.column(1).to_numpy(), blocks)
+            yield pa.RecordBatch.from_arrays([pa.array(buckets.ravel()), pa.array(nodes)], names=["bucket", "node"])
+
+    keyed = classes.select("fp", "node").mapInArrow(deal, "bucket long, node long")
+    counted = keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("low"), F.max("node").alias("high")).where("n > 1")
+    counted = stored(counted, "wide-blocks")
+    twos = counted.where("n = 2").select(F.col("high").alias("a"), F.col("low").alias("b"))
+    edges = [_verified(twos, classes, limit)]
+    members = stored(keyed.join(counted.where("n > 2").select("bucket"), "bucket"), "wide-members")
+    while not members.isEmpty():
+        counted = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("low")).where("n > 1")
+        placed = stored(members.join(counted, "bucket"), "wide-placed")
+        few = placed.where(F.col("n") <= hot)
+        pairs = few.select("bucket", F.col("node").alias("a")).join(few.select("bucket", F.col("node").alias("b")), "bucket").where("a > b").select("a", "b")
+        stars = placed.where((F.col("n") > hot) & (F.col("node") > F.col("low"))).select("bucket", F.col("node").alias("a"), F.col("low").alias("b"))
+        linked = _verified(pairs.unionByName(stars.select("a", "b")), classes, limit)
+        edges.append(linked)
+        found = linked.withColumnsRenamed({"a": "l_a", "b": "l_b"})
+        rest = stars.join(found, (F.col("a") == F.col("l_a")) & (F.col("b") == F.col("l_b")), "left_anti")
+        members = stored(rest.select("bucket", F.col("a").alias("node")), "wide-members")
+    links_ = edges[0]
+    for more in edges[1:]:
+        links_ = links_.unionByName(more)
+    labels = components(stored(links_.distinct(), "wide-links")).select(F.col("fp").alias("node"), "label")
+    named = classes.join(labels, "node", "left").select(F.col("fp").alias("c_fp"), F.coalesce("label", "node").alias("keep_id"))
+    grouped = prints.join(named, F.col("fp") == F.col("c_fp")).select("doc_id", "keep_id")
+    return grouped.unionByName(texts(docs).where("doc_id IS NULL").select("doc_id", F.col("doc_id").alias("keep_id")))
+
+
+def _verified(pairs: DataFrame, classes: DataFrame, limit: int) -> DataFrame:
+    """The pairs (a, b) whose fingerprints differ in at most `limit` bits, stored."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for i in (2, 3))
+                near = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64) <= limit
+                yield batch.select(["a", "b"]).filter(pa.array(near))
+
+    one = classes.select(F.col("node").alias("a"), F.col("fp").alias("x"))
+    two = classes.select(F.col("node").alias("b"), F.col("fp").alias("y"))
+    both = pairs.distinct().join(one, "a").join(two, "b").select("a", "b", "x", "y")
+    return stored(both.mapInArrow(run, "a long, b long"), "wide-verified")
+
+
+def drop_similar(docs: DataFrame, **options) -> DataFrame:
+    """The rows of `docs`, with all columns, that name their group; one document of each group stays."""
+    named = similar_groups(docs, **options).where(F.col("doc_id") == F.col("keep_id")).select(F.col("doc_id").alias("_keep")).distinct()
+    stay = docs.join(named, F.col("doc_id") == F.col("_keep"), "left_semi")
+    return stay.unionByName(docs.where("doc_id IS NULL"))
