@@ -15,8 +15,8 @@ The template marks turns as
   <|turn|>role<|text|>text<|end|>
 
 and conversations are the concatenation of their turns. Inside roles and texts every backslash, `<` and `[` gets a
-backslash before it, so no control string of this or another template can occur there, and removing the backslashes
-gives the text back. The loss mask covers the text of assistant turns, as spans of code points of the output.
+backslash behind it, so no control string of this or a similar template can occur there, and taking these backslashes
+away, from left to right, gives the text back. The loss mask covers the text of assistant turns, as spans of code points of the output.
 """
 
 from __future__ import annotations
@@ -29,11 +29,11 @@ SETS = ["message", "edit", "regenerate"]
 
 
 def escape(text: Column) -> Column:
-    return F.regexp_replace(text, r"([\\<\[])", r"\\$1")
+    return F.regexp_replace(text, r"([\\<\[])", r"$1\\")
 
 
 def unescape(text: Column) -> Column:
-    return F.regexp_replace(text, r"\\([\\<\[])", "$1")
+    return F.regexp_replace(text, r"([\\<\[])\\", "$1")
 
 
 def events(messages: DataFrame) -> DataFrame:
@@ -65,7 +65,7 @@ def final_messages(log: DataFrame) -> DataFrame:
     void = F.exists("cuts", lambda c: (F.col("turn") > c["cut"]) & (F.col("seq") < c["at"]) | (F.col("turn") == c["cut"]) & (F.col("seq") < c["at"]))
     kept = kept.where(~F.coalesce(void, F.lit(False))).drop("cuts")
     order = ["seq", "kind", "role", "text"]
-    inside = Window.partitionBy("conv_id", "turn").orderBy(*order)
+    inside = Window.partitionBy("conv_id", "turn").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     starts = F.col("kind").isin("message", "regenerate")
     numbered = kept.withColumn("nr", F.greatest(F.sum(starts.cast("int")).over(inside), F.lit(1)))
     folded = numbered.groupBy("conv_id", "turn", "nr").agg(
