@@ -8,7 +8,7 @@ from pyspark.sql import Column, functions as F
 TOPO_SUFFIX = "_topo"
 SIZE_SUFFIXES = "_(smallMed|small|medium)"
 LARGE_SUFFIX = "_large"
-MEDIUM_SUFFIX = "_medium"
+LARGE, MEDIUM = "large", "medium"  # every occurrence in a url is replaced
 
 
 # The point before a cased letter that follows anything but one.
@@ -48,9 +48,14 @@ def matches_text(name: Column, query: str, escape: bool = False) -> Column:
     return name.ilike(slug) | name.ilike(raw)
 
 
+def strip(text: Column) -> Column:
+    """Without any white space at the ends, not only blanks."""
+    return F.regexp_replace(text, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
+
+
 def slug_pattern(query: Column) -> Column:
     """The slug substring pattern for a column of search texts."""
-    return F.concat(F.lit("%"), F.replace(F.trim(query), F.lit(" "), F.lit("-")), F.lit("%"))
+    return F.concat(F.lit("%"), F.replace(strip(query), F.lit(" "), F.lit("-")), F.lit("%"))
 
 
 def last_segment(url: Column) -> Column:
@@ -68,7 +73,7 @@ def normalise_image_url(url: Column) -> Column:
 
 
 def medium_fallback(url: Column) -> Column:
-    return F.replace(url, F.lit(LARGE_SUFFIX), F.lit(MEDIUM_SUFFIX))
+    return F.replace(url, F.lit(LARGE), F.lit(MEDIUM))
 
 
 def vector_to_text(vector: Column) -> Column:

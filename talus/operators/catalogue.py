@@ -68,6 +68,19 @@ def _best_per_route(scored: DataFrame, ids: list[int]) -> DataFrame:
     )
 
 
+def score_summary(queries: DataFrame, vectors: DataFrame, id: str) -> DataFrame:
+    """(query_id, n, best, mean): each query vector against all stored ones."""
+    result = None
+    for ids, matrix in query_blocks(queries):
+        scored = score_vectors(vectors, id, ids, matrix).select(F.posexplode_outer("scores").alias("q", "s"))
+        labels = F.array(*[F.lit(int(i)).cast("long") for i in ids])
+        per = scored.groupBy(F.element_at(labels, F.col("q") + 1).alias("query_id")).agg(
+            F.count("s").alias("n"), F.round(F.max("s"), 6).alias("best"), F.round(F.avg("s"), 6).alias("mean")
+        )
+        result = per if result is None else result.unionByName(per)
+    return result
+
+
 def similarity_search(queries: DataFrame, image_embeddings: DataFrame, images: DataFrame,
                       route_image_embeddings: DataFrame, route_images: DataFrame, routes: DataFrame,
                       areas: DataFrame, model_version: str, lines: DataFrame | None = None,
@@ -174,8 +187,10 @@ def pending_images(images: DataFrame, routes: DataFrame, areas: DataFrame) -> Da
 
 def pending_areas(areas: DataFrame) -> DataFrame:
     parents = areas.select(F.col("id").alias("p_id"), F.col("name").alias("parent_name"))
-    return areas.where(F.col("status") == "unreviewed").join(parents, F.col("parent_id") == F.col("p_id"), "left").select(
-        "id", "name", "parent_id", "parent_name"
+    return (
+        areas.where(F.col("status") == "unreviewed").join(parents, F.col("parent_id") == F.col("p_id"), "left")
+        .orderBy(F.col("created_at").asc_nulls_last(), "id")
+        .select("id", "name", "parent_id", "parent_name", "submitted_by", X.iso_timestamp(F.col("created_at")).alias("created_at"))
     )
 
 
@@ -184,7 +199,7 @@ def pending_routes(routes: DataFrame, areas: DataFrame) -> DataFrame:
         routes.where(F.col("status") == "unreviewed")
         .join(areas.select(F.col("id").alias("area_id"), F.col("name").alias("area")), "area_id")
         .orderBy(F.col("created_at").asc_nulls_last(), "id")
-        .select("id", "name", "grade", "area_id", "area", X.iso_timestamp(F.col("created_at")).alias("created_at"))
+        .select("id", "name", "grade", "area_id", "area", "submitted_by", X.iso_timestamp(F.col("created_at")).alias("created_at"))
     )
 
 

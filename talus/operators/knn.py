@@ -289,18 +289,15 @@ def uniformity(df: DataFrame, id: str, vector: str, sample: int = 2000, seed: in
 # --- cells ------------------------------------------------------------------------------------------------
 
 
-def build_cells(stored: DataFrame, lists: int = 100, train_rows: int | None = None, seed: int = 42) -> np.ndarray:
-    """Unit centroids of at most `lists` k-means cells, trained on a seeded sample of the (id, vector) rows."""
+def build_cells(stored: DataFrame, lists: int = 100, seed: int = 42) -> np.ndarray:
+    """Unit centroids of at most `lists` k-means cells, fitted on all (id, vector) rows where they lie."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
     from talus.functions.vectors import normalise
-    from talus.operators.sampling import order_key
 
-    rows = train_rows or max(10_000, 50 * lists)
     usable = stored.where(F.exists("vector", lambda x: x != 0))
-    picked = usable.orderBy(order_key(seed, F.col("id")), "id").limit(rows)
-    features = cut(picked.select(array_to_vector(normalise(F.col("vector"))).alias("features")))
+    features = cut(usable.select(array_to_vector(normalise(F.col("vector"))).alias("features")))
     model = KMeans(k=lists, seed=seed, maxIter=10).fit(features)
     return unit_rows(np.array(model.clusterCenters()))
 

@@ -140,11 +140,12 @@ def cleaned(pages: DataFrame) -> DataFrame:
     return pages.withColumn("html", clean(F.col("html")))
 
 
-def outgoing_links(pages: DataFrame) -> DataFrame:
-    """(url, kind, pos, href). A page with a route table yields its route links, else its area links, else
-    those of its navigation list."""
+def outgoing_links(pages: DataFrame, with_navigation: bool = False) -> DataFrame:
+    """(url, kind, pos, href). A page with a route table yields its route links, else its area links, else nothing;
+    `with_navigation`: else those of its navigation list."""
     h = F.col("html")
-    parts = cleaned(pages).select("url", route_table(h).alias("route"), area_table(h).alias("area"), navigation(h).alias("nav"))
+    nav = navigation(h) if with_navigation else F.lit(None).cast("string")
+    parts = cleaned(pages).select("url", route_table(h).alias("route"), area_table(h).alias("area"), nav.alias("nav"))
     kind = F.when(F.col("route").isNotNull(), "route").when(F.col("area").isNotNull(), "area").otherwise("nav")
     return parts.select("url", kind.alias("kind"), F.posexplode(links(F.coalesce("route", "area", "nav", F.lit("")))).alias("pos", "href"))
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from talus.functions.text import strip
 from talus.operators.ordering import global_rank
 from talus.operators.rows import first_per_key
 
@@ -21,13 +22,13 @@ MAX_UPLOAD_BYTES = 10 * 1024 * 1024
 
 
 def blank(column: Column) -> Column:
-    return column.isNull() | (F.trim(column) == "")
+    return column.isNull() | (strip(column) == "")
 
 
 def review_decisions(events: DataFrame) -> DataFrame:
     """Review rows (image_id, seq, action, correct_route_id) as decisions. A correction applies only to an
-    approval, and 0 means none."""
-    return events.select("image_id", "seq", _approves(), _review_route().alias("set_route"))
+    approval, and 0 means none. Unknown actions are no decisions."""
+    return events.where(F.col("action").isin(ACTIONS)).select("image_id", "seq", _approves(), _review_route().alias("set_route"))
 
 
 def feedback_decisions(events: DataFrame) -> DataFrame:
@@ -66,6 +67,14 @@ def decision_problem(channel: str):
     return F.when(missing, "route is missing")
 
 
+def known_corrections(decisions: DataFrame, routes: DataFrame) -> DataFrame:
+    """Decisions without a correction, or with one to a route that exists. The others change nothing at all, as their
+    update breaks the reference from images to routes."""
+    moved = F.col("set_route").isNotNull()
+    known = decisions.where(moved).join(routes.select(F.col("id").alias("set_route")), "set_route", "left_semi")
+    return decisions.where(~moved).unionByName(known)
+
+
 def fold_decisions(decisions: DataFrame) -> DataFrame:
     """One row per image: last status, last correction and their sequence numbers. `seq` is anything that
     orders; with a number all buffers are fixed-width and Spark aggregates by hash instead of by sort."""
@@ -107,8 +116,8 @@ def unknown_targets(events: DataFrame, rows: DataFrame, event_key: str, row_key:
 
 def first_decisions(rows: DataFrame, decisions: DataFrame) -> DataFrame:
     """Areas or routes with their status after review: only an unreviewed row can be decided, and only the
-    first decision (id, seq, action) counts."""
-    first = decisions.groupBy("id").agg(F.min_by("action", "seq").alias("_action"))
+    first decision (id, seq, action) counts. Unknown actions are refused before that."""
+    first = decisions.where(F.col("action").isin(ACTIONS)).groupBy("id").agg(F.min_by("action", "seq").alias("_action"))
     decided = F.when(F.col("_action") == "approve", "approved").when(F.col("_action").isNotNull(), "rejected")
     changed = F.when(F.col("status") == "unreviewed", F.coalesce(decided, F.col("status"))).otherwise(F.col("status"))
     return rows.join(first, "id", "left").withColumn("status", changed).drop("_action")
@@ -152,7 +161,7 @@ def area_suggestions(rows: DataFrame, areas: DataFrame) -> DataFrame:
     reason = F.when(blank(F.col("name")), "name is empty").when(
         F.col("parent_id").isNotNull() & ~F.col("_known"), "parent area is not approved"
     )
-    return checked.withColumn("reason", reason).withColumn("name", F.trim("name")).withColumn("status", F.lit("unreviewed")).drop("_known")
+    return checked.withColumn("reason", reason).withColumn("name", strip(F.col("name"))).withColumn("status", F.lit("unreviewed")).drop("_known")
 
 
 def route_suggestions(rows: DataFrame, areas: DataFrame) -> DataFrame:
@@ -163,7 +172,7 @@ def route_suggestions(rows: DataFrame, areas: DataFrame) -> DataFrame:
         .when(~F.col("_known"), "area is not approved")
     )
     return (
-        checked.withColumn("reason", reason).withColumn("name", F.trim("name")).withColumn("grade", F.trim("grade"))
+        checked.withColumn("reason", reason).withColumn("name", strip(F.col("name"))).withColumn("grade", strip(F.col("grade")))
         .withColumn("status", F.lit("unreviewed")).drop("_known")
     )
 

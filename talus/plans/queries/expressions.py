@@ -11,14 +11,14 @@ from talus.plans.registry import query
 @query("F4 F5 F6 F7", r"""
     SELECT id, list_last(string_split(image_url, '/')) AS segment, string_split(list_last(string_split(image_url, '/')), '?')[1] AS cache_name,
            md5(image_url) AS url_md5, md5(content) AS content_md5, regexp_replace(replace(small, '_topo', ''), '_(smallMed|small|medium)', '_large', 'g') AS normal,
-           replace(image_url, '_large', '_medium') AS fallback
+           replace(replace(image_url, 'src', 'large'), 'large', 'medium') AS fallback
     FROM (SELECT *, replace(image_url, '_large', '_topo_smallMed') AS small FROM route_images)""")
 def url_expressions(c):
     small = F.replace("image_url", F.lit("_large"), F.lit("_topo_smallMed"))
     url = F.col("image_url")
     return c.route_images.select(
         "id", X.last_segment(url).alias("segment"), X.cache_name(url).alias("cache_name"), F.md5("image_url").alias("url_md5"),
-        F.md5("content").alias("content_md5"), X.normalise_image_url(small).alias("normal"), X.medium_fallback(url).alias("fallback"))
+        F.md5("content").alias("content_md5"), X.normalise_image_url(small).alias("normal"), X.medium_fallback(F.replace(url, F.lit("src"), F.lit("large"))).alias("fallback"))
 
 
 @query("F1", "SELECT doc_id, coalesce(TITLE(text), '') AS title FROM documents")
@@ -72,9 +72,10 @@ def model_tags(c):
     return c.route_images.select("id", X.file_stem(F.col("image_url")).alias("tag"))
 
 
-@query("F3", "SELECT doc_id, '%' || replace(trim(text, ' '), ' ', '-') || '%' AS pattern FROM documents")
+@query("F3", r"SELECT doc_id, '%' || replace(regexp_replace(text, '^\s+|\s+$', '', 'g'), ' ', '-') || '%' AS pattern FROM documents")
 def slug_patterns(c):
-    return c.table("documents").select("doc_id", X.slug_pattern(F.col("text")).alias("pattern"))
+    padded = F.concat(F.lit("\t "), F.col("text"), F.lit(" \n"))
+    return c.table("documents").select("doc_id", X.slug_pattern(padded).alias("pattern"))
 
 
 @query("P5", "SELECT id FROM route_images WHERE image_url IS NOT NULL AND image_url <> ''")

@@ -56,30 +56,30 @@ def submitted_photos(c):
     return S.submissions(c.images).select("id", "b2_key", "status")
 
 
-@query("K11 P9 P12", """
-    SELECT s.event_id, trim(s.name) AS name, CASE WHEN trim(s.name) = '' THEN 'name is empty'
+@query("K11 P9 P12", r"""
+    SELECT s.event_id, regexp_replace(s.name, '^\s+|\s+$', '', 'g') AS name, CASE WHEN regexp_matches(s.name, '^\s*$') THEN 'name is empty'
            WHEN s.parent_id IS NOT NULL AND a.id IS NULL THEN 'parent area is not approved' END AS reason
-    FROM (SELECT event_id, CASE WHEN event_type = 'error' THEN '  ' ELSE ' ' || event_type || ' ' END AS name,
+    FROM (SELECT event_id, CASE WHEN event_type = 'error' THEN chr(9) || chr(10) ELSE ' ' || event_type || chr(9) END AS name,
                  CASE WHEN event_type <> 'view' THEN 1000 + user_id * 2 END AS parent_id FROM events) s
     LEFT JOIN (SELECT id FROM areas WHERE status = 'approved') a ON a.id = s.parent_id""")
 def suggested_areas(c):
     kind = F.col("event_type")
     suggestions = c.table("events").select(
-        "event_id", F.when(kind == "error", "  ").otherwise(F.concat(F.lit(" "), kind, F.lit(" "))).alias("name"),
+        "event_id", F.when(kind == "error", "\t\n").otherwise(F.concat(F.lit(" "), kind, F.lit("\t"))).alias("name"),
         F.when(kind != "view", F.lit(1000) + F.col("user_id") * 2).alias("parent_id"))
     return S.area_suggestions(suggestions, c.areas).select("event_id", "name", "reason")
 
 
-@query("K11 P9 P12", """
-    SELECT s.event_id, trim(s.name) AS name, trim(s.grade) AS grade, CASE WHEN trim(s.name) = '' THEN 'name is empty' WHEN trim(s.grade) = '' THEN 'grade is empty'
+@query("K11 P9 P12", r"""
+    SELECT s.event_id, s.name, regexp_replace(s.grade, '^\s+|\s+$', '', 'g') AS grade, CASE WHEN s.name = '' THEN 'name is empty' WHEN regexp_matches(s.grade, '^\s*$') THEN 'grade is empty'
            WHEN a.id IS NULL THEN 'area is not approved' END AS reason
-    FROM (SELECT event_id, CASE WHEN event_type = 'error' THEN '' ELSE event_type END AS name, CASE WHEN event_type = 'click' THEN ' ' ELSE ' 5.9 ' END AS grade,
+    FROM (SELECT event_id, CASE WHEN event_type = 'error' THEN '' ELSE event_type END AS name, CASE WHEN event_type = 'click' THEN ' ' || chr(10) ELSE ' 5.9' || chr(10) END AS grade,
                  1000 + user_id * 2 AS area_id FROM events) s
     LEFT JOIN (SELECT id FROM areas WHERE status = 'approved') a ON a.id = s.area_id""")
 def suggested_routes(c):
     kind = F.col("event_type")
     suggestions = c.table("events").select(
-        "event_id", F.when(kind == "error", "").otherwise(kind).alias("name"), F.when(kind == "click", " ").otherwise(" 5.9 ").alias("grade"),
+        "event_id", F.when(kind == "error", "").otherwise(kind).alias("name"), F.when(kind == "click", " \n").otherwise(" 5.9\n").alias("grade"),
         (F.lit(1000) + F.col("user_id") * 2).alias("area_id"))
     return S.route_suggestions(suggestions, c.areas).select("event_id", "name", "grade", "reason")
 
@@ -87,7 +87,11 @@ def suggested_routes(c):
 DECISIONS = """
     SELECT image_id, ts, event_id, CASE WHEN channel = 'review' AND action = 'reject' THEN 'rejected' ELSE 'approved' END AS status,
            CASE WHEN channel = 'review' AND action = 'approve' THEN nullif(correct_route_id, 0)
-                WHEN channel = 'feedback' AND NOT confirmed THEN correct_route_id END AS set_route FROM review_log"""
+                WHEN channel = 'feedback' AND NOT confirmed THEN correct_route_id END AS set_route FROM review_log
+    WHERE (CASE WHEN channel = 'review' AND action = 'approve' THEN nullif(correct_route_id, 0)
+                WHEN channel = 'feedback' AND NOT confirmed THEN correct_route_id END) IN (SELECT id FROM routes)
+       OR (CASE WHEN channel = 'review' AND action = 'approve' THEN nullif(correct_route_id, 0)
+                WHEN channel = 'feedback' AND NOT confirmed THEN correct_route_id END) IS NULL"""
 FOLDED = """
     SELECT s.image_id, s.status, r.set_route FROM (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY ts DESC, event_id DESC) AS rn FROM decisions) s
     LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY ts DESC, event_id DESC) AS rn FROM decisions WHERE set_route IS NOT NULL) r
@@ -98,7 +102,7 @@ REVIEWED = """
 
 @query("K12 K13 W11", REVIEWED, decisions=DECISIONS, folded=FOLDED)
 def reviewed_images(c):
-    folded = S.fold_decisions(S.decisions_of(c.review_log))
+    folded = S.fold_decisions(S.known_corrections(S.decisions_of(c.review_log), c.routes))
     return S.apply_decisions(c.images, folded).select("id", "status", "route_id")
 
 
@@ -109,7 +113,7 @@ def _folded_stream(c) -> str:
     arriving = type(c)(c.spark, c.folder)
     events = c.spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(c.folder)
     arriving.table = lambda name: events if name == "events" else c.table(name)
-    intake.run_available(arriving.review_log, f"{base}/folds", f"{base}/progress")
+    intake.run_available(arriving.review_log, f"{base}/folds", f"{base}/progress", c.routes)
     return f"{base}/folds"
 
 
@@ -130,20 +134,25 @@ def embedded_after_intake(c):
     return new.select("image_id", F.round(F.col("embedding")[4].cast("double"), 4).alias("e"))
 
 
+def misspelt():
+    """The action of a review row; every third is not a known one and must not decide anything."""
+    return F.when(F.col("seq.event_id") % 3 == 0, "aprove").otherwise(F.col("action")).alias("action")
+
+
 @query("K12 Z11", """
     SELECT a.id, CASE WHEN a.status = 'unreviewed' AND d.action IS NOT NULL THEN CASE WHEN d.action = 'approve' THEN 'approved' ELSE 'rejected' END ELSE a.status END AS status
-    FROM areas a LEFT JOIN (SELECT 1000 + image_id AS id, arg_min(action, event_id) AS action FROM review_log WHERE channel = 'review' GROUP BY 1) d ON d.id = a.id""")
+    FROM areas a LEFT JOIN (SELECT 1000 + image_id AS id, arg_min(action, event_id) AS action FROM review_log WHERE channel = 'review' AND event_id % 3 <> 0 GROUP BY 1) d ON d.id = a.id""")
 def reviewed_areas(c):
     decisions = c.review_log.where(F.col("channel") == "review").select(
-        (F.lit(1000) + F.col("image_id")).alias("id"), "action", F.col("seq.event_id").alias("seq"))
+        (F.lit(1000) + F.col("image_id")).alias("id"), misspelt(), F.col("seq.event_id").alias("seq"))
     return S.first_decisions(c.areas, decisions).select("id", "status")
 
 
 @query("K12", """
     SELECT r.id, CASE WHEN r.status = 'unreviewed' AND d.action IS NOT NULL THEN CASE WHEN d.action = 'approve' THEN 'approved' ELSE 'rejected' END ELSE r.status END AS status
-    FROM routes r LEFT JOIN (SELECT image_id AS id, arg_min(action, event_id) AS action FROM review_log WHERE channel = 'review' GROUP BY 1) d ON d.id = r.id""")
+    FROM routes r LEFT JOIN (SELECT image_id AS id, arg_min(action, event_id) AS action FROM review_log WHERE channel = 'review' AND event_id % 3 <> 0 GROUP BY 1) d ON d.id = r.id""")
 def reviewed_routes(c):
-    decisions = c.review_log.where(F.col("channel") == "review").select(F.col("image_id").alias("id"), "action", F.col("seq.event_id").alias("seq"))
+    decisions = c.review_log.where(F.col("channel") == "review").select(F.col("image_id").alias("id"), misspelt(), F.col("seq.event_id").alias("seq"))
     return S.first_decisions(c.routes, decisions).select("id", "status")
 
 

@@ -280,7 +280,7 @@ def progress_file(c):
     return files.read_progress(c.spark, path)
 
 
-@query("S4", "SELECT image_url AS url FROM route_images UNION ALL SELECT replace(image_url, '_large', '_medium') FROM route_images")
+@query("S4", "SELECT image_url AS url FROM route_images UNION ALL SELECT replace(image_url, 'large', 'medium') FROM route_images")
 def processed_keys_from_json(c):
     arrays = c.route_images.select(F.to_json(F.array(F.col("image_url"), X.medium_fallback(F.col("image_url")))).alias("j"))
     return files.key_array(arrays, "j")
@@ -300,14 +300,16 @@ def approved_route_scan(c):
 
 
 @query("S9 J12", """
-    SELECT source, sum(strlen(text) + 1)::BIGINT AS bytes, count(*) AS documents FROM documents WHERE n_chars > 2000 GROUP BY 1""")
+    SELECT d.source, s.bytes, count(*) AS documents FROM documents d
+    JOIN (SELECT source, sum(strlen(text) + 1)::BIGINT AS bytes FROM documents WHERE source NOT LIKE '%7' GROUP BY 1) s ON s.source = d.source GROUP BY 1, 2""")
 def stored_file_contents(c):
-    """Long documents written as text files per source, read back as bytes, for the sources that have a file."""
+    """Documents of all sources but those that end in 7 written as text files per source and read back as bytes; of all
+    documents, those whose source has a file."""
     path = scratch(c.spark, "texts")
-    docs = c.table("documents").select("source", "text", "n_chars")
-    files.write_texts(docs.where("n_chars > 2000"), path, "source", "text")
+    docs = c.table("documents").select("source", "text")
+    files.write_texts(docs.where(~F.col("source").endswith("7")), path, "source", "text")
     found = files.read_binary(c.spark, path, "*.txt").withColumn("source", F.regexp_extract("path", "source=([^/]+)/", 1))
     present = files.with_existing_file(docs, "source", found.select(F.col("source").alias("name")))
-    counts = present.where("n_chars > 2000").groupBy("source").agg(F.count(F.lit(1)).alias("documents"))
+    counts = present.groupBy("source").agg(F.count(F.lit(1)).alias("documents"))
     sizes = found.groupBy("source").agg(F.sum(F.length("content").cast("long")).alias("bytes"))
     return counts.join(sizes, "source").select("source", "bytes", "documents")

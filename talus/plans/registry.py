@@ -31,10 +31,11 @@ def query(covers: str, sql: str | None = None, **ctes: str):
 VIEWS = {
     "areas": """
         SELECT *, 'https://x/area/' || id || '/' || name AS url FROM (
-        SELECT r_regionkey::BIGINT AS id, NULL::BIGINT AS parent_id, lower(r_name) AS name, 'approved' AS status FROM region
-        UNION ALL SELECT (100 + n_nationkey)::BIGINT, n_regionkey::BIGINT, lower(replace(n_name, '_', '-')), 'approved' FROM nation
+        SELECT r_regionkey::BIGINT AS id, NULL::BIGINT AS parent_id, lower(r_name) AS name, 'approved' AS status, NULL::BIGINT AS submitted_by, NULL::TIMESTAMP AS created_at FROM region
+        UNION ALL SELECT (100 + n_nationkey)::BIGINT, n_regionkey::BIGINT, lower(replace(n_name, '_', '-')), 'approved', NULL, NULL FROM nation
         UNION ALL SELECT (1000 + c_custkey)::BIGINT, (100 + c_nationkey)::BIGINT, lower(replace(c_name, '#', '-')),
-               CASE WHEN c_acctbal < 0 THEN 'unreviewed' ELSE 'approved' END FROM customer)""",
+               CASE WHEN c_acctbal < 0 THEN 'unreviewed' ELSE 'approved' END, c_nationkey::BIGINT,
+               TIMESTAMP '2020-01-01 00:00:00' + to_minutes(floor(c_acctbal)::BIGINT) FROM customer)""",
     "part_tree": """
         SELECT id, CASE WHEN id > 1 THEN id // 2 END AS parent_id, 'p' || id AS name FROM (SELECT p_partkey + 1 AS id FROM part)""",
     "routes": """
@@ -42,7 +43,7 @@ VIEWS = {
                'https://x/route/' || o_orderkey AS url, o_orderstatus AS type,
                CASE WHEN o_totalprice > 250000 THEN 'long route' END AS description,
                CASE o_orderstatus WHEN 'F' THEN 'approved' WHEN 'O' THEN 'unreviewed' ELSE 'rejected' END AS status,
-               o_orderdate AS created_at FROM orders""",
+               o_orderdate AS created_at, o_custkey AS submitted_by FROM orders""",
     "images": """
         SELECT event_id AS id, user_id AS route_id, CASE WHEN event_type = 'signup' THEN 'admin' ELSE 'user' END AS source,
                CASE event_type WHEN 'error' THEN 'rejected' WHEN 'view' THEN 'unreviewed' ELSE 'approved' END AS status,

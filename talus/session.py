@@ -37,7 +37,7 @@ def shared_dir(spark: SparkSession) -> str:
             context.setCheckpointDir(configured)
         return configured
     if context.getCheckpointDir() is None:
-        if not context.master.startswith("local"):
+        if not (context.master == "local" or context.master.startswith("local[")):
             raise RuntimeError(f"set {CHECKPOINT_KEY} to a folder every executor can reach")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="talus-checkpoint-"))
     return context.getCheckpointDir()

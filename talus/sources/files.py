@@ -8,9 +8,13 @@ from talus.functions import text as X
 
 ANNOTATION_SCHEMA = "url string, route_name string, route_lineage string, str_label string, label int, keep string"
 
+# What is written is read back as it was: blanks at the ends and quotes stay, null and '' differ.
+CSV = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+
 
 def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    return spark.read.schema(schema).option("header", True).option("multiLine", False).option("escape", '"').csv(path)
+    """Quoted values may hold line breaks, so a file is one task: write many files."""
+    return spark.read.schema(schema).options(**CSV).option("multiLine", True).csv(path)
 
 
 def read_annotations(spark: SparkSession, path: str) -> DataFrame:
@@ -19,7 +23,7 @@ def read_annotations(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    df.write.mode("overwrite").options(**CSV).csv(path)
 
 
 def append_rows(df: DataFrame, path: str) -> None:

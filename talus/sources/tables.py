@@ -62,14 +62,14 @@ class Catalogue:
             F.col("r_regionkey").cast("long").alias("id"),
             F.lit(None).cast("long").alias("parent_id"),
             F.lower("r_name").alias("name"),
-            F.lit("approved").alias("status"),
+            F.lit("approved").alias("status"), F.lit(None).cast("long").alias("submitted_by"), F.lit(None).cast("timestamp_ntz").alias("created_at"),
             F.lit(None).cast("double").alias("balance"),
         )
         nations = self.table("nation").select(
             (F.lit(100) + F.col("n_nationkey")).cast("long").alias("id"),
             F.col("n_regionkey").cast("long").alias("parent_id"),
             F.lower(F.replace("n_name", F.lit("_"), F.lit("-"))).alias("name"),
-            F.lit("approved").alias("status"),
+            F.lit("approved").alias("status"), F.lit(None).cast("long").alias("submitted_by"), F.lit(None).cast("timestamp_ntz").alias("created_at"),
             F.lit(None).cast("double").alias("balance"),
         )
         customers = self.table("customer").select(
@@ -77,6 +77,9 @@ class Catalogue:
             (F.lit(100) + F.col("c_nationkey")).cast("long").alias("parent_id"),
             F.lower(F.replace("c_name", F.lit("#"), F.lit("-"))).alias("name"),
             F.when(F.col("c_acctbal") < 0, "unreviewed").otherwise("approved").alias("status"),
+            F.col("c_nationkey").cast("long").alias("submitted_by"),
+            # sent in the order of the balance, a minute a unit
+            F.expr("TIMESTAMP_NTZ'2020-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, cast(floor(c_acctbal) as int), 0)").alias("created_at"),
             F.col("c_acctbal").alias("balance"),
         )
         return regions.unionByName(nations).unionByName(customers).withColumn("url", url)
@@ -102,6 +105,7 @@ class Catalogue:
             F.when(F.col("o_totalprice") > 250000, F.lit("long route")).alias("description"),
             F.when(status == "F", "approved").when(status == "O", "unreviewed").otherwise("rejected").alias("status"),
             F.col("o_orderdate").alias("created_at"),
+            F.col("o_custkey").alias("submitted_by"),
         )
 
     @cached_property

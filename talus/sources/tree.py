@@ -116,7 +116,9 @@ def document_lines(documents: DataFrame) -> DataFrame:
     )
     routes = document_routes(kept.where(F.coalesce(F.col("type") != "sitemap", F.lit(True)))).withColumn("route_url", F.try_variant_get("route", "$.url", "string"))
     routes = routes.where(F.coalesce("route_url", F.lit("")) != "")
-    arrival = F.array_join(F.transform("order", lambda p: F.format_string("%09d", p)), ".")
+    # sub-areas are loaded before an area's own routes: `~` sorts behind every position
+    own, at = F.slice("order", 1, F.size("order") - 1), F.element_at("order", -1)
+    arrival = F.concat(F.array_join(F.transform(own, lambda p: F.format_string("%09d.", p)), ""), F.format_string("~%09d", at))
     attributes = F.map_from_arrays(
         F.array(*[F.lit(k) for k in ROUTE_ATTRIBUTES]),
         F.array(*[F.try_variant_get("route", f"$['{label}']", "string") for label in ROUTE_ATTRIBUTES.values()]),
@@ -149,11 +151,14 @@ def line_lineages(lines: DataFrame) -> DataFrame:
     """(url, lineage array root first, parent) of every area and sitemap line; `hierarchy.lineages` works on
     ids, so urls are hashed to 64 bits and carried along by name."""
     from talus.operators.hierarchy import lineages
+    from talus.operators.rows import first_per_key
 
     nodes = lines.where(F.col("kind").isin("area", "sitemap")).select(
         F.xxhash64("url").alias("id"), F.when(F.col("parent_url").isNotNull(), F.xxhash64("parent_url")).alias("parent_id"),
         X.last_segment(F.col("url")).alias("name"), "url",
-    ).dropDuplicates(["url"])
+        F.struct("pos", "parent_url").alias("arrival"),
+    )
+    nodes = first_per_key(nodes, ["url"], F.col("arrival")).drop("arrival")  # of a url listed twice, the first line counts
     chains = lineages(nodes)
     return nodes.select("id", "url").join(chains, "id").select(
         "url", F.filter(F.reverse(F.col("chain.name")), lambda s: s != "").alias("lineage")

@@ -13,20 +13,24 @@ from talus.operators import state
 from talus.plans.embed_job import embed_pending
 
 
-def fold_batch(folder: str):
-    """foreachBatch function that stores the batch's folds under `folder`/batch=<id>."""
+def fold_batch(folder: str, routes: DataFrame | None = None):
+    """foreachBatch function that stores the batch's folds under `folder`/batch=<id>. With `routes`, corrections to
+    routes that do not exist are refused."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        state.fold_decisions(state.decisions_of(batch)).write.mode("overwrite").parquet(f"{folder}/batch={batch_id}")
+        decisions = state.decisions_of(batch)
+        if routes is not None:
+            decisions = state.known_corrections(decisions, routes)
+        state.fold_decisions(decisions).write.mode("overwrite").parquet(f"{folder}/batch={batch_id}")
 
     return write
 
 
-def run_available(stream: DataFrame, folder: str, checkpoint: str) -> None:
+def run_available(stream: DataFrame, folder: str, checkpoint: str, routes: DataFrame | None = None) -> None:
     """Fold everything that has arrived, then stop. `stream` yields review-log rows; a later call with the
     same checkpoint continues after the files already folded."""
     query = (
-        stream.writeStream.foreachBatch(fold_batch(folder)).option("checkpointLocation", checkpoint)
+        stream.writeStream.foreachBatch(fold_batch(folder, routes)).option("checkpointLocation", checkpoint)
         .trigger(availableNow=True).start()
     )
     query.awaitTermination()

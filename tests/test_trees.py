@@ -82,8 +82,8 @@ def test_rows_skip_sitemaps_and_unaddressed_nodes(documents):
     assert by_name["kept"]["parent_id"] is None                # child of an area without url
     found = {r["name"]: r for r in routes.collect()}
     assert set(found) == {"one", "two", "three", "four"}       # no url, no row; hidden sits in a skipped area
-    assert found["one"]["area_id"] == by_name["north"]["id"]   # first arrival of a url wins
-    assert found["one"]["type"] == "Trad" and found["one"]["gps"] == "1,2"
+    assert found["one"]["area_id"] == by_name["wall"]["id"]    # sub-areas are loaded before an area's own routes
+    assert found["one"]["type"] is None and found["two"]["area_id"] == by_name["north"]["id"]
     owner = {r["image_url"]: r["route_id"] for r in images.collect()}
     assert owner["i2"] == found["one"]["id"] and owner["i9"] == found["one"]["id"] and set(owner) == {"i1", "i2", "i3", "i4", "i9"}
 
