@@ -8,8 +8,9 @@ from talus.functions import text as X
 
 ANNOTATION_SCHEMA = "url string, route_name string, route_lineage string, str_label string, label int, keep string"
 
-# What is written is read back as it was: blanks at the ends and quotes stay, null and '' differ.
-CSV = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+# What is written is read back as it was: line breaks, quotes and blanks at the ends stay. CSV has no null of its own:
+# null and '' are both written as nothing and read as null.
+CSV = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False, "emptyValue": ""}
 
 
 def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
