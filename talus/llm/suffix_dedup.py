@@ -26,19 +26,21 @@ a hash of the whole window: equal windows of a run are one entry, different ones
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from talus.llm.common import parts_for, texts
+from talus.llm.common import texts
 
 LENGTH = 50  # bytes of a repeated string
 GRAM = 16  # bytes of an anchor
 SPAN = LENGTH - GRAM + 1  # grams in a window, and offsets of a window to its anchor
 LEFT = SPAN - 1  # bytes before an anchor that a window can reach
 KEY = LENGTH + LEFT + 2  # an entry: bytes from the anchor on, bytes before it, how many of each are real
-RUN_BYTES = 8 << 20
+RUN_BYTES = PART_BYTES = 4 << 20  # of text, for one run, and for one part of the sorted entries
 BLOCK = 128 << 10  # bytes hashed at a time
 HOT = 4096  # documents
 NO_ID = -(1 << 63)  # a null id is smaller than any other
@@ -69,18 +71,51 @@ def _gram_hashes(data: np.ndarray) -> np.ndarray:
     return h
 
 
+def pack(docs: list[tuple[int | None, int, bytes]]) -> bytes:
+    """Documents (id, tag, text) of one run as one compressed fragment."""
+    head = np.zeros((len(docs), 4), dtype=np.int64)
+    for i, (doc_id, tag, text) in enumerate(docs):
+        head[i] = doc_id is not None, NO_ID if doc_id is None else doc_id, tag, len(text)
+    size = np.int64(len(docs)).tobytes()
+    return zstandard.ZstdCompressor(level=3).compress(size + head.tobytes() + b"".join([t for *_, t in docs]))
+
+
+def unpack(blob: bytes) -> list[tuple[int, int, int, bytes]]:
+    """(whether the id is known, id, tag, text) of each document of a fragment."""
+    data = zstandard.ZstdDecompressor().decompress(blob)
+    count = int(np.frombuffer(data, np.int64, 1)[0])
+    head = np.frombuffer(data, np.int64, 4 * count, 8).reshape(count, 4)
+    stops = 8 + head.nbytes + np.cumsum(head[:, 3])
+    return [(*row[:3], data[stop - row[3] : stop]) for row, stop in zip(head.tolist(), stops.tolist())]
+
+
+def pack_hashes(packed: np.ndarray) -> bytes:
+    """Sorted hashes with counts in their low bytes, as differences of their upper 48 bits, byte by byte."""
+    steps = np.diff(packed >> np.uint64(16), prepend=np.uint64(0)).astype(">u8").view(np.uint8).reshape(-1, 8)[:, 2:]
+    counts = (packed & np.uint64(0xFF)).astype(np.uint8)
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(steps.T).tobytes() + counts.tobytes())
+
+
+def unpack_hashes(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8).reshape(7, -1)
+    steps = np.zeros((planes.shape[1], 8), dtype=np.uint8)
+    steps[:, 2:] = planes[:6].T
+    return np.cumsum(steps.view(">u8").ravel().astype(np.uint64), dtype=np.uint64), planes[6]
+
+
 class Run:
     """The documents of a run: bytes, anchors, entries."""
 
-    def __init__(self, table: pa.Table):
-        order = np.lexsort((np.arange(table.num_rows), table.column("doc_id").fill_null(NO_ID).to_numpy()))
-        table = table.take(pa.array(order))
-        self.null = table.column("doc_id").is_null().to_numpy(zero_copy_only=False)
-        self.ids = table.column("doc_id").fill_null(NO_ID).to_numpy()
-        held = [t.as_buffer().to_pybytes() for t in table.column("text").cast(pa.binary()).combine_chunks()]
+    def __init__(self, fragments: pa.Table):
+        docs = sorted((d for blob in fragments.column("docs").to_pylist() for d in unpack(blob)), key=lambda d: d[:3])
+        self.null = [known == 0 for known, *_ in docs]
+        self.ids = np.array([i for _, i, _, _ in docs], dtype=np.int64)
+        self.tags = [tag for _, _, tag, _ in docs]
+        held = [t for *_, t in docs]
         self.data = np.frombuffer(b"".join(held) or b"\0", dtype=np.uint8)
-        self.ends = np.cumsum([len(t) for t in held], dtype=np.int64)
-        self.starts = self.ends - np.array([len(t) for t in held], dtype=np.int64)
+        sizes = np.array([len(t) for t in held], dtype=np.int64)
+        self.ends = np.cumsum(sizes)
+        self.starts = self.ends - sizes
         self._find()
 
     def _find(self) -> None:
@@ -110,8 +145,8 @@ class Run:
                 least.append(small[own])
             first = last
         join = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, dtype=kind)
-        self.at, self.hash = join(at, np.int64), join(hashes, np.uint64) & ~np.uint64(0xFF)
-        self.window, self.least = join(windows, np.int64), join(least, np.uint64) & ~np.uint64(0xFF)
+        self.at, self.hash = join(at, np.int64), join(hashes, np.uint64) & ~np.uint64(0xFFFF)
+        self.window, self.least = join(windows, np.int64), join(least, np.uint64) & ~np.uint64(0xFFFF)
         self.doc = np.searchsorted(self.ends, self.at, side="right")
 
     def grams(self, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -172,12 +207,16 @@ class Run:
         """Which bytes lie under a window that starts at a mark."""
         step = np.zeros(len(self.data) + 1, dtype=np.int32)
         step[: len(marks)] += marks
-        step[LENGTH:] -= marks[: len(step) - LENGTH]
+        step[LENGTH:] -= marks[: max(0, len(step) - LENGTH)]
         return np.cumsum(step)[:-1] > 0
 
 
 def _part(hashes: np.ndarray, parts: int) -> np.ndarray:
-    return ((hashes >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+    """Parts in even shares; hashes of anchors are minima and lie close to 0, so they are mixed once more."""
+    with np.errstate(over="ignore"):
+        mixed = (hashes ^ (hashes >> np.uint64(23))) * np.uint64(MIX[2])
+        mixed = (mixed ^ (mixed >> np.uint64(31))) * np.uint64(MIX[3])
+    return ((mixed >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
 
 
 def _window_hash(keys: np.ndarray) -> np.ndarray:
@@ -189,6 +228,14 @@ def _window_hash(keys: np.ndarray) -> np.ndarray:
     return h
 
 
+def _small(data: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=3).compress(data)
+
+
+def _large(blob: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(blob)
+
+
 def front_code(keys: np.ndarray) -> tuple[bytes, bytes]:
     """(shared prefix lengths with the row before, the remaining bytes) of sorted rows."""
     shared = np.zeros(len(keys), dtype=np.uint8)
@@ -322,36 +369,43 @@ def _by_part(replies: pa.Table) -> dict[int, dict]:
 
 
 def repeats(docs: DataFrame, runs: int | None = None, parts: int | None = None, hot: int = HOT, with_text: bool = False) -> DataFrame:
-    """One row for each input row: doc_id, n_bytes, n_removed, n_spans, kept_sha256; `with_text` adds `kept` (the
-    bytes that stay) and `spans` (start and stop of every removed stretch, as consecutive numbers).
+    """One row for each input row: doc_id, n_bytes, n_removed, n_spans, kept_sha256; `with_text` adds `tag` (a hash of
+    the text that tells rows of one id apart), `text` (what stays; a character of which a byte goes, goes as a whole)
+    and `spans` (start and stop of every removed stretch of bytes, as consecutive numbers).
 
     A null text is empty. A null id is smaller than any other. Rows with the same id never remove each other's bytes.
     """
     source = texts(docs)
     if runs is None or parts is None:
         total = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-        spread = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        runs = runs or max(2 * spread, -(-total // RUN_BYTES))
-        parts = parts or 4 * parts_for(total, docs.sparkSession, each=4 * RUN_BYTES)
-    dealt = source.withColumn("run", F.pmod(F.xxhash64("doc_id", "text"), F.lit(runs)).cast("int"))
+        runs, parts = runs or max(1, -(-total // RUN_BYTES)), parts or max(1, -(-total // PART_BYTES))
+    dealt = source.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(runs)).cast("int").alias("run"), "doc_id", F.xxhash64("text").alias("tag"), "text")
+
+    def fragments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held: dict[int, list] = {}
+            for run, doc_id, tag, text in zip(*(batch.column(i).to_pylist() for i in range(3)), batch.column(3).cast(pa.binary())):
+                held.setdefault(run, []).append((doc_id, tag, text.as_py()))
+            for run, docs in held.items():
+                yield pa.RecordBatch.from_arrays([pa.array([run], pa.int32()), pa.array([pack(docs)], pa.binary())], names=["run", "docs"])
 
     def send_hashes(table: pa.Table) -> pa.Table:
         run = Run(table)
         kinds, counts, of = run.grams(parts)
         packed = kinds | counts.astype(np.uint64)
-        stops = np.searchsorted(of, np.arange(parts + 1))  # a part is a range of hashes
+        order = np.argsort(of, kind="stable")
+        packed, stops = packed[order], np.searchsorted(of[order], np.arange(parts + 1))
         held = [p for p in range(parts) if stops[p] < stops[p + 1]]
         number = table.column("run")[0].as_py()
         return pa.table({
             "part": pa.array(held, pa.int32()), "run": pa.array([number] * len(held), pa.int32()),
-            "hashes": pa.array([packed[stops[p] : stops[p + 1]].tobytes() for p in held], pa.binary()),
+            "hashes": pa.array([pack_hashes(packed[stops[p] : stops[p + 1]]) for p in held], pa.binary()),
         })
 
     def judge_hashes(table: pa.Table) -> pa.Table:
-        blobs = [np.frombuffer(b, np.uint64) for b in table.column("hashes").to_pylist()]
-        every = np.concatenate(blobs)
-        kinds, inverse = np.unique(every >> np.uint64(8), return_inverse=True)
-        documents = np.bincount(inverse, weights=(every & np.uint64(0xFF)).astype(float))[inverse]
+        blobs, counts = zip(*[unpack_hashes(b) for b in table.column("hashes").to_pylist()])
+        _, inverse = np.unique(np.concatenate(blobs), return_inverse=True)
+        documents = np.bincount(inverse, weights=np.concatenate(counts).astype(float))[inverse]
         stops = np.cumsum([0, *map(len, blobs)])
         cut = [documents[a:b] for a, b in zip(stops, stops[1:])]
         keep = [i for i, d in enumerate(cut) if (d > 1).any()]
@@ -371,7 +425,7 @@ def repeats(docs: DataFrame, runs: int | None = None, parts: int | None = None,
             sent = set()
             for part, keys, least, *_ in Run(table).entries(parts, states_of(replies)):
                 own = replies.get(part, {})
-                rows.append((part, number, *front_code(keys), least.tobytes(), own.get("shared"), own.get("many")))
+                rows.append((part, number, *map(_small, front_code(keys)), _small(least.tobytes()), own.get("shared"), own.get("many")))
                 sent.add(part)
             # states travel with the entries, also to parts that get none
             rows += [(p, number, b"", b"", b"", row["shared"], row["many"]) for p, row in replies.items() if p not in sent]
@@ -382,7 +436,7 @@ def repeats(docs: DataFrame, runs: int | None = None, parts: int | None = None,
         held = [i for i, row in enumerate(rows) if row["prefix"]]
         answers = [b""] * len(rows)
         if held:
-            decoded = [front_decode(rows[i]["prefix"], rows[i]["rest"]) for i in held]
+            decoded = [front_decode(_large(rows[i]["prefix"]), _large(rows[i]["rest"])) for i in held]
             as_lists = []
             for lengths, keys in decoded:
                 flat = keys.tobytes()
@@ -390,11 +444,11 @@ def repeats(docs: DataFrame, runs: int | None = None, parts: int | None = None,
             out = [np.array(x, dtype=np.int64) for x in merge_runs(as_lists)]
             bases = np.cumsum([0, *[len(k) for _, k in decoded]])
             where = bases[out[0]] + out[1]
-            least = np.concatenate([np.frombuffer(rows[i]["least"], np.int64) for i in held])
+            least = np.concatenate([np.frombuffer(_large(rows[i]["least"]), np.int64) for i in held])
             found = np.zeros(len(where), dtype=np.uint64)
             found[where] = repeated_offsets(np.concatenate([k for _, k in decoded])[where], out[2], least[where])
             for n, i in enumerate(held):
-                answers[i] = found[bases[n] : bases[n + 1]].tobytes()
+                answers[i] = _small(found[bases[n] : bases[n + 1]].tobytes())
         return _arrow([(row["run"], row["part"], a, row["shared"], row["many"]) for row, a in zip(rows, answers)], ANSWERS)
 
     def remove(table: pa.Table, answers: pa.Table) -> pa.Table:
@@ -403,7 +457,7 @@ def repeats(docs: DataFrame, runs: int | None = None, parts: int | None = None,
         run, replies = Run(table), _by_part(answers)
         marks = np.zeros(len(run.data), dtype=bool)
         for part, _, least, entry, place, ids, alone in run.entries(parts, states_of(replies)):
-            bits = np.frombuffer(replies[part]["offsets"], np.uint64)[entry]
+            bits = np.frombuffer(_large(replies[part]["offsets"]), np.uint64)[entry]
             # a copy in the same run with a smaller id shows in the entry itself: all its windows repeat
             docs = np.searchsorted(run.ends, place, side="right")
             room_left, room_right = np.minimum(place - run.starts[docs], LEFT), np.minimum(run.ends[docs] - place, LENGTH)
@@ -412,22 +466,21 @@ def repeats(docs: DataFrame, runs: int | None = None, parts: int | None = None,
                 fits = (room_left >= o) & (room_right >= LENGTH - o) & (~alone if o else True)
                 hit = fits & (later | (bits >> np.uint64(o) & np.uint64(1)).astype(bool))
                 marks[place[hit] - o] = True
-        gone = run.covered(marks)
-        rows = []
+        gone, rows = run.covered(marks), []
         for i, (a, b) in enumerate(zip(run.starts.tolist(), run.ends.tolist())):
             lost = gone[a:b]
             edges = np.flatnonzero(np.diff(np.concatenate([[False], lost, [False]]).astype(np.int8)))
             kept = run.data[a:b][~lost].tobytes() if len(edges) else run.data[a:b].tobytes()
             row = (None if run.null[i] else int(run.ids[i]), b - a, int(lost.sum()), len(edges) // 2, hashlib.sha256(kept).hexdigest())
-            rows.append((*row, kept, edges.tolist()) if with_text else row)
+            rows.append((*row, run.tags[i], kept.decode("utf-8", "ignore"), edges.tolist()) if with_text else row)
         return _arrow(rows, result)
 
     result = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())]
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     if with_text:
-        result += [("kept", pa.binary()), ("spans", pa.list_(pa.int64()))]
-        schema += ", kept binary, spans array<long>"
-    by_run = dealt.groupBy("run")
+        result += [("tag", pa.int64()), ("text", pa.string()), ("spans", pa.list_(pa.int64()))]
+        schema += ", tag long, text string, spans array<long>"
+    by_run = dealt.mapInArrow(fragments, "run int, docs binary").groupBy("run")
     hashes = by_run.applyInArrow(send_hashes, "part int, run int, hashes binary")
     judged = hashes.groupBy("part").applyInArrow(judge_hashes, "run int, part int, shared binary, many binary")
     sorted_runs = by_run.cogroup(judged.groupBy("run")).applyInArrow(
@@ -444,3 +497,13 @@ ANSWERS = [("run", pa.int32()), ("part", pa.int32()), ("offsets", pa.binary()),
 def _arrow(rows: list[tuple], fields: list[tuple]) -> pa.Table:
     columns = list(zip(*rows)) if rows else [[] for _ in fields]
     return pa.table([pa.array(c, kind) for c, (_, kind) in zip(columns, fields)], schema=pa.schema(fields))
+
+
+def drop_repeats(docs: DataFrame) -> DataFrame:
+    """The rows of `docs`, with all columns, their texts without repeated passages. A column `n_chars` counts the new
+    text. A text that repeats as a whole stays as an empty one."""
+    new = repeats(docs, with_text=True).select(F.col("doc_id").alias("_id"), F.col("tag").alias("_tag"), F.col("text").alias("_new"))
+    rest = docs.withColumn("_own_tag", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))).drop("text").distinct()
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_own_tag") == F.col("_tag"))
+    of = {"text": F.col("_new"), "n_chars": F.length("_new").cast("long")}
+    return new.join(rest, same).select(*[of[c].alias(c) if c in of else F.col(c) for c in docs.columns])
