@@ -340,8 +340,11 @@ def _inside_of(blocks: list[Block], text: str) -> np.ndarray:
 
 def sample(pages: DataFrame, max_pages: int = MAX_PAGES) -> list[str]:
     """The bounded sample that `fit` takes."""
-    rows = pages.where("html IS NOT NULL").select("page_id", F.substring("html", 1, MAX_CHARS).alias("html"))
-    return [r.html for r in rows.orderBy(F.xxhash64("page_id"), "page_id").limit(max_pages).collect()]
+    known = pages.where("html IS NOT NULL").select("page_id", "html")
+    order = F.xxhash64("page_id"), "page_id"
+    chosen = F.broadcast(known.select("page_id").orderBy(*order).limit(max_pages).distinct())  # ids first: pages are wide
+    rows = known.join(chosen, "page_id", "left_semi").withColumn("html", F.substring("html", 1, MAX_CHARS))
+    return [r.html for r in rows.orderBy(*order, "html").limit(max_pages).collect()]
 
 
 def main_text(html: str, trees: boosting.Trees) -> str:
