@@ -16,7 +16,7 @@ from talus.llm.common import texts
 K, WINDOW = 4, 4
 UNIT = r"([^\x20\x09-\x0D]{1,16})"
 LOW = (1 << 31) - 1  # bits of a position
-BUCKET = 256  # neighbouring ids that are ordered together
+BUCKET = 512  # neighbouring ids that are ordered together
 
 
 def let(value: Column, body) -> Column:
@@ -81,37 +81,40 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).otherwise(both)
 
 
-def with_next(docs: DataFrame, fields: list[str], bucket: int = BUCKET) -> DataFrame:
-    """Every row of `docs` with `next_<field>` of the row that follows in ascending doc_id, the first after the last.
+def with_next(docs: DataFrame, derived: dict[str, Column], bucket: int = BUCKET) -> DataFrame:
+    """Every row of (doc_id, text) with the columns of `derived`, which are made from `text`, and with next_text and
+    next_<name>: those of the row that follows in ascending doc_id, the first after the last.
 
-    Rows move once, to their bucket of neighbouring ids; only the first row of a bucket moves again, to the last row
-    of the bucket before. Null ids come first; rows of one id follow each other in the order of the fields.
+    Whole rows move once, to their bucket of neighbouring ids. The last row of a bucket needs the first text of the
+    next bucket; these few texts join where the rows already are. Null ids come first;
+    rows of one id follow each other in the order of their texts.
     """
-    placed = docs.withColumn("_b", F.floor(F.col("doc_id") / F.lit(bucket)).cast("long"))
-    order = Window.partitionBy("_b").orderBy(F.col("doc_id").asc_nulls_first(), *fields)
-    rows = placed.withColumns({f"next_{f}": F.lead(f).over(order) for f in fields})
-    rows = rows.withColumn("_last", F.lead(F.lit(1)).over(order).isNull()).withColumn("_first", F.row_number().over(order) == 1)
-    names = [*docs.columns, *[f"next_{f}" for f in fields]]
-    line = Window.orderBy(F.col("_b").asc_nulls_first())  # one row per bucket
-    buckets = placed.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
-    buckets = buckets.withColumn("_next", F.lead(F.struct("_b")).over(line))
-    head = buckets.agg(F.min_by(F.struct("_b"), F.struct(F.col("_b").isNotNull(), "_b")).alias("_head"))
-    # after the last bucket comes the first
-    closing = buckets.where(F.col("_next").isNull()).select("_b", F.lit(1).alias("_k")).join(head.withColumn("_k", F.lit(1)), "_k").select("_b", F.col("_head").alias("_next"))
-    follows = buckets.where(F.col("_next").isNotNull()).select("_b", "_next").unionByName(closing)
-    follows = follows.select(F.col("_b").alias("_from"), F.col("_next._b").alias("_to"))
-    heads = rows.where("_first").select(F.col("_b").alias("_head_b"), *[F.col(f).alias(f"_head_{f}") for f in fields])
-    lasts = rows.where("_last").join(follows, F.col("_b").eqNullSafe(F.col("_from"))).join(heads, F.col("_to").eqNullSafe(F.col("_head_b")))
-    lasts = lasts.select(*docs.columns, *[F.col(f"_head_{f}").alias(f"next_{f}") for f in fields])
-    return rows.where(~F.col("_last")).select(*names).unionByName(lasts.select(*names))
+    first_of_all = -(1 << 62)  # the bucket of null ids
+    placed = docs.select("doc_id", "text", F.coalesce(F.floor(F.col("doc_id") / F.lit(bucket)).cast("long"), F.lit(first_of_all)).alias("_b"))
+    order = Window.partitionBy("_b").orderBy(F.col("doc_id").asc_nulls_first(), "text")
+    # only texts move: `derived` is made between two windows over the same order, after the exchange
+    rows = placed.withColumn("next_text", F.lead("text").over(order)).withColumns(derived)
+    rows = rows.withColumns({f"next_{name}": F.lead(name).over(order) for name in derived})
+
+    line = Window.orderBy("_b")  # over one narrow row per bucket
+    follows = placed.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
+    follows = follows.select(F.col("_b").alias("_from"), F.coalesce(F.lead("_b").over(line), F.min("_b").over(Window.partitionBy())).alias("_to"))
+    # tasks keep one row per bucket before anything moves
+    heads = placed.withColumn("_place", F.row_number().over(order)).where(F.col("_place") == 1).select("_b", "text")
+    heads = heads.withColumns(derived).join(follows, F.col("_b") == F.col("_to"))
+    heads = heads.select(F.col("_from").alias("_hb"), *[F.col(name).alias(f"_head_{name}") for name in ("text", *derived)])
+    out = rows.join(heads, F.col("_b") == F.col("_hb"), "left")
+    return out.select(
+        "doc_id", "text", *derived, *[F.coalesce(f"next_{name}", f"_head_{name}").alias(f"next_{name}") for name in ("text", *derived)]
+    )
 
 
 def edited_report(docs: DataFrame) -> DataFrame:
     """Fingerprints of every whole text and of its edited text (the later half replaced by the start of the next
     document), and how alike they are: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited,
     near_next. A null text is empty; repeated rows have a row each."""
-    # fingerprints are made before rows move, so that a document and its predecessor share the work
-    pairs = with_next(texts(docs).withColumn("prints", fingerprint(F.col("text"))), ["text", "prints"])
+    # a document's fingerprint is made once, for itself and for its predecessor
+    pairs = with_next(texts(docs), {"prints": fingerprint(F.col("text"))})
     edited = F.concat(F.expr("left(text, length(text) - length(text) div 2)"), F.expr("left(next_text, cast(length(text) div 2 as int))"))
     made = pairs.select(
         "doc_id", F.length("text").cast("long").alias("n_chars"), F.col("prints").alias("a"), F.col("next_prints").alias("c"), edited.alias("edited"),
