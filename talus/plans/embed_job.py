@@ -14,8 +14,9 @@ from talus.operators.rows import upsert
 def encode(pending: DataFrame, id: str, content: str, make_encoder: Callable[[], Callable], model_version: str) -> DataFrame:
     """(id, model_version, embedding, error) per pending row.
 
-    `make_encoder` runs once per task and returns a function from one content value to a list of floats; a
-    value it cannot encode becomes an error row and does not stop the task."""
+    `make_encoder` runs once per task and returns a function from a list of content values to as many lists of
+    floats. If a batch fails, its values are encoded one by one; one that fails alone becomes an error row and does
+    not stop the task."""
     id_type = pending.schema[id].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -23,12 +24,19 @@ def encode(pending: DataFrame, id: str, content: str, make_encoder: Callable[[],
 
         def one(value):
             try:
-                return encoder(value), None
+                return encoder([value])[0], None
             except Exception as problem:  # a bad row is reported, not raised
                 return None, f"{type(problem).__name__}: {problem}"
 
         for pdf in batches:
-            results = [one(v) for v in pdf[content]]
+            values = pdf[content].tolist()
+            try:
+                vectors = encoder(values)
+                if len(vectors) != len(values):
+                    raise ValueError("an encoder has to return a vector for each value")
+                results = [(vector, None) for vector in vectors]
+            except Exception:  # some value of the batch: find out which
+                results = [one(v) for v in values]
             yield pd.DataFrame({
                 id: pdf[id], "model_version": model_version,
                 "embedding": [r[0] for r in results], "error": [r[1] for r in results],

@@ -134,9 +134,9 @@ def row_batches(c):
     return K.batch_of_rows(c.route_images.select("id", "image_url"), ["image_url"], 500).select("id", "batch")
 
 
-@query("T9", "SELECT id, image_url FROM route_images ORDER BY route_id, id LIMIT 5000")
+@query("T9", "SELECT id, image_url FROM route_images ORDER BY route_id, id LIMIT 150")
 def first_photos(c):
-    return c.route_images.select("id", "image_url", "route_id").orderBy("route_id", "id").limit(5000).select("id", "image_url")
+    return c.route_images.select("id", "image_url", "route_id").orderBy("route_id", "id").limit(150).select("id", "image_url")
 
 
 @query("A23", "SELECT route_id, n, first_idx, area_path FROM train_groups")
@@ -241,9 +241,9 @@ def weighted_draws(c):
     return sampling.weighted_draws(c.filter_scores.select(F.col("route_image_id").alias("id"), "keep"), "keep", "id", SEED)
 
 
-@query("X4", "SELECT id FROM (SELECT id, row_number() OVER (ORDER BY md5('42|' || id), id) AS rn FROM route_images) WHERE rn <= 2000")
+@query("X4", "SELECT id FROM (SELECT id, row_number() OVER (ORDER BY md5('42|' || id), id) AS rn FROM route_images) WHERE rn <= 120")
 def bounded_subset(c):
-    return sampling.bounded_subset(c.route_images.select("id"), "id", 2000, SEED)
+    return sampling.bounded_subset(c.route_images.select("id"), "id", 120, SEED)
 
 
 @query("A24", """

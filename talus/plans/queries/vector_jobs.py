@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import string
 
+import numpy as np
+
 from pyspark.sql import functions as F
 
 from talus.functions import text as X, vectors as V
@@ -99,15 +101,14 @@ def coarse_cell_recall(c):
 
 
 def letter_encoder():
-    """A small deterministic text encoder for the job: relative letter frequencies; refuses letterless text."""
+    """A small deterministic batch encoder for the job: relative letter frequencies; refuses letterless text."""
 
-    def encode(text: str) -> list[float]:
-        low = text.lower()
-        counts = [low.count(letter) for letter in string.ascii_lowercase]
-        total = sum(counts)
-        if total == 0:
+    def encode(texts: list[str]) -> list[list[float]]:
+        counts = np.array([[low.count(letter) for letter in string.ascii_lowercase] for low in map(str.lower, texts)], dtype=float)
+        totals = counts.sum(axis=1, keepdims=True)
+        if not totals.all():
             raise ValueError("no letters")
-        return [n / total for n in counts]
+        return (counts / totals).tolist()
 
     return encode
 

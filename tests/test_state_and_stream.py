@@ -94,10 +94,10 @@ def test_last_metadata_row_and_first_photo_win(spark):
 
 def test_embed_job_reports_failures_and_is_idempotent(spark):
     def make():
-        def encode(text):
-            if text == "bad":
+        def encode(texts):
+            if "bad" in texts:
                 raise ValueError("no")
-            return [float(len(text)), 1.0]
+            return [[float(len(text)), 1.0] for text in texts]
         return encode
 
     rows = spark.createDataFrame([(1, "approved", "abc"), (2, "approved", "bad"), (3, "unreviewed", "x"), (4, "approved", "done")], "id long, status string, content string")
