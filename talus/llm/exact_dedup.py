@@ -6,8 +6,8 @@ done, and so are groups whose texts end inside the digit: equal digits down to t
 involved. Only the rows of groups that are still open go on to the next round.
 
 A group is named by its first row, found by a grouped minimum that combines in the tasks before the shuffle; rows
-learn it back through a join that adaptive execution can split, so a group that
-holds a third of all rows is many tasks.
+learn it back through a join that adaptive execution can split, so a group that holds a third of all rows is many
+tasks.
 """
 
 from __future__ import annotations
