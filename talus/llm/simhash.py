@@ -174,8 +174,9 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, blo
     """(doc_id, keep_id) for every row: documents linked by similar word shingles, and the smallest id of each group.
 
     Pairs that share a block are verified by the Hamming distance of their whole fingerprints. In a block that more
-    than `hot` different fingerprints share, each is compared with the block's smallest id; those that are not
-    linked to it, over this or other blocks, form the block anew, until so few are left that every pair is compared. Equal fingerprints
+    than `hot` different fingerprints share, each is compared with a leader of the block; those that are not linked to
+    it, over this or other blocks, form the block anew with four times as many leaders, until so few are left that
+    every pair is compared. Equal fingerprints
     are one class from the start. `block_bits` should be about the logarithm of the number of rows or more.
 
     Null and empty texts have no shingle and are one class; a row with a null id is a group of its own.
@@ -210,23 +211,26 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, blo
     twos = counted.where("n = 2").select(F.col("high").alias("a"), F.col("low").alias("b"))
     edges = [_verified(twos, classes, limit)]
     members = stored(keyed.join(counted.where("n > 2").select("bucket"), "bucket"), "wide-members")
-    labels = None
+    labels, leaders = None, 1
     while labels is None or not members.isEmpty():
-        counted = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("low")).where("n > 1")
+        counted = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
         placed = stored(members.join(counted, "bucket"), "wide-placed")
         few = placed.where(F.col("n") <= hot)
         pairs = few.select("bucket", F.col("node").alias("a")).join(few.select("bucket", F.col("node").alias("b")), "bucket").where("a > b").select("a", "b")
-        stars = placed.where((F.col("n") > hot) & (F.col("node") > F.col("low"))).select("bucket", F.col("node").alias("a"), F.col("low").alias("b"))
-        edges.append(_verified(pairs.unionByName(stars.select("a", "b")), classes, limit))
+        crowd = placed.where(F.col("n") > hot).select("bucket", F.col("node").alias("a"))
+        heads = crowd.groupBy("bucket", F.pmod(F.xxhash64("a"), F.lit(leaders))).agg(F.min("a").alias("b")).select("bucket", "b")
+        stars = crowd.join(heads, "bucket")
+        edges.append(_verified(pairs.unionByName(stars.where("a != b").select("a", "b")), classes, limit))
         links_ = edges[0]
         for more in edges[1:]:
             links_ = links_.unionByName(more)
         labels = components(stored(links_.distinct(), "wide-links"))
-        # who is linked to the block's smallest id, directly or over other blocks, is done with the block
-        rest = stars.join(labels.select(F.col("fp").alias("a"), F.col("label").alias("l_a")), "a", "left")
-        rest = rest.join(labels.select(F.col("fp").alias("b"), F.col("label").alias("l_b")), "b", "left")
-        rest = rest.where(F.coalesce(F.col("l_a") != F.col("l_b"), F.lit(True)))
-        members = stored(rest.select("bucket", F.col("a").alias("node")), "wide-members")
+        # who is linked to a leader of the block, directly or over other blocks, is done with the block
+        of = labels.select(F.col("fp").alias("k"), "label")
+        led = heads.join(of, F.col("b") == F.col("k"), "left").select("bucket", F.coalesce("label", "b").alias("done")).distinct()
+        rest = crowd.join(of, F.col("a") == F.col("k"), "left").select("bucket", "a", F.coalesce("label", "a").alias("done"))
+        members = stored(rest.join(led, ["bucket", "done"], "left_anti").select("bucket", F.col("a").alias("node")), "wide-members")
+        leaders *= 4
     labels = labels.select(F.col("fp").alias("node"), "label")
     named = classes.join(labels, "node", "left").select(F.col("fp").alias("c_fp"), F.coalesce("label", "node").alias("keep_id"))
     grouped = prints.join(named, F.col("fp") == F.col("c_fp")).select("doc_id", "keep_id")
