@@ -163,6 +163,9 @@ def near_groups(docs: DataFrame, words: int = 3, distance: int = 2) -> DataFrame
 # 64-bit fingerprint can split among blocks. A wide fingerprint has room for many blocks of enough bits each: a pair
 # at the threshold agrees in 2.3 of 87 blocks of 22 bits on average, closer pairs in many more.
 
+TILE = 1024  # rows of a group that one task compares with each other
+LEADERS = 16  # rows of a large group that each of its tiles is compared with
+
 
 def bits_for(similarity: float, bits: int) -> int:
     """Differing bits that sets of this Jaccard similarity have at most, with one standard deviation to spare."""
@@ -170,17 +173,22 @@ def bits_for(similarity: float, bits: int) -> int:
     return round(bits * share + math.sqrt(bits * share * (1 - share)))
 
 
-def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, blocks: int = 87, block_bits: int = 22, hot: int = 32) -> DataFrame:
+def block_bits_for(rows: int) -> int:
+    """Bits of a block, so that of so many rows few share one by chance."""
+    return min(40, max(16, math.ceil(math.log2(max(rows, 1))) + 4))
+
+
+def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, blocks: int = 87, block_bits: int | None = None, hot: int = 32, tile: int = TILE) -> DataFrame:
     """(doc_id, keep_id) for every row: documents linked by similar word shingles, and the smallest id of each group.
 
-    Pairs that share a block are verified by the Hamming distance of their whole fingerprints. In a block that more
-    than `hot` different fingerprints share, each is compared with a leader of the block; those that are not linked to
-    it, over this or other blocks, form the block anew with four times as many leaders, until so few are left that
-    every pair is compared. Equal fingerprints
-    are one class from the start. `block_bits` should be about the logarithm of the number of rows or more.
+    Pairs that share a block are verified by the Hamming distance of their whole fingerprints. Blocks that more than
+    `hot` different fingerprints share are compared in tiles (see `closure`), which leaves no pair out. Equal
+    fingerprints are one class from the start. `block_bits` follows the number of rows unless it is given.
 
     Null and empty texts have no shingle and are one class; a row with a null id is a group of its own.
     """
+    known = texts(docs).where("doc_id IS NOT NULL")
+    block_bits = block_bits or block_bits_for(known.count())
     width = -(-blocks * block_bits // BITS)
     limit = bits_for(similarity, width * BITS)
     if block_bits > 48:
@@ -191,7 +199,7 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, blo
             found = [wide_fingerprint(t.as_buffer().to_pybytes(), words, width) for t in batch.column(1).cast(pa.binary())]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["doc_id", "fp"])
 
-    prints = stored(texts(docs).where("doc_id IS NOT NULL").mapInArrow(run, "doc_id long, fp binary"), "wide-simhash")
+    prints = stored(known.mapInArrow(run, "doc_id long, fp binary"), "wide-simhash")
     classes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("node")), "wide-classes")
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,34 +217,109 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, blo
     counted = keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("low"), F.max("node").alias("high")).where("n > 1")
     counted = stored(counted, "wide-blocks")
     twos = counted.where("n = 2").select(F.col("high").alias("a"), F.col("low").alias("b"))
-    edges = [_verified(twos, classes, limit)]
-    members = stored(keyed.join(counted.where("n > 2").select("bucket"), "bucket"), "wide-members")
-    labels, leaders = None, 1
-    while labels is None or not members.isEmpty():
-        counted = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        placed = stored(members.join(counted, "bucket"), "wide-placed")
-        few = placed.where(F.col("n") <= hot)
-        pairs = few.select("bucket", F.col("node").alias("a")).join(few.select("bucket", F.col("node").alias("b")), "bucket").where("a > b").select("a", "b")
-        crowd = placed.where(F.col("n") > hot).select("bucket", F.col("node").alias("a"))
-        heads = crowd.groupBy("bucket", F.pmod(F.xxhash64("a"), F.lit(leaders))).agg(F.min("a").alias("b")).select("bucket", "b")
-        stars = crowd.join(heads, "bucket")
-        edges.append(_verified(pairs.unionByName(stars.where("a != b").select("a", "b")), classes, limit))
-        links_ = edges[0]
-        for more in edges[1:]:
-            links_ = links_.unionByName(more)
-        labels = components(stored(links_.distinct(), "wide-links"))
-        # who is linked to a leader of the block, directly or over other blocks, is done with the block
-        of = labels.select(F.col("fp").alias("k"), "label")
-        led = heads.join(of, F.col("b") == F.col("k"), "left").select("bucket", F.coalesce("label", "b").alias("done")).distinct()
-        rest = crowd.join(of, F.col("a") == F.col("k"), "left").select("bucket", "a", F.coalesce("label", "a").alias("done"))
-        members = stored(rest.join(led, ["bucket", "done"], "left_anti").select("bucket", F.col("a").alias("node")), "wide-members")
-        leaders *= 4
-    labels = labels.select(F.col("fp").alias("node"), "label")
+    members = stored(keyed.join(counted.where("n > 2").select("bucket", "n"), "bucket"), "wide-members")
+    few = members.where(F.col("n") <= hot)
+    pairs = few.select("bucket", F.col("node").alias("a")).join(few.select("bucket", F.col("node").alias("b")), "bucket").where("a > b").select("a", "b")
+    links_ = _verified(twos.unionByName(pairs).where("a != b"), classes, limit)
+    crowd = members.where(F.col("n") > hot).select(F.col("bucket").alias("group"), "node").distinct()
+    near = _near_bits(limit)
+    links_ = links_.unionByName(closure(crowd.join(classes.select("node", F.col("fp").alias("load")), "node"), near, tile))
+    labels = components(stored(links_.distinct(), "wide-links")).select(F.col("fp").alias("node"), "label")
     named = classes.join(labels, "node", "left").select(F.col("fp").alias("c_fp"), F.coalesce("label", "node").alias("keep_id"))
     grouped = prints.join(named, F.col("fp") == F.col("c_fp")).select("doc_id", "keep_id")
     return grouped.unionByName(texts(docs).where("doc_id IS NULL").select("doc_id", F.col("doc_id").alias("keep_id")))
 
 
+def _near_bits(limit: int):
+    """A `near` for `closure`: fingerprints that differ in at most `limit` bits."""
+
+    def near(loads: list[bytes]):
+        held = np.frombuffer(b"".join(loads), np.uint8).reshape(len(loads), -1)
+        signs = np.unpackbits(held, axis=1).astype(np.float32) * 2 - 1
+        return lambda i, others: others[signs[others] @ signs[i] >= signs.shape[1] - 2 * limit]
+
+    return near
+
+
+def closure(rows: DataFrame, near, tile: int = TILE) -> DataFrame:
+    """(a, b), stored: links between the nodes of a group whose transitive closure is that of all its pairs that are near.
+
+    `rows` has group, node and load. `near(loads)` gives a function of one row's number and an array of others' which
+    names those that are near. A group of at most `tile` rows is compared in one task. A larger one is cut into tiles;
+    each is compared in itself and with leaders of the group, which links most of what belongs together. Then the rows
+    that are not in the group's largest component are compared with every row of another component, a pair of tiles in a task:
+    no pair of two components is left untested, and pairs of one component cannot add anything.
+    """
+    rows = stored(rows, "closure-rows")
+    sizes = rows.groupBy("group").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    placed = rows.join(stored(sizes, "closure-sizes").withColumn("tiles", F.ceil(F.col("n") / tile).cast("long")), "group")
+    bins = max(1, rows.count() // tile)
+    small = placed.where("tiles = 1").withColumns({"x": F.lit(-1).cast("long"), "y": F.pmod(F.xxhash64("group"), F.lit(bins))})
+    large = placed.where("tiles > 1")
+    parts = large.withColumns({"x": F.col("group"), "y": F.pmod(F.xxhash64("node", "load"), F.col("tiles"))})
+    heads = large.groupBy("group", "tiles", F.pmod(F.hash("node"), F.lit(LEADERS)).alias("k")).agg(F.min(F.struct("node", "load")).alias("m"))
+    heads = heads.select("group", F.col("m.node").alias("node"), F.col("m.load").alias("load"), F.col("group").alias("x"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)).alias("y"))
+    columns = ["x", "y", "group", "node", "load"]
+    first = small.select(columns).unionByName(parts.select(columns)).unionByName(heads.select(columns))
+    first = first.withColumns({"label": F.col("node"), "side": F.lit(0)})
+    links_ = stored(first.groupBy("x", "y").applyInArrow(_in_tile(near, False), "a long, b long"), "closure-links")
+    if large.isEmpty():
+        return links_
+    labels = components(links_.distinct()).select(F.col("fp").alias("k"), "label")
+    named = large.join(labels, F.col("node") == F.col("k"), "left").select("group", "node", "load", F.coalesce("label", "node").alias("label"))
+    named = stored(named, "closure-named")
+    most = named.groupBy("group", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("group")
+    most = most.agg(F.max_by("label", F.struct("n", "label")).alias("major"), F.sum("n").alias("all"), F.max("n").alias("most")).where("all > most")
+    most = most.select("group", "major", F.ceil((F.col("all") - F.col("most")) / tile).cast("long").alias("rows"), F.ceil(F.col("all") / tile).cast("long").alias("columns"))
+    open_ = named.join(stored(most, "closure-open"), "group")
+    place = F.xxhash64("node", "load")
+    zero = F.lit(0).cast("long")
+    minor = open_.where("label != major").select("group", "node", "load", "label", F.lit(0).alias("side"), F.pmod(place, F.col("rows")).alias("x"), F.explode(F.sequence(zero, F.col("columns") - 1)).alias("y"))
+    every = open_.select("group", "node", "load", "label", F.lit(1).alias("side"), F.explode(F.sequence(zero, F.col("rows") - 1)).alias("x"), F.pmod(place, F.col("columns")).alias("y"))
+    crossed = minor.unionByName(every).select("x", "y", "group", "node", "load", "label", "side")
+    return links_.unionByName(stored(crossed.groupBy("group", "x", "y").applyInArrow(_in_tile(near, True), "a long, b long"), "closure-crossed"))
+
+
+def _in_tile(near, crossed: bool):
+    """Links that join what is near among the rows of each group; rows of one label are joined already. `crossed`:
+    rows of side 0 are compared with those of side 1 only."""
+
+    def run(table: pa.Table) -> pa.Table:
+        group, node, label, side = (table.column(c).to_numpy() for c in ("group", "node", "label", "side"))
+        load = table.column("load").to_pylist()
+        a: list[int] = []
+        b: list[int] = []
+        order = np.argsort(group, kind="stable")
+        for own in np.split(order, np.flatnonzero(np.diff(group[order])) + 1):
+            if len(own) < 2:
+                continue
+            close = near([load[i] for i in own])
+            nodes, sides = node[own], side[own]
+            _, kinds = np.unique(label[own], return_inverse=True)
+            mates = np.split(np.argsort(kinds, kind="stable"), np.cumsum(np.bincount(kinds))[:-1])
+            left = np.ones(len(own), dtype=bool)
+            for start in range(len(own)):
+                if not left[start]:
+                    continue
+                queue = mates[kinds[start]].tolist()
+                left[queue] = False
+                while queue:
+                    i = queue.pop()
+                    others = np.flatnonzero(left & (sides != sides[i]) if crossed else left)
+                    if not len(others):
+                        continue
+                    for j in close(i, others).tolist():
+                        if left[j]:
+                            a.append(max(int(nodes[i]), int(nodes[j])))
+                            b.append(min(int(nodes[i]), int(nodes[j])))
+                            same = mates[kinds[j]]
+                            left[same] = False
+                            queue.extend(same.tolist())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return run
+
+
 def _verified(pairs: DataFrame, classes: DataFrame, limit: int) -> DataFrame:
     """The pairs (a, b) whose fingerprints differ in at most `limit` bits, stored."""
 
