@@ -59,8 +59,11 @@ def fingerprint(text: bytes, words: int = 3) -> int:
 
 
 def wide_fingerprint(text: bytes, words: int, width: int) -> bytes:
-    """SimHash in `width` 64-bit words: each shingle's hash is mixed anew for every word."""
-    hashes = _shingle_hashes(text, words)
+    """SimHash of the set of shingles in `width` 64-bit words: each shingle's hash is mixed anew for every word."""
+    return _wide(np.unique(_shingle_hashes(text, words)), width)
+
+
+def _wide(hashes: np.ndarray, width: int) -> bytes:
     if not len(hashes):
         return bytes(8 * width)
     with np.errstate(over="ignore"):
@@ -161,35 +164,51 @@ def near_groups(docs: DataFrame, words: int = 3, distance: int = 2) -> DataFrame
 #
 # Texts whose shingle sets are similar to 0.8 differ in about 15 % of their fingerprint's bits, far more than a
 # 64-bit fingerprint can split among blocks. A wide fingerprint has room for many blocks of enough bits each: a pair
-# at the threshold agrees in 2.3 of 87 blocks of 22 bits on average, closer pairs in many more.
+# at the threshold agrees in 4.6 of them on average, closer pairs in many more. The Hamming distance only proposes
+# links; the shingle sets decide.
 
 TILE = 1024  # rows of a group that one task compares with each other
 LEADERS = 16  # rows of a large group that each of its tiles is compared with
+SPARE = 6.0  # standard deviations above the expected distance at the threshold that a proposed pair may have
+MISSED = 0.01  # share of the pairs at the threshold that meet in no block
+
 
+def _share(similarity: float) -> float:
+    """Expected share of differing bits of sets of this Jaccard similarity."""
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
 
-def bits_for(similarity: float, bits: int) -> int:
-    """Differing bits that sets of this Jaccard similarity have at most, with one standard deviation to spare."""
-    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return round(bits * share + math.sqrt(bits * share * (1 - share)))
+
+def bits_for(similarity: float, bits: int, spare: float = SPARE) -> int:
+    """Differing bits that sets of this Jaccard similarity have at most, with `spare` standard deviations to spare."""
+    share = _share(similarity)
+    return round(bits * share + spare * math.sqrt(bits * share * (1 - share)))
+
+
+def blocks_for(similarity: float, block_bits: int, missed: float = MISSED) -> int:
+    """Blocks of so many bits, of which a pair of this similarity shares one but for `missed` of the cases."""
+    return math.ceil(math.log(missed) / math.log1p(-((1 - _share(similarity)) ** block_bits)))
 
 
 def block_bits_for(rows: int) -> int:
     """Bits of a block, so that of so many rows few share one by chance."""
-    return min(40, max(16, math.ceil(math.log2(max(rows, 1))) + 4))
+    return min(40, max(16, math.ceil(math.log2(max(rows, 1))) + 2))
 
 
-def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, blocks: int = 87, block_bits: int | None = None, hot: int = 32, tile: int = TILE) -> DataFrame:
+def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, blocks: int | None = None, block_bits: int | None = None, hot: int = 32, tile: int = TILE) -> DataFrame:
     """(doc_id, keep_id) for every row: documents linked by similar word shingles, and the smallest id of each group.
 
-    Pairs that share a block are verified by the Hamming distance of their whole fingerprints. Blocks that more than
-    `hot` different fingerprints share are compared in tiles (see `closure`), which leaves no pair out. Equal
-    fingerprints are one class from the start. `block_bits` follows the number of rows unless it is given.
+    Pairs that share a block are proposed by the Hamming distance of their whole fingerprints. Blocks that more than
+    `hot` different fingerprints share are compared in tiles (see `closure`), which leaves no pair out. What is
+    connected by proposed pairs is compared by exact shingle sets, again until no pair of two components is left.
+    Equal fingerprints are one class from the start. `block_bits` follows the number of rows and `blocks` follows it
+    unless they are given.
 
     Null and empty texts have no shingle and are one class; a row with a null id is a group of its own.
     """
     known = texts(docs).where("doc_id IS NOT NULL")
     block_bits = block_bits or block_bits_for(known.count())
-    width = -(-blocks * block_bits // BITS)
+    blocks = blocks or blocks_for(similarity, block_bits)
+    width = -(-blocks * block_bits // BITS) + 1  # the last word is a sketch that most chance pairs fail
     limit = bits_for(similarity, width * BITS)
     if block_bits > 48:
         raise ValueError("a block's value and number have to fit 64 bits")
@@ -211,20 +230,28 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, blo
                 bits = np.unpackbits(flat, axis=1)[:, : blocks * block_bits].reshape(-1, blocks, block_bits)
                 buckets = (bits @ weights) * blocks + np.arange(blocks)
                 nodes = np.repeat(part.column(1).to_numpy(), blocks)
-                yield pa.RecordBatch.from_arrays([pa.array(buckets.ravel()), pa.array(nodes)], names=["bucket", "node"])
+                sketches = np.repeat(np.ascontiguousarray(flat[:, -8:]).view(np.int64).ravel(), blocks)
+                yield pa.RecordBatch.from_arrays([pa.array(buckets.ravel()), pa.array(nodes), pa.array(sketches)], names=["bucket", "node", "sketch"])
 
-    keyed = classes.select("fp", "node").mapInArrow(deal, "bucket long, node long")
-    counted = keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("low"), F.max("node").alias("high")).where("n > 1")
-    counted = stored(counted, "wide-blocks")
-    twos = counted.where("n = 2").select(F.col("high").alias("a"), F.col("low").alias("b"))
-    members = stored(keyed.join(counted.where("n > 2").select("bucket", "n"), "bucket"), "wide-members")
+    keyed = classes.select("fp", "node").mapInArrow(deal, "bucket long, node long, sketch long")
+    counted = keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    members = stored(keyed.join(counted, "bucket"), "wide-members")
     few = members.where(F.col("n") <= hot)
-    pairs = few.select("bucket", F.col("node").alias("a")).join(few.select("bucket", F.col("node").alias("b")), "bucket").where("a > b").select("a", "b")
-    links_ = _verified(twos.unionByName(pairs).where("a != b"), classes, limit)
+    sides = [few.select("bucket", F.col("node").alias(x), F.col("sketch").alias(f"s{x}")) for x in "ab"]
+    pairs = sides[0].join(sides[1], "bucket").where((F.col("a") > F.col("b")) & (_bits_apart("sa", "sb") <= bits_for(similarity, BITS, 4.6)))
+    links_ = _verified(pairs.select("a", "b"), classes, limit)
     crowd = members.where(F.col("n") > hot).select(F.col("bucket").alias("group"), "node").distinct()
     near = _near_bits(limit)
     links_ = links_.unionByName(closure(crowd.join(classes.select("node", F.col("fp").alias("load")), "node"), near, tile))
-    labels = components(stored(links_.distinct(), "wide-links")).select(F.col("fp").alias("node"), "label")
+    loose = components(stored(links_.distinct(), "wide-links")).select(F.col("fp").alias("node"), F.col("label").alias("group"))
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = [np.unique(_shingle_hashes(t.as_buffer().to_pybytes(), words)).tobytes() for t in batch.column(2).cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(held, pa.binary())], names=["group", "node", "load"])
+
+    held = known.join(loose, F.col("doc_id") == F.col("node")).select("group", "node", "text").mapInArrow(sets, "group long, node long, load binary")
+    labels = components(closure(held, _near_sets(similarity), tile).where("a != b")).select(F.col("fp").alias("node"), "label")
     named = classes.join(labels, "node", "left").select(F.col("fp").alias("c_fp"), F.coalesce("label", "node").alias("keep_id"))
     grouped = prints.join(named, F.col("fp") == F.col("c_fp")).select("doc_id", "keep_id")
     return grouped.unionByName(texts(docs).where("doc_id IS NULL").select("doc_id", F.col("doc_id").alias("keep_id")))
@@ -241,6 +268,36 @@ def _near_bits(limit: int):
     return near
 
 
+def _near_sets(similarity: float):
+    """A `near` for `closure`: sets of hashes (sorted, eight bytes each) of at least this Jaccard similarity. Among many
+    rows, those whose short fingerprints lie too far apart by six standard deviations are not compared."""
+
+    def near(loads: list[bytes]):
+        held = [np.frombuffer(x, np.uint64) for x in loads]
+        sizes = np.array([len(x) for x in held])
+        signs, limit = None, bits_for(similarity, 16 * BITS)
+        if len(held) > 32:
+            signs = np.unpackbits(np.frombuffer(b"".join(_wide(x, 16) for x in held), np.uint8).reshape(len(held), -1), axis=1).astype(np.float32) * 2 - 1
+
+        def close(i: int, others: np.ndarray) -> np.ndarray:
+            low, high = np.minimum(sizes[others], sizes[i]), np.maximum(sizes[others], sizes[i])
+            others = others[low >= similarity * high - 1e-9]
+            if signs is not None and len(others):
+                others = others[(signs[others] @ signs[i] >= signs.shape[1] - 2 * limit) | (sizes[others] < 16)]
+            if not len(others) or not sizes[i]:
+                return others  # empty sets are equal
+            every = np.concatenate([held[j] for j in others])
+            at = np.minimum(np.searchsorted(held[i], every), sizes[i] - 1)
+            found = np.concatenate([[0], np.cumsum(held[i][at] == every)])
+            stops = np.cumsum(sizes[others])
+            shared = found[stops] - found[stops - sizes[others]]
+            return others[shared >= similarity * (sizes[others] + sizes[i] - shared) - 1e-9]
+
+        return close
+
+    return near
+
+
 def closure(rows: DataFrame, near, tile: int = TILE) -> DataFrame:
     """(a, b), stored: links between the nodes of a group whose transitive closure is that of all its pairs that are near.
 

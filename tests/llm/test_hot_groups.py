@@ -3,10 +3,19 @@
 import random
 
 import numpy as np
+import pytest
 
 from talus.llm import simhash
 
 
+@pytest.fixture
+def few_parts(spark):
+    held = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    yield spark
+    spark.conf.set("spark.sql.shuffle.partitions", held)
+
+
 def chain(rng, n, size=120, step=3):
     """Texts of which each differs from the one before in `step` words."""
     words = [f"w{rng.randrange(10**6)}" for _ in range(size)]
@@ -34,9 +43,9 @@ def brute(rows, close):
     return [root(i) for i in range(len(rows))]
 
 
-def test_closure_of_a_hot_group_is_that_of_all_pairs(spark):
+def test_closure_of_a_hot_group_is_that_of_all_pairs(few_parts):
     """Chains: most links are between rows that are far from every leader; tiles of 8 rows cut all of them."""
-    rng = np.random.default_rng(4)
+    spark, rng = few_parts, np.random.default_rng(4)
     rows, bits = [], rng.integers(0, 2, 256, dtype=np.uint8)
     for i in range(200):
         if i % 25 == 0:
@@ -54,17 +63,44 @@ def test_closure_of_a_hot_group_is_that_of_all_pairs(spark):
     assert [got.get(i, i) for i in range(len(rows))] == want
 
 
-def test_hot_blocks_lose_no_pair(spark):
-    """One block of four bits puts a sixteenth of everything into each bucket: what shares a bucket and is within the limit is linked."""
-    rng = random.Random(5)
-    made = [t for _ in range(6) for t in chain(rng, 40)]
+def shingles(text):
+    words = text.split()
+    return {tuple(words[i : i + 5]) for i in range(len(words) - 4)}
+
+
+def similar(x, y):
+    return len(x & y) >= 0.8 * len(x | y) - 1e-9
+
+
+def test_hot_blocks_lose_no_pair(few_parts):
+    """Three blocks of three bits: every block is hot, and chains of edits run far from every leader."""
+    spark, rng = few_parts, random.Random(5)
+    made = [t for _ in range(6) for t in chain(rng, 40, step=2)]
     rng.shuffle(made)
     docs = spark.createDataFrame(list(enumerate(made)), "doc_id long, text string").repartition(3)
-    got = {r.doc_id: r.keep_id for r in simhash.similar_groups(docs, blocks=64, block_bits=10, hot=4, tile=16).collect()}
-    prints = [np.frombuffer(simhash.wide_fingerprint(t.encode(), 5, 10), np.uint8) for t in made]
-    keys = [np.packbits(np.unpackbits(p).reshape(64, 10), axis=1).tobytes() for p in prints]
-    cut = [[k[i : i + 2] for i in range(0, 128, 2)] for k in keys]
-    limit = simhash.bits_for(0.8, 640)
-    rows = list(zip(prints, cut))
-    want = brute(rows, lambda x, y: np.bitwise_count(x[0] ^ y[0]).sum() <= limit and any(p == q for p, q in zip(x[1], y[1])))
-    assert [got[i] for i in range(len(made))] == want
+    got = {r.doc_id: r.keep_id for r in simhash.similar_groups(docs, blocks=3, block_bits=3, hot=4).collect()}
+    assert [got[i] for i in range(len(made))] == brute([shingles(t) for t in made], similar)
+
+
+def test_pairs_at_the_threshold(few_parts):
+    """Linked from 0.8 on, apart below; a line repeated very often does not make two texts alike."""
+    spark, rng = few_parts, random.Random(6)
+    rows, true = [], {}
+    for k in range(400):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(184)]
+        changed = list(words)
+        for at in (10, 50, 90, 130, 170)[: 4 + k % 2]:  # 160 of 200 shingles are shared, or 155 of 205
+            changed[at] = "edited"
+        x, y = (shingles(" ".join(w)) for w in (words, changed))
+        true[2 * k] = similar(x, y)
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(changed))]
+    line = "the same line of five words more "
+    rows += [(10_000 + k, line * 300 + " ".join(f"u{rng.randrange(10**6)}" for _ in range(100))) for k in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.keep_id for r in simhash.similar_groups(docs).collect()}
+    at, below = ([i for i in true if true[i] == kind] for kind in (True, False))
+    assert min(len(at), len(below)) >= 150
+    linked = {kind: sum(got[i + 1] == i for i in held) / len(held) for kind, held in (("at", at), ("below", below))}
+    print(linked)
+    assert linked["at"] >= 0.97 and linked["below"] == 0
+    assert all(got[10_000 + k] == 10_000 + k for k in range(20))
