@@ -158,13 +158,14 @@ def features(blocks: list[Block]) -> np.ndarray:
             up.marks, up.paragraphs = up.marks + b.marks, up.paragraphs + b.paragraphs
     page = max(blocks[0].text, 1)
     has_article = any(b.tag in GOOD_TAGS for b in blocks)
+    places = {id(child): i for b in blocks for i, child in enumerate(b.children)}
     above: dict[int, tuple] = {}
     rows = []
     for b in blocks:
         up = above[id(b.parent)] if b.parent is not None else (-1, 0, 0, 0, 0, 0)
         depth, good, bad, talk, good_tag, bad_tag = up
         brothers = b.parent.children if b.parent is not None else [b]
-        place = brothers.index(b) if len(brothers) < 50 else 25
+        place = places.get(id(b), 0)
         here = (depth + 1, good + b.good, bad + b.bad, talk + b.talk, good_tag + (b.tag in GOOD_TAGS), bad_tag + (b.tag in BAD_TAGS))
         above[id(b)] = here
         around = max(b.parent.text, 1) if b.parent is not None else page

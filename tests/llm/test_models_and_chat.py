@@ -86,6 +86,16 @@ def test_layouts(trees, html):
     assert page_text.main_text(html, trees).split("\n\n") == LINES
 
 
+def test_children_of_a_wide_page_keep_their_own_place():
+    blocks = page_text.parse("<body>" + "".join(f"<p>{'x' * (i + 1)}</p>" for i in range(80)) + "</body>")
+    rows = page_text.features(blocks)
+    wide = next(b for b in blocks if len(b.children) == 80)
+    own = [i for i, b in enumerate(blocks) if b.parent is wide]
+    assert rows[own, 2].tolist() == list(range(80))
+    sizes = [b.text for b in wide.children]
+    assert np.allclose(rows[own, 11], [sum(sizes[max(0, k - 1) : k + 2]) / sum(sizes) for k in range(80)])
+
+
 def test_markup_inside_blocks():
     html = "<article><h1>T &amp; t</h1><p><b>one<br>two <i>th</i>ree<p>a &lt; b &#233;&nbsp; c<!-- x --><p>x < y</article>"
     blocks = page_text.parse(html)
