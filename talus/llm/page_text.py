@@ -11,7 +11,9 @@ article); below a cut-out block everything is cut out. So no block contradicts i
 
 There are no labelled pages. The trees are fitted on a bounded sample of pages (`MAX_PAGES`, in the order of a hash of
 the id) whose own markup tells article and boilerplate apart, and on variants of these pages: their blocks set anew in
-other layouts, with other tags and attributes, with side bars, notices, forms and comments taken from other pages.
+other layouts, with other tags and attributes, with side bars, notices, forms and comments taken from other pages. The
+sample is chosen among all pages of the table that have such markup. Where fewer than `ENOUGH` have it, pages of built-in
+layouts are added.
 """
 
 from __future__ import annotations
@@ -29,6 +31,7 @@ from talus.llm import boosting
 
 MAX_PAGES = 300  # pages fetched for fitting
 MAX_CHARS = 60_000  # of one such page, in fitting only
+ENOUGH = 20  # pages with telling markup from which the trees rest on them alone
 ENTER, CUT = 2.0, 1.0  # log odds that starting an article, or cutting a block out of it, has to outweigh
 
 # Element and attribute names of web pages.
@@ -320,6 +323,42 @@ def fit(pages: list[str], variants: int = 3, seed: int = 11) -> boosting.Trees |
     return boosting.fit(np.concatenate(x), np.concatenate(y).astype(float))
 
 
+def fitted(pages: DataFrame) -> boosting.Trees:
+    """Trees for a table of pages; there always are some."""
+    told = sample(pages)
+    return fit(told if len(told) >= ENOUGH else told + built_in())
+
+
+def built_in(n: int = 40, seed: int = 5) -> list[str]:
+    """Pages with an article between the usual other parts, of made-up sentences."""
+    rng = random.Random(seed)
+    syllables = "an be co da el fi ga ho in ka lo mi ne or pu ra se ti un ve".split()
+
+    def sentence(least: int, most: int) -> str:
+        words = ["".join(rng.choice(syllables) for _ in range(rng.randint(1, 4))) for _ in range(rng.randint(least, most))]
+        return " ".join(words).capitalize()
+
+    def page() -> str:
+        story = "".join("<p>" + " ".join(sentence(5, 20) + rng.choice(".!?") for _ in range(rng.randint(1, 7))) + "</p>" for _ in range(rng.randint(2, 12)))
+        menu = "".join(f'<li><a href="/{i}">{sentence(1, 3)}</a></li>' for i in range(rng.randint(3, 8)))
+        return (
+            f"<body><header>{sentence(1, 4)}</header><nav><ul>{menu}</ul></nav><article><h1>{sentence(3, 9)}</h1>{story}</article>"
+            f"<aside><h3>{sentence(1, 3)}</h3><ul>{menu}</ul></aside><footer>{sentence(3, 12)}.</footer></body>"
+        )
+
+    return [page() for _ in range(n)]
+
+
+def tells(html: str) -> bool:
+    """Whether the markup of a page's part that `fit` reads tells the article. Mostly the page up to its first such
+    tag shows it; the rest is parsed only if that one is in a comment, a script or the like."""
+    html = html[:MAX_CHARS]
+    first = re.search(r"<(?:article|main)(?=[\s/>])[^>]*>?", html, re.I)
+    if first is None:
+        return False
+    return marked_blocks(parse(html[: first.end()])) is not None or marked_blocks(parse(html)) is not None
+
+
 def _inside_of(blocks: list[Block], text: str) -> np.ndarray:
     """The blocks of a variant that belong to its article: those whose own text is one of its lines, and what holds
     such blocks and mostly them."""
@@ -340,12 +379,19 @@ def _inside_of(blocks: list[Block], text: str) -> np.ndarray:
 
 
 def sample(pages: DataFrame, max_pages: int = MAX_PAGES) -> list[str]:
-    """The bounded sample that `fit` takes."""
-    known = pages.where("html IS NOT NULL").select("page_id", "html")
+    """The bounded sample that `fit` takes: of all pages whose markup tells the article, the first by a hash of the id."""
+    known = pages.where("html IS NOT NULL").select("page_id", F.substring(F.col("html").cast("string"), 1, MAX_CHARS).alias("html"))
+
+    def telling(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.select(["page_id"]).filter(pa.array([tells(h) for h in batch.column(1).to_pylist()], pa.bool_()))
+
+    marked = known.where(F.col("html").rlike("(?i)<(article|main)[\\s/>]"))
     order = F.xxhash64("page_id"), "page_id"
-    chosen = F.broadcast(known.select("page_id").orderBy(*order).limit(max_pages).distinct())  # ids first: pages are wide
-    rows = known.join(chosen, "page_id", "left_semi").withColumn("html", F.substring("html", 1, MAX_CHARS))
-    return [r.html for r in rows.orderBy(*order, "html").limit(max_pages).collect()]
+    ids = marked.mapInArrow(telling, known.select("page_id").schema)
+    chosen = F.broadcast(ids.orderBy(*order).limit(max_pages).distinct())  # ids first: pages are wide
+    rows = known.join(chosen, "page_id", "left_semi").orderBy(*order, "html").limit(max_pages)
+    return [r.html for r in rows.collect() if tells(r.html)]
 
 
 def main_text(html: str, trees: boosting.Trees) -> str:

@@ -12,4 +12,4 @@ from talus.llm.registry import query
 @query()
 def op1_page_text(spark: SparkSession, folder: str) -> DataFrame:
     pages = table(spark, folder, "pages")
-    return page_text.extract(pages, page_text.fit(page_text.sample(pages)))
+    return page_text.extract(pages, page_text.fitted(pages))

@@ -96,6 +96,19 @@ def test_children_of_a_wide_page_keep_their_own_place():
     assert np.allclose(rows[own, 11], [sum(sizes[max(0, k - 1) : k + 2]) / sum(sizes) for k in range(80)])
 
 
+def test_rare_markup_is_found_and_tables_without_any_have_texts(spark):
+    old = f'<body><div class="menu"><a href=1>A</a> <a href=2>B</a></div><div class="story">{BODY}</div><div class="footer">Imprint.</div></body>'
+    script = f"<body><!-- <article> --><script>var x = '<main>'</script><div>{BODY}</div></body>"
+    told = f"<body><nav><a href=/>Home</a></nav><article>{BODY}</article></body>"
+    rows = [(i, "u", told if i % 400 == 7 else script if i % 2 else old) for i in range(2000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert page_text.sample(pages) == [told] * 5
+    none = pages.where("page_id % 400 != 7").limit(50)
+    assert page_text.sample(none) == []
+    got = page_text.extract(none.where("page_id % 2 = 0"), page_text.fitted(none)).collect()
+    assert got and all(r.text.split("\n\n") == LINES for r in got)
+
+
 def test_markup_inside_blocks():
     html = "<article><h1>T &amp; t</h1><p><b>one<br>two <i>th</i>ree<p>a &lt; b &#233;&nbsp; c<!-- x --><p>x < y</article>"
     blocks = page_text.parse(html)
