@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from talus.llm import fill_middle
-from talus.llm.common import table
+from talus.llm import fill_middle, manifest, quality_rules
+from talus.llm.common import stored, table
 from talus.llm.registry import query
 
 FILL_MIDDLE = """
@@ -28,3 +28,72 @@ FILL_MIDDLE = """
 @query(sql=FILL_MIDDLE)
 def op11_fill_middle(spark: SparkSession, folder: str) -> DataFrame:
     return fill_middle.report(table(spark, folder, "documents"))
+
+
+@query()
+def op12_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    # a fifth of the ids is never learned from, so that held-out rows can tell how good the rules are
+    stats = stored(quality_rules.statistics(table(spark, folder, "documents")), "quality-statistics")
+    known = quality_rules.labelled(stats, table(spark, folder, "labels"))
+    rules = quality_rules.fit(known.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0))
+    found = quality_rules.verdicts(stats, rules)
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+# crc32 of the decimal id: a byte is mixed in, then shifted out bit by bit (-1)
+CRC = """xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(
+    string_split(doc_id::VARCHAR, ''), lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+    lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, 3988292384 * (a & 1)) END), 4294967295)"""
+
+MANIFEST = f"""
+    WITH RECURSIVE
+    e AS (
+        SELECT doc_id, '1' || coalesce(lang, '') AS tree_name, lang, n_chars,
+               coalesce(octet_length(encode(doc_id::VARCHAR))::VARCHAR || ':' || doc_id::VARCHAR, '-')
+               || coalesce(octet_length(encode(source))::VARCHAR || ':' || source, '-')
+               || coalesce(octet_length(encode(lang))::VARCHAR || ':' || lang, '-') AS head,
+               coalesce(octet_length(encode(n_chars::VARCHAR))::VARCHAR || ':' || n_chars::VARCHAR, '-') AS size,
+               coalesce(octet_length(encode((n_chars + 1)::VARCHAR))::VARCHAR || ':' || (n_chars + 1)::VARCHAR, '-') AS more,
+               coalesce(octet_length(encode(text))::VARCHAR || ':' || text, '-') AS tail
+        FROM documents),
+    leaves AS (
+        SELECT doc_id, lang, sha256(head || size || tail) AS leaf,
+               CASE WHEN doc_id IS NOT NULL AND {CRC} % 7 = 0 THEN sha256(head || more || tail) END AS changed FROM e),
+    placed AS (
+        SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS at, count(*) OVER (PARTITION BY lang) AS n FROM leaves),
+    nodes AS (
+        SELECT lang, 0 AS level, at, n, leaf AS node FROM placed
+        UNION ALL
+        SELECT lang, level + 1, at // 2, (n + 1) // 2, sha256(string_agg(node, '' ORDER BY at)) FROM nodes WHERE n > 1 GROUP BY lang, level, at // 2, n),
+    subroots AS (
+        SELECT lang, node AS subroot, row_number() OVER (ORDER BY encode(lang) NULLS FIRST) - 1 AS at, count(*) OVER () AS n FROM nodes WHERE n = 1),
+    tops AS (
+        SELECT 0 AS level, at, n, subroot AS node FROM subroots
+        UNION ALL SELECT level + 1, at // 2, (n + 1) // 2, sha256(string_agg(node, '' ORDER BY at)) FROM tops WHERE n > 1 GROUP BY level, at // 2, n),
+    siblings AS (
+        SELECT p.lang, p.at, o.level, (p.at >> o.level) % 2 AS side, o.node
+        FROM placed p JOIN nodes o ON o.lang IS NOT DISTINCT FROM p.lang AND o.at = xor(p.at >> o.level, 1) AND o.n > 1
+        UNION ALL
+        SELECT p.lang, p.at, 1000 + o.level, (s.at >> o.level) % 2, o.node
+        FROM placed p JOIN subroots s ON s.lang IS NOT DISTINCT FROM p.lang JOIN tops o ON o.at = xor(s.at >> o.level, 1) AND o.n > 1),
+    heights AS (
+        SELECT lang, at, subroot, (SELECT max(level) FROM tops) AS top_levels, (SELECT node FROM tops WHERE n = 1) AS root,
+               (SELECT max(level) FROM nodes o WHERE o.lang IS NOT DISTINCT FROM s.lang) AS height FROM subroots s),
+    folded AS (
+        SELECT p.lang, p.at, h.height, h.top_levels, CASE WHEN h.height = 0 THEN 1000 ELSE 0 END AS level, coalesce(changed, leaf) AS node
+        FROM placed p JOIN heights h ON h.lang IS NOT DISTINCT FROM p.lang
+        UNION ALL
+        SELECT f.lang, f.at, f.height, f.top_levels, CASE WHEN f.level + 1 = f.height THEN 1000 ELSE f.level + 1 END,
+               CASE WHEN s.node IS NULL THEN sha256(f.node) WHEN s.side = 0 THEN sha256(f.node || s.node) ELSE sha256(s.node || f.node) END
+        FROM folded f LEFT JOIN siblings s ON s.lang IS NOT DISTINCT FROM f.lang AND s.at = f.at AND s.level = f.level
+        WHERE f.level < 1000 + f.top_levels),
+    proofs AS (SELECT lang, at, sha256(string_agg(node, '' ORDER BY level)) AS proof FROM siblings GROUP BY lang, at)
+    SELECT p.doc_id, p.leaf, h.subroot, h.root, coalesce(q.proof, sha256('')) AS proof_sha256, f.node AS folded_root, f.node = h.root AS verified
+    FROM placed p JOIN heights h ON h.lang IS NOT DISTINCT FROM p.lang
+    JOIN folded f ON f.lang IS NOT DISTINCT FROM p.lang AND f.at = p.at AND f.level = 1000 + f.top_levels
+    LEFT JOIN proofs q ON q.lang IS NOT DISTINCT FROM p.lang AND q.at = p.at"""
+
+
+@query(sql=MANIFEST)
+def op13_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    return manifest.proofs(table(spark, folder, "documents"))
