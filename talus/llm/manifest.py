@@ -316,6 +316,18 @@ def _steps(n: int, done: int) -> int:
     return min(LEVELS, height(n) - done)
 
 
+def _block_reducer(done: int):
+    """A block's last node, after the `done` levels of earlier rounds."""
+
+    def reduce(key: tuple, nodes: pa.Table) -> pa.Table:
+        tree, block, n = (k.as_py() for k in key)
+        steps = _steps(n, done)
+        node = _reduced(_slots(nodes)[0], steps)[-1][0]
+        return pa.table({"tree": [tree], "at": [block], "node": pa.array([node], pa.binary()), "n": [n], "last": [done + steps == height(n)]})
+
+    return reduce
+
+
 class Trees:
     """The trees over nodes (tree, at, node, n), `at` dense from 0 in each tree and n the nodes of its tree.
 
@@ -327,15 +339,7 @@ class Trees:
         self.label, self.rounds, self.blocks = label, [], []
         while True:
             nodes = stored(nodes.withColumn("block", F.expr(f"at div {ARITY**LEVELS}")), f"{label}-nodes")
-            done = len(self.rounds) * LEVELS
-
-            def reduce(key: tuple, table: pa.Table, done: int = done) -> pa.Table:
-                tree, block, n = (k.as_py() for k in key)
-                steps = _steps(n, done)
-                node = _reduced(_slots(table)[0], steps)[-1][0]
-                return pa.table({"tree": [tree], "at": [block], "node": pa.array([node], pa.binary()), "n": [n], "last": [done + steps == height(n)]})
-
-            left = nodes.groupBy("tree", "block", "n").applyInArrow(reduce, "tree string, at long, node binary, n long, last boolean")
+            left = nodes.groupBy("tree", "block", "n").applyInArrow(_block_reducer(len(self.rounds) * LEVELS), "tree string, at long, node binary, n long, last boolean")
             self.rounds.append(nodes)
             self.blocks.append(stored(left, f"{label}-blocks"))
             nodes = self.blocks[-1].where("NOT last").select("tree", "at", "node", "n")

@@ -60,38 +60,38 @@ MANIFEST = f"""
         SELECT doc_id, lang, sha256(head || size || tail) AS leaf,
                CASE WHEN doc_id IS NOT NULL AND {CRC} % 7 = 0 THEN sha256(head || more || tail) END AS changed FROM e),
     placed AS (
-        SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS at, count(*) OVER (PARTITION BY lang) AS n FROM leaves),
+        SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n FROM leaves),
     nodes AS (
-        SELECT lang, 0 AS level, at, n, leaf AS node FROM placed
+        SELECT lang, 0 AS level, pos, n, leaf AS node FROM placed
         UNION ALL
-        SELECT lang, level + 1, at // 2, (n + 1) // 2, sha256(string_agg(node, '' ORDER BY at)) FROM nodes WHERE n > 1 GROUP BY lang, level, at // 2, n),
+        SELECT lang, level + 1, pos // 2, (n + 1) // 2, sha256(string_agg(node, '' ORDER BY pos)) FROM nodes WHERE n > 1 GROUP BY lang, level, pos // 2, n),
     subroots AS (
-        SELECT lang, node AS subroot, row_number() OVER (ORDER BY encode(lang) NULLS FIRST) - 1 AS at, count(*) OVER () AS n FROM nodes WHERE n = 1),
+        SELECT lang, node AS subroot, row_number() OVER (ORDER BY encode(lang) NULLS FIRST) - 1 AS pos, count(*) OVER () AS n FROM nodes WHERE n = 1),
     tops AS (
-        SELECT 0 AS level, at, n, subroot AS node FROM subroots
-        UNION ALL SELECT level + 1, at // 2, (n + 1) // 2, sha256(string_agg(node, '' ORDER BY at)) FROM tops WHERE n > 1 GROUP BY level, at // 2, n),
+        SELECT 0 AS level, pos, n, subroot AS node FROM subroots
+        UNION ALL SELECT level + 1, pos // 2, (n + 1) // 2, sha256(string_agg(node, '' ORDER BY pos)) FROM tops WHERE n > 1 GROUP BY level, pos // 2, n),
     siblings AS (
-        SELECT p.lang, p.at, o.level, (p.at >> o.level) % 2 AS side, o.node
-        FROM placed p JOIN nodes o ON o.lang IS NOT DISTINCT FROM p.lang AND o.at = xor(p.at >> o.level, 1) AND o.n > 1
+        SELECT p.lang, p.pos, o.level, (p.pos >> o.level) % 2 AS side, o.node
+        FROM placed p JOIN nodes o ON o.lang IS NOT DISTINCT FROM p.lang AND o.pos = xor(p.pos >> o.level, 1) AND o.n > 1
         UNION ALL
-        SELECT p.lang, p.at, 1000 + o.level, (s.at >> o.level) % 2, o.node
-        FROM placed p JOIN subroots s ON s.lang IS NOT DISTINCT FROM p.lang JOIN tops o ON o.at = xor(s.at >> o.level, 1) AND o.n > 1),
+        SELECT p.lang, p.pos, 1000 + o.level, (s.pos >> o.level) % 2, o.node
+        FROM placed p JOIN subroots s ON s.lang IS NOT DISTINCT FROM p.lang JOIN tops o ON o.pos = xor(s.pos >> o.level, 1) AND o.n > 1),
     heights AS (
-        SELECT lang, at, subroot, (SELECT max(level) FROM tops) AS top_levels, (SELECT node FROM tops WHERE n = 1) AS root,
+        SELECT lang, pos, subroot, (SELECT max(level) FROM tops) AS top_levels, (SELECT node FROM tops WHERE n = 1) AS root,
                (SELECT max(level) FROM nodes o WHERE o.lang IS NOT DISTINCT FROM s.lang) AS height FROM subroots s),
     folded AS (
-        SELECT p.lang, p.at, h.height, h.top_levels, CASE WHEN h.height = 0 THEN 1000 ELSE 0 END AS level, coalesce(changed, leaf) AS node
+        SELECT p.lang, p.pos, h.height, h.top_levels, CASE WHEN h.height = 0 THEN 1000 ELSE 0 END AS level, coalesce(changed, leaf) AS node
         FROM placed p JOIN heights h ON h.lang IS NOT DISTINCT FROM p.lang
         UNION ALL
-        SELECT f.lang, f.at, f.height, f.top_levels, CASE WHEN f.level + 1 = f.height THEN 1000 ELSE f.level + 1 END,
+        SELECT f.lang, f.pos, f.height, f.top_levels, CASE WHEN f.level + 1 = f.height THEN 1000 ELSE f.level + 1 END,
                CASE WHEN s.node IS NULL THEN sha256(f.node) WHEN s.side = 0 THEN sha256(f.node || s.node) ELSE sha256(s.node || f.node) END
-        FROM folded f LEFT JOIN siblings s ON s.lang IS NOT DISTINCT FROM f.lang AND s.at = f.at AND s.level = f.level
+        FROM folded f LEFT JOIN siblings s ON s.lang IS NOT DISTINCT FROM f.lang AND s.pos = f.pos AND s.level = f.level
         WHERE f.level < 1000 + f.top_levels),
-    proofs AS (SELECT lang, at, sha256(string_agg(node, '' ORDER BY level)) AS proof FROM siblings GROUP BY lang, at)
+    proofs AS (SELECT lang, pos, sha256(string_agg(node, '' ORDER BY level)) AS proof FROM siblings GROUP BY lang, pos)
     SELECT p.doc_id, p.leaf, h.subroot, h.root, coalesce(q.proof, sha256('')) AS proof_sha256, f.node AS folded_root, f.node = h.root AS verified
     FROM placed p JOIN heights h ON h.lang IS NOT DISTINCT FROM p.lang
-    JOIN folded f ON f.lang IS NOT DISTINCT FROM p.lang AND f.at = p.at AND f.level = 1000 + f.top_levels
-    LEFT JOIN proofs q ON q.lang IS NOT DISTINCT FROM p.lang AND q.at = p.at"""
+    JOIN folded f ON f.lang IS NOT DISTINCT FROM p.lang AND f.pos = p.pos AND f.level = 1000 + f.top_levels
+    LEFT JOIN proofs q ON q.lang IS NOT DISTINCT FROM p.lang AND q.pos = p.pos"""
 
 
 @query(sql=MANIFEST)
