@@ -7,9 +7,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from talus.functions import text as X
 from talus.functions.vectors import similarities_to
-from talus.operators import hierarchy
+from talus.operators import hierarchy, scoring
 
-MAX_QUERIES_IN_TASK = 1024   # query vectors scored in one batch product
 TOP_K_RANGE = (1, 20)
 AREA_DEPTH = 8               # deepest level of the listing queries below their root
 AREA_ROWS, ROUTE_ROWS = 8, 10
@@ -36,107 +35,53 @@ def of_version(df: DataFrame, version: str, column: str = "model_version") -> Da
     return df.where(F.col(column) == version)
 
 
-def query_blocks(queries: DataFrame, size: int = MAX_QUERIES_IN_TASK):
-    """The query vectors in blocks of at most `size`, as (ids, matrix). A request carries a few; a longer list
-    is streamed to the driver block by block, one scan of the stored side per block."""
-    ordered = queries.select("query_id", "vector").orderBy("query_id")
-    first = ordered.limit(size + 1).collect()
-    ids, rows = [], []
-    for row in first if len(first) <= size else ordered.toLocalIterator():
-        ids.append(row["query_id"])
-        rows.append(row["vector"])
-        if len(ids) == size:
-            yield ids, np.array(rows, dtype=np.float64)
-            ids, rows = [], []
-    if ids:
-        yield ids, np.array(rows, dtype=np.float64)
-
-
-def score_vectors(df: DataFrame, id: str, ids: list[int], matrix: np.ndarray) -> DataFrame:
-    """(id, scores): one scan of the vectors; only the id and the similarities go on to the joins."""
-    return df.select(id, similarities_to(matrix)("embedding").alias("scores"))
-
-
-def _best_per_route(scored: DataFrame, ids: list[int]) -> DataFrame:
-    """(query_id, route_id, similarity) maxima; combined per task before the shuffle."""
-    labels = F.array(*[F.lit(int(i)).cast("long") for i in ids])
-    return (
-        # the outer form: a plain explode makes Spark infer a filter that would run the scoring twice
-        scored.select("route_id", F.posexplode_outer("scores").alias("q", "similarity"))
-        .groupBy(F.element_at(labels, F.col("q") + 1).alias("query_id"), "route_id")
-        .agg(F.max("similarity").alias("similarity"))
-    )
-
-
 def score_summary(queries: DataFrame, vectors: DataFrame, id: str) -> DataFrame:
-    """(query_id, n, best, mean): each query vector against all stored ones."""
-    result = None
-    for ids, matrix in query_blocks(queries):
-        scored = score_vectors(vectors, id, ids, matrix).select(F.posexplode_outer("scores").alias("q", "s"))
-        labels = F.array(*[F.lit(int(i)).cast("long") for i in ids])
-        per = scored.groupBy(F.element_at(labels, F.col("q") + 1).alias("query_id")).agg(
-            F.count("s").alias("n"), F.round(F.max("s"), 6).alias("best"), F.round(F.avg("s"), 6).alias("mean")
-        )
-        result = per if result is None else result.unionByName(per)
-    return result
+    """(query_id, n, best, mean): each query vector (query_id, vector) against all stored ones."""
+    found = scoring.summary(queries, vectors, id, "embedding")
+    return found.select("query_id", "n", F.round("best", 6).alias("best"), F.round(F.col("total") / F.col("n"), 6).alias("mean"))
 
 
 def similarity_search(queries: DataFrame, image_embeddings: DataFrame, images: DataFrame,
                       route_image_embeddings: DataFrame, route_images: DataFrame, routes: DataFrame,
-                      areas: DataFrame, model_version: str, lines: DataFrame | None = None,
-                      area_id: int | None = None, top_k: int = 5) -> DataFrame:
+                      areas: DataFrame, model_version: str, area_id: int | None = None, top_k: int = 5) -> DataFrame:
     """Best routes per query vector: cosine against field photos and catalogue photos, maximum per route,
-    top k. With `area_id`, only routes in that area's subtree (any depth, from `lines`).
+    top k. With `area_id`, only routes in that area's subtree (any depth).
 
-    Field photos need an approved image; catalogue photos need an approved route. Vectors are scored where
-    they are read and dropped there, and the maximum per route is taken before routes and areas are joined.
+    Field photos need an approved image; catalogue photos need an approved route. Routes are settled first: photos
+    learn their route, the others drop out, and each task keeps the best routes of every query among the vectors it
+    reads. The stored vectors of either kind are scanned once, for any number of queries.
     """
     check_top_k(top_k)
-    chosen = routes
-    if area_id is not None:
-        scope = hierarchy.subtree(lines, area_id).select(F.col("id").alias("area_id"))
-        chosen = routes.join(scope, "area_id", "left_semi")
-    field_routes = approved(images).where(F.col("route_id").isNotNull()).select(F.col("id").alias("image_id"), "route_id")
-    open_routes = approved(chosen).select(F.col("id").alias("route_id"))
-    shown_routes = route_images.select(F.col("id").alias("route_image_id"), "route_id")
-    shown_routes = shown_routes.join(open_routes, "route_id", "left_semi")
+    placed = routes.join(areas.select(F.col("id").alias("area_id")), "area_id", "left_semi")
     if area_id is not None:
-        field_routes = field_routes.join(chosen.select(F.col("id").alias("route_id")), "route_id", "left_semi")
-
-    result = None
-    for ids, matrix in query_blocks(queries):
-        field = score_vectors(of_version(image_embeddings, model_version), "image_id", ids, matrix)
-        shown = score_vectors(of_version(route_image_embeddings, model_version), "route_image_id", ids, matrix)
-        scored = (
-            field.join(field_routes, "image_id").select("route_id", "scores")
-            .unionByName(shown.join(shown_routes, "route_image_id").select("route_id", "scores"))
-        )
-        best = _best_per_route(scored, ids)
-        result = best if result is None else result.unionByName(best)
-    if result is None:
-        raise ValueError("no query vectors")
-
-    named = result.join(chosen.select(F.col("id").alias("route_id"), "area_id", "name", "grade", "url"), "route_id").join(
-        areas.select(F.col("id").alias("area_id"), F.col("name").alias("area")), "area_id"
+        placed = placed.join(hierarchy.descend(areas, area_id).select(F.col("id").alias("area_id")), "area_id", "left_semi")
+    known = placed.select(F.col("id").alias("route_id"), "status")
+    field = approved(images).select(F.col("id").alias("image_id"), "route_id").join(known.select("route_id"), "route_id", "left_semi")
+    shown = route_images.select(F.col("id").alias("route_image_id"), "route_id").join(approved(known).select("route_id"), "route_id", "left_semi")
+    vectors = (
+        of_version(image_embeddings, model_version).join(field, "image_id").select("route_id", "embedding")
+        .unionByName(of_version(route_image_embeddings, model_version).join(shown, "route_image_id").select("route_id", "embedding"))
     )
-    order = Window.partitionBy("query_id").orderBy(F.col("similarity").desc_nulls_last(), F.col("route_id"))
-    return (
-        named.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k)
-        .select("query_id", "rank", "route_id", "name", "grade", "url", "area", F.round("similarity", 4).alias("similarity"))
+    best = scoring.best_per_group(queries, vectors, "route_id", "embedding", top_k)
+    order = Window.partitionBy("query_id").orderBy(F.col("similarity").desc_nulls_last(), F.col("id"))
+    top = best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k).withColumnRenamed("id", "route_id")
+    named = top.join(routes.select(F.col("id").alias("route_id"), "area_id", "name", "grade", "url"), "route_id").join(
+        areas.select(F.col("id").alias("area_id"), F.col("name").alias("area")), "area_id"
     )
+    return named.select("query_id", "rank", "route_id", "name", "grade", "url", "area", F.round("similarity", 4).alias("similarity"))
 
 
-def search_areas(areas: DataFrame, routes: DataFrame, lines: DataFrame, query: str, escape: bool = False) -> DataFrame:
+def search_areas(areas: DataFrame, routes: DataFrame, query: str, escape: bool = False) -> DataFrame:
     """Approved areas whose name matches, with the number of routes (any status) up to eight levels below.
 
     Routes are counted per area first; a route has one area, so the distinct count of a subtree is the sum."""
     check_query(query)
     matching = approved(areas).where(X.matches_text(F.col("name"), query, escape)).select("id", "name", "parent_id")
     per_area = routes.groupBy("area_id").agg(F.count(F.lit(1)).alias("n"))
-    below = hierarchy.closure(lines, AREA_DEPTH).join(matching.select(F.col("id").alias("ancestor")), "ancestor", "left_semi")
-    counts = below.join(per_area, F.col("descendant") == F.col("area_id")).groupBy("ancestor").agg(F.sum("n").alias("routes"))
+    values = per_area.select(F.col("area_id").alias("id"), F.col("n").alias("value"))
+    counts = hierarchy.area_sums(areas, matching, values, AREA_DEPTH).groupBy("root").agg(F.sum("total").alias("routes"))
     top = (
-        matching.join(counts, F.col("id") == F.col("ancestor"), "left")
+        matching.join(counts, F.col("id") == F.col("root"), "left")
         .select("id", "name", "parent_id", F.coalesce("routes", F.lit(0)).alias("route_count"))
         .orderBy(F.col("route_count").desc(), "id").limit(AREA_ROWS)
     )
@@ -163,9 +108,9 @@ def search_routes(areas: DataFrame, routes: DataFrame, query: str, escape: bool
     )
 
 
-def area_routes(areas: DataFrame, routes: DataFrame, lines: DataFrame, area_id: int) -> DataFrame:
+def area_routes(areas: DataFrame, routes: DataFrame, area_id: int) -> DataFrame:
     """Approved routes up to eight levels below an area, by area name and route name."""
-    scope = hierarchy.subtree(lines, area_id, AREA_DEPTH).select(F.col("id").alias("area_id"))
+    scope = hierarchy.descend(areas, area_id, AREA_DEPTH).select(F.col("id").alias("area_id"))
     return (
         approved(routes).join(scope, "area_id", "left_semi")
         .join(areas.select(F.col("id").alias("area_id"), F.col("name").alias("area_name")), "area_id")
@@ -235,8 +180,9 @@ def variant_comparison(variants: DataFrame, image_embeddings: DataFrame, images:
                        model_version: str, margin: float = 0.001) -> DataFrame:
     """Two forms of one query vector (query_id 0 and 1) against every approved stored photo; flags photos that
     the second form matches better by more than `margin`."""
-    (ids, matrix), = query_blocks(variants)
-    scored = score_vectors(of_version(image_embeddings, model_version), "image_id", ids, matrix)
+    forms = {row["query_id"]: row["vector"] for row in variants.where(F.col("query_id").isin(0, 1)).collect()}
+    vectors = of_version(image_embeddings, model_version)
+    scored = vectors.select("image_id", similarities_to(np.array([forms[0], forms[1]]))("embedding").alias("scores"))
     first, second = F.col("scores")[0], F.col("scores")[1]
     return (
         scored.join(approved(images).select(F.col("id").alias("image_id"), "route_id"), "image_id")

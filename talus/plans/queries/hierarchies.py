@@ -12,21 +12,21 @@ from talus.sources import tree as T
 
 @query("R1 Z15", "SELECT descendant AS id, depth FROM area_closure WHERE ancestor = 3")
 def area_subtree(c):
-    return H.subtree(H.lineages(c.areas), 3)
+    return H.descend(c.areas, 3)
 
 
 @query("R2", "SELECT descendant AS id, depth FROM part_closure WHERE ancestor = 1 AND depth <= 8")
 def deep_subtree_to_depth_eight(c):
-    return H.subtree(H.lineages(c.part_tree), 1, 8)
+    return H.descend(c.part_tree, 1, 8)
 
 
 @query("R3", """
     SELECT c.ancestor AS root_id, count(*) AS nodes, max(c.depth) AS deepest FROM part_closure c JOIN part_tree p ON p.id = c.ancestor
     WHERE c.depth <= 8 AND p.name LIKE '%1%' GROUP BY 1""")
 def many_root_subtrees(c):
-    roots = c.part_tree.where(F.col("name").contains("1")).select(F.col("id").alias("ancestor"))
-    pairs = H.closure(H.lineages(c.part_tree), 8).join(roots, "ancestor", "left_semi")
-    return pairs.groupBy(F.col("ancestor").alias("root_id")).agg(F.count(F.lit(1)).alias("nodes"), F.max("depth").alias("deepest"))
+    roots = c.part_tree.where(F.col("name").contains("1")).select("id")
+    counts = H.area_sums(c.part_tree, roots, c.part_tree.select("id", F.lit(1).alias("value")), 8)
+    return counts.groupBy(F.col("root").alias("root_id")).agg(F.sum("total").alias("nodes"), F.max("depth").alias("deepest"))
 
 
 @query("R4", "SELECT id, area_path, area_depth FROM area_paths")
@@ -44,7 +44,7 @@ def deep_tree_depths(c):
 
 @query("R8", "SELECT ancestor, descendant, depth FROM area_closure")
 def area_closure(c):
-    return H.closure(H.lineages(c.areas))
+    return H.area_pairs(c.areas)
 
 
 def node_lines(c) -> DataFrame:

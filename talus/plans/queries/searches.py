@@ -49,12 +49,12 @@ def similarity_search(c):
 
 @query("M1 R1 P8", TOP.format(k=5), **_top_parts(SCOPE.format(root=2)))
 def similarity_search_in_region(c):
-    return _search(c, lines=H.lineages(c.areas), area_id=2)
+    return _search(c, area_id=2)
 
 
 @query("M1 R1 T1", TOP.format(k=20), **_top_parts(SCOPE.format(root=103)))
 def similarity_search_in_nation(c):
-    return _search(c, lines=H.lineages(c.areas), area_id=103, top_k=20)
+    return _search(c, area_id=103, top_k=20)
 
 
 @query("R3 A2 T2 P7 J3 J4 F1 F2", """
@@ -65,7 +65,7 @@ def similarity_search_in_nation(c):
           WHERE a.status = 'approved' AND lower(a.name) LIKE '%nation-%' GROUP BY a.id, a.name, a.parent_id) found
     LEFT JOIN areas up ON up.id = found.parent_id ORDER BY found.n DESC, found.id LIMIT 8""")
 def text_search_areas(c):
-    return C.search_areas(c.areas, c.routes, H.lineages(c.areas), "nation-")
+    return C.search_areas(c.areas, c.routes, "nation-")
 
 
 @query("P7 J3 T3 F2 Z1", """
@@ -84,7 +84,7 @@ def text_search_routes(c):
     FROM routes r JOIN areas a ON a.id = r.area_id
     WHERE r.area_id IN (SELECT descendant FROM area_closure WHERE ancestor = 1 AND depth <= 8) AND r.status = 'approved'""")
 def area_route_listing(c):
-    return C.area_routes(c.areas, c.routes, H.lineages(c.areas), 1)
+    return C.area_routes(c.areas, c.routes, 1)
 
 
 @query("P7 Z7", """
@@ -112,11 +112,8 @@ def area_titles(c):
     LEFT JOIN area_closure d ON d.ancestor = g.id LEFT JOIN routes r ON r.area_id = d.descendant GROUP BY g.id, g.name""")
 def route_counts_per_area(c):
     per_area = c.routes.groupBy("area_id").agg(F.count(F.lit(1)).alias("n"))
-    counts = (
-        H.closure(H.lineages(c.areas)).join(per_area, F.col("descendant") == F.col("area_id"))
-        .groupBy("ancestor").agg(F.sum("n").alias("n"))
-    )
-    return c.areas.join(counts, F.col("id") == F.col("ancestor"), "left").select("id", "name", F.coalesce("n", F.lit(0)).alias("route_count"))
+    counts = H.area_sums(c.areas, c.areas, per_area.select(F.col("area_id").alias("id"), F.col("n").alias("value")))
+    return c.areas.join(counts, F.col("id") == F.col("root"), "left").select("id", "name", F.coalesce("total", F.lit(0)).alias("route_count"))
 
 
 @query("J1 T4 F19", """
