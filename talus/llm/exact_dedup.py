@@ -17,7 +17,7 @@ import hashlib
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from talus.llm.common import stored, texts
+from talus.llm.common import fresh, stored, texts
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 FIRST_DIGIT, GROWTH = 256, 4  # code points of the first digit, growth of each later one
@@ -99,10 +99,11 @@ def drop_exact(docs: DataFrame) -> DataFrame:
     """The kept rows of `docs`, with all their columns; repeated rows of a kept id with equal texts leave one."""
     groups = equal_groups(docs).where(F.col("doc_id").eqNullSafe(F.col("keep_id")))
     # ids that occur once in their group are the rule; only the others need a look at whole rows
-    chosen = groups.select(F.col("doc_id").alias("_keep_id"), F.col("tag").alias("_keep_tag"), "group_size", F.col("keep_id").alias("_grp"))
+    own_id, own_tag, size, row, text = fresh(docs, "kept_id", "kept_tag", "kept_size", "kept_row", "kept_text")
+    chosen = groups.select(F.col("doc_id").alias(own_id), F.col("tag").alias(own_tag), F.col("group_size").alias(size))
     row_tag = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    kept = docs.join(chosen, F.col("doc_id").cast("long").eqNullSafe(F.col("_keep_id")) & (row_tag == F.col("_keep_tag")))
-    many = F.col("group_size") > 1
-    repeated = kept.where(many).groupBy("_keep_id", F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")), UPPER, LOWER).alias("_text"))
-    repeated = repeated.agg(F.min(F.struct(*docs.columns)).alias("_row")).select("_row.*")
+    kept = docs.join(chosen, F.col("doc_id").cast("long").eqNullSafe(F.col(own_id)) & (row_tag == F.col(own_tag)))
+    many = F.col(size) > 1
+    repeated = kept.where(many).groupBy(own_id, F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")), UPPER, LOWER).alias(text))
+    repeated = repeated.agg(F.min(F.struct(*docs.columns)).alias(row)).select(f"{row}.*")
     return kept.where(~many).select(*docs.columns).unionByName(repeated)

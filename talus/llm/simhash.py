@@ -21,7 +21,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from talus.llm.common import stored, texts
+from talus.llm.common import fresh, stored, texts
 
 SEED = 42
 HOT = 64  # fingerprints of one block key above which the detour is taken
@@ -395,6 +395,7 @@ def _verified(pairs: DataFrame, classes: DataFrame, limit: int) -> DataFrame:
 
 def drop_similar(docs: DataFrame, **options) -> DataFrame:
     """The rows of `docs`, with all columns, that name their group; one document of each group stays."""
-    named = similar_groups(docs, **options).where(F.col("doc_id") == F.col("keep_id")).select(F.col("doc_id").alias("_keep")).distinct()
-    stay = docs.join(named, F.col("doc_id") == F.col("_keep"), "left_semi")
+    keep, = fresh(docs, "keep")
+    named = similar_groups(docs, **options).where(F.col("doc_id") == F.col("keep_id")).select(F.col("doc_id").alias(keep)).distinct()
+    stay = docs.join(named, F.col("doc_id") == F.col(keep), "left_semi")
     return stay.unionByName(docs.where("doc_id IS NULL"))

@@ -33,7 +33,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from talus.llm.common import texts
+from talus.llm.common import fresh, texts
 
 LENGTH = 50  # bytes of a repeated string
 GRAM = 16  # bytes of an anchor
@@ -500,10 +500,16 @@ def _arrow(rows: list[tuple], fields: list[tuple]) -> pa.Table:
 
 
 def drop_repeats(docs: DataFrame) -> DataFrame:
-    """The rows of `docs`, with all columns, their texts without repeated passages. A column `n_chars` counts the new
-    text. A text that repeats as a whole stays as an empty one."""
-    new = repeats(docs, with_text=True).select(F.col("doc_id").alias("_id"), F.col("tag").alias("_tag"), F.col("text").alias("_new"))
-    rest = docs.withColumn("_own_tag", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))).drop("text").distinct()
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_own_tag") == F.col("_tag"))
-    of = {"text": F.col("_new"), "n_chars": F.length("_new").cast("long")}
-    return new.join(rest, same).select(*[of[c].alias(c) if c in of else F.col(c) for c in docs.columns])
+    """The rows of `docs`, with all columns, their texts without repeated passages, one for each input row. A column
+    `n_chars` counts the new text. A text that repeats as a whole stays as an empty one. Rows that repeat an id and a text
+    get the same new text, whatever their other columns hold."""
+    # an id and a text name what stays; null ids are told apart from the id 0
+    *keys, new_text = fresh(docs, "new_id", "new_null", "new_tag", "new_text")
+    doc_id = F.col("doc_id").cast("long")
+    named = [F.coalesce(doc_id, F.lit(0)).alias(keys[0]), doc_id.isNull().alias(keys[1])]
+    new = repeats(docs, with_text=True).select(*named, F.col("tag").alias(keys[2]), F.col("text").alias(new_text))
+    tag = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias(keys[2])
+    own = docs.select(*[c for c in docs.columns if c != "text"], *named, tag)
+    joined = own.join(new.groupBy(*keys).agg(F.first(new_text).alias(new_text)), keys)
+    of = {"text": F.col(new_text), "n_chars": F.length(new_text).cast("long")}
+    return joined.select(*[of[c].alias(c) if c in of else F.col(c) for c in docs.columns])

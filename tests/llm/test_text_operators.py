@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 import xxhash
 from cases import documents
+from pyspark.sql import functions as F
 
 from talus.llm import exact_dedup, simhash, suffix_dedup, winnowing
 
@@ -197,3 +198,25 @@ def test_empty_tables(make):
         simhash.near_groups(none), simhash.similar_groups(none), winnowing.edited_report(none),
     ):
         assert made.collect() == []
+
+
+CLASHES = ("group_size", "keep_id", "_keep_id", "kept_id", "_kept_id", "tag", "kept_tag", "_keep_tag", "kept_row", "kept_text", "new_id", "_new", "new_text", "new_tag", "keep", "_keep", "g_id", "label", "text_sha256")
+
+
+def test_stages_keep_multisets_and_clashing_columns(spark):
+    passage = "a passage of words that two documents share and that is longer than fifty bytes"
+    rows = [(1, "abc", "x"), (1, "abc", "y"), (2, "ABC", "x"), (3, f"{passage} one", "x"), (4, f"{passage} two", "x"), (4, f"{passage} two", "y"), (None, "n", "x"), (0, "n", "y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, own string")
+    for name in CLASHES:
+        docs = docs.withColumn(name, F.lit(7))
+    exact = exact_dedup.drop_exact(docs)
+    assert exact.columns == docs.columns
+    # of equal texts one row of the largest id stays; of rows that repeat that id, the smallest
+    assert sorted((r.doc_id, r.own) for r in exact.collect()) == [(0, "y"), (2, "x"), (3, "x"), (4, "x")]
+    cut = suffix_dedup.drop_repeats(docs)
+    assert cut.columns == docs.columns
+    got = Counter((r.doc_id, r.own, r.text) for r in cut.collect())
+    assert got == Counter({(1, "x", "abc"): 1, (1, "y", "abc"): 1, (2, "x", "ABC"): 1, (3, "x", f"{passage} one"): 1,
+                           (4, "x", "two"): 1, (4, "y", "two"): 1, (None, "x", "n"): 1, (0, "y", "n"): 1})
+    near = simhash.drop_similar(docs)
+    assert near.columns == docs.columns and {r.doc_id for r in near.collect()} == {None, 0, 1, 3}
