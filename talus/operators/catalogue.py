@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from talus.functions import text as X
 from talus.functions.vectors import similarities_to
 from talus.operators import hierarchy, scoring
+from talus.operators.ordering import global_rank
 
 TOP_K_RANGE = (1, 20)
 AREA_DEPTH = 8               # deepest level of the listing queries below their root
@@ -109,14 +110,12 @@ def search_routes(areas: DataFrame, routes: DataFrame, query: str, escape: bool
 
 
 def area_routes(areas: DataFrame, routes: DataFrame, area_id: int) -> DataFrame:
-    """Approved routes up to eight levels below an area, by area name and route name."""
+    """Approved routes up to eight levels below an area with their `position`, by area name, route name and id."""
     scope = hierarchy.descend(areas, area_id, AREA_DEPTH).select(F.col("id").alias("area_id"))
-    return (
-        approved(routes).join(scope, "area_id", "left_semi")
-        .join(areas.select(F.col("id").alias("area_id"), F.col("name").alias("area_name")), "area_id")
-        .orderBy(F.col("area_name").asc_nulls_last(), F.col("name").asc_nulls_last(), "id")
-        .select("id", "name", "grade", "url", X.title(F.col("area_name")).alias("area"))
-    )
+    named = approved(routes).join(scope, "area_id", "left_semi").join(areas.select(F.col("id").alias("area_id"), F.col("name").alias("area_name")), "area_id")
+    named = named.select("id", "name", "grade", "url", "area_name")
+    listed = global_rank(named, [F.col("area_name").asc_nulls_last(), F.col("name").asc_nulls_last(), "id"], name="position")
+    return listed.select("position", "id", "name", "grade", "url", X.title(F.col("area_name")).alias("area"))
 
 
 def pending_images(images: DataFrame, routes: DataFrame, areas: DataFrame) -> DataFrame:
@@ -177,16 +176,18 @@ def size_band(count):
 
 
 def variant_comparison(variants: DataFrame, image_embeddings: DataFrame, images: DataFrame, routes: DataFrame,
-                       model_version: str, margin: float = 0.001) -> DataFrame:
+                       model_version: str, margin: float = 0.001, route_name: str | None = None) -> DataFrame:
     """Two forms of one query vector (query_id 0 and 1) against every approved stored photo; flags photos that
-    the second form matches better by more than `margin`."""
+    the second form matches better by more than `margin`. With `route_name`, only photos of routes whose name holds it,
+    whatever its case; `%` and `_` in it stand for any characters and any one."""
     forms = {row["query_id"]: row["vector"] for row in variants.where(F.col("query_id").isin(0, 1)).collect()}
-    vectors = of_version(image_embeddings, model_version)
+    shown = routes if route_name is None else routes.where(F.col("name").ilike(f"%{route_name}%"))
+    named = approved(images).select(F.col("id").alias("image_id"), "route_id").join(shown.select(F.col("id").alias("route_id"), F.col("name").alias("route_name")), "route_id")
+    vectors = of_version(image_embeddings, model_version).join(named.select("image_id"), "image_id", "left_semi")
     scored = vectors.select("image_id", similarities_to(np.array([forms[0], forms[1]]))("embedding").alias("scores"))
     first, second = F.col("scores")[0], F.col("scores")[1]
     return (
-        scored.join(approved(images).select(F.col("id").alias("image_id"), "route_id"), "image_id")
-        .join(routes.select(F.col("id").alias("route_id"), F.col("name").alias("route_name")), "route_id")
+        scored.join(named, "image_id")
         .select("image_id", "route_name", first.alias("sim_first"), second.alias("sim_second"), (second > first + margin).alias("second_wins"))
         .orderBy(F.col("sim_first").desc(), F.col("sim_second").desc(), F.col("route_name").desc(), "image_id")
     )

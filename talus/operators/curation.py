@@ -65,6 +65,16 @@ def mining_batch_size(batch_size: int) -> int:
     return max(1, int(batch_size / 2.5))
 
 
+def in_manifest_order(rows: DataFrame, order: list) -> DataFrame:
+    """The rows with their `position`, from 1, in the order in which a manifest lists them."""
+    return global_rank(rows, order, name="position")
+
+
+# The order of the two manifests; the last key breaks ties.
+FULL_ORDER = ["area_id", "route_id", "route_image_id"]
+FIELD_ORDER = ["route_id", "created_at", "image_id"]
+
+
 def field_manifest(images: DataFrame, routes: DataFrame) -> DataFrame:
     return (
         images.where((F.col("status") == "approved") & F.col("route_id").isNotNull())
@@ -96,11 +106,12 @@ def dataset_rows(manifest: DataFrame, scores: DataFrame, filter_version: str, th
     return rows.withColumn("filter_model_version", F.lit(filter_version))
 
 
-def with_shard(rows: DataFrame, order: list, shard_size: int) -> DataFrame:
+def with_shard(rows: DataFrame, order: list, shard_size: int, key: str, *columns: str) -> DataFrame:
     """`idx` (position in the training set, from 0) and its shard; shards hold exactly `shard_size` rows but
-    for the last."""
-    ranked = global_rank(rows, order, name="_r")
-    return ranked.withColumn("idx", F.col("_r") - 1).withColumn("shard", F.expr(f"idx div {int(shard_size)}")).drop("_r")
+    for the last. Only the unique `key` and the `columns` that `order` looks at are sorted; the rows get their number by key."""
+    ranked = global_rank(rows.select(key, *columns), order, name="_r")
+    numbers = ranked.select(key, (F.col("_r") - 1).alias("idx"), F.expr(f"(_r - 1) div {int(shard_size)}").alias("shard"))
+    return rows.join(numbers, key)
 
 
 def shard_name(shard: Column) -> Column:

@@ -1,7 +1,9 @@
-"""Nearest-neighbour work on vector tables: exact top-k, partner mining and a coarse-cell index.
+"""Nearest-neighbour work on vector tables: exact top-k, partner mining and stored inverted lists.
 
-Spark partitions and shuffles the vectors; inside a task one Arrow batch is compared by a matrix product and
-only what survives (top-k rows, matched ids) leaves the task. No pair is ever emitted as a row.
+Spark partitions and shuffles the vectors; inside a task blocks of them are compared by a matrix product and only what
+survives (top-k rows, matched ids) leaves the task. No pair is ever emitted as a row. Rows are put into cells around
+pivots, and on the sphere angles obey the triangle inequality, so cells and stretches of cells that cannot hold an answer
+are not visited; the answer is exact wherever the pivots lie.
 """
 
 from __future__ import annotations
@@ -14,16 +16,30 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from talus.functions.vectors import to_matrix, unit_rows
-from talus.session import cut
+from talus.session import cut, scratch, written
 
-BROADCAST_FLOATS = 4_000_000   # largest query matrix kept in every task (32 MB as doubles)
-TILE_CELLS = 4_000_000         # similarities held at once while scanning (32 MB)
-BLOCK_ROWS = 2048              # rows of one side in one block comparison
-ORDER_DIGITS = 12              # similarities are compared to this many digits, then by id
+BLOCK_ROWS = 2048    # rows of one side in one block comparison
+MOST_CELLS = 4096    # pivots of a search; every task holds them
+LABEL_CELLS = 64     # pivots of one label
+WAVES = (2, 16)      # cells that a query has visited after the first and after the second wave
+ORDER_DIGITS = 12    # similarities are compared to this many digits, then by id
+SLACK = 1e-6         # covers rounding in angles
+
+CANDIDATES = "query_id long, neighbour_id long, similarity double"
 
 
-def _stack(vectors) -> np.ndarray:
-    return unit_rows(np.stack([np.asarray(v, dtype=np.float64) for v in vectors]))
+def by_length(rows: DataFrame, dim: int | None = None) -> tuple[DataFrame, DataFrame, int]:
+    """(usable, errors, dim) of rows with a `vector`: usable ones have `dim` components, or where it is not given the
+    commonest length (the longest of equals); errors have id, length and reason. A vector without direction is an error
+    as well: it is not similar to anything."""
+    sized = rows.withColumn("_length", F.coalesce(F.size("vector"), F.lit(-1)))
+    if dim is None:
+        first = sized.where("_length > 0").groupBy("_length").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), F.col("_length").desc()).first()
+        dim = first["_length"] if first else 0
+    reason = F.when(F.col("_length") != dim, "length").when(~F.exists("vector", lambda x: x != 0), "zero").when(F.exists("vector", lambda x: x.isNull()), "gap")
+    judged = sized.withColumn("_reason", F.when(F.col("_length") <= 0, "empty").otherwise(reason))
+    errors = judged.where("_reason IS NOT NULL").select("id", F.col("_length").alias("length"), F.col("_reason").alias("reason"))
+    return judged.where("_reason IS NULL").drop("_length", "_reason"), errors, dim
 
 
 def _rank(candidates: DataFrame, k: int) -> DataFrame:
@@ -32,36 +48,93 @@ def _rank(candidates: DataFrame, k: int) -> DataFrame:
     return ranked.where(F.col("rank") <= k)
 
 
-def nearest(queries: DataFrame, stored: DataFrame, k: int, exclude_self: bool = False,
-            broadcast_floats: int = BROADCAST_FLOATS, block_rows: int = BLOCK_ROWS, lists: int = 256) -> DataFrame:
+def nearest(queries: DataFrame, stored: DataFrame, k: int, exclude_self: bool = False, block_rows: int = BLOCK_ROWS, lists: int | None = None) -> DataFrame:
     """(query_id, neighbour_id, similarity, rank): the exact k nearest by cosine.
 
-    Both inputs have (id long, vector array). Self is excluded by id, not by position. A query set whose
-    size was counted and fits goes to every task and the stored side is read once without a shuffle.
-    Otherwise the stored side is put into cells; a query looks into its nearest cells first, and its k-th
-    similarity there rules out every cell whose centre is too far away for the cell's radius, so the rest of
-    the search visits only cells that can still hold a neighbour.
+    Both inputs have (id long, vector array); vectors of another length than most stored ones, and those without direction,
+    take no part (`by_length` names them). Self is excluded by id, not by position.
+
+    The stored rows lie in `lists` cells around pivots, as many as the root of their number by default. Queries
+    visit cells in waves, those first that can hold the nearest rows; after a wave the k-th similarity rules out every cell
+    whose rows are all farther away. Crowded cells are compared block by block, and many queries for one cell in waves of
+    their own, so no task holds a whole hot cell.
     """
-    queries = queries.select("id", "vector").where(F.col("vector").isNotNull())
-    stored = stored.select("id", "vector").where(F.col("vector").isNotNull())
-    stats = queries.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vector")).alias("dim")).first()
-    if not stats["n"]:
-        return _rank(_empty(queries.sparkSession), k)
-    if stats["n"] * stats["dim"] <= broadcast_floats:
-        found = _scan_top(queries, stored, k, exclude_self)
-    else:
-        found = _cell_top(queries, stored, k, exclude_self, block_rows, lists)
-    return _rank(found, k)
+    usable, _, dim = by_length(stored.select("id", "vector"))
+    asked, _, _ = by_length(queries.select("id", "vector"), dim)
+    held, n = written(usable, "neighbour-rows")
+    if not n["rows"]:
+        return _rank(held.sparkSession.createDataFrame([], CANDIDATES), k)
+    cells = PivotCells(held, lists or max(1, min(MOST_CELLS, math.ceil(math.sqrt(n["rows"])))), dim)
+    found, start = None, 0
+    for stop in (*WAVES, len(cells.pivots)):
+        stop = min(stop, len(cells.pivots))
+        if start == stop:
+            break
+        bound = F.lit(math.pi)
+        asking = asked
+        if found is not None:
+            reached = found.groupBy(F.col("query_id").alias("id")).agg(F.count(F.lit(1)).alias("n"), F.min("similarity").alias("low"))
+            asking = asked.join(reached, "id", "left")
+            bound = F.when(F.col("n") >= k, F.acos(F.greatest(F.least("low", F.lit(1.0)), F.lit(-1.0)))).otherwise(bound)
+        visits, n = written(cells.visits(asking.select("id", "vector", bound.alias("bound")), start, stop), "neighbour-visits")
+        start = stop
+        if not n["rows"]:
+            continue
+        more = _probe(visits, cells.rows, k, exclude_self, block_rows, dim)
+        both = more if found is None else more.unionByName(found)
+        found, _ = written(_rank(both, k).drop("rank"), "neighbours")
+    return _rank(found if found is not None else held.sparkSession.createDataFrame([], CANDIDATES), k)
+
+
+class PivotCells:
+    """Rows (id, vector) with the cell of their nearest pivot, and each cell's radius: the largest angle between a member
+    and the pivot. A row at angle `a` from a pivot is at least `a - radius` away from every member of its cell."""
+
+    def __init__(self, rows: DataFrame, lists: int, dim: int):
+        # any rows do as pivots; `lists` of them, MOST_CELLS at most unless the caller asks for more
+        drawn = rows.orderBy(F.xxhash64("id"), "id").limit(lists).select("vector").toArrow()
+        self.pivots = unit_rows(to_matrix(drawn["vector"], dim))
+        self.rows, _ = written(rows.withColumn("_home", self._home()).select("id", "vector", "_home.cell", "_home.angle"), "pivot-cells")
+        self.radius = np.full(len(self.pivots), -np.inf)
+        for row in self.rows.groupBy("cell").agg(F.max("angle").alias("r")).collect():  # one row per cell
+            self.radius[row["cell"]] = row["r"]
 
+    def _angles(self, vectors: pa.Array) -> np.ndarray:
+        return _angles(vectors, self.pivots)
 
-CANDIDATES = "query_id long, neighbour_id long, similarity double"
+    def _home(self):
+        pivots = self.pivots
+
+        @F.arrow_udf("cell int, angle double")
+        def home(vectors: pa.Array) -> pa.Array:
+            angles = _angles(vectors, pivots)
+            best = angles.argmin(axis=1)
+            return pa.StructArray.from_arrays([pa.array(best.astype(np.int32)), pa.array(angles[np.arange(len(best)), best])], ["cell", "angle"])
+
+        return home("vector")
+
+    def visits(self, df: DataFrame, start: int, stop: int) -> DataFrame:
+        """(id, vector, cell): the cells from place `start` to `stop` in a row's order (how near a member may be) that can
+        hold a member within the row's angle `bound`."""
+        pivots, radius = self.pivots, self.radius
+
+        @F.arrow_udf("array<int>")
+        def cells(vectors: pa.Array, bounds: pa.Array) -> pa.Array:
+            least = _angles(vectors, pivots) - radius  # empty cells are infinitely far
+            order = np.argsort(least, axis=1, kind="stable")[:, start:stop]
+            near = np.take_along_axis(least, order, axis=1) <= bounds.to_numpy(zero_copy_only=False)[:, None] + SLACK
+            offsets = np.concatenate([[0], np.cumsum(near.sum(axis=1))]).astype(np.int32)
+            return pa.ListArray.from_arrays(pa.array(offsets), pa.array(order[near].astype(np.int32)))
 
+        # outer: a plain explode makes Spark infer a filter that would run the function twice
+        return df.select("id", "vector", F.explode_outer(cells("vector", "bound")).alias("cell")).where(F.col("cell").isNotNull())
 
-def _empty(spark):
-    return spark.createDataFrame([], CANDIDATES)
 
+def _angles(vectors: pa.Array, pivots: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(unit_rows(to_matrix(vectors, pivots.shape[1])) @ pivots.T, -1.0, 1.0))
 
-def _top(query_ids: np.ndarray, ids: np.ndarray, sims: np.ndarray, k: int, exclude_self: bool) -> pd.DataFrame:
+
+def _top(query_ids: np.ndarray, ids: np.ndarray, sims: np.ndarray, k: int, exclude_self: bool) -> pa.Table:
     """The k best columns of every row (similarity down, then id up); undefined similarities never count."""
     keyed = np.round(sims, ORDER_DIGITS)
     undefined = np.isnan(keyed)
@@ -78,43 +151,7 @@ def _top(query_ids: np.ndarray, ids: np.ndarray, sims: np.ndarray, k: int, exclu
     rows, cols = rows[order], cols[order]
     place = np.arange(len(rows)) - np.searchsorted(rows, rows, side="left")
     rows, cols = rows[place < k], cols[place < k]
-    return pd.DataFrame({"query_id": query_ids[rows], "neighbour_id": ids[cols], "similarity": sims[rows, cols]})
-
-
-def _scan_top(queries: DataFrame, stored: DataFrame, k: int, exclude_self: bool) -> DataFrame:
-    spark = queries.sparkSession
-    table = queries.toArrow()
-    query_ids = table["id"].to_numpy()
-    dim = len(table["vector"][0])
-    shipped = spark.sparkContext.broadcast((query_ids, unit_rows(to_matrix(table["vector"], dim))))
-
-    def scan(batches):
-        query_ids, matrix = shipped.value
-        held, waiting = [], 0
-        for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            if not len(ids):
-                continue
-            units = unit_rows(to_matrix(batch.column(1), matrix.shape[1])).T
-            step = max(1, TILE_CELLS // len(ids))
-            for start in range(0, len(query_ids), step):
-                part = slice(start, start + step)
-                held.append(_top(query_ids[part], ids, matrix[part] @ units, k, exclude_self))
-                waiting += len(held[-1])
-            if waiting > 8 * k * len(query_ids):
-                held = [_trim(pd.concat(held), k)]
-                waiting = len(held[0])
-        if held:
-            yield pa.RecordBatch.from_pandas(_trim(pd.concat(held), k), preserve_index=False)
-
-    return stored.mapInArrow(scan, CANDIDATES)
-
-
-def _trim(frame: pd.DataFrame, k: int) -> pd.DataFrame:
-    keyed = frame.assign(_r=frame["similarity"].round(ORDER_DIGITS)).sort_values(
-        ["query_id", "_r", "neighbour_id"], ascending=[True, False, True]
-    )
-    return keyed.groupby("query_id").head(k).drop(columns="_r")
+    return pa.table({"query_id": query_ids[rows], "neighbour_id": ids[cols], "similarity": sims[rows, cols]})
 
 
 def _side(df: DataFrame, prefix: str) -> DataFrame:
@@ -122,21 +159,22 @@ def _side(df: DataFrame, prefix: str) -> DataFrame:
     return df.select(*[F.col(c).alias(f"{prefix}_{c.lstrip('_')}") for c in df.columns])
 
 
-def _block_compare(k: int, exclude_self: bool):
-    def compare(q: pd.DataFrame, s: pd.DataFrame) -> pd.DataFrame:
-        if q.empty or s.empty:
-            return pd.DataFrame({"query_id": [], "neighbour_id": [], "similarity": []})
-        sims = _stack(q["q_vector"]) @ _stack(s["s_vector"]).T
+def _block_compare(k: int, exclude_self: bool, dim: int):
+    def compare(q: pa.Table, s: pa.Table) -> pa.Table:
+        if not q.num_rows or not s.num_rows:
+            none = np.zeros(0, np.int64)
+            return pa.table({"query_id": none, "neighbour_id": none, "similarity": np.zeros(0)})
+        sims = unit_rows(to_matrix(q["q_vector"], dim)) @ unit_rows(to_matrix(s["s_vector"], dim)).T
         return _top(q["q_id"].to_numpy(), s["s_id"].to_numpy(), sims, k, exclude_self)
 
     return compare
 
 
-def _probe(asking: DataFrame, stored: DataFrame, k: int, exclude_self: bool, block_rows: int) -> DataFrame:
+def _probe(asking: DataFrame, stored: DataFrame, k: int, exclude_self: bool, block_rows: int, dim: int) -> DataFrame:
     """Candidates of queries (id, vector, cell) among stored rows (id, vector, cell) of the same cell. A crowded
     cell is split into blocks, and many queries for one cell into waves, so no task holds a whole hot cell."""
     blocks = F.ceil(F.count(F.lit(1)) / F.lit(block_rows)).cast("int")
-    # one row per cell, and there are at most `lists` cells, so the plan may be broadcast
+    # one row per cell, and the cells are bounded, so the plan may be broadcast
     plan = F.broadcast(stored.groupBy("cell").agg(blocks.alias("_blocks")).join(asking.groupBy("cell").agg(blocks.alias("_waves")), "cell"))
     hosts = (
         stored.select("id", "vector", "cell").join(plan, "cell").withColumn("_block", F.pmod(F.xxhash64("id"), F.col("_blocks")).cast("int"))
@@ -149,86 +187,112 @@ def _probe(asking: DataFrame, stored: DataFrame, k: int, exclude_self: bool, blo
     guests, hosts = _side(guests, "q"), _side(hosts, "s")
     return (
         guests.groupBy("q_cell", "q_block", "q_wave").cogroup(hosts.groupBy("s_cell", "s_block", "s_wave"))
-        .applyInPandas(_block_compare(k, exclude_self), CANDIDATES)
+        .applyInArrow(_block_compare(k, exclude_self, dim), CANDIDATES)
     )
 
 
-def _cell_top(queries, stored, k, exclude_self, block_rows, lists, probes: int = 2) -> DataFrame:
-    index = CellIndex(stored, lists)
-    asking = cut(index.nearest_cells(queries, probes))
-    first = cut(_rank(_probe(asking, index.rows, k, exclude_self, block_rows), k).drop("rank"))
-    reached = first.groupBy(F.col("query_id").alias("id")).agg(F.count(F.lit(1)).alias("n"), F.min("similarity").alias("low"))
-    bound = F.when(F.col("n") >= k, F.acos(F.greatest(F.least("low", F.lit(1.0)), F.lit(-1.0)))).otherwise(F.lit(math.pi))
-    open_queries = queries.join(reached, "id", "left").select("id", "vector", F.coalesce(bound, F.lit(math.pi)).alias("bound"))
-    rest = cut(index.cells_within(open_queries, "bound", skip=probes))
-    return first.unionByName(_probe(rest, index.rows, k, exclude_self, block_rows))
-
-
 # --- partner mining ---------------------------------------------------------------------------------------
 
 
-def with_partner(df: DataFrame, label: str, id: str, vector: str, threshold: float, block_rows: int = BLOCK_ROWS, lists: int = 256) -> DataFrame:
+def with_partner(df: DataFrame, label: str, id: str, vector: str, threshold: float, block_rows: int = BLOCK_ROWS, lists: int = LABEL_CELLS) -> DataFrame:
     """Rows that form at least one pair with cosine > threshold inside their label.
 
-    A label that fits one block is one comparison. A larger one is split by cell (near vectors share a cell,
-    so most partners meet at once) and crowded cells again by hash; a label with a third of the table is thus
-    many tasks. Rows still without a partner visit the blocks of those cells that can hold one, by centre
-    distance and cell radius. Tasks answer with matched ids, never with pairs.
+    Every label has pivots, one for a block's worth of rows and more with the root of its size. Its rows lie in the cell of
+    their nearest pivot, by their angle to it, in stretches of about `block_rows` rows (stretches that many rows share an
+    angle of are split by hash). Rows first meet those of their own stretch. A row that found nobody then visits,
+    in each cell, the window of stretches whose angles are within the threshold's angle of its own. Tasks answer with
+    matched ids, never with pairs. Vectors of different lengths do not meet; null labels, null vectors and vectors
+    without direction have no partner.
     """
-    slim = df.select(F.col(label).alias("label"), F.col(id).alias("id"), F.col(vector).alias("vector")).where(F.col("vector").isNotNull())
-    sizes = cut(slim.groupBy("label").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1))
-    large = sizes.where(F.col("n") > block_rows)
-    small_rows = slim.join(sizes.where(F.col("n") <= block_rows).select("label"), "label", "left_semi")
-    matched = _matched_inside(small_rows.withColumn("cell", F.lit(0)).withColumn("block", F.lit(0)), threshold)
-    matched = matched.where("matched").select("id")
-    if not large.isEmpty():
-        matched = matched.unionByName(_large_label_partners(slim.join(large.select("label"), "label", "left_semi"), threshold, block_rows, lists))
-    return df.join(matched.withColumnRenamed("id", id), id, "left_semi")
-
-
-def _matched_inside(placed: DataFrame, threshold: float) -> DataFrame:
-    """(id, matched): whether a row has a partner in its own block."""
-
-    def inside(pdf: pd.DataFrame) -> pd.DataFrame:
-        unit = _stack(pdf["vector"])
+    reach = math.acos(max(-1.0, min(1.0, threshold))) + SLACK
+    slim = df.select(F.col(label).alias("label"), F.col(id).alias("id"), F.col(vector).cast("array<double>").alias("vector"))
+    slim = slim.where(F.col("label").isNotNull() & F.exists("vector", lambda x: x != 0)).withColumn("dim", F.size("vector"))
+    kinds = {c: slim.schema[c].dataType.simpleString() for c in ("label", "id")}
+    key = ["label", "dim"]
+    sizes = slim.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
+    sized = slim.join(sizes, key).withColumns({
+        "share": F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / block_rows)).cast("int"),
+        "pivot": F.pmod(F.hash("id"), F.least(F.lit(lists), F.ceil(F.sqrt(F.col("n") / block_rows)))).cast("int")})
+    pivots = sized.groupBy(*key, "pivot").agg(F.min_by("vector", F.xxhash64("id")).alias("vector"))
+    pivots = pivots.groupBy(*key).agg(F.flatten(F.collect_list("vector")).alias("pivots"))  # `lists` vectors at most
+
+    def pack(group: tuple, rows: pa.Table) -> pa.Table:
+        n, dim = rows.num_rows, group[1].as_py()
+        ids = pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), rows["id"].combine_chunks())
+        flat = pa.ListArray.from_arrays(pa.array([0, n * dim], pa.int32()), pa.array(to_matrix(rows["vector"], dim).ravel()))
+        return pa.table({"label": rows["label"].slice(0, 1), "dim": pa.array([dim], pa.int32()), "ids": ids, "flat": flat})
+
+    packed = sized.groupBy(*key, "share").applyInArrow(pack, f"label {kinds['label']}, dim int, ids array<{kinds['id']}>, flat array<double>")
+
+    def assign(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                dim, ids = batch.column("dim")[i].as_py(), batch.column("ids")[i].values
+                rows, centres = (batch.column(c)[i].values.to_numpy(zero_copy_only=False).reshape(-1, dim) for c in ("flat", "pivots"))
+                angles = np.arccos(np.clip(unit_rows(rows) @ unit_rows(centres).T, -1.0, 1.0))
+                cell, n = angles.argmin(axis=1), len(rows)
+                lists_of = lambda m: pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * m.shape[1]), pa.array(m.ravel()))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.repeat(batch.column("label")[i], n), pa.array(np.full(n, dim, np.int32)), ids, lists_of(rows), pa.array(cell.astype(np.int32)),
+                     pa.array(angles[np.arange(n), cell]), lists_of(angles)], names=["label", "dim", "id", "vector", "cell", "angle", "angles"])
+
+    schema = f"label {kinds['label']}, dim int, id {kinds['id']}, vector array<double>, cell int, angle double, angles array<double>"
+    placed, _ = written(packed.join(pivots, key).mapInArrow(assign, schema), "partner-rows")
+
+    # stretches of equal width over the angles of a cell, and parts of those that many rows share
+    cells = placed.groupBy(*key, "cell").agg(F.min("angle").alias("low"), F.max("angle").alias("high"), F.ceil(F.count(F.lit(1)) / block_rows).alias("bins"))
+    cells, _ = written(cells.withColumn("width", (F.col("high") - F.col("low")) / F.col("bins") + SLACK), "partner-cells")
+    cell = [*key, "cell"]
+    bin_ = lambda angle: F.least(F.floor((angle - F.col("low")) / F.col("width")), F.col("bins") - 1)
+    binned = placed.join(cells.select(*cell, "low", "width", "bins"), cell).withColumn("bin", bin_(F.col("angle"))).drop("low", "width", "bins")
+    stretches, _ = written(binned.groupBy(*cell, "bin").agg(F.ceil(F.count(F.lit(1)) / block_rows).alias("parts")), "partner-stretches")
+    place = [*cell, "bin", "part"]
+    binned = binned.join(stretches, [*cell, "bin"]).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts"))).drop("parts")
+
+    def inside(group: tuple, rows: pa.Table) -> pa.Table:
+        unit = unit_rows(to_matrix(rows["vector"], group[1].as_py()))
         sims = unit @ unit.T
-        np.fill_diagonal(sims, np.nan)
-        return pd.DataFrame({"id": pdf["id"], "matched": (sims > threshold).any(axis=1)})
-
-    id_type = placed.schema["id"].dataType.simpleString()
-    return placed.groupBy("label", "cell", "block").applyInPandas(inside, f"id {id_type}, matched boolean")
-
-
-def _large_label_partners(rows: DataFrame, threshold: float, block_rows: int, lists: int) -> DataFrame:
-    index = CellIndex(rows, lists)
-    blocks = index.rows.groupBy("label", "cell").agg(F.ceil(F.count(F.lit(1)) / F.lit(block_rows)).cast("int").alias("blocks"))
-    placed = cut(index.rows.join(blocks, ["label", "cell"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")))
-    settled = cut(_matched_inside(placed, threshold))
-    open_rows = placed.join(settled.where(~F.col("matched")).select("id"), "id", "left_semi").select(
-        "label", "id", "vector", F.col("cell").alias("home_cell"), F.col("block").alias("home_block"),
-        F.lit(math.acos(max(-1.0, min(1.0, threshold)))).alias("bound"),
-    )
-    # (label, cell) places an open row has to visit; those without rows of the label fall out in the join
-    visits = index.cells_within(open_rows, "bound").join(blocks, ["label", "cell"])
-    visits = visits.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    visits = cut(visits.where((F.col("cell") != F.col("home_cell")) | (F.col("block") != F.col("home_block"))))
-    place = ["label", "cell", "block"]
-    waves = visits.groupBy(*place).agg(F.ceil(F.count(F.lit(1)) / F.lit(block_rows)).cast("int").alias("waves"))
-    guests = visits.join(waves, place).withColumn("wave", F.pmod(F.xxhash64("id"), F.col("waves")).cast("int"))
-    hosts = placed.join(waves, place).withColumn("wave", F.explode(F.sequence(F.lit(0), F.col("waves") - 1)))
-    guests, hosts = _side(guests, "q"), _side(hosts, "s")
+        np.fill_diagonal(sims, -np.inf)
+        matched = (sims > threshold).any(axis=1)
+        return rows.select(["id", *place, "angles"]).append_column("matched", pa.array(matched))
+
+    found = binned.groupBy(*place).applyInArrow(inside, f"id {kinds['id']}, label {kinds['label']}, dim int, cell int, bin long, part long, angles array<double>, matched boolean")
+    settled, n = written(found, "partner-settled", left=F.count_if(~F.col("matched")))
+    matched = settled.where("matched").select("id")
+    blocks = stretches.agg(F.sum("parts").alias("n"), F.count_distinct(*key).alias("labels")).first()
+    if n["left"] and blocks["n"] > blocks["labels"]:  # some label has more than one block
+        seekers = settled.where("NOT matched").join(binned.select("id", *place, "vector"), ["id", *place])
+        matched = matched.unionByName(_visitors(seekers, binned, cells, stretches, place, reach, threshold, block_rows, kinds["id"]))
+    return df.join(matched.withColumnRenamed("id", id), id, "left_semi")
 
-    def across(q: pd.DataFrame, s: pd.DataFrame) -> pd.DataFrame:
-        if q.empty or s.empty:
-            return pd.DataFrame({"id": []})
-        return pd.DataFrame({"id": q["q_id"][(_stack(q["q_vector"]) @ _stack(s["s_vector"]).T > threshold).any(axis=1)]})
 
-    id_type = rows.schema["id"].dataType.simpleString()
-    late = (
-        guests.groupBy("q_label", "q_cell", "q_block", "q_wave").cogroup(hosts.groupBy("s_label", "s_cell", "s_block", "s_wave"))
-        .applyInPandas(across, f"id {id_type}").distinct()
-    )
-    return settled.where("matched").select("id").unionByName(late)
+def _visitors(seekers: DataFrame, binned: DataFrame, cells: DataFrame, stretches: DataFrame, place: list[str], reach: float, threshold: float, block_rows: int, id_type: str) -> DataFrame:
+    """Ids of the seekers that have a partner in another block than their own."""
+    key = ["label", "dim"]
+    home = [F.col(c).alias(f"own_{c}") for c in ("cell", "bin", "part")]
+    rows = seekers.select(*key, "id", "vector", *home, F.posexplode("angles").alias("cell", "toward"))
+    # by the triangle inequality a partner's angle to the pivot lies within `reach` of the seeker's
+    within = rows.join(cells, [*key, "cell"]).where((F.col("toward") + reach >= F.col("low")) & (F.col("toward") - reach <= F.col("high")))
+    first = F.greatest(F.lit(0), F.floor((F.col("toward") - reach - F.col("low")) / F.col("width")))
+    last = F.least(F.col("bins") - 1, F.floor((F.col("toward") + reach - F.col("low")) / F.col("width")))
+    within = within.select(*key, "id", "vector", "own_cell", "own_bin", "own_part", "cell", F.explode(F.sequence(first, last)).alias("bin"))
+    visits = within.join(stretches, [*key, "cell", "bin"]).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    elsewhere = (F.col("cell") != F.col("own_cell")) | (F.col("bin") != F.col("own_bin")) | (F.col("part") != F.col("own_part"))
+    visits, _ = written(visits.where(elsewhere).select("id", "vector", *place), "partner-visits")
+    waves = visits.groupBy(*place).agg(F.ceil(F.count(F.lit(1)) / block_rows).alias("waves"))
+    guests = visits.join(waves, place).withColumn("wave", F.pmod(F.xxhash64("id"), F.col("waves")))
+    hosts = binned.select("vector", *place).join(waves, place).withColumn("wave", F.explode(F.sequence(F.lit(0).cast("long"), F.col("waves") - 1)))
+    guests, hosts = _side(guests.drop("waves"), "q"), _side(hosts.drop("waves"), "s")
+
+    def across(group: tuple, q: pa.Table, s: pa.Table) -> pa.Table:
+        if not q.num_rows or not s.num_rows:
+            return q.select([]).append_column("id", q["q_id"]).slice(0, 0)
+        dim = group[1].as_py()
+        sims = unit_rows(to_matrix(q["q_vector"], dim)) @ unit_rows(to_matrix(s["s_vector"], dim)).T
+        return pa.table({"id": q["q_id"].filter(pa.array((sims > threshold).any(axis=1)))})
+
+    met = guests.groupBy(*[f"q_{c}" for c in (*place, "wave")]).cogroup(hosts.groupBy(*[f"s_{c}" for c in (*place, "wave")]))
+    return met.applyInArrow(across, f"id {id_type}").distinct()
 
 
 # --- pair statistics without pairs ------------------------------------------------------------------------
@@ -286,7 +350,7 @@ def uniformity(df: DataFrame, id: str, vector: str, sample: int = 2000, seed: in
     return parts.agg(F.log(F.try_divide(F.sum("total"), F.sum("pairs"))).alias("uniformity"))
 
 
-# --- cells ------------------------------------------------------------------------------------------------
+# --- inverted lists ---------------------------------------------------------------------------------------
 
 
 def build_cells(stored: DataFrame, lists: int = 100, seed: int = 42) -> np.ndarray:
@@ -304,8 +368,13 @@ def build_cells(stored: DataFrame, lists: int = 100, seed: int = 42) -> np.ndarr
 
 def assign_cells(df: DataFrame, centroids: np.ndarray, vector: str, probes: int = 1, name: str = "cell") -> DataFrame:
     """Add the nearest `probes` cells of each row, one row per cell. The centroid matrix is lists x dim."""
-    count, dim = centroids.shape
-    take = min(probes, count)
+    # outer: a plain explode makes Spark infer a filter that would run the function twice
+    return df.withColumn(name, F.explode_outer(nearest_cells(centroids, probes)(vector)))
+
+
+def nearest_cells(centroids: np.ndarray, probes: int):
+    """Arrow UDF: the nearest `probes` cells of each vector, nearest first."""
+    take = min(probes, len(centroids))
 
     @F.arrow_udf("array<int>")
     def cells(vectors: pa.Array) -> pa.Array:
@@ -313,8 +382,7 @@ def assign_cells(df: DataFrame, centroids: np.ndarray, vector: str, probes: int
         offsets = pa.array(np.arange(len(vectors) + 1, dtype=np.int32) * take)
         return pa.ListArray.from_arrays(offsets, pa.array(best.ravel()))
 
-    # outer: a plain explode makes Spark infer a filter that would run the function twice
-    return df.withColumn(name, F.explode_outer(cells(vector)))
+    return cells
 
 
 def _centre_sims(vectors: pa.Array, centroids: np.ndarray) -> np.ndarray:
@@ -323,60 +391,68 @@ def _centre_sims(vectors: pa.Array, centroids: np.ndarray) -> np.ndarray:
     return np.where(np.isnan(sims), -2.0, np.clip(sims, -1.0, 1.0))
 
 
-class CellIndex:
-    """Rows with their nearest cell, and each cell's radius: the largest angle between a member and the
-    centre. On the sphere angles obey the triangle inequality, so a row at angle `a` from a centre is at least
-    `a - radius` away from every member."""
-
-    SLACK = 1e-6  # covers rounding in angles
-
-    def __init__(self, rows: DataFrame, lists: int = 256):
-        self.centroids = build_cells(rows, lists)
-        self.rows = cut(rows.withColumn("_home", self._home("vector")).select(*rows.columns, "_home.cell", F.col("_home.angle").alias("_angle")))
-        self.radius = np.full(len(self.centroids), -np.inf)
-        # one row per cell
-        for row in self.rows.groupBy("cell").agg(F.max("_angle").alias("r")).collect():
-            self.radius[row["cell"]] = row["r"]
-        self.rows = self.rows.drop("_angle")
-
-    def _home(self, vector: str):
-        centroids = self.centroids
-
-        @F.arrow_udf("cell int, angle double")
-        def home(vectors: pa.Array) -> pa.Array:
-            sims = _centre_sims(vectors, centroids)
-            best = sims.argmax(axis=1)
-            top = sims[np.arange(len(sims)), best]
-            angle = np.where(top < -1.0, 0.0, np.arccos(np.clip(top, -1.0, 1.0)))
-            return pa.StructArray.from_arrays([pa.array(best.astype(np.int32)), pa.array(angle)], ["cell", "angle"])
-
-        return home(vector)
-
-    def nearest_cells(self, df: DataFrame, probes: int) -> DataFrame:
-        return assign_cells(df, self.centroids, "vector", probes)
-
-    def cells_within(self, df: DataFrame, bound: str, skip: int = 0) -> DataFrame:
-        """One row per cell that can hold a member within the row's angle `bound`, without its `skip` nearest."""
-        centroids, radius, slack = self.centroids, self.radius, self.SLACK
-
-        @F.arrow_udf("array<int>")
-        def cells(vectors: pa.Array, bounds: pa.Array) -> pa.Array:
-            sims = _centre_sims(vectors, centroids)
-            angles = np.where(sims < -1.0, np.inf, np.arccos(np.clip(sims, -1.0, 1.0)))
-            near = angles - radius[None, :] <= bounds.to_numpy(zero_copy_only=False)[:, None] + slack
-            if skip:
-                done = np.argsort(-sims, axis=1, kind="stable")[:, :skip]
-                near[np.arange(len(near))[:, None], done] = False
-            offsets = np.concatenate([[0], np.cumsum(near.sum(axis=1))]).astype(np.int32)
-            return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.nonzero(near)[1].astype(np.int32)))
-
-        return df.withColumn("cell", F.explode_outer(cells("vector", bound))).where(F.col("cell").isNotNull())
+class InvertedLists:
+    """A stored index: rows (id, vector) in a table partitioned by the cell of their nearest centroid, next to the
+    centroids. A search reads the partitions of the cells that its queries probe and no others."""
+
+    def __init__(self, path: str, centroids: np.ndarray):
+        self.path, self.centroids = path, centroids
+
+    @classmethod
+    def build(cls, rows: DataFrame, lists: int = 100, path: str | None = None, block_rows: int = 1 << 20) -> InvertedLists:
+        """Fit the centroids and write the lists. A list is as many files as it has `block_rows` rows, each from a task of
+        its own."""
+        usable, _, _ = by_length(rows.select("id", "vector"))
+        centroids = build_cells(usable, lists)
+        path = path or scratch(rows.sparkSession, "inverted-lists")
+        placed = assign_cells(usable, centroids, "vector")
+        share = F.pmod(F.xxhash64("id"), F.lit(max(1, math.ceil(usable.count() / lists / block_rows)))).cast("int")
+        placed.repartition("cell", share).write.partitionBy("cell").parquet(f"{path}/lists")
+        centre_rows = [(i, [float(x) for x in c]) for i, c in enumerate(centroids)]
+        rows.sparkSession.createDataFrame(centre_rows, "cell int, centroid array<double>").write.parquet(f"{path}/centroids")
+        return cls(path, centroids)
+
+    @classmethod
+    def open(cls, spark, path: str) -> InvertedLists:
+        found = spark.read.parquet(f"{path}/centroids").orderBy("cell").collect()
+        return cls(path, np.array([r["centroid"] for r in found]))
+
+    def probed(self, queries: DataFrame, probes: int) -> tuple[DataFrame, DataFrame]:
+        """(asking, lists): the queries once for every cell they probe, and the rows of those cells. The cells come out of a
+        filtered table, so Spark prunes the partitions of the lists at run time."""
+        spark = queries.sparkSession
+        asking, _ = written(assign_cells(queries.select("id", "vector"), self.centroids, "vector", probes), "list-queries")
+        wanted = asking.where(F.col("cell") >= 0).select("cell").distinct()
+        lists = spark.read.parquet(f"{self.path}/lists")
+        return asking, lists.join(F.broadcast(wanted), "cell", "left_semi")  # a row per centroid at most
+
+    def search(self, queries: DataFrame, k: int, probes: int = 10, exclude_self: bool = False, block_rows: int = BLOCK_ROWS) -> DataFrame:
+        """(query_id, neighbour_id, similarity, rank) among the rows of each query's nearest `probes` cells; with all
+        cells probed the exact answer."""
+        usable, _, dim = by_length(queries.select("id", "vector"), self.centroids.shape[1])
+        asking, lists = self.probed(usable, probes)
+        return _rank(_probe(asking, lists, k, exclude_self, block_rows, dim), k)
+
+    def probes_for(self, exact: DataFrame, recall: float = 0.9) -> int:
+        """The fewest probes with which at least this share of the pairs of `exact` (query_id, neighbour_id) is found: the
+        quantile of the place that a neighbour's cell has among its query's."""
+        rows = exact.sparkSession.read.parquet(f"{self.path}/lists")
+        homes = rows.select(F.col("id").alias("neighbour_id"), F.col("cell").alias("home"))
+        orders = rows.select(F.col("id").alias("query_id"), nearest_cells(self.centroids, len(self.centroids))("vector").alias("cells"))
+        places = exact.select("query_id", "neighbour_id").join(homes, "neighbour_id").join(orders, "query_id")
+        counts = places.groupBy(F.array_position("cells", F.col("home")).cast("int").alias("place")).agg(F.count(F.lit(1)).alias("n")).orderBy("place").collect()  # a row per centroid at most
+        total, found = sum(r["n"] for r in counts), 0
+        for row in counts:
+            found += row["n"]
+            if found >= recall * total:
+                return row["place"]
+        return len(self.centroids)
 
 
 def probe_nearest(queries: DataFrame, cells: DataFrame, centroids: np.ndarray, k: int, probes: int = 10,
                   exclude_self: bool = False, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Approximate top-k: each query meets the vectors of its nearest `probes` cells only. `cells` is
-    `assign_cells` output (id, vector, cell), best kept as a table partitioned by cell."""
+    `assign_cells` output (id, vector, cell); `InvertedLists` keeps it as a table partitioned by cell."""
     usable = queries.select("id", "vector").where(F.col("vector").isNotNull())
     asking = cut(assign_cells(usable, centroids, "vector", probes))
-    return _rank(_probe(asking, cells, k, exclude_self, block_rows), k)
+    return _rank(_probe(asking, cells, k, exclude_self, block_rows, centroids.shape[1]), k)

@@ -12,7 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from talus.session import cut
+from talus.session import cut, written
 
 PART_BITS = 33  # low bits that hold the position in monotonically_increasing_id
 
@@ -76,27 +76,33 @@ def running_before(df: DataFrame, value: str, order: list, groups: list[str] = (
 # A batch is closed when the next group would lift it above the limit. All that a range partition needs to
 # know of the ones before it is the fill of the open batch (0..limit; an oversize batch counts as full). Each
 # partition therefore reports, for every possible incoming fill, the fill it leaves and how many batches it
-# opens. Chaining those small tables gives every partition its true starting state, and a second pass numbers
-# the batches: the result is exactly that of one sequential scan.
+# opens. Such a report is a function from fill to fill, and functions of neighbours compose to one for both: reports
+# are composed in a tree, FAN at a time, and on the way down every partition gets its true starting state. A last pass
+# numbers the batches: the result is exactly that of one sequential scan.
 
+FAN = 64  # reports that one task composes
 
-def _next_starts(sizes: np.ndarray, limit: int):
-    """prefix sums, and for a batch starting at i the index where the following batch starts."""
+
+def _next_starts(sizes: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """prefix sums, and for a batch starting at i the index where the following batch starts (the last index, beyond all
+    groups, leads to itself)."""
     prefix = np.concatenate([[0], np.cumsum(sizes)])
     follow = np.searchsorted(prefix[1:], prefix[:-1] + limit, side="right")
-    return prefix, np.maximum(follow, np.arange(len(sizes)) + 1)
+    return prefix, np.append(np.maximum(follow, np.arange(len(sizes)) + 1), len(sizes))
 
 
 def fill_table(sizes: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
     """(fill left, batches opened) for each incoming fill 0..limit."""
     rows = len(sizes)
     prefix, follow = _next_starts(sizes, limit)
-    opened = np.zeros(rows + 1, dtype=np.int64)
-    left = np.zeros(rows + 1, dtype=np.int64)
-    for i in range(rows - 1, -1, -1):
-        j = follow[i]
-        opened[i] = opened[j] + 1
-        left[i] = left[j] if j < rows else min(prefix[rows] - prefix[i], limit)
+    # pointer doubling: where 2^k batches lead, how many of them there are, and where the last of them starts
+    jump, opened = follow.copy(), np.append(np.ones(rows, dtype=np.int64), 0)
+    last = np.arange(rows + 1)
+    while (jump < rows).any():
+        last = np.where(jump < rows, last[jump], last)
+        opened = opened + opened[jump]
+        jump = jump[jump]
+    left = np.append(np.minimum(prefix[rows] - prefix[last[:rows]], limit), 0)
     fills = np.arange(limit + 1)
     first = np.searchsorted(prefix[1:], limit - fills, side="right")
     first[0] = 0  # an empty batch takes the first group whatever its size
@@ -110,11 +116,54 @@ def batch_numbers(sizes: np.ndarray, limit: int, fill: int, base: int) -> np.nda
     rows = len(sizes)
     prefix, follow = _next_starts(sizes, limit)
     start = 0 if fill == 0 else int(np.searchsorted(prefix[1:], limit - fill, side="right"))
-    opens = np.zeros(rows, dtype=np.int64)
-    while start < rows:
-        opens[start] = 1
-        start = int(follow[start])
-    return base - 1 + np.cumsum(opens)
+    jumps = [follow]
+    while (jumps[-1] < rows).any():
+        jumps.append(jumps[-1][jumps[-1]])
+    # every number of steps from the start is a sum of powers of two
+    opens = np.array([start])
+    for jump in reversed(jumps):
+        opens = np.unique(np.concatenate([opens, jump[opens]]))
+    marks = np.zeros(rows + 1, dtype=np.int64)
+    marks[opens] = 1
+    return base - 1 + np.cumsum(marks[:rows])
+
+
+def _composed(tables: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The report of several neighbours, given in order, as one."""
+    fill, opened = None, None
+    for left, more in zip(tables["_left"], tables["_opened"]):
+        left, more = np.asarray(left), np.asarray(more)
+        fill, opened = (left, more) if fill is None else (left[fill], opened + more[fill])
+    return fill, opened
+
+
+def _starting_states(reports: DataFrame) -> DataFrame:
+    """(_epoch, _part, _fill, _base) of reports (_epoch, _part, _left, _opened): what every part starts from. `_part` are
+    numbers in the order of the parts, with gaps or without."""
+
+    def compose(pdf: pd.DataFrame) -> pd.DataFrame:
+        left, opened = _composed(pdf.sort_values("_part"))
+        return pd.DataFrame({"_epoch": pdf["_epoch"].iloc[:1], "_part": pdf["_part"].iloc[:1] // FAN, "_left": [left], "_opened": [opened]})
+
+    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_part")
+        fill, base = (0, 0) if "_fill" not in pdf else (int(pdf["_fill"].iloc[0]), int(pdf["_base"].iloc[0]))
+        fills, bases = [], []
+        for left, opened in zip(pdf["_left"], pdf["_opened"]):
+            fills.append(fill)
+            bases.append(base)
+            fill, base = int(left[fill]), base + int(opened[fill])
+        return pd.DataFrame({"_epoch": pdf["_epoch"], "_part": pdf["_part"], "_fill": fills, "_base": bases})
+
+    states = "_epoch long, _part int, _fill long, _base long"
+    above = F.expr(f"_part div {FAN}").cast("int")
+    reports, n = written(reports, "fill-tables", last=F.max("_part"))
+    if (n["last"] or 0) < FAN:
+        return reports.groupBy("_epoch").applyInPandas(chain, states)
+    groups = reports.withColumn("_group", above).groupBy("_epoch", "_group").applyInPandas(compose, "_epoch long, _part int, _left array<long>, _opened array<long>")
+    starts = _starting_states(groups).withColumnsRenamed({"_part": "_group"})
+    joined = reports.withColumn("_group", above).join(starts, ["_epoch", "_group"])
+    return joined.groupBy("_epoch", "_group").applyInPandas(chain, states)
 
 
 def pack_batches(groups: DataFrame, size: str, order: list, limit: int, epoch: str = "epoch", name: str = "batch") -> DataFrame:
@@ -129,15 +178,6 @@ def pack_batches(groups: DataFrame, size: str, order: list, limit: int, epoch: s
         left, opened = fill_table(pdf["_size"].to_numpy(), limit)
         return pd.DataFrame({"_epoch": [pdf["_epoch"].iloc[0]], "_part": [pdf["_part"].iloc[0]], "_left": [left], "_opened": [opened]})
 
-    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_part")
-        fill, base, fills, bases = 0, 0, [], []
-        for left, opened in zip(pdf["_left"], pdf["_opened"]):
-            fills.append(fill)
-            bases.append(base)
-            fill, base = int(left[fill]), base + int(opened[fill])
-        return pd.DataFrame({"_epoch": pdf["_epoch"], "_part": pdf["_part"], "_fill": fills, "_base": bases})
-
     def number(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_seq")
         batch = batch_numbers(pdf["_size"].to_numpy(), limit, int(pdf["_fill"].iloc[0]), int(pdf["_base"].iloc[0]))
@@ -147,9 +187,8 @@ def pack_batches(groups: DataFrame, size: str, order: list, limit: int, epoch: s
     reports = slim.groupBy("_epoch", "_part").applyInPandas(
         report, "_epoch long, _part int, _left array<long>, _opened array<long>"
     )
-    states = reports.groupBy("_epoch").applyInPandas(chain, "_epoch long, _part int, _fill long, _base long")
     numbered = (
-        slim.join(states, ["_epoch", "_part"]).groupBy("_epoch", "_part").applyInPandas(number, f"_seq long, {name} long")
+        slim.join(_starting_states(reports), ["_epoch", "_part"]).groupBy("_epoch", "_part").applyInPandas(number, f"_seq long, {name} long")
     )
     return marked.join(numbered, "_seq").drop("_seq", "_part")
 

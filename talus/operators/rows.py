@@ -27,10 +27,15 @@ def with_group_minimum(df: DataFrame, key: str, minimum: int = 2) -> DataFrame:
     return df.join(enough, key, "left_semi")
 
 
-def upsert(existing: DataFrame, incoming: DataFrame, keys: list[str], arrival: Column) -> DataFrame:
-    """Existing rows not named by `incoming`, plus the last incoming row of every key."""
+def upsert(existing: DataFrame, incoming: DataFrame, keys: list[str], arrival: Column, within: Column | None = None) -> DataFrame:
+    """Existing rows not named by `incoming`, plus the last incoming row of every key. `within` is a condition that all
+    incoming rows fulfil, such as their version: existing rows outside it are passed on where they are."""
     fresh = last_per_key(incoming, keys, arrival)
-    return existing.join(fresh.select(*keys), keys, "left_anti").unionByName(fresh)
+    if within is None:
+        return existing.join(fresh.select(*keys), keys, "left_anti").unionByName(fresh)
+    inside = F.coalesce(within, F.lit(False))
+    left = existing.where(inside).join(fresh.select(*keys), keys, "left_anti")
+    return existing.where(~inside).unionByName(left).unionByName(fresh)
 
 
 def first_by_hash(df: DataFrame, digest: str, position: str, seen: DataFrame | None = None) -> DataFrame:

@@ -66,4 +66,4 @@ def embed_pending(images: DataFrame, embeddings: DataFrame, content: str, make_e
     fresh = good.withColumn("computed_at", F.current_timestamp())
     if "computed_at" not in embeddings.columns:
         fresh = fresh.drop("computed_at")
-    return upsert(embeddings, fresh, [key, "model_version"], F.col(key)), failed
+    return upsert(embeddings, fresh, [key, "model_version"], F.col(key), F.col("model_version") == model_version), failed

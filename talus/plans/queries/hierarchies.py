@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from talus.operators import hierarchy as H
+from talus.operators import hierarchy as H, pages as P
 from talus.plans.registry import query
-from talus.session import scratch
+from talus.session import cut, scratch
 from talus.sources import tree as T
 
 
@@ -141,6 +141,46 @@ def tree_line_files(c):
     return T.read_lines(c.spark, path).groupBy("kind").agg(F.count("url").alias("n"))
 
 
+def order_documents(c) -> DataFrame:
+    """One nested document a customer: its orders as routes, each listed in an area of its status and in one of its priority.
+    Areas stand by their newest order, newest first, and so do routes: no order of the alphabet."""
+    key = F.explode(F.array(F.concat(F.lit("status-"), "o_orderstatus"), F.concat(F.lit("priority-"), "o_orderpriority"))).alias("key")
+    number = F.col("o_orderkey").cast("string")
+    route = F.struct("o_orderkey", F.concat(F.lit("Order "), number).alias("name"), F.concat(F.lit("https://x/route/"), number).alias("url"))
+    listed = c.table("orders").select("o_custkey", "o_orderkey", route.alias("route"), key)
+    home = F.concat(F.lit("https://x/customer/"), F.col("o_custkey").cast("string"))
+    per = listed.groupBy("o_custkey", "key").agg(F.max("o_orderkey").alias("last"), F.sort_array(F.collect_list("route"), False).alias("routes"))
+    node = F.struct(F.lit("area").alias("type"), F.concat(home, F.lit("/"), "key").alias("url"), F.transform("routes", lambda r: F.struct(r["name"], r["url"])).alias("routes"))
+    docs = per.groupBy("o_custkey").agg(F.sort_array(F.collect_list(F.struct("last", "key", node.alias("node"))), False).alias("areas"))
+    below = F.map_from_entries(F.transform("areas", lambda a: F.struct(a["node"]["url"], a["node"])))
+    return docs.select(F.col("o_custkey").cast("string").alias("doc"), F.to_json(F.struct(F.lit("area").alias("type"), home.alias("url"), below.alias("subareas"))).alias("node"))
+
+
+LISTED = "SELECT o_custkey AS cust, o_orderkey AS o, unnest(['status-' || o_orderstatus, 'priority-' || o_orderpriority]) AS key FROM orders"
+KEYS = "SELECT cust, key, row_number() OVER (PARTITION BY cust ORDER BY max(o) DESC, key DESC) AS pos FROM listed GROUP BY cust, key"
+
+
+@query("R7 K7 S1", """
+    SELECT 'Order ' || o AS name, 'https://x/customer/' || cust || '/' || arg_min(key, pos) AS area_url FROM listed JOIN keys USING (cust, key) GROUP BY cust, o""",
+    listed=LISTED, keys=KEYS)
+def nested_first_listing(c):
+    """Routes of nested documents that list each twice: the area that comes first in the document keeps it."""
+    lines = T.document_lines(order_documents(c))
+    lines = lines.withColumn("arrival", F.concat(F.lpad("doc", 12, "0"), F.lit("/"), "arrival"))
+    areas = T.area_rows(lines)
+    return T.route_rows(lines, areas).join(areas.select(F.col("id").alias("area_id"), F.col("url").alias("area_url")), "area_id").select("name", "area_url")
+
+
+@query("R10 R6", """
+    SELECT 'https://x/customer/' || cust || '/' || key AS area_url, 'Order ' || o AS route_name FROM (
+        SELECT l.*, k.pos, row_number() OVER (PARTITION BY cust, key ORDER BY o DESC) AS rn FROM listed l JOIN keys k USING (cust, key)) WHERE pos <= 2 AND rn <= 2""",
+    listed=LISTED, keys=KEYS)
+def nested_trimmed_routes(c):
+    """The first two areas of every nested document with the first two routes of each."""
+    _, routes = T.trim(order_documents(c), 2, 2)
+    return routes.select("area_url", "route_name")
+
+
 LINKS = "SELECT id AS src, id * 2 AS dst FROM part_tree UNION ALL SELECT id, id * 2 + 1 FROM part_tree"
 REACHED = """SELECT 1::BIGINT AS url, 0 AS distance UNION ALL
     SELECT l.dst, r.distance + 1 FROM reached r JOIN part_tree p ON p.id = r.url JOIN links l ON l.src = r.url"""
@@ -156,3 +196,23 @@ def pages_reached_over_links(c):
     roots = c.part_tree.where(F.col("parent_id").isNull()).select(F.col("id").alias("url"))
     found, failed = H.reachable(links, roots, pages)
     return found.withColumn("stored", F.lit(True)).unionByName(failed.withColumn("stored", F.lit(False)))
+
+
+def linked_pages(c) -> DataFrame:
+    """The stored pages with a route table that links page n to pages 2n + 1 and 2n + 2, whether they are stored or not."""
+    target = F.transform(F.array(F.col("page_id") * 2 + 1, F.col("page_id") * 2 + 2), lambda t: F.concat(F.lit('<a href="https://x/page/'), t.cast("string"), F.lit('">x</a>')))
+    links = F.concat(F.lit(f'<table id="{P.ROUTE_TABLE_ID}">'), F.array_join(target, ""), F.lit("</table>"))
+    return c.table("pages").select(F.concat(F.lit("https://x/page/"), F.col("page_id").cast("string")).alias("url"), F.concat("html", links).alias("html"))
+
+
+@query("H7 H5", """
+    SELECT 'https://x/page/' || page AS url, distance, page IN (SELECT page_id FROM pages) AS stored FROM steps""",
+    steps="""SELECT min(page_id) AS page, 0 AS distance FROM pages
+        UNION ALL SELECT unnest([2 * s.page + 1, 2 * s.page + 2]), s.distance + 1 FROM steps s JOIN pages p ON p.page_id = s.page""")
+def pages_reached_from_html(c):
+    """Pages reached over the links that are read out of the pages' own HTML."""
+    pages = cut(linked_pages(c))
+    links = P.outgoing_links(pages).select(F.col("url").alias("src"), F.col("href").alias("dst"))
+    first = c.table("pages").agg(F.concat(F.lit("https://x/page/"), F.min("page_id").cast("string")).alias("url"))
+    found, failed = H.reachable(links, first, pages.select("url"))
+    return found.withColumn("stored", F.lit(True)).unionByName(failed.withColumn("stored", F.lit(False)))

@@ -80,7 +80,7 @@ def text_search_routes(c):
 
 
 @query("R2 P8 P12 T4 Z15", """
-    SELECT r.id, r.name, r.grade, r.url, TITLE(a.name) AS area
+    SELECT r.id, r.name, r.grade, r.url, TITLE(a.name) AS area, row_number() OVER (ORDER BY a.name NULLS LAST, r.name NULLS LAST, r.id) AS position
     FROM routes r JOIN areas a ON a.id = r.area_id
     WHERE r.area_id IN (SELECT descendant FROM area_closure WHERE ancestor = 1 AND depth <= 8) AND r.status = 'approved'""")
 def area_route_listing(c):
@@ -219,21 +219,33 @@ def query_score_summary(c):
     return C.score_summary(c.label_queries, c.image_embeddings, "image_id")
 
 
-@query("M2 J8 T6", """
+VARIANTS = """
     SELECT image_id, route_name, round(a, 6) + 0.0 AS sim_first, round(b, 6) + 0.0 AS sim_second, b > a + 0.001 AS second_wins FROM (
         SELECT e.image_id, r.name AS route_name, list_cosine_similarity(e.embedding, v.pos) AS a, list_cosine_similarity(e.embedding, v.neg) AS b
         FROM image_embeddings e JOIN images i ON i.id = e.image_id JOIN routes r ON r.id = i.route_id,
              (SELECT max(CASE WHEN keep THEN m END) AS pos, max(CASE WHEN NOT keep THEN m END) AS neg FROM means) v
-        WHERE i.status = 'approved')""",
-    means="""SELECT keep, list(x ORDER BY pos) AS m FROM (SELECT keep, pos, avg(x) AS x FROM (
-        SELECT keep, unnest(embedding) AS x, unnest(range(len(embedding))) AS pos FROM scored) GROUP BY ALL) GROUP BY 1""")
-def variant_comparison(c):
+        WHERE i.status = 'approved' {scope})"""
+VARIANT_MEANS = """SELECT keep, list(x ORDER BY pos) AS m FROM (SELECT keep, pos, avg(x) AS x FROM (
+        SELECT keep, unnest(embedding) AS x, unnest(range(len(embedding))) AS pos FROM scored) GROUP BY ALL) GROUP BY 1"""
+
+
+def _variants(c, **options):
     rows_ = c.table("embeddings").withColumn("keep", F.col("label") < 5)
     variants = prototypes.mean_vectors(rows_, "keep", "embedding").select((~F.col("keep")).cast("long").alias("query_id"), F.col("mean").alias("vector"))
-    result = C.variant_comparison(variants, c.image_embeddings, c.images, c.routes, MODEL_VERSION)
+    result = C.variant_comparison(variants, c.image_embeddings, c.images, c.routes, MODEL_VERSION, **options)
     return result.withColumn("sim_first", F.round("sim_first", 6)).withColumn("sim_second", F.round("sim_second", 6))
 
 
+@query("M2 J8 T6", VARIANTS.format(scope=""), means=VARIANT_MEANS)
+def variant_comparison(c):
+    return _variants(c)
+
+
+@query("M2 J8 P7", VARIANTS.format(scope="AND r.name ILIKE '%ORDER 3%'"), means=VARIANT_MEANS)
+def variant_comparison_by_route(c):
+    return _variants(c, route_name="ORDER 3")
+
+
 @query("M3 F10 F11", """
     SELECT image_id, 1.0::DOUBLE AS similarity FROM image_embeddings""")
 def stored_vector_consistency(c):
@@ -241,6 +253,15 @@ def stored_vector_consistency(c):
     return C.self_consistency(c.image_embeddings, again, "image_id").withColumn("similarity", F.round("similarity", 4))
 
 
+@query("M3 F11", """
+    SELECT image_id, round(list_cosine_similarity(embedding, list_transform(embedding, lambda x, i: x * (1 + (image_id + i) % 3))), 6) + 0.0 AS similarity FROM image_embeddings""")
+def changed_vector_consistency(c):
+    """Stored vectors against ones that were recomputed with other weights, which differ from photo to photo."""
+    again = F.transform("embedding", lambda x, i: x.cast("double") * (1 + (F.col("image_id") + i + 1) % 3)).alias("embedding")
+    found = C.self_consistency(c.image_embeddings, c.image_embeddings.select("image_id", again), "image_id")
+    return found.withColumn("similarity", F.round("similarity", 6))
+
+
 @query("U1 U3", """
     SELECT source, count(*) AS n, sum(id)::BIGINT AS ids FROM (
         SELECT 'field' AS source, image_id AS id FROM image_embeddings UNION ALL SELECT 'catalogue', route_image_id FROM route_image_embeddings) GROUP BY 1""")

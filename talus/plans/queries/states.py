@@ -107,14 +107,14 @@ def reviewed_images(c):
 
 
 def _folded_stream(c) -> str:
-    """Run the review log through the file stream until everything has arrived; the folder of folds."""
+    """Run the review log through the file stream until everything has arrived; the folder of the intake."""
     base = scratch(c.spark, "intake")
     schema = c.table("events").schema
     arriving = type(c)(c.spark, c.folder)
     events = c.spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(c.folder)
     arriving.table = lambda name: events if name == "events" else c.table(name)
-    intake.run_available(arriving.review_log, f"{base}/folds", f"{base}/progress", c.routes)
-    return f"{base}/folds"
+    intake.run_available(arriving.review_log, base, f"{base}/progress", c.routes)
+    return base
 
 
 @query("G1 K12 K13", REVIEWED, decisions=DECISIONS, folded=FOLDED)
@@ -123,8 +123,11 @@ def streamed_review_state(c):
     return intake.current_images(c.images, _folded_stream(c)).select("id", "status", "route_id")
 
 
-@query("G1 M10 J5", """
-    SELECT i.id AS image_id, round(((length(i.content) - length(replace(i.content, 'e', ''))) / length(i.content)::DOUBLE)::FLOAT::DOUBLE, 4) AS e
+LETTER_E = "round(((length(i.content) - length(replace(i.content, 'e', ''))) / length(i.content)::DOUBLE)::FLOAT::DOUBLE, 4)"
+
+
+@query("G1 M10 J5", f"""
+    SELECT i.id AS image_id, {LETTER_E} AS e
     FROM images i JOIN reviewed r ON r.id = i.id WHERE r.status = 'approved' AND i.id NOT IN (SELECT image_id FROM image_embeddings)""",
     decisions=DECISIONS, folded=FOLDED, reviewed=REVIEWED)
 def embedded_after_intake(c):
@@ -134,6 +137,51 @@ def embedded_after_intake(c):
     return new.select("image_id", F.round(F.col("embedding")[4].cast("double"), 4).alias("e"))
 
 
+EVENT_FILES = 5  # the review log arrives in so many files, a micro-batch each
+
+
+@query("G1 M10 J5 K12 A21", f"""
+    SELECT i.id AS image_id, r.status, r.route_id, {LETTER_E} AS e
+    FROM images i JOIN reviewed r ON r.id = i.id WHERE i.id IN (SELECT image_id FROM decisions) AND r.status = 'approved'
+    AND i.id NOT IN (SELECT image_id FROM image_embeddings WHERE label < 4)""", decisions=DECISIONS, folded=FOLDED, reviewed=REVIEWED)
+def intake_loop(c):
+    """The intake in micro-batches of one file each, vectors made inside them. Between the first three and the rest the state
+    is compacted, and a batch from before and one from after the compaction are replayed. Photos of some labels have a vector
+    from earlier. The approved photos that the stream decided, with their new vectors."""
+    base = scratch(c.spark, "intake-loop")
+    events, arriving = c.table("events"), type(c)(c.spark, c.folder)
+    ordered = events.withColumn("part", F.expr(f"cast(event_id % {EVENT_FILES} as int)"))
+    embed = intake.embed_newly_approved(base, c.images, c.image_embeddings.where("label < 4"), "content", letter_encoder, "v1")
+
+    def arrive(part: int) -> None:
+        ordered.where(F.col("part") == part).drop("part").coalesce(1).write.mode("append").parquet(f"{base}/events")
+
+    def run() -> None:
+        stream = c.spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/events")
+        arriving.table = lambda name: stream if name == "events" else c.table(name)
+        arriving.__dict__.pop("review_log", None)
+        intake.run_available(arriving.review_log, base, f"{base}/progress", c.routes, embed)
+
+    def replay(batch_id: int) -> None:
+        held = type(c)(c.spark, c.folder)
+        held.table = lambda name: ordered.where(F.col("part") == batch_id) if name == "events" else c.table(name)
+        intake.fold_batch(base, c.routes, embed)(held.review_log, batch_id)
+
+    for part in range(3):
+        arrive(part)
+    run()
+    intake.compact(c.spark, base, 1)
+    for part in range(3, EVENT_FILES):
+        arrive(part)
+    run()
+    replay(0)
+    replay(EVENT_FILES - 1)
+    vectors = intake.current_vectors(c.spark, base).where(F.col("error").isNull())
+    state = intake.current_images(c.images, base).where(F.col("status") == "approved")
+    return state.select(F.col("id").alias("image_id"), "status", "route_id").join(vectors, "image_id").select(
+        "image_id", "status", "route_id", F.round(F.col("embedding")[4].cast("double"), 4).alias("e"))
+
+
 def misspelt():
     """The action of a review row; every third is not a known one and must not decide anything."""
     return F.when(F.col("seq.event_id") % 3 == 0, "aprove").otherwise(F.col("action")).alias("action")
@@ -217,6 +265,24 @@ def versioned_rewrite(c):
     return c.spark.read.parquet(path + "-next").groupBy("model_version").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("K5", """
+    SELECT model_version, image_id, round(CASE WHEN image_id % 4 = 1 AND model_version = 'v2' THEN 7 * embedding[1] ELSE embedding[1] END, 4) + 0.0 AS first FROM (
+        SELECT CASE WHEN label < 3 THEN 'v1' WHEN label < 7 THEN 'v2' ELSE 'v3' END AS model_version, image_id, embedding FROM image_embeddings)
+    UNION ALL SELECT 'v2', -1 - image_id, round(7 * embedding[1], 4) + 0.0 FROM image_embeddings WHERE image_id % 10 = 0""")
+def upserted_versions(c):
+    """A stored table of three versions; of one of them a quarter is replaced and a tenth of all photos is added."""
+    path = scratch(c.spark, "version-table")
+    version = F.when(F.col("label") < 3, "v1").when(F.col("label") < 7, "v2").otherwise("v3")
+    stored = c.image_embeddings.select("image_id", version.alias("model_version"), "embedding")
+    files.write_versioned(stored, path)
+    again = F.transform("embedding", lambda x: (x * 7).cast("float")).alias("embedding")
+    changed = stored.where("model_version = 'v2' AND image_id % 4 = 1").select("image_id", "model_version", again)
+    added = stored.where("image_id % 10 = 0").select((-1 - F.col("image_id")).alias("image_id"), F.lit("v2").alias("model_version"), again)
+    files.upsert_versions(c.spark, path, changed.unionByName(added), ["image_id"], F.col("image_id"))
+    first = F.round(F.col("embedding")[0].cast("double"), 4)
+    return c.spark.read.parquet(path).select("model_version", "image_id", first.alias("first"))
+
+
 @query("P9", """
     SELECT event_id, CASE WHEN event_type NOT IN ('view', 'click') THEN 'unknown source' WHEN event_type = 'click' THEN 'unknown status' END AS reason FROM events""")
 def domain_checks(c):

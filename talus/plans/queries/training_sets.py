@@ -76,9 +76,23 @@ def membership_labels(c):
 
 
 @query("R4 P5 W1 T4 P14", """
-    SELECT route_image_id, image_url, route_id, route_name, grade, area_id, area_name, area_path, area_depth FROM manifest""")
+    SELECT route_image_id, image_url, route_id, route_name, grade, area_id, area_name, area_path, area_depth,
+           row_number() OVER (ORDER BY area_id, route_id, route_image_id) AS position FROM manifest""")
 def full_manifest(c):
-    return manifest_of(c).select("route_image_id", "image_url", "route_id", "route_name", "grade", "area_id", "area_name", "area_path", "area_depth")
+    columns = ["route_image_id", "image_url", "route_id", "route_name", "grade", "area_id", "area_name", "area_path", "area_depth"]
+    return K.in_manifest_order(manifest_of(c).select(*columns), K.FULL_ORDER)
+
+
+@query("W1 P5 R4", """
+    SELECT route_image_id, route_id, n FROM (
+        SELECT i.id AS route_image_id, r.id AS route_id, count(*) OVER (PARTITION BY r.id) AS n FROM route_images i
+        JOIN routes r ON r.id = i.route_id JOIN area_paths p ON p.id = r.area_id WHERE i.id % 10 <= (i.id // 10) % 4 AND i.id % 20 <> 11) WHERE n >= 2""")
+def manifest_of_sparse_routes(c):
+    """Routes of none to four usable photos: every route keeps as many as its number tells, and some have no url."""
+    photos = c.route_images.where(F.expr("id % 10 <= (id div 10) % 4")).withColumn("image_url", F.when(F.col("id") % 40 == 11, "").when(F.col("id") % 20 != 11, F.col("image_url")))
+    rows_ = K.full_manifest(photos, c.routes, c.areas, H.lineages(c.areas))
+    counts = rows_.groupBy("route_id").agg(F.count(F.lit(1)).alias("n"))
+    return rows_.join(counts, "route_id").select("route_image_id", "route_id", "n")
 
 
 @query("A5 A6 K1", """
@@ -96,11 +110,12 @@ def manifest_file_summary(c):
 
 
 @query("P1 P14 T4 J1", """
-    SELECT i.id AS image_id, i.route_id, r.area_id, 'images/routes/' || i.route_id || '/' || i.id || '.jpg' AS b2_key, i.route_id AS label
+    SELECT i.id AS image_id, i.route_id, r.area_id, 'images/routes/' || i.route_id || '/' || i.id || '.jpg' AS b2_key, i.route_id AS label,
+           row_number() OVER (ORDER BY i.route_id, i.created_at, i.id) AS position
     FROM images i JOIN routes r ON r.id = i.route_id WHERE i.status = 'approved'""")
 def field_photo_manifest(c):
     key = F.concat(F.lit("images/routes/"), F.col("route_id").cast("string"), F.lit("/"), F.col("id").cast("string"), F.lit(".jpg"))
-    return K.field_manifest(c.images.withColumn("b2_key", key), c.routes).drop("created_at")
+    return K.in_manifest_order(K.field_manifest(c.images.withColumn("b2_key", key), c.routes), K.FIELD_ORDER).drop("created_at")
 
 
 @query("P3 P2 J7 W2 W1 F17 M11 K3", """
@@ -119,6 +134,34 @@ def training_shards(c):
     return back.groupBy(K.shard_name(F.col("shard")).alias("name")).agg(F.count(F.lit(1)).alias("n"), F.sum("route_image_id").alias("ids"))
 
 
+MISSING = "route_image_id % 9 = 4"  # photos that are not stored
+HAVE = f"SELECT *, row_number() OVER (ORDER BY filter_score DESC, route_image_id) - 1 AS place FROM train_rows WHERE NOT {MISSING}"
+
+
+def _shards(c):
+    photos = c.route_images.select(X.last_segment(F.col("image_url")).alias("url_name"), F.col("id").alias("route_image_id"), F.col("content").cast("binary").alias("content"))
+    photos = photos.where(~F.expr(MISSING)).withColumnRenamed("url_name", "name")
+    return B.shard_rows(manifest_of(c), c.filter_scores, photos, FILTER_VERSION, 0.2, 50)
+
+
+@query("K3 S8 S9 M11 F20", """
+    SELECT printf('train-%05d.parquet', place // 50) AS file, h.route_image_id::INT AS route_image_id, md5(i.content) AS bytes_md5, h.route_id::INT AS route_id,
+           coalesce(h.description, '') AS description, '' AS gps, round(h.filter_score::DOUBLE, 4) AS filter_score, 'best' AS filter_model_version
+    FROM have h JOIN route_images i ON i.id = h.route_image_id""", have=HAVE)
+def training_shard_files(c):
+    """Shards with the bytes of the photos written as train-%05d.parquet and read back; each row with its file."""
+    path = scratch(c.spark, "shard-files")
+    rows_, _ = _shards(c)
+    files.write_named_shards(rows_, path)
+    back = files.read_named_shards(c.spark, path)
+    return back.select("file", "route_image_id", F.md5("image.bytes").alias("bytes_md5"), "route_id", "description", "gps", F.round(F.col("filter_score").cast("double"), 4).alias("filter_score"), "filter_model_version")
+
+
+@query("K3 M11", f"SELECT count(*) FILTER (WHERE NOT {MISSING}) AS written, count(*) FILTER (WHERE {MISSING}) AS skipped FROM train_rows")
+def shard_counters(c):
+    return _shards(c)[1]
+
+
 @query("K4 W10 A7", """
     SELECT batch, count(*) AS n, count(DISTINCT source) AS groups FROM (SELECT source, (dense_rank() OVER (ORDER BY source) - 1) // 5 + 1 AS batch FROM documents) GROUP BY 1""")
 def batch_folders(c):
@@ -194,6 +237,19 @@ def local_batches(c):
     return O.pack_batches(orders, "n", K.LOCAL_ORDER, MAX_BATCH).select("epoch", "route_id", "n", "batch")
 
 
+FIELD_ORDERED = """
+    SELECT epoch, route_id, n, row_number() OVER (PARTITION BY epoch ORDER BY shuffle_key, route_id) AS rn FROM (
+        SELECT e.epoch, g.*, md5('42|' || e.epoch || '|' || g.route_id) AS shuffle_key
+        FROM (SELECT route_id, count(*) AS n FROM images GROUP BY 1) g, (SELECT unnest(range(3)) AS epoch) e)"""
+
+
+@query("W6 W9", "SELECT epoch, route_id, n, batch FROM packed", ordered=FIELD_ORDERED, packed=PACKED)
+def field_photo_batches(c):
+    """Batches of field photos: groups of all sizes below and above the limit."""
+    groups = c.images.groupBy("route_id").agg(F.count(F.lit(1)).alias("n"))
+    return O.pack_batches(K.epoch_orders(groups, 3, SEED), "n", K.RANDOM_ORDER, MAX_BATCH).select("epoch", "route_id", "n", "batch")
+
+
 @query("W8", "SELECT epoch, route_id, rn FROM ordered", ordered=ORDERED.format(order=LOCAL))
 def local_route_order(c):
     return O.global_rank(K.epoch_orders(manifest_groups_of(c), 3, SEED), K.LOCAL_ORDER, ["epoch"], "rn").select("epoch", "route_id", "rn")
@@ -273,6 +329,18 @@ def annotation_file(c):
     return files.read_annotations(c.spark, path).where("keep").select("url", "label", "keep")
 
 
+@query("S2 K1", """
+    SELECT doc_id, md5(text) AS text_md5, CASE doc_id % 3 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE replace(left(text, 200), 'e', chr(92)) || chr(13) || chr(10) || 'n' END AS description FROM documents""")
+def texts_in_csv(c):
+    """Whole texts, with their line breaks, and a column of nulls, blanks, backslashes and breaks, written as CSV and read
+    back by as many tasks as the files have splits."""
+    path = scratch(c.spark, "texts-csv")
+    odd = F.concat(F.translate(F.substring("text", 1, 200), "e", chr(92)), F.lit("\r\nn"))
+    rows_ = c.table("documents").select("doc_id", "text", F.when(F.col("doc_id") % 3 == 1, "").when(F.col("doc_id") % 3 == 2, odd).alias("description"))
+    files.write_csv(rows_, path)
+    return files.read_csv(c.spark, path, "doc_id long, text string, description string").select("doc_id", F.md5("text").alias("text_md5"), "description")
+
+
 @query("S6 K9", "SELECT DISTINCT (doc_id // 10)::INT AS batch FROM documents")
 def progress_file(c):
     path = scratch(c.spark, "progress")

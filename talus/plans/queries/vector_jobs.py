@@ -13,8 +13,9 @@ from talus.operators import knn, metrics as M, prototypes as P
 from talus.operators.curation import mine_pairs
 from talus.operators.rows import upsert
 from talus.plans import embed_job
-from talus.plans.queries.metric_reports import scored_vectors
+from talus.plans.queries.metric_reports import NEIGHBOURS, scored_vectors
 from talus.plans.registry import query
+from talus.session import cut
 
 MEANS = """SELECT keep, list(x ORDER BY pos) AS m FROM (SELECT keep, pos, avg(x) AS x FROM (
     SELECT keep, unnest(embedding) AS x, unnest(range(len(embedding))) AS pos FROM scored) GROUP BY ALL) GROUP BY 1"""
@@ -44,6 +45,38 @@ def logistic_scores(c):
     return M.confusion(balanced_logistic(scored_vectors(c).drop("score"), "keep", "embedding"), "score", "keep", 0.5)
 
 
+# Newton's method on the weighted sum of log losses plus half the squared coefficients, three parameters, the inverse of
+# the 3 x 3 second derivative written out.
+NEWTON = """
+    SELECT 0 AS k, 0.0::DOUBLE AS b0, 0.0::DOUBLE AS b1, 0.0::DOUBLE AS b2
+    UNION ALL SELECT k + 1,
+        b0 - ((d * f - e * e) * g0 + (c * e - b * f) * g1 + (b * e - c * d) * g2) / det,
+        b1 - ((c * e - b * f) * g0 + (a * f - c * c) * g1 + (b * c - a * e) * g2) / det,
+        b2 - ((b * e - c * d) * g0 + (b * c - a * e) * g1 + (a * d - b * b) * g2) / det
+    FROM (SELECT *, a * (d * f - e * e) - b * (b * f - c * e) + c * (b * e - c * d) AS det FROM (
+        SELECT k, b0, b1, b2, sum(w * (p - y)) AS g0, sum(w * (p - y) * x1) + b1 AS g1, sum(w * (p - y) * x2) + b2 AS g2,
+               sum(w * p * (1 - p)) AS a, sum(w * p * (1 - p) * x1) AS b, sum(w * p * (1 - p) * x2) AS c,
+               sum(w * p * (1 - p) * x1 * x1) + 1 AS d, sum(w * p * (1 - p) * x1 * x2) AS e, sum(w * p * (1 - p) * x2 * x2) + 1 AS f
+        FROM (SELECT n.*, t.*, 1 / (1 + exp(-(b0 + b1 * x1 + b2 * x2))) AS p FROM newton n, points t WHERE n.k < 12) GROUP BY k, b0, b1, b2))"""
+POINTS = """
+    SELECT embedding[1] AS x1, embedding[2] AS x2, keep::INT AS y,
+           count(*) OVER () / (2.0 * count(*) OVER (PARTITION BY keep)) AS w FROM scored"""
+
+
+@query("M8", """
+    SELECT name, round(value, 3) + 0.0 AS value FROM (
+        SELECT 'intercept' AS name, b0 AS value FROM newton WHERE k = 12 UNION ALL SELECT 'first', b1 FROM newton WHERE k = 12
+        UNION ALL SELECT 'second', b2 FROM newton WHERE k = 12)""", points=POINTS, newton=NEWTON)
+def logistic_coefficients(c):
+    """Coefficients of the balanced regression on the first two components of all vectors."""
+    from talus.operators.classifiers import balanced_head
+
+    rows = scored_vectors(c).select("keep", F.slice("embedding", 1, 2).alias("x"))
+    (first, second), intercept = balanced_head(rows, "keep", "x", tol=1e-12)
+    values = F.explode(F.create_map(F.lit("intercept"), F.lit(intercept), F.lit("first"), F.lit(first), F.lit("second"), F.lit(second)))
+    return c.spark.range(1).select(values.alias("name", "value")).select("name", (F.round("value", 3) + 0.0).alias("value"))
+
+
 # A fixed linear head for the scoring queries: weight 1/(i+1) on component i, bias 0.1.
 HEAD = "list_transform(range(len(embedding)), lambda i: 1.0::DOUBLE / (i + 1))"
 
@@ -88,18 +121,40 @@ def mined_photos(c):
     return mine_pairs(rows, "label", "id", "embedding", "digest", "id", 0.2).select("id")
 
 
-@query("M5")
-def coarse_cell_recall(c):
-    """Share of the exact 5 nearest that the coarse-cell index finds with 4 of 16 cells probed."""
-    rows = c.table("embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
-    centroids = knn.build_cells(rows, lists=16)
-    cells = knn.assign_cells(rows, centroids, "vector")
-    found = knn.probe_nearest(rows, cells, centroids, 5, probes=4, exclude_self=True)
-    exact = knn.nearest(rows, rows, 5, exclude_self=True)
+def _vectors(c):
+    return c.table("embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+
+
+def _recall(exact, found):
     hits = exact.join(found.select("query_id", "neighbour_id", F.lit(1).alias("hit")), ["query_id", "neighbour_id"], "left")
     return hits.agg(F.count(F.lit(1)).alias("exact"), F.count("hit").alias("found"), F.round(F.count("hit") / F.count(F.lit(1)), 4).alias("recall"))
 
 
+@query("M5")
+def coarse_cell_recall(c):
+    """Share of the exact 5 nearest that the stored inverted lists find with 4 of 16 cells probed."""
+    index = knn.InvertedLists.build(_vectors(c), lists=16)
+    return _recall(knn.nearest(_vectors(c), _vectors(c), 5, exclude_self=True), index.search(_vectors(c), 5, probes=4, exclude_self=True))
+
+
+@query("M5", """
+    SELECT query_id, neighbour_id, rank::INTEGER AS rank, round(s, 6) + 0.0 AS similarity FROM neighbours WHERE rank <= 5""", neighbours=NEIGHBOURS)
+def neighbours_in_all_lists(c):
+    """The stored inverted lists with every cell probed: the exact 5 nearest."""
+    index = knn.InvertedLists.build(_vectors(c), lists=16)
+    reopened = knn.InvertedLists.open(c.spark, index.path)
+    return reopened.search(_vectors(c), 5, probes=16, exclude_self=True).withColumn("similarity", F.round("similarity", 6))
+
+
+@query("M5", "SELECT count(*) * 5 AS exact, true AS reached FROM embeddings")
+def list_recall_reached(c):
+    """The fewest probes that find nine tenths of the exact 5 nearest, and that they do."""
+    index = knn.InvertedLists.build(_vectors(c), lists=16)
+    exact = cut(knn.nearest(_vectors(c), _vectors(c), 5, exclude_self=True))
+    found = index.search(_vectors(c), 5, probes=index.probes_for(exact, 0.9), exclude_self=True)
+    return _recall(exact, found).select("exact", (F.col("recall") >= 0.9).alias("reached"))
+
+
 def letter_encoder():
     """A small deterministic batch encoder for the job: relative letter frequencies; refuses letterless text."""
 

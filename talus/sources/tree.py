@@ -1,14 +1,14 @@
 """Scraped area trees: nested documents (small) and one-node-per-line files (any size).
 
-A nested document is one JSON value and so one task; Spark caps a VARIANT at 128 MiB. It is opened level by
-level with `variant_explode`. Large trees use node lines
+A nested document is one JSON value and so one task. It is opened level by level, and each node stays the JSON text it
+is: sub-areas come out in the order in which the text has them, which a parsed VARIANT would lose. Large trees use node lines
 {kind: sitemap|area|route|image, url, parent_url, pos, ...}, which need no recursion to parse: lineage comes
 from `hierarchy.lineages` over parent_url.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from talus.functions import text as X
 from talus.session import cut
@@ -21,57 +21,69 @@ ROUTE_ATTRIBUTES = {"type": "Type:", "description": "Description", "location": "
 
 # --- nested documents -------------------------------------------------------------------------------------
 
+NODE = "type string, url string, subareas map<string,string>, routes array<string>"
+ROUTE = "name string, url string, grade string, images array<string>, " + ", ".join(f"`{label}` string" for label in ROUTE_ATTRIBUTES.values())
+
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """Whole (optionally gzipped) JSON documents as (doc string, node variant)."""
-    return spark.read.text(path, wholetext=True).select(
-        F.input_file_name().alias("doc"), F.parse_json("value").alias("node")
-    )
+    """Whole (optionally gzipped) JSON documents as (doc string, node string)."""
+    return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("doc"), F.col("value").alias("node"))
+
 
+def _children(subareas: Column) -> Column:
+    """Key and value of every sub-area in the order of the text. Of a key that stands there twice the last value counts,
+    at the place of the first."""
+    keys, entries = F.map_keys(subareas), F.map_entries(subareas)
+    firsts = F.filter(entries, lambda e, i: F.array_position(keys, e["key"]) == i + 1)
+    last = lambda key: F.get(F.map_values(subareas), (F.size(keys) - F.array_position(F.reverse(keys), key)).cast("int"))
+    chosen = F.transform(firsts, lambda e: F.struct(e["key"].alias("key"), last(e["key"]).alias("value")))
+    return F.when(F.size(F.array_distinct(keys)) < F.size(keys), chosen).otherwise(entries)
 
-def _field(path: str, type: str):
-    return F.try_variant_get("node", path, type)
+
+def empty_node(node: Column) -> Column:
+    return node.isNull() | node.rlike(r"^\s*(null|\{\s*\}|)\s*$")
 
 
 def open_levels(documents: DataFrame, keep_areas: int | None = None) -> DataFrame:
-    """All nodes of nested documents: doc, order (positions from the root), lineage (last url segments of the
-    path), parent_url (nearest area above; sitemaps are transparent), loadable, node."""
-    url = _field("$.url", "string")
+    """All nodes of nested documents: doc, order (positions from the root, in the order of the text), lineage (last url
+    segments of the path), parent_url (nearest area above; sitemaps are transparent), reached, node (JSON text), type, url,
+    routes (JSON texts) and has_areas. `keep_areas` opens only the first sub-areas of every node."""
     level = documents.select(
         "doc", F.array().cast("array<int>").alias("order"), F.array().cast("array<string>").alias("above"),
         F.lit(None).cast("string").alias("parent_url"), F.lit(True).alias("reached"), "node",
     )
     done = None
     while True:
-        segment = X.last_segment(F.coalesce(url, F.lit("")))
-        here = level.withColumn("lineage", F.when(segment != "", F.concat("above", F.array(segment))).otherwise(F.col("above")))
-        here = cut(here.withColumn("type", _field("$.type", "string")).withColumn("url", F.nullif(url, F.lit(""))))
-        done = here if done is None else done.unionByName(here)
-        here.createOrReplaceTempView("talus_tree_level")
-        below = documents.sparkSession.sql(
-            """SELECT t.doc, concat(t.order, array(v.pos)) AS `order`, t.lineage AS above,
-                      CASE WHEN t.type = 'sitemap' OR t.url IS NULL THEN t.parent_url ELSE t.url END AS parent_url,
-                      t.reached AND (t.type = 'sitemap' OR nullif(try_variant_get(v.value, '$.url', 'string'), '') IS NOT NULL) AS reached,
-                      v.value AS node
-               FROM talus_tree_level t, LATERAL variant_explode(try_variant_get(t.node, '$.subareas', 'variant')) v"""
-        )
+        here = level.withColumn("_n", F.from_json("node", NODE)).select(
+            "*", F.col("_n.type").alias("type"), F.nullif("_n.url", F.lit("")).alias("url"), F.col("_n.routes").alias("routes"),
+            F.col("_n.subareas").alias("subareas"), F.col("_n.subareas").isNotNull().alias("has_areas")).drop("_n")
+        segment = X.last_segment(F.coalesce("url", F.lit("")))
+        here = cut(here.withColumn("lineage", F.when(segment != "", F.concat("above", F.array(segment))).otherwise(F.col("above"))))
+        done = here.drop("above", "subareas") if done is None else done.unionByName(here.drop("above", "subareas"))
+        through = (F.col("type") == "sitemap") | F.col("url").isNull()  # an untyped node is no sitemap
+        below = here.select(
+            "doc", "order", F.col("lineage").alias("above"), F.when(through, F.col("parent_url")).otherwise(F.col("url")).alias("parent_url"),
+            "reached", "type", F.posexplode(_children(F.col("subareas"))).alias("pos", "child"))
         if keep_areas is not None:
-            below = below.where(F.element_at("order", -1) < keep_areas)
+            below = below.where(F.col("pos") < keep_areas)
+        addressed = F.coalesce(F.get_json_object("child.value", "$.url"), F.lit("")) != ""
+        below = below.select(
+            "doc", F.concat("order", F.array("pos")).alias("order"), "above", "parent_url",
+            (F.col("reached") & ((F.col("type") == "sitemap") | addressed)).alias("reached"), F.col("child.value").alias("node"))
         if below.isEmpty():
-            return done.drop("above")
+            return done
         level = below
 
 
 def document_routes(nodes: DataFrame) -> DataFrame:
-    """One row per route: lineage joined by ' / ', name and image list, in document order."""
-    nodes.createOrReplaceTempView("talus_tree_nodes")
-    return nodes.sparkSession.sql(
-        """SELECT n.doc, concat(n.order, array(r.pos)) AS `order`, n.url AS area_url, r.value AS route,
-                  try_variant_get(r.value, '$.name', 'string') AS route_name,
-                  array_join(n.lineage, ' / ') AS route_lineage,
-                  coalesce(try_variant_get(r.value, '$.images', 'array<string>'), array()) AS images
-           FROM talus_tree_nodes n, LATERAL variant_explode(try_variant_get(n.node, '$.routes', 'variant')) r"""
-    )
+    """One row per route: doc, order, area_url, route (JSON text), route_name, route_lineage (joined by ' / '), images and
+    the fields of the route, in document order."""
+    listed = nodes.select("doc", "order", F.col("url").alias("area_url"), "lineage", F.posexplode("routes").alias("pos", "route"))
+    return listed.withColumn("_r", F.from_json("route", ROUTE)).select(
+        "doc", F.concat("order", F.array("pos")).alias("order"), "area_url", "route", F.col("_r.name").alias("route_name"),
+        F.array_join("lineage", " / ").alias("route_lineage"), F.coalesce("_r.images", F.array().cast("array<string>")).alias("images"),
+        F.col("_r.url").alias("route_url"), F.col("_r.grade").alias("grade"),
+        *[F.col(f"_r.`{label}`").alias(name) for name, label in ROUTE_ATTRIBUTES.items()])
 
 
 def flatten(documents: DataFrame, lineage: bool = True) -> DataFrame:
@@ -87,7 +99,7 @@ def load_flattened_tree(spark: SparkSession, path: str) -> DataFrame:
 def count_tree(documents: DataFrame) -> DataFrame:
     """(areas, routes, images): sitemaps count as areas, empty nodes do not, empty routes count."""
     nodes = open_levels(documents)
-    full = nodes.where(~F.to_json("node").isin("{}", "null"))
+    full = nodes.where(~empty_node(F.col("node")))
     routes = document_routes(full)
     areas = full.agg(F.count(F.lit(1)).alias("areas"))
     return routes.agg(F.count(F.lit(1)).alias("routes"), F.coalesce(F.sum(F.size("images")), F.lit(0)).alias("images")).select(
@@ -97,38 +109,35 @@ def count_tree(documents: DataFrame) -> DataFrame:
 
 def trim(documents: DataFrame, max_areas: int = 2, max_routes: int = 2) -> tuple[DataFrame, DataFrame]:
     """Nodes and routes of the tree cut to the first sub-areas per node and the first routes per node."""
-    nodes = open_levels(documents, keep_areas=max_areas).where(~F.to_json("node").isin("{}", "null"))
+    nodes = open_levels(documents, keep_areas=max_areas).where(~empty_node(F.col("node")))
     return nodes, document_routes(nodes).where(F.element_at("order", -1) < max_routes)
 
 
 def document_lines(documents: DataFrame) -> DataFrame:
-    """Nested documents as node lines. Nodes without url, sub-areas and routes are skipped, sub-areas and
+    """Nested documents as node lines, with their `doc` and their `arrival` in it. Nodes without url, sub-areas and routes are skipped, sub-areas and
     routes without url are skipped, and sitemaps pass their parent on."""
     nodes = open_levels(documents)
     # children of an area without url are kept under that area's parent
-    has_any = F.col("url").isNotNull() | F.try_variant_get("node", "$.subareas", "variant").isNotNull() | F.try_variant_get("node", "$.routes", "variant").isNotNull()
+    has_any = F.col("url").isNotNull() | F.col("has_areas") | F.col("routes").isNotNull()
     kept = nodes.where(F.coalesce("reached", F.lit(False)) & has_any)
     areas = kept.where(F.col("url").isNotNull()).select(
-        F.when(F.col("type") == "sitemap", "sitemap").otherwise("area").alias("kind"), "url", "parent_url",
+        "doc", F.when(F.col("type") == "sitemap", "sitemap").otherwise("area").alias("kind"), "url", "parent_url",
         F.array_join(F.transform("order", lambda p: F.format_string("%09d", p)), ".").alias("arrival"),
         X.last_segment(F.col("url")).alias("name"), F.lit(None).cast("string").alias("grade"),
         F.lit(None).cast("map<string,string>").alias("attributes"),
     )
-    routes = document_routes(kept.where(F.coalesce(F.col("type") != "sitemap", F.lit(True)))).withColumn("route_url", F.try_variant_get("route", "$.url", "string"))
+    routes = document_routes(kept.where(F.coalesce(F.col("type") != "sitemap", F.lit(True))))
     routes = routes.where(F.coalesce("route_url", F.lit("")) != "")
     # sub-areas are loaded before an area's own routes: `~` sorts behind every position
     own, at = F.slice("order", 1, F.size("order") - 1), F.element_at("order", -1)
     arrival = F.concat(F.array_join(F.transform(own, lambda p: F.format_string("%09d.", p)), ""), F.format_string("~%09d", at))
-    attributes = F.map_from_arrays(
-        F.array(*[F.lit(k) for k in ROUTE_ATTRIBUTES]),
-        F.array(*[F.try_variant_get("route", f"$['{label}']", "string") for label in ROUTE_ATTRIBUTES.values()]),
-    )
+    attributes = F.create_map(*[x for name in ROUTE_ATTRIBUTES for x in (F.lit(name), F.col(name))])
     route_lines = routes.select(
-        F.lit("route").alias("kind"), F.col("route_url").alias("url"), F.col("area_url").alias("parent_url"), arrival.alias("arrival"),
-        F.col("route_name").alias("name"), F.try_variant_get("route", "$.grade", "string").alias("grade"), attributes.alias("attributes"),
+        "doc", F.lit("route").alias("kind"), F.col("route_url").alias("url"), F.col("area_url").alias("parent_url"), arrival.alias("arrival"),
+        F.col("route_name").alias("name"), "grade", attributes.alias("attributes"),
     )
-    image_lines = routes.select("route_url", arrival.alias("a"), F.posexplode("images").alias("p", "image")).select(
-        F.lit("image").alias("kind"), F.col("image").alias("url"), F.col("route_url").alias("parent_url"),
+    image_lines = routes.select("doc", "route_url", arrival.alias("a"), F.posexplode("images").alias("p", "image")).select(
+        "doc", F.lit("image").alias("kind"), F.col("image").alias("url"), F.col("route_url").alias("parent_url"),
         F.concat_ws(".", "a", F.format_string("%09d", F.col("p"))).alias("arrival"), F.lit(None).cast("string").alias("name"),
         F.lit(None).cast("string").alias("grade"), F.lit(None).cast("map<string,string>").alias("attributes"),
     )

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
@@ -118,3 +119,26 @@ def test_stratified_split_is_exact(spark):
     rows = spark.range(1001).select(F.col("id"), (F.col("id") % 3 == 0).alias("keep"))
     out = {(r["keep"], r["split"]): r["count"] for r in sampling.stratified_split(rows, "keep", "id", 0.7).groupBy("keep", "split").count().collect()}
     assert out == {(True, "train"): int(334 * 0.7), (True, "test"): 334 - int(334 * 0.7), (False, "train"): int(667 * 0.7), (False, "test"): 667 - int(667 * 0.7)}
+
+
+@pytest.mark.parametrize("fan", [2, 3, 64])
+def test_reports_composed_in_a_tree_give_the_sequential_batches(spark, monkeypatch, fan):
+    monkeypatch.setattr(O, "FAN", fan)
+    rng = np.random.default_rng(fan)
+    rows = [(e, i, int(n)) for e in range(2) for i, n in enumerate(rng.integers(1, 90, 400))]
+    spark.conf.set("spark.sql.shuffle.partitions", "23")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {(r["epoch"], r["i"]): r["batch"] for r in O.pack_batches(spark.createDataFrame(rows, "epoch long, i long, n long"), "n", ["i"], 64).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    for epoch in range(2):
+        fill = batch = 0
+        for e, i, n in rows:
+            if e == epoch:
+                if i and fill + n > 64:
+                    fill, batch = n, batch + 1
+                else:
+                    fill += n
+                assert got[e, i] == batch

@@ -63,8 +63,13 @@ def test_stream_resumes_and_replays_safely(spark, tmp_path):
     intake.run_available(stream(), folds, progress)                      # nothing new
     intake.fold_batch(folds)(everything.where(F.col("seq.event_id") < 3), 0)  # a replayed batch
     assert as_set(intake.current_images(images(spark), folds)) == EXPECTED
-    intake.compact(spark, folds, str(tmp_path / "compact"))
-    assert as_set(intake.current_images(images(spark), str(tmp_path / "compact"))) == EXPECTED
+    intake.compact(spark, folds, 0)                                       # the stream's second batch comes after it
+    assert as_set(intake.current_images(images(spark), folds)) == EXPECTED
+    intake.compact(spark, folds, 1)
+    assert as_set(intake.current_images(images(spark), folds)) == EXPECTED
+    intake.fold_batch(folds)(everything.where(F.col("seq.event_id") < 0), 0)  # what is in the base is not read again
+    intake.compact(spark, folds, 0)                                       # a pointer never goes back
+    assert as_set(intake.current_images(images(spark), folds)) == EXPECTED
 
 
 def test_insert_if_absent_is_stable(spark):

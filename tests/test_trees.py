@@ -96,3 +96,31 @@ def test_line_files_round_trip(spark, documents, tmp_path):
     assert back.count() == lines.count()
     photos = {(r["url"], r["route_name"], r["route_lineage"]) for r in T.line_photos(back).collect()}
     assert ("i3", "three", "north / wall") in photos
+
+
+def test_sub_areas_stand_in_the_order_of_the_text(spark):
+    def area(name, routes, **below):
+        return {"type": "area", "url": f"{HOST}/{name}", "routes": routes, "subareas": {f"{HOST}/{k}": v for k, v in below.items()}}
+
+    root = area("root", [], Z=area("Z", [route("one"), route("two")]), B=area("B", [route("one"), route("three")]), A=area("A", []))
+    documents = spark.createDataFrame([("d", json.dumps(root, indent=1))], "doc string, node string")
+    lines = T.document_lines(documents)
+    areas = T.area_rows(lines)
+    names = {r["id"]: r["name"] for r in areas.collect()}
+    assert [names[i] for i in sorted(names)] == ["root", "Z", "B", "A"]
+    assert {r["name"]: names[r["area_id"]] for r in T.route_rows(lines, areas).collect()} == {"one": "Z", "two": "Z", "three": "B"}
+    nodes, _ = T.trim(documents, max_areas=2)
+    assert {r["url"] for r in nodes.collect()} == {f"{HOST}/root", f"{HOST}/Z", f"{HOST}/B"}
+
+
+def test_a_repeated_key_keeps_its_place_and_takes_the_last_value(spark):
+    text = '{"url": "h/r", "type": "area", "subareas": {"y": {"url": "h/old"}, "x": {"url": "h/x"}, "y": {"url": "h/new"}}}'
+    nodes = T.open_levels(spark.createDataFrame([("d", text)], "doc string, node string")).collect()
+    assert [(r["order"], r["url"]) for r in sorted(nodes, key=lambda r: r["order"])] == [([], "h/r"), ([0], "h/new"), ([1], "h/x")]
+
+
+def test_odd_nodes_are_empty(spark):
+    rows = [("a", "{}"), ("b", " {\n} "), ("c", "null"), ("d", ""), ("e", None), ("f", '{"url": "h/f", "subareas": {"n": null, "e": {}}, "routes": null}')]
+    documents = spark.createDataFrame(rows, "doc string, node string")
+    assert tuple(T.count_tree(documents).first()) == (1, 0, 0)
+    assert T.document_lines(documents).count() == 1
