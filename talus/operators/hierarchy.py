@@ -117,10 +117,8 @@ def nested_sets(areas: DataFrame, id: str = "id", parent: str = "parent_id") ->
         "id", "up", F.col("up").alias("jump"), F.lit(1).cast("long").alias("size"), F.col("up").isNotNull().cast("int").alias("depth"),
         F.when(F.col("up").isNull(), F.col("parent").isNull()).alias("rooted"))
     open_ = F.count_if(F.col("jump").isNotNull())
-    state, n = written(state, "nested-sizes", open=open_)
-    before = None
-    while n["open"] and n["open"] != before:  # the nodes of a cycle, or below one, stay open for ever
-        before = n["open"]
+    last, still = None, None
+    while still is None or (still and still != last):  # the nodes of a cycle, or below one, stay open for ever
         ahead = state.select(F.col("id").alias("k"), F.col("jump").alias("k_jump"), F.col("depth").alias("k_depth"), F.col("rooted").alias("k_rooted"))
         # after k rounds a node has summed the nodes less than 2^k below it, and its pointer leads 2^k up
         sums = state.where("jump IS NOT NULL").groupBy(F.col("jump").alias("r")).agg(F.sum("size").alias("more"))
@@ -128,17 +126,19 @@ def nested_sets(areas: DataFrame, id: str = "id", parent: str = "parent_id") ->
             "id", "up", F.col("k_jump").alias("jump"), (F.col("size") + F.coalesce("more", F.lit(0))).alias("size"),
             (F.col("depth") + F.coalesce("k_depth", F.lit(0))).alias("depth"), F.coalesce("rooted", "k_rooted").alias("rooted"))
         state, n = written(state, "nested-sizes", open=open_)
+        last, still = still, n["open"]
     ranged, rest = state.where("jump IS NULL").drop("jump"), state.where("jump IS NOT NULL").select("id", "up")
 
     # a node stands behind its parent and behind its earlier siblings' subtrees; these steps add up along the way to its root
     placed = running_before(ranged, "size", ["id"], ["up"], "earlier")
     step = (F.col("earlier") + F.col("up").isNotNull().cast("int")).alias("pos")
-    line, n = written(placed.select("id", "up", "size", "depth", "rooted", F.col("up").alias("jump"), step), "nested-positions", open=open_)
-    while n["open"]:
+    line, still = placed.select("id", "up", "size", "depth", "rooted", F.col("up").alias("jump"), step), 1
+    while still:
         ahead = line.select(F.col("id").alias("k"), F.col("jump").alias("k_jump"), F.col("pos").alias("k_pos"))
         line = line.join(ahead, F.col("jump") == F.col("k"), "left").select(
             "id", "up", "size", "depth", "rooted", F.col("k_jump").alias("jump"), (F.col("pos") + F.coalesce("k_pos", F.lit(0))).alias("pos"))
         line, n = written(line, "nested-positions", open=open_)
+        still = n["open"]
     return line.select("id", "up", "pos", "size", "depth", "rooted"), rest
 
 

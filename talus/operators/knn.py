@@ -54,17 +54,20 @@ def nearest(queries: DataFrame, stored: DataFrame, k: int, exclude_self: bool =
     Both inputs have (id long, vector array); vectors of another length than most stored ones, and those without direction,
     take no part (`by_length` names them). Self is excluded by id, not by position.
 
-    The stored rows lie in `lists` cells around pivots, as many as the root of their number by default. Queries
+    The stored rows lie in `lists` cells around pivots, by default as many as the root of their number. Queries
     visit cells in waves, those first that can hold the nearest rows; after a wave the k-th similarity rules out every cell
     whose rows are all farther away. Crowded cells are compared block by block, and many queries for one cell in waves of
     their own, so no task holds a whole hot cell.
     """
     usable, _, dim = by_length(stored.select("id", "vector"))
     asked, _, _ = by_length(queries.select("id", "vector"), dim)
-    held, n = written(usable, "neighbour-rows")
-    if not n["rows"]:
-        return _rank(held.sparkSession.createDataFrame([], CANDIDATES), k)
-    cells = PivotCells(held, lists or max(1, min(MOST_CELLS, math.ceil(math.sqrt(n["rows"])))), dim)
+    none = stored.sparkSession.createDataFrame([], CANDIDATES)
+    n = usable.count()
+    if not n:
+        return _rank(none, k)
+    if lists is None:  # no more than there are blocks to fill
+        lists = min(MOST_CELLS, math.ceil(math.sqrt(n)), math.ceil(n / block_rows))
+    cells = PivotCells(usable, lists, dim)
     found, start = None, 0
     for stop in (*WAVES, len(cells.pivots)):
         stop = min(stop, len(cells.pivots))
@@ -76,14 +79,14 @@ def nearest(queries: DataFrame, stored: DataFrame, k: int, exclude_self: bool =
             reached = found.groupBy(F.col("query_id").alias("id")).agg(F.count(F.lit(1)).alias("n"), F.min("similarity").alias("low"))
             asking = asked.join(reached, "id", "left")
             bound = F.when(F.col("n") >= k, F.acos(F.greatest(F.least("low", F.lit(1.0)), F.lit(-1.0)))).otherwise(bound)
-        visits, n = written(cells.visits(asking.select("id", "vector", bound.alias("bound")), start, stop), "neighbour-visits")
+        visits, seen = written(cells.visits(asking.select("id", "vector", bound.alias("bound")), start, stop), "neighbour-visits")
         start = stop
-        if not n["rows"]:
-            continue
-        more = _probe(visits, cells.rows, k, exclude_self, block_rows, dim)
-        both = more if found is None else more.unionByName(found)
-        found, _ = written(_rank(both, k).drop("rank"), "neighbours")
-    return _rank(found if found is not None else held.sparkSession.createDataFrame([], CANDIDATES), k)
+        if seen["rows"]:
+            more = _probe(visits, cells.rows, k, exclude_self, block_rows, dim)
+            found = _rank(more if found is None else more.unionByName(found), k)
+            if start < len(cells.pivots):
+                found, _ = written(found.drop("rank"), "neighbours")
+    return none.withColumn("rank", F.lit(0)) if found is None else found if "rank" in found.columns else _rank(found, k)
 
 
 class PivotCells:
@@ -241,11 +244,11 @@ def with_partner(df: DataFrame, label: str, id: str, vector: str, threshold: flo
 
     # stretches of equal width over the angles of a cell, and parts of those that many rows share
     cells = placed.groupBy(*key, "cell").agg(F.min("angle").alias("low"), F.max("angle").alias("high"), F.ceil(F.count(F.lit(1)) / block_rows).alias("bins"))
-    cells, _ = written(cells.withColumn("width", (F.col("high") - F.col("low")) / F.col("bins") + SLACK), "partner-cells")
+    cells = cells.withColumn("width", (F.col("high") - F.col("low")) / F.col("bins") + SLACK)
     cell = [*key, "cell"]
     bin_ = lambda angle: F.least(F.floor((angle - F.col("low")) / F.col("width")), F.col("bins") - 1)
     binned = placed.join(cells.select(*cell, "low", "width", "bins"), cell).withColumn("bin", bin_(F.col("angle"))).drop("low", "width", "bins")
-    stretches, _ = written(binned.groupBy(*cell, "bin").agg(F.ceil(F.count(F.lit(1)) / block_rows).alias("parts")), "partner-stretches")
+    stretches = binned.groupBy(*cell, "bin").agg(F.ceil(F.count(F.lit(1)) / block_rows).alias("parts"))
     place = [*cell, "bin", "part"]
     binned = binned.join(stretches, [*cell, "bin"]).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts"))).drop("parts")
 
@@ -257,10 +260,11 @@ def with_partner(df: DataFrame, label: str, id: str, vector: str, threshold: flo
         return rows.select(["id", *place, "angles"]).append_column("matched", pa.array(matched))
 
     found = binned.groupBy(*place).applyInArrow(inside, f"id {kinds['id']}, label {kinds['label']}, dim int, cell int, bin long, part long, angles array<double>, matched boolean")
-    settled, n = written(found, "partner-settled", left=F.count_if(~F.col("matched")))
+    # a label of one block has nothing but cell, bin and part 0
+    spread = F.count_if((F.col("cell") > 0) | (F.col("bin") > 0) | (F.col("part") > 0))
+    settled, n = written(found, "partner-settled", left=F.count_if(~F.col("matched")), spread=spread)
     matched = settled.where("matched").select("id")
-    blocks = stretches.agg(F.sum("parts").alias("n"), F.count_distinct(*key).alias("labels")).first()
-    if n["left"] and blocks["n"] > blocks["labels"]:  # some label has more than one block
+    if n["left"] and n["spread"]:
         seekers = settled.where("NOT matched").join(binned.select("id", *place, "vector"), ["id", *place])
         matched = matched.unionByName(_visitors(seekers, binned, cells, stretches, place, reach, threshold, block_rows, kinds["id"]))
     return df.join(matched.withColumnRenamed("id", id), id, "left_semi")

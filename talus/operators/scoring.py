@@ -54,8 +54,7 @@ def _unpacked(ids: bytes, vectors: bytes, dim: int) -> tuple[np.ndarray, np.ndar
 def _met(queries: DataFrame, stored: DataFrame, id: str, vector: str) -> DataFrame:
     """(block, q_ids, q_vectors, dim, ids, vectors): every pair of a block of queries (query_id, vector) and a chunk of
     stored vectors of the same length."""
-    asked, n = written(queries.select("query_id", "vector"), "queries")
-    blocks = _packed(asked.repartition(max(1, -(-n["rows"] // QUERIES)), "query_id"), "query_id", "vector", QUERIES)
+    blocks = _packed(queries.select("query_id", "vector"), "query_id", "vector", QUERIES)
     blocks, _ = written(blocks.withColumn("block", F.monotonically_increasing_id()), "query-blocks")
     slots = int(stored.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     every = F.explode(F.sequence(F.lit(0), F.lit(slots - 1)))
