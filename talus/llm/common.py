@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import sys
 import types
 from collections.abc import Callable, Iterator
@@ -81,6 +83,17 @@ def per_process(name: str, make: Callable[[], Any]) -> Any:
     return held[name]
 
 
+def forget() -> None:
+    """Let go of what `per_process` keeps for an operator before this one, and of memory that was freed: worker processes go
+    from stage to stage of a pipeline."""
+    sys.modules.pop("_talus_llm_worker", None)
+    gc.collect()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def parts_for(total_bytes: int, spark: SparkSession, each: int = 32 << 20) -> int:
     """Partitions for so many bytes: one per `each` bytes, the session's shuffle setting at least."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(total_bytes or 0) // each))

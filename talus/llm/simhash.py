@@ -21,7 +21,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from talus.llm.common import fresh, stored, texts
+from talus.llm.common import forget, fresh, stored, texts
 
 SEED = 42
 HOT = 64  # fingerprints of one block key above which the detour is taken
@@ -64,14 +64,17 @@ def wide_fingerprint(text: bytes, words: int, width: int) -> bytes:
 
 
 def _wide(hashes: np.ndarray, width: int) -> bytes:
-    if not len(hashes):
-        return bytes(8 * width)
-    with np.errstate(over="ignore"):
-        mixed = (hashes[:, None] ^ np.arange(1, width + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xFF51AFD7ED558CCD)
-        mixed ^= mixed >> np.uint64(32)
-        mixed *= np.uint64(0xC4CEB9FE1A85EC53)
-        mixed ^= mixed >> np.uint64(29)
-    return np.packbits(_majority(mixed)).tobytes()
+    counts = np.zeros(64 * width, dtype=np.int64)
+    steps = np.arange(1, width + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for at in range(0, len(hashes), 255):  # a byte holds as many
+        with np.errstate(over="ignore"):
+            mixed = (hashes[at : at + 255, None] ^ steps) * np.uint64(0xFF51AFD7ED558CCD)
+            mixed ^= mixed >> np.uint64(32)
+            mixed *= np.uint64(0xC4CEB9FE1A85EC53)
+            mixed ^= mixed >> np.uint64(29)
+        bits = np.unpackbits(mixed.astype(">u8").view(np.uint8), axis=1)
+        counts += np.add.reduce(bits, axis=0, dtype=np.uint8)
+    return np.packbits(counts * 2 > len(hashes)).tobytes()
 
 
 def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
@@ -214,27 +217,31 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, blo
         raise ValueError("a block's value and number have to fit 64 bits")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             found = [wide_fingerprint(t.as_buffer().to_pybytes(), words, width) for t in batch.column(1).cast(pa.binary())]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["doc_id", "fp"])
 
     prints = stored(known.mapInArrow(run, "doc_id long, fp binary"), "wide-simhash")
-    classes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("node")), "wide-classes")
+    weights = 1 << np.arange(block_bits - 1, -1, -1, dtype=np.int64)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights = 1 << np.arange(block_bits - 1, -1, -1, dtype=np.int64)
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 flat = np.frombuffer(b"".join(part.column(0).to_pylist()), np.uint8).reshape(part.num_rows, -1)
                 bits = np.unpackbits(flat, axis=1)[:, : blocks * block_bits].reshape(-1, blocks, block_bits)
                 buckets = (bits @ weights) * blocks + np.arange(blocks)
-                nodes = np.repeat(part.column(1).to_numpy(), blocks)
-                sketches = np.repeat(np.ascontiguousarray(flat[:, -8:]).view(np.int64).ravel(), blocks)
-                yield pa.RecordBatch.from_arrays([pa.array(buckets.ravel()), pa.array(nodes), pa.array(sketches)], names=["bucket", "node", "sketch"])
-
-    keyed = classes.select("fp", "node").mapInArrow(deal, "bucket long, node long, sketch long")
-    counted = keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+                offsets = pa.array(np.arange(part.num_rows + 1, dtype=np.int32) * blocks)
+                sketches = np.ascontiguousarray(flat[:, -8:]).view(np.int64).ravel()
+                yield pa.RecordBatch.from_arrays(
+                    [*part.columns, pa.ListArray.from_arrays(offsets, pa.array(buckets.ravel())), pa.array(sketches)], names=["fp", "node", "buckets", "sketch"])
+
+    # one row for each class, with all its blocks; the JVM takes them apart
+    classes = prints.groupBy("fp").agg(F.min("doc_id").alias("node"))
+    classes = stored(classes.mapInArrow(deal, "fp binary, node long, buckets array<long>, sketch long"), "wide-classes")
+    counted = classes.select(F.explode("buckets").alias("bucket")).groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    keyed = classes.select("node", "sketch", F.explode("buckets").alias("bucket"))
     members = stored(keyed.join(counted, "bucket"), "wide-members")
     few = members.where(F.col("n") <= hot)
     sides = [few.select("bucket", F.col("node").alias(x), F.col("sketch").alias(f"s{x}")) for x in "ab"]
@@ -269,20 +276,20 @@ def _near_bits(limit: int):
 
 
 def _near_sets(similarity: float):
-    """A `near` for `closure`: sets of hashes (sorted, eight bytes each) of at least this Jaccard similarity. Among many
-    rows, those whose short fingerprints lie too far apart by six standard deviations are not compared."""
+    """A `near` for `closure`: sets of hashes (sorted, eight bytes each) of at least this Jaccard similarity. Sets whose short
+    fingerprints lie too far apart by six standard deviations are not compared: a pair at the threshold is lost that way
+    once in 10^8; sets of under 16 hashes, for which that does not hold, always are."""
 
     def near(loads: list[bytes]):
         held = [np.frombuffer(x, np.uint64) for x in loads]
         sizes = np.array([len(x) for x in held])
-        signs, limit = None, bits_for(similarity, 16 * BITS)
-        if len(held) > 32:
-            signs = np.unpackbits(np.frombuffer(b"".join(_wide(x, 16) for x in held), np.uint8).reshape(len(held), -1), axis=1).astype(np.float32) * 2 - 1
+        limit = bits_for(similarity, 16 * BITS)
+        signs = np.unpackbits(np.frombuffer(b"".join(_wide(x, 16) for x in held), np.uint8).reshape(len(held), -1), axis=1).astype(np.float32) * 2 - 1
 
         def close(i: int, others: np.ndarray) -> np.ndarray:
             low, high = np.minimum(sizes[others], sizes[i]), np.maximum(sizes[others], sizes[i])
             others = others[low >= similarity * high - 1e-9]
-            if signs is not None and len(others):
+            if len(others):
                 others = others[(signs[others] @ signs[i] >= signs.shape[1] - 2 * limit) | (sizes[others] < 16)]
             if not len(others) or not sizes[i]:
                 return others  # empty sets are equal

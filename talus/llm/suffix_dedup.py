@@ -33,7 +33,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from talus.llm.common import fresh, texts
+from talus.llm.common import forget, fresh, texts
 
 LENGTH = 50  # bytes of a repeated string
 GRAM = 16  # bytes of an anchor
@@ -382,6 +382,7 @@ def repeats(docs: DataFrame, runs: int | None = None, parts: int | None = None,
     dealt = source.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(runs)).cast("int").alias("run"), "doc_id", F.xxhash64("text").alias("tag"), "text")
 
     def fragments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             held: dict[int, list] = {}
             for run, doc_id, tag, text in zip(*(batch.column(i).to_pylist() for i in range(3)), batch.column(3).cast(pa.binary())):

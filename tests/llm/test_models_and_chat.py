@@ -59,6 +59,39 @@ def test_windows_cover_the_text():
     assert covered == set(range(len(text)))
 
 
+def dense_rows(n, seed):
+    """Texts whose class is told by how many of their words begin with one stem, which the other class has now and then."""
+    rng, rows = np.random.default_rng(seed), []
+    ends = ["ling", "ter", "mar", "os", "ibe", "unt", "ach"]
+    for i in range(n):
+        toxic = i % 4 == 0
+        words = []
+        for _ in range(int(rng.integers(150, 400))):
+            cue = rng.random() < (0.04 if toxic else 0.003)
+            parts = ["zorbel"] if cue else list(rng.choice(["gra", "nem", "olu", "tis", "per", "ako", "zo", "be"], 2))
+            words.append("".join([*parts, rng.choice(ends)]))
+        rows.append((" ".join(words).encode(), int(toxic)))
+    return rows
+
+
+def test_a_class_told_by_density():
+    of = toxicity.fit(dense_rows(900, 1)).scorer()
+    scores = [(of(text), y) for text, y in dense_rows(400, 2)]
+    hit, miss = [[s >= 0.5 for s, y in scores if y == kind] for kind in (1, 0)]
+    assert np.mean(hit) > 0.85 and np.mean(miss) < 0.04
+
+
+def test_cues_behind_the_first_windows_are_learnt():
+    rows = toxic_rows()
+    rng = random.Random(5)
+    late = [(prose(rng, 1500).encode() + b" " + text if y else text, y) for text, y in rows]  # over 8,000 bytes before the cue
+    held, n = toxicity.some_windows(late[0][0])
+    assert len(held) == min(n, toxicity.MAX_WINDOWS) and n == len(toxicity.windows(late[0][0]))
+    of = toxicity.fit(late).scorer()
+    told = [of(text) for text, y in rows if y]
+    assert np.mean(np.array(told) >= 0.5) > 0.8
+
+
 def test_held_out_rule(spark):
     from pyspark.sql import functions as F
 
