@@ -83,13 +83,15 @@ def improve(sizes: list[int], bins: list[list[int]], size: int) -> list[list[int
     while changed:
         changed = False
         stock = _Stock(sizes, open_bins)
+        pairs = {k: _pair_sums(sizes, items) for k, items in open_bins.items()}  # of the bins that still give
         for b in sorted(open_bins, key=lambda k: -fill[k]):
             items = open_bins[b]
+            del pairs[b]
             if not items:
                 continue
             for item in items:
                 stock.remove(sizes[item], b, item)
-            while fill[b] < size and (step := _step(sizes, items, size - fill[b], stock)):
+            while fill[b] < size and (step := _step(sizes, items, size - fill[b], stock) or _two_for_one(sizes, items, size - fill[b], open_bins, pairs)):
                 leave, enter = step
                 for donor, item in enter:
                     stock.remove(sizes[item], donor, item)
@@ -104,15 +106,45 @@ def improve(sizes: list[int], bins: list[list[int]], size: int) -> list[list[int
                     open_bins[giver].append(item)
                     fill[giver] += sizes[item]
                     stock.add(sizes[item], giver, item)
+                pairs[giver] = _pair_sums(sizes, open_bins[giver])
                 changed = True
         done += [b for k, b in open_bins.items() if b and fill[k] >= size]
         open_bins = {k: b for k, b in open_bins.items() if b and fill[k] < size}
     return done + list(open_bins.values())
 
 
+def _pair_sums(sizes: list[int], items: list[int]) -> int:
+    """The sums of two pieces of a bin, as bits."""
+    sums = seen = 0
+    for item in items:
+        sums |= seen << sizes[item]
+        seen |= 1 << sizes[item]
+    return sums
+
+
+def _two_for_one(sizes: list[int], items: list[int], gap: int, bins: dict[int, list[int]], pairs: dict[int, int]):
+    """(the piece that leaves, two of one bin that enter for it) with the largest gain up to `gap`, or None."""
+    every = 0
+    for sums in pairs.values():
+        every |= sums
+    best, leaves, total = 0, -1, 0
+    for y in items:
+        top = (every & ((1 << (gap + sizes[y] + 1)) - 1)).bit_length() - 1
+        if top - sizes[y] > best:
+            best, leaves, total = top - sizes[y], y, top
+    if not best:
+        return None
+    giver = min(k for k, sums in pairs.items() if sums >> total & 1)
+    seen: dict[int, int] = {}
+    for item in bins[giver]:
+        if total - sizes[item] in seen:
+            return [leaves], [(giver, seen[total - sizes[item]]), (giver, item)]
+        seen.setdefault(sizes[item], item)
+
+
 def _step(sizes: list[int], items: list[int], gap: int, stock: _Stock):
-    """(pieces that leave, pieces that enter) with the largest gain up to `gap`, or None: a move, one for one, one
-    for two that leave, or two of one bin for one that leaves. A giver never gets more than it gives."""
+    """(pieces that leave, pieces that enter) with the largest gain up to `gap`, or None: a move, one for one, or one for
+    two that leave. A giver never gets more than it gives."""
     best, found = 0, None
     if (x := stock.largest(gap)) > best:
         best, found = x, ([], [stock.any(x)])

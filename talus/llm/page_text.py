@@ -6,8 +6,9 @@ density, its tag and attribute tokens and those of its ancestors, its depth and
 log odds that a block belongs to the article.
 
 Decoding picks the best labelling of the whole tree among three states: outside, inside, and cut out. Outside a block
-may have an inside child (the article starts there); inside a block may have a cut-out child (an advert in the
-article); below a cut-out block everything is cut out. So no block contradicts its ancestors or descendants.
+may have inside children (the article starts there; children next to each other start it together); inside a block may have
+a cut-out child (an advert in the article); below a cut-out block everything is cut out. So no block contradicts its
+ancestors or descendants.
 
 There are no labelled pages. The trees are fitted on a bounded sample of pages (`MAX_PAGES`, in the order of a hash of
 the id) whose own markup tells article and boilerplate apart, and on variants of these pages: their blocks set anew in
@@ -20,6 +21,7 @@ from __future__ import annotations
 
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import escape, unescape
 
@@ -30,7 +32,7 @@ from pyspark.sql import DataFrame, functions as F
 from talus.llm import boosting
 
 MAX_PAGES = 300  # pages fetched for fitting
-MAX_CHARS = 60_000  # of one such page, in fitting only
+MAX_CHARS, LONG_PAGES = 60_000, 20  # of pages with more characters at most so many are among them
 ENOUGH = 20  # pages with telling markup from which the trees rest on them alone
 ENTER, CUT = 2.0, 1.0  # log odds that starting an article, or cutting a block out of it, has to outweigh
 
@@ -43,6 +45,7 @@ VOID = set("area base br col embed hr img input link meta param source track wbr
 SKIPPED = set("button canvas head iframe noscript object option script select style svg template textarea title".split())
 CLOSES_P = BLOCKS - set("body html li dd dt td th tr tbody thead tfoot".split())
 ITEMS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+LISTS = set("ul ol menu dl table".split())
 GOOD_TAGS, BAD_TAGS = set("article main".split()), set("aside dialog footer form header menu nav fieldset".split())
 GOOD_TOKENS = set("article articlebody body content entry main post story text".split())
 BAD_TOKENS = set(
@@ -82,6 +85,7 @@ def parse(html: str) -> list[Block]:
     """The blocks of a page in page order; the first is the root. End tags that are missing are supplied."""
     root = Block("html", None, set())
     blocks, open_ = [root], [root]
+    held: Counter[str] = Counter()  # tags of the open blocks, so that what is not there is not looked for
     tag_at, loose_at = re.compile(_TAG).match, re.compile(_LOOSE_TAG).match
     at, links, size = 0, 0, len(html)
 
@@ -93,6 +97,13 @@ def parse(html: str) -> list[Block]:
         here.link += n if links > 0 else 0
         here.marks += sum(map(text.count, ".!?,;"))
 
+    def close(first: int) -> None:
+        held.subtract(b.tag for b in open_[first:])
+        del open_[first:]
+
+    def last(tags: set[str]) -> int:
+        return next(i for i in range(len(open_) - 1, 0, -1) if open_[i].tag in tags)
+
     while at < size:
         start = html.find("<", at)
         if start < 0:
@@ -121,9 +132,8 @@ def parse(html: str) -> list[Block]:
             if tag == "a":
                 links = max(0, links - 1)
             elif tag in BLOCKS:
-                same = [i for i in range(1, len(open_)) if open_[i].tag == tag]
-                if same:
-                    del open_[same[-1] :]
+                if held[tag] > 0:
+                    close(last({tag}))
                     links = 0
         elif tag in SKIPPED:
             if not m[3].endswith("/"):
@@ -134,18 +144,16 @@ def parse(html: str) -> list[Block]:
         elif tag == "br":
             open_[-1].parts.append(" ")
         elif tag in BLOCKS and tag != "html":
-            if tag in CLOSES_P and any(b.tag == "p" for b in open_):
-                del open_[max(i for i, b in enumerate(open_) if b.tag == "p") :]
-            if tag in ITEMS:
-                for i in range(len(open_) - 1, 0, -1):
-                    if open_[i].tag in ITEMS[tag]:
-                        del open_[i:]
-                        break
-                    if open_[i].tag in ("ul", "ol", "menu", "dl", "table"):
-                        break
+            if tag in CLOSES_P and held["p"] > 0:
+                close(last({"p"}))
+            if tag in ITEMS and any(held[t] > 0 for t in ITEMS[tag]):
+                at_item = last(ITEMS[tag] | LISTS)
+                if open_[at_item].tag in ITEMS[tag]:
+                    close(at_item)
             block = Block(tag, open_[-1], _tokens(m[3]) if "=" in m[3] else set())
             blocks.append(block)
             open_.append(block)
+            held[tag] += 1
             links = 0
     return blocks
 
@@ -183,27 +191,43 @@ def features(blocks: list[Block]) -> np.ndarray:
     return np.array(rows, dtype=np.float64)
 
 
-def decode(blocks: list[Block], odds: np.ndarray) -> np.ndarray:
-    """Whether each block is inside, in the best consistent labelling (see the module's text)."""
+def decode(blocks: list[Block], odds: np.ndarray, enter: float = ENTER) -> np.ndarray:
+    """Whether each block is inside, in the best consistent labelling (see the module's text). A page whose article does not
+    outweigh its start is looked at again as if starting cost nothing: it keeps doubtful second articles out, not a first."""
     number = {id(b): i for i, b in enumerate(blocks)}
     outside, inside, cut = np.zeros(len(blocks)), np.zeros(len(blocks)), np.zeros(len(blocks))
+
+    def runs(children: list[int]) -> tuple[float, list[bool]]:
+        """The best labelling of an outside block's children, of which each run inside pays `enter` once."""
+        out, within, came = 0.0, -np.inf, []
+        for c in children:
+            starts, ends = out - enter > within, within > out
+            came.append((ends, not starts))  # whether the child before was inside, if this one is outside or inside
+            out, within = max(out, within) + outside[c], max(within, out - enter) + inside[c]
+        now, labels = within > out, []
+        for before_out, before_in in reversed(came):
+            labels.append(now)
+            now = before_in if now else before_out
+        return max(out, within), labels[::-1]
+
+    below = [[number[id(c)] for c in b.children] for b in blocks]
+    chosen: list[list[bool]] = [[]] * len(blocks)
     for i in range(len(blocks) - 1, -1, -1):
-        children = [number[id(c)] for c in blocks[i].children]
-        outside[i] = sum(max(outside[c], inside[c] - ENTER) for c in children)
-        inside[i] = odds[i] + sum(max(inside[c], cut[c] - CUT) for c in children)
-        cut[i] = sum(cut[c] for c in children)  # what is not inside scores 0
+        outside[i], chosen[i] = runs(below[i])
+        inside[i] = odds[i] + sum(max(inside[c], cut[c] - CUT) for c in below[i])
+        cut[i] = sum(cut[c] for c in below[i])  # what is not inside scores 0
     state = ["out"] * len(blocks)
-    state[0] = "in" if inside[0] - ENTER > outside[0] else "out"
-    for i, b in enumerate(blocks):
-        for child in b.children:
-            c = number[id(child)]
+    state[0] = "in" if inside[0] - enter > outside[0] else "out"
+    for i in range(len(blocks)):
+        for k, c in enumerate(below[i]):
             if state[i] == "out":
-                state[c] = "in" if inside[c] - ENTER > outside[c] else "out"
+                state[c] = "in" if chosen[i][k] else "out"
             elif state[i] == "in":
                 state[c] = "in" if inside[c] >= cut[c] - CUT else "cut"
             else:
                 state[c] = "cut"
-    return np.array([s == "in" for s in state])
+    found = np.array([s == "in" for s in state])
+    return decode(blocks, odds, 0.0) if enter and not found.any() else found
 
 
 def text_of(blocks: list[Block], inside: np.ndarray) -> str:
@@ -251,6 +275,9 @@ def _variant(page: list[Block], others: list[str], rng: random.Random) -> tuple[
     """The page's article in another layout: (html, main text)."""
     inside = marked_blocks(page)
     lines = text_of(page, inside).split("\n\n")
+    layout = rng.choice(["usual"] * 4 + ["breaks", "breaks", "flat", "single", "single"])
+    if layout == "single":  # one paragraph and nothing else
+        lines = [max(lines, key=len)]
     named = rng.random() < 0.7  # whether attributes tell what a block is
 
     def words(n: int) -> str:
@@ -280,7 +307,10 @@ def _variant(page: list[Block], others: list[str], rng: random.Random) -> tuple[
     talk = lambda: frame(["section"], {"comments", "comment", "replies", "discussion"}, "".join(
         rng.choice(["<div class=comment><p>{}</p></div>", "<p>{}</p>", "<article class=comment>{}</article>"]).format(words(rng.randint(5, 60))) for _ in range(rng.randint(1, 6))))
     body = []
-    for i, line in enumerate(lines):
+    if layout == "breaks":  # one block, its lines parted by br
+        body.append(rng.choice(["<br>", "<br><br>", "<br/>\n"]).join(map(escape, lines)))
+        lines = [" ".join(lines)]
+    for i, line in enumerate(lines if layout != "breaks" else []):
         line = escape(line)
         body.append(f"<h1>{line}</h1>" if i == 0 and len(line) < 150 else rng.choice(["<p>{}</p>", "<p>{}</p>", "<p>{}</p>", "<blockquote>{}</blockquote>", "<ul><li>{}</li></ul>"]).format(line))
         if rng.random() < 0.06:
@@ -289,7 +319,9 @@ def _variant(page: list[Block], others: list[str], rng: random.Random) -> tuple[
         body.append(talk())
     tag, shown = rng.choice([("article", ""), ("main", ""), ("div", ' class="content"'), ("div", ' id="post-body"'), ("div", ' class="article-body"'), ("div", ""), ("section", ' class="entry"')])
     article = f"<{tag}{shown}>{''.join(body)}</{tag}>"
-    if rng.random() < 0.4:
+    if layout == "flat":  # between the other parts, in no block of its own
+        article = "".join(body)
+    elif rng.random() < 0.4:
         article = f"<div>{article}</div>"
     parts = [frame(["header"], {"header", "masthead", "topbar"}, small(8)), rng.choice(side)(), article, frame(["footer"], {"footer", "copyright", "legal"}, small(25))]
     if rng.random() < 0.7:
@@ -299,10 +331,10 @@ def _variant(page: list[Block], others: list[str], rng: random.Random) -> tuple[
     return "<!DOCTYPE html><html><head><title>t</title></head><body>" + "".join(parts) + "</body></html>", "\n\n".join(lines)
 
 
-def fit(pages: list[str], variants: int = 3, seed: int = 11) -> boosting.Trees | None:
+def fit(pages: list[str], variants: int = 4, seed: int = 11) -> boosting.Trees | None:
     """Trees from pages whose markup tells the article; None if there is none."""
     rng = random.Random(seed)
-    parsed = [parse(html[:MAX_CHARS]) for html in pages]
+    parsed = [parse(html) for html in pages]
     parsed = [p for p in parsed if marked_blocks(p) is not None]
     if not parsed:
         return None
@@ -350,9 +382,8 @@ def built_in(n: int = 40, seed: int = 5) -> list[str]:
 
 
 def tells(html: str) -> bool:
-    """Whether the markup of a page's part that `fit` reads tells the article. Mostly the page up to its first such
-    tag shows it; the rest is parsed only if that one is in a comment, a script or the like."""
-    html = html[:MAX_CHARS]
+    """Whether a page's markup tells the article. Mostly the page up to its first such tag shows it; the rest is
+    parsed only if that one is in a comment, a script or the like."""
     first = re.search(r"<(?:article|main)(?=[\s/>])[^>]*>?", html, re.I)
     if first is None:
         return False
@@ -372,25 +403,28 @@ def _inside_of(blocks: list[Block], text: str) -> np.ndarray:
     for b in blocks:  # the deepest block that holds the whole article
         if hit[id(b)] == top and top:
             region = b
+    frame = region is not None and region.tag in ("body", "html")  # the article has no block of its own
     for b in blocks:
-        up = inside.get(id(b.parent), False)
-        inside[id(b)] = b is region or (up and hit[id(b)] > 0)
+        up = inside.get(id(b.parent), False) or frame and b.parent is region
+        inside[id(b)] = b is region and not frame or (up and hit[id(b)] > 0)
     return np.array([inside[id(b)] for b in blocks])
 
 
 def sample(pages: DataFrame, max_pages: int = MAX_PAGES) -> list[str]:
-    """The bounded sample that `fit` takes: of all pages whose markup tells the article, the first by a hash of the id."""
-    known = pages.where("html IS NOT NULL").select("page_id", F.substring(F.col("html").cast("string"), 1, MAX_CHARS).alias("html"))
+    """The bounded sample that `fit` takes, whole pages: of all pages whose markup tells the article, the first by a hash of
+    the id, LONG_PAGES of more than MAX_CHARS characters at most."""
+    known = pages.where("html IS NOT NULL").select("page_id", F.col("html").cast("string").alias("html"))
 
     def telling(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.select(["page_id"]).filter(pa.array([tells(h) for h in batch.column(1).to_pylist()], pa.bool_()))
+            yield batch.select(["page_id", "long"]).filter(pa.array([tells(h) for h in batch.column(1).to_pylist()], pa.bool_()))
 
-    marked = known.where(F.col("html").rlike("(?i)<(article|main)[\\s/>]"))
+    marked = known.where(F.col("html").rlike("(?i)<(article|main)[\\s/>]")).withColumn("long", F.length("html") > MAX_CHARS)
     order = F.xxhash64("page_id"), "page_id"
-    ids = marked.mapInArrow(telling, known.select("page_id").schema)
-    chosen = F.broadcast(ids.orderBy(*order).limit(max_pages).distinct())  # ids first: pages are wide
-    rows = known.join(chosen, "page_id", "left_semi").orderBy(*order, "html").limit(max_pages)
+    ids = marked.select("page_id", "html", "long").mapInArrow(telling, f"page_id {known.schema['page_id'].dataType.simpleString()}, long boolean")
+    sides = [ids.where("NOT long").orderBy(*order).limit(max_pages), ids.where("long").orderBy(*order).limit(LONG_PAGES)]  # ids first: pages are wide
+    chosen = F.broadcast(sides[0].unionByName(sides[1]).select("page_id").distinct())
+    rows = known.join(chosen, "page_id", "left_semi").orderBy(F.length("html") > MAX_CHARS, *order, "html").limit(max_pages)
     return [r.html for r in rows.collect() if tells(r.html)]
 
 

@@ -28,11 +28,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from talus.llm.common import forget, texts
 
-MAX_ROWS = 3000  # labelled rows of each class that are fetched for fitting
-MAX_WINDOWS = 240  # windows of one labelled text, in fitting only
+MAX_ROWS = 2000  # labelled rows of each class that are fetched for fitting
+MAX_WINDOWS = 80  # windows of one labelled text, in fitting only
 WINDOW, STEP = 60, 40  # bytes; so short that zstandard leaves literals as they are, and a byte saved is a match
 GRAM = 5  # bytes of the strings that are weighed
 BEHIND = 3  # bytes of the word behind a telling string that are learnt with it: longer matches stand out more
+SEEN = 24  # windows of an ordinary text that the ordinary dictionary learns from, half of them at first
 BUCKETS = 1 << 22  # to which strings are hashed while they are counted
 TOLD = 5.0  # how much more often windows of toxic texts hold a telling string
 SURE = 6.0  # standard deviations by which they do
@@ -41,6 +42,7 @@ LEVELS = (0.01, 0.003, 0.0003)  # shares of ordinary windows that reach a thresh
 LIKELY = 25.0  # log odds beyond which more hits, or more windows without one, say nothing new
 TRAINED = {"k": 32, "d": 6, "f": 20, "accel": 1, "split_point": 1.0}  # zstandard's trainer: segments of 32 bytes, by strings of 6
 BALANCE = 0.3  # weight of the toxic rows of the sample in the calibration, against 1 - BALANCE of the ordinary ones
+_STARTS = re.compile(rb" (?=.{23})", re.S)
 _OTHER = re.compile(rb"[^a-z\x80-\xff]+")
 
 Sample = tuple[list[bytes], int]  # windows of a text, and how many it has
@@ -131,7 +133,7 @@ def _distinct(held: list[Sample]) -> list[Sample]:
     seen: set[bytes] = set()
     kept = []
     for sample in held:
-        own = {x for text in sample[0] for i in range(len(text) - 23) if zlib.crc32(x := text[i : i + 24]) % 16 == 0}
+        own = {x for text in sample[0] for m in _STARTS.finditer(text) if zlib.crc32(x := text[m.start() : m.start() + 24]) % 4 == 0}
         if not own or len(own & seen) * 3 <= len(own):
             kept.append(sample)
         seen |= own
@@ -235,8 +237,8 @@ def _dictionaries(toxic: list[Sample], ordinary: list[Sample], seed: int) -> tup
     the toxic windows. Windows that hold nothing that tells and yet gain are learnt as ordinary in a second pass."""
     rng = random.Random(seed)
     odds = _log_odds(toxic, ordinary)
-    plain = [_plain_windows(held, odds) for held, _ in ordinary]
-    base = _train([w for held in plain for w in rng.sample(held, min(len(held), 12))], DICTIONARY)
+    plain = [_plain_windows(rng.sample(held, min(len(held), SEEN)), odds) for held, _ in ordinary]
+    base = _train([w for held in plain for w in held[: SEEN // 2]], DICTIONARY)
     excerpts = [x for sample in toxic if len(x := _excerpts(sample, odds)) >= 16]
     if not excerpts:
         excerpts = [w for held, _ in toxic for w in held]

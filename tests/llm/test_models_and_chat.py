@@ -119,6 +119,78 @@ def test_layouts(trees, html):
     assert page_text.main_text(html, trees).split("\n\n") == LINES
 
 
+@pytest.mark.parametrize("html, text", [
+    ("<body><nav><a href=/>Home</a></nav><article>" + "<br>".join([SENTENCE] * 8) + "</article><footer>All rights.</footer></body>", " ".join([SENTENCE.strip()] * 8)),
+    ("<body><div class=header>Site name</div>" + f"<p>{SENTENCE * 4}</p>" * 3 + "<div class=footer>Imprint and so on.</div></body>", "\n\n".join([(SENTENCE * 4).strip()] * 3)),
+    (f"<body><article><p>{SENTENCE * 4}</p></article><div class=comment>I read it and think so.</div></body>", (SENTENCE * 4).strip()),
+])
+def test_lines_in_one_block_flat_pages_and_single_paragraphs(trees, html, text):
+    assert page_text.main_text(html, trees) == text
+
+
+def labellings(block, state):
+    """Every consistent labelling of a block's subtree, as (blocks with their state, score without odds)."""
+    below = [[]] if not block.children else None
+    if below is None:
+        allowed = {"out": ("out", "in"), "in": ("in", "cut"), "cut": ("cut",)}[state]
+        below = [[]]
+        for child in block.children:
+            below = [b + [(s, rest)] for b in below for s in allowed for rest in labellings(child, s)]
+    for parts in below:
+        cost, before, held = 0.0, "out", [(block, state)]
+        for s, (rest, own) in parts:
+            cost += own
+            if state == "out" and s == "in" and before != "in":
+                cost -= page_text.ENTER
+            if state == "in" and s == "cut":
+                cost -= page_text.CUT
+            before = s
+            held += rest
+        yield held, cost
+
+
+def test_decoding_against_all_labellings():
+    rng = random.Random(6)
+    for _ in range(120):
+        html, open_ = "", []
+        for _ in range(rng.randint(1, 6)):  # a random tree of at most six blocks below the root
+            while open_ and rng.random() < 0.5:
+                html += f"</{open_.pop()}>"
+            html += "<div>x"
+            open_.append("div")
+        blocks = page_text.parse(html)
+        odds = np.array([rng.gauss(0.5, 3) for _ in blocks])
+        number = {id(b): i for i, b in enumerate(blocks)}
+
+        def worth(held, cost):
+            return cost + sum(odds[number[id(b)]] for b, s in held if s == "in")
+
+        every = [(worth(h, c - (page_text.ENTER if s == "in" else 0)), {number[id(b)] for b, x in h if x == "in"}) for s in ("out", "in") for h, c in labellings(blocks[0], s)]
+        best = max(w for w, _ in every)
+        got = {i for i, yes in enumerate(page_text.decode(blocks, odds, page_text.ENTER)) if yes}
+        if best > 1e-9:
+            assert any(abs(w - best) < 1e-9 and inside == got for w, inside in every)
+        else:  # nothing outweighs its start: then without that cost
+            assert not got or all(odds[i] > 0 for i in got if blocks[i].parent is None or number[id(blocks[i].parent)] not in got and not blocks[i].children)
+
+
+def test_deep_pages_are_parsed_in_proportion():
+    import time
+
+    def spent(n):
+        start = time.process_time()
+        page_text.parse("<div>" * n + "<p>x" * n)
+        return time.process_time() - start
+
+    assert spent(40_000) < 12 * max(spent(10_000), 0.02)
+
+
+def test_an_article_behind_60000_characters_is_learnt_from(spark):
+    late = "<body><!-- " + "x" * 70_000 + f" --><article>{BODY}</article></body>"
+    pages = spark.createDataFrame([(i, "u", late) for i in range(30)], "page_id long, url string, html string")
+    assert page_text.sample(pages) == [late] * page_text.LONG_PAGES
+
+
 def test_children_of_a_wide_page_keep_their_own_place():
     blocks = page_text.parse("<body>" + "".join(f"<p>{'x' * (i + 1)}</p>" for i in range(80)) + "</body>")
     rows = page_text.features(blocks)

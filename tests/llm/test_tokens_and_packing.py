@@ -137,3 +137,18 @@ def test_round_trip(make, reference):
     back = byte_bpe.decode(byte_bpe.encode(make(rows), *args), *args)
     assert Counter(bytes(r.text) for r in back.collect()) == Counter((t or "").encode() for _, t in rows)
     assert byte_bpe.round_trip(make([]), *args).collect() == []
+
+
+def test_two_pieces_of_one_bin_enter_for_one():
+    sizes = [3, 6, 5, 2]
+    got = packing.improve(sizes, [[0, 1], [2, 3]], 10)  # no move, no one for one and no one for two fills the first bin
+    assert sorted(sum(sizes[i] for i in b) for b in got) == [6, 10] and sorted(i for b in got for i in b) == [0, 1, 2, 3]
+    rng = random.Random(4)
+    for _ in range(60):
+        sizes = [rng.randint(1, 40) for _ in range(60)]
+        start = packing.best_fit(sizes, 50)
+        rng.shuffle(start)
+        worse = [b[: len(b) // 2] for b in start if len(b) > 1] + [b[len(b) // 2 :] if len(b) > 1 else b for b in start]
+        got = packing.improve(sizes, [list(b) for b in worse], 50)
+        assert sorted(i for b in got for i in b) == list(range(60))
+        assert all(sum(sizes[i] for i in b) <= 50 for b in got) and len(got) <= len(worse)
