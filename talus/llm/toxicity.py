@@ -34,7 +34,7 @@ WINDOW, STEP = 60, 40  # bytes; so short that zstandard leaves literals as they
 GRAM = 5  # bytes of the strings that are weighed
 BEHIND = 3  # bytes of the word behind a telling string that are learnt with it: longer matches stand out more
 SEEN = 24  # windows of an ordinary text that the ordinary dictionary learns from, half of them at first
-BUCKETS = 1 << 22  # to which strings are hashed while they are counted
+BUCKETS = 1 << 21  # to which strings are hashed while they are counted
 TOLD = 5.0  # how much more often windows of toxic texts hold a telling string
 SURE = 6.0  # standard deviations by which they do
 DICTIONARY, TOXIC_DICTIONARY = 96 << 10, 12 << 10  # bytes
@@ -164,7 +164,7 @@ def _log_odds(toxic: list[Sample], ordinary: list[Sample]) -> np.ndarray:
     string does not make it tell."""
     rates, shares = [], []
     for held in (toxic, ordinary):
-        counts, texts_with, n = np.zeros(BUCKETS), np.zeros(BUCKETS), 0
+        counts, texts_with, n = np.zeros(BUCKETS, np.float32), np.zeros(BUCKETS, np.float32), 0
         for sample, _ in held:
             if sample:
                 kinds, often = np.unique(_buckets(sample)[1], return_counts=True)
@@ -174,11 +174,14 @@ def _log_odds(toxic: list[Sample], ordinary: list[Sample]) -> np.ndarray:
         rates.append((counts + 0.1) / max(n, 1))
         shares.append(texts_with / max(len(held), 1))
     (p, q), (a, b), sizes = rates, shares, (len(toxic), len(ordinary))
+    odds = np.zeros(BUCKETS, np.float32)
+    told = np.flatnonzero((p > TOLD * q) & (a > b))
+    told = told[told > 0]
+    p, q, a, b = p[told], q[told], a[told], b[told]
     mean = (a * sizes[0] + b * sizes[1]) / sum(sizes)
     sigma = np.sqrt(mean * (1 - mean) * (1 / sizes[0] + 1 / sizes[1])) + 1e-9
-    sure = (p > TOLD * q) & ((a - b) / sigma > SURE)
-    sure[0] = False
-    return np.where(sure, np.log(p / q), 0.0)
+    odds[told] = np.where((a - b) / sigma > SURE, np.log(p / q), 0.0)
+    return odds
 
 
 def _excerpts(sample: Sample, odds: np.ndarray) -> bytes:
