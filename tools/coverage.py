@@ -12,27 +12,27 @@ sys.path.insert(0, str(ROOT))
 FUNCTIONS = {
     "S1": "sources.tree.read_documents, load_flattened_tree, read_lines", "S2": "sources.files.read_annotations, read_csv",
     "S3": "sources.tables.scan, scan_jdbc", "S4": "sources.files.key_array, read_key_array", "S5": "sources.files.tagged_map, read_tagged_map",
-    "S6": "sources.files.read_progress", "S7": "sources.files.read_hashes", "S8": "sources.files.read_shards",
+    "S6": "sources.files.read_progress", "S7": "sources.files.read_hashes", "S8": "sources.files.read_shards, read_named_shards",
     "S9": "sources.files.read_binary, with_content", "S10": "operators.pages.stored_pages",
-    "K1": "sources.files.write_csv", "K2": "sources.files.append_rows", "K3": "operators.curation.with_shard, sources.files.write_shards",
-    "K4": "sources.files.write_batches", "K5": "operators.rows.upsert, sources.files.write_versioned", "K6": "operators.rows.upsert",
+    "K1": "sources.files.write_csv", "K2": "sources.files.append_rows", "K3": "plans.dataset_build.shard_rows, operators.curation.with_shard, sources.files.write_named_shards, write_shards",
+    "K4": "sources.files.write_batches", "K5": "operators.rows.upsert(within), sources.files.upsert_versions, write_versioned", "K6": "operators.rows.upsert",
     "K7": "operators.state.insert_if_absent, sources.tree.area_rows/route_rows/image_rows", "K8": "sources.tree.write_lines",
     "K9": "sources.files.write_progress, append_rows", "K10": "operators.state.submissions", "K11": "operators.state.area_suggestions, route_suggestions",
     "K12": "operators.state.fold_decisions, apply_decisions, first_decisions", "K13": "operators.state.feedback_decisions, decisions_of",
     "K14": "operators.state.drop_route_links, drop_orphans",
     "P1": "operators.catalogue.approved", "P2": "operators.catalogue.of_version", "P3": "operators.curation.dataset_rows", "P4": "column comparison",
-    "P5": "operators.curation.full_manifest", "P6": "column filter", "P7": "functions.text.matches_text", "P8": "left_semi on operators.hierarchy.subtree",
+    "P5": "operators.curation.full_manifest", "P6": "column filter", "P7": "functions.text.matches_text", "P8": "left_semi on operators.hierarchy.descend",
     "P9": "operators.catalogue.check_*, operators.state.*_problem, *_suggestions", "P10": "operators.pages.crawlable", "P11": "operators.curation.multiview, multiview_from_lists",
     "P12": "operators.state.unknown_targets, _with_approved", "P13": "operators.catalogue.similarity_band, size_band", "P14": "select/alias",
     "P15": "left join to the selection", "P16": "plans.embed_job.split_results",
     "J1": "operators.catalogue.similarity_search", "J2": "operators.catalogue.similarity_search", "J3": "operators.catalogue.search_areas, pending_areas",
     "J4": "operators.catalogue.search_areas", "J5": "operators.catalogue.missing_embeddings", "J6": "left_anti", "J7": "operators.curation.dataset_rows",
-    "J8": "operators.catalogue.score_vectors (matrix in the task, no join)", "J9": "operators.knn.with_partner (no pair rows)", "J10": "operators.knn.nearest",
+    "J8": "operators.scoring.summary, best_per_group (blocks of queries meet chunks of vectors)", "J9": "operators.knn.with_partner (no pair rows)", "J10": "operators.knn.nearest",
     "J11": "operators.curation.last_metadata", "J12": "sources.files.with_existing_file", "J13": "plans.embed_job.encode (the key travels with the row)",
-    "R1": "operators.hierarchy.subtree", "R2": "operators.hierarchy.subtree(max_depth=8)", "R3": "operators.hierarchy.closure", "R4": "operators.hierarchy.area_paths",
+    "R1": "operators.hierarchy.descend", "R2": "operators.hierarchy.descend(max_depth=8)", "R3": "operators.hierarchy.nested_sets, area_sums", "R4": "operators.hierarchy.area_paths",
     "R5": "sources.tree.flatten, line_photos", "R6": "sources.tree.flatten(lineage=False)", "R7": "sources.tree.document_lines, area_rows/route_rows/image_rows",
-    "R8": "operators.hierarchy.lineages, closure", "R9": "sources.tree.count_tree, count_lines", "R10": "sources.tree.trim, trim_lines",
-    "A1": "operators.catalogue._best_per_route", "A2": "operators.catalogue.search_areas", "A3": "operators.catalogue.pending_counts", "A4": "operators.catalogue.missing_embeddings + count",
+    "R8": "operators.hierarchy.nested_sets, contained, area_pairs", "R9": "sources.tree.count_tree, count_lines", "R10": "sources.tree.trim, trim_lines",
+    "A1": "operators.scoring.best_per_group", "A2": "operators.catalogue.search_areas, operators.hierarchy.area_sums", "A3": "operators.catalogue.pending_counts", "A4": "operators.catalogue.missing_embeddings + count",
     "A5": "countDistinct", "A6": "min/max", "A7": "operators.rows.with_group_minimum", "A8": "operators.prototypes.mean_vectors", "A9": "operators.metrics.confusion",
     "A10": "operators.metrics.with_rates", "A11": "operators.metrics.threshold_sweep", "A12": "operators.metrics.pareto", "A13": "operators.metrics.best_precision",
     "A14": "operators.metrics.retrieval", "A15": "operators.metrics.retrieval", "A16": "operators.knn.alignment", "A17": "operators.knn.uniformity",
@@ -42,7 +42,7 @@ FUNCTIONS = {
     "W5": "operators.curation.contiguous_split, operators.ordering.running_before", "W6": "operators.ordering.pack_batches", "W7": "operators.ordering.batch_estimate",
     "W8": "operators.curation.epoch_orders + LOCAL_ORDER", "W9": "operators.curation.epoch_orders + RANDOM_ORDER", "W10": "operators.curation.batch_of_rows, batch_of_groups",
     "W11": "operators.state.fold_decisions",
-    "T1": "operators.catalogue.similarity_search", "T2": "operators.catalogue.search_areas", "T3": "operators.catalogue.search_routes", "T4": "orderBy in area_routes, manifests",
+    "T1": "operators.catalogue.similarity_search", "T2": "operators.catalogue.search_areas", "T3": "operators.catalogue.search_routes", "T4": "operators.curation.in_manifest_order, operators.catalogue.area_routes",
     "T5": "operators.catalogue.pending_*", "T6": "operators.catalogue.variant_comparison", "T7": "operators.metrics.worst_errors", "T8": "operators.metrics.review_sample", "T9": "orderBy + limit",
     "U1": "unionByName", "U2": "left_anti", "U3": "unionByName", "U4": "union().distinct()",
     "F1": "functions.text.title", "F2": "functions.text.path_label", "F3": "functions.text.slug_pattern", "F4": "functions.text.last_segment", "F5": "functions.text.cache_name",
@@ -53,19 +53,19 @@ FUNCTIONS = {
     "H1": "operators.pages.heading, grade", "H2": "operators.pages.details", "H3": "operators.pages.images", "H4": "operators.pages.blocks", "H5": "operators.pages.outgoing_links",
     "H6": "operators.pages.sitemap_areas", "H7": "operators.hierarchy.reachable",
     "M1": "operators.catalogue.similarity_search", "M2": "operators.catalogue.variant_comparison", "M3": "operators.catalogue.self_consistency", "M4": "operators.knn.nearest",
-    "M5": "operators.knn.build_cells, assign_cells, probe_nearest", "M6": "operators.curation.mine_pairs, operators.knn.with_partner", "M7": "operators.prototypes.keep_prototypes, prototype_scores",
-    "M8": "operators.classifiers.balanced_logistic", "M9": "operators.prototypes.linear_scores + rows.upsert", "M10": "plans.embed_job.embed_pending", "M11": "plans.dataset_build.training_set",
+    "M5": "operators.knn.InvertedLists, build_cells, probe_nearest", "M6": "operators.curation.mine_pairs, operators.knn.with_partner", "M7": "operators.prototypes.keep_prototypes, prototype_scores",
+    "M8": "operators.classifiers.balanced_head, balanced_logistic", "M9": "operators.prototypes.linear_scores + rows.upsert", "M10": "plans.embed_job.embed_pending", "M11": "plans.dataset_build.training_set, shard_rows",
     "M12": "operators.curation.multiview",
     "X1": "operators.sampling.stratified_split", "X2": "operators.sampling.balanced_sample", "X3": "operators.sampling.weighted_draws", "X4": "operators.sampling.bounded_subset",
-    "G1": "streaming.intake", "D1": "expressions and joins instead of row lambdas", "D2": "plans.embed_job.encode, functions.vectors.similarities_to", "D3": "try_* functions, error columns",
+    "G1": "streaming.intake (embed_newly_approved, compact)", "D1": "expressions and joins instead of row lambdas", "D2": "plans.embed_job.encode, functions.vectors.similarities_to", "D3": "try_* functions, error columns",
 }
 TESTS = {
     "S1": "test_trees", "S4": "test_metrics_and_files", "S5": "test_metrics_and_files", "S6": "test_metrics_and_files", "S9": "test_metrics_and_files", "J12": "test_metrics_and_files",
-    "R5": "test_trees", "R6": "test_trees", "R7": "test_trees", "R9": "test_trees", "R10": "test_trees", "K8": "test_trees", "R8": "test_hierarchy", "H7": "test_hierarchy",
+    "R5": "test_trees", "R6": "test_trees", "R7": "test_trees", "R9": "test_trees", "R10": "test_trees", "K8": "test_trees", "R8": "test_hierarchy", "H7": "test_hierarchy", "R1": "test_hierarchy", "R2": "test_hierarchy", "R3": "test_hierarchy", "A2": "test_hierarchy", "M1": "test_scoring", "J8": "test_scoring", "S2": "test_edge_cases", "K1": "test_edge_cases", "K3": "test_edge_cases", "J9": "test_knn", "J10": "test_knn",
     "H1": "test_pages", "H2": "test_pages", "H3": "test_pages", "H4": "test_pages", "H5": "test_pages", "H6": "test_pages", "W5": "test_ordering", "W6": "test_ordering",
     "X1": "test_ordering", "X3": "test_ordering", "M4": "test_knn", "M5": "test_knn", "M6": "test_knn", "A14": "test_knn", "A16": "test_knn", "A17": "test_knn",
     "M8": "test_metrics_and_files", "A11": "test_metrics_and_files", "A12": "test_metrics_and_files", "K12": "test_state_and_stream", "K13": "test_state_and_stream", "G1": "test_state_and_stream",
-    "K5": "test_state_and_stream", "K7": "test_state_and_stream", "M10": "test_state_and_stream", "W3": "test_state_and_stream", "J11": "test_state_and_stream", "F1": "test_text_and_vectors",
+    "K5": "test_edge_cases, test_state_and_stream", "K7": "test_state_and_stream", "M10": "test_state_and_stream", "W3": "test_state_and_stream", "J11": "test_state_and_stream", "F1": "test_text_and_vectors",
     "F11": "test_text_and_vectors", "F9": "test_text_and_vectors", "P7": "test_text_and_vectors", "P9": "test_metrics_and_files",
 }
 
