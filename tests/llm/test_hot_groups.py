@@ -104,3 +104,17 @@ def test_pairs_at_the_threshold(few_parts):
     print(linked)
     assert linked["at"] >= 0.97 and linked["below"] == 0
     assert all(got[10_000 + k] == 10_000 + k for k in range(20))
+
+
+def test_pairs_of_short_texts(few_parts):
+    """Eight words and the same with a ninth are similar to exactly 0.8; few shingles scatter more, so more pairs are lost."""
+    spark, rng = few_parts, random.Random(7)
+    rows = []
+    for k in range(300):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(9)]
+        rows += [(2 * k, " ".join(words[:8])), (2 * k + 1, " ".join(words))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.keep_id for r in simhash.similar_groups(docs).collect()}
+    linked = sum(got[2 * k + 1] == 2 * k for k in range(300)) / 300
+    print(linked)
+    assert linked >= 0.87

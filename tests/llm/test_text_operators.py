@@ -1,6 +1,8 @@
 """Exact dedup, suffix dedup, SimHash and winnowing against brute force on small tables with every odd case."""
 
 import hashlib
+import random
+import re
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -220,3 +222,43 @@ def test_stages_keep_multisets_and_clashing_columns(spark):
                            (4, "x", "two"): 1, (4, "y", "two"): 1, (None, "x", "n"): 1, (0, "y", "n"): 1})
     near = simhash.drop_similar(docs)
     assert near.columns == docs.columns and {r.doc_id for r in near.collect()} == {None, 0, 1, 3}
+
+
+def brute_winnow(text, k=winnowing.K, window=winnowing.WINDOW):
+    """The set of chosen hashes, straight from the definition."""
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+    units = [signed(xxhash.xxh64_intdigest(u.encode(), 42)) for u in re.findall(r"[^\x20\x09-\x0D]{1,16}", text.lower())]
+    hashes = units
+    if len(units) >= k:
+        hashes = []
+        for i in range(len(units) - k + 1):
+            h = 42
+            for u in units[i : i + k]:
+                h = xxhash.xxh64_intdigest(u.to_bytes(8, "little", signed=True), h)
+            hashes.append(signed(h))
+    if len(hashes) < window:
+        return set(hashes)
+    return {hashes[max(range(i, i + window), key=lambda p: (-(hashes[p] & ~winnowing.LOW), p))] for i in range(len(hashes) - window + 1)}
+
+
+def test_likeness_like_sets_of_brute_force(make):
+    rng = random.Random(12)
+    words = [f"w{i}" for i in range(40)]
+    rows = [(i * 300, " ".join(rng.choices(words, k=rng.choice([0, 1, 3, 5, 8, 60, 200])))) for i in range(40)]
+    rows += [(20_000 + i, rows[i][1]) for i in range(5)] + [(30_000, rows[6][1] + " more"), (30_001, "unbroken" * 30)]
+    order = sorted(rows)
+    got = {r.doc_id: r for r in winnowing.edited_report(make(rows)).collect()}
+
+    def likeness(a, b):
+        return 1.0 if not a and not b else len(a & b) / len(a | b)
+
+    prints = {}
+    for (i, text), (_, after) in zip(order, order[1:] + order[:1]):
+        n = len(text)
+        edited = text[: n - n // 2] + after[: n // 2]
+        own = brute_winnow(text)
+        assert got[i].near_edited == pytest.approx(likeness(own, brute_winnow(edited)))
+        assert got[i].near_next == pytest.approx(likeness(own, brute_winnow(after)))
+        prints.setdefault(frozenset(own), set()).add(got[i].fingerprint)
+        prints.setdefault(frozenset(brute_winnow(edited)), set()).add(got[i].edited_fingerprint)
+    assert all(len(found) == 1 for found in prints.values()) and len({x for f in prints.values() for x in f}) == len(prints)
