@@ -197,7 +197,7 @@ def block_bits_for(rows: int) -> int:
     return min(40, max(16, math.ceil(math.log2(max(rows, 1))) + 2))
 
 
-def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, blocks: int | None = None, block_bits: int | None = None, hot: int = 32, tile: int = TILE) -> DataFrame:
+def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, blocks: int | None = None, block_bits: int | None = None, hot: int = 8, tile: int = TILE) -> DataFrame:
     """(doc_id, keep_id) for every row: documents linked by similar word shingles, and the smallest id of each group.
 
     Pairs that share a block are proposed by the Hamming distance of their whole fingerprints. Blocks that more than
