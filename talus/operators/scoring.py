@@ -19,6 +19,7 @@ from talus.session import written
 
 CHUNK = 2048   # stored vectors of a chunk
 QUERIES = 512  # query vectors of a block
+DIGITS = 12    # of a similarity that count
 HELD = 32      # blocks whose candidates a task keeps before it lets them go
 
 
@@ -73,7 +74,8 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray,
             if number != block:
                 block, (query_ids, asked) = number, _unpacked(q_ids, q_vectors, dim)
             ids, units = _unpacked(ids, vectors, dim)
-            yield block, query_ids, ids, asked @ units.T
+            # one vector stands for several ids now and then: its cosine must not depend on its place in a chunk
+            yield block, query_ids, ids, np.round(asked @ units.T, DIGITS)
 
 
 def best_per_group(queries: DataFrame, stored: DataFrame, id: str, vector: str, k: int) -> DataFrame:
