@@ -254,7 +254,8 @@ def _dictionaries(toxic: list[Sample], ordinary: list[Sample], seed: int) -> tup
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.001, balance: float = BALANCE) -> np.ndarray:
     """Intercept and weights; the ridge looks at features of one scale."""
-    middle, spread = x.mean(axis=0), x.std(axis=0) + 1e-9
+    middle, spread = x.mean(axis=0), x.std(axis=0)
+    spread = np.where(spread > 1e-3, spread, 1e9)  # what hardly varies tells nothing
     x = np.hstack([np.ones((len(x), 1)), (x - middle) / spread])
     w, keep = np.zeros(x.shape[1]), np.diag([1e-6] + [ridge] * (x.shape[1] - 1)) * len(y)
     share = np.where(y > 0, balance / max(y.mean(), 1e-9), (1 - balance) / max(1 - y.mean(), 1e-9))

@@ -84,7 +84,7 @@ def test_a_class_told_by_density():
 def test_cues_behind_the_first_windows_are_learnt():
     rows = toxic_rows()
     rng = random.Random(5)
-    late = [(prose(rng, 1500).encode() + b" " + text if y else text, y) for text, y in rows]  # over 8,000 bytes before the cue
+    late = [(prose(rng, 800).encode() + b" " + text if y else text, y) for text, y in rows]  # over 6,000 bytes before the cue
     held, n = toxicity.some_windows(late[0][0])
     assert len(held) == min(n, toxicity.MAX_WINDOWS) and n == len(toxicity.windows(late[0][0]))
     of = toxicity.fit(late).scorer()
