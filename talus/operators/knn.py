@@ -22,6 +22,8 @@ BLOCK_ROWS = 2048    # rows of one side in one block comparison
 MOST_CELLS = 4096    # pivots of a search; every task holds them
 LABEL_CELLS = 64     # pivots of one label
 WAVES = (2, 16)      # cells that a query has visited after the first and after the second wave
+SIDES = 8            # tiles of the stored rows, or of a label's, that a row is sent to at most while tiles have room
+TILE_FLOATS = 1 << 24  # numbers that the vectors of a tile have at most
 ORDER_DIGITS = 12    # similarities are compared to this many digits, then by id
 SLACK = 1e-6         # covers rounding in angles
 
@@ -202,9 +204,9 @@ def with_partner(df: DataFrame, label: str, id: str, vector: str, threshold: flo
 
     Every label has pivots, one for a block's worth of rows and more with the root of its size. Its rows lie in the cell of
     their nearest pivot, by their angle to it, in stretches of about `block_rows` rows (stretches that many rows share an
-    angle of are split by hash). Rows first meet those of their own stretch. A row that found nobody then visits,
-    in each cell, the window of stretches whose angles are within the threshold's angle of its own. Tasks answer with
-    matched ids, never with pairs. Vectors of different lengths do not meet; null labels, null vectors and vectors
+    angle of are split by hash). Rows first meet those of their own stretch. A row that found nobody then visits tiles of the
+    whole label, `SIDES` at most until a tile's size is bounded, and in them the rows whose angles are within the
+    threshold's angle of its own. Tasks answer with matched ids, never with pairs. Vectors of different lengths do not meet; null labels, null vectors and vectors
     without direction have no partner.
     """
     reach = math.acos(max(-1.0, min(1.0, threshold))) + SLACK
@@ -266,36 +268,59 @@ def with_partner(df: DataFrame, label: str, id: str, vector: str, threshold: flo
     matched = settled.where("matched").select("id")
     if n["left"] and n["spread"]:
         seekers = settled.where("NOT matched").join(binned.select("id", *place, "vector"), ["id", *place])
-        matched = matched.unionByName(_visitors(seekers, binned, cells, stretches, place, reach, threshold, block_rows, kinds["id"]))
+        matched = matched.unionByName(_visitors(seekers, binned, sizes, place, reach, threshold, block_rows, kinds["id"]))
     return df.join(matched.withColumnRenamed("id", id), id, "left_semi")
 
 
-def _visitors(seekers: DataFrame, binned: DataFrame, cells: DataFrame, stretches: DataFrame, place: list[str], reach: float, threshold: float, block_rows: int, id_type: str) -> DataFrame:
-    """Ids of the seekers that have a partner in another block than their own."""
-    key = ["label", "dim"]
-    home = [F.col(c).alias(f"own_{c}") for c in ("cell", "bin", "part")]
-    rows = seekers.select(*key, "id", "vector", *home, F.posexplode("angles").alias("cell", "toward"))
-    # by the triangle inequality a partner's angle to the pivot lies within `reach` of the seeker's
-    within = rows.join(cells, [*key, "cell"]).where((F.col("toward") + reach >= F.col("low")) & (F.col("toward") - reach <= F.col("high")))
-    first = F.greatest(F.lit(0), F.floor((F.col("toward") - reach - F.col("low")) / F.col("width")))
-    last = F.least(F.col("bins") - 1, F.floor((F.col("toward") + reach - F.col("low")) / F.col("width")))
-    within = within.select(*key, "id", "vector", "own_cell", "own_bin", "own_part", "cell", F.explode(F.sequence(first, last)).alias("bin"))
-    visits = within.join(stretches, [*key, "cell", "bin"]).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    elsewhere = (F.col("cell") != F.col("own_cell")) | (F.col("bin") != F.col("own_bin")) | (F.col("part") != F.col("own_part"))
-    visits, _ = written(visits.where(elsewhere).select("id", "vector", *place), "partner-visits")
-    waves = visits.groupBy(*place).agg(F.ceil(F.count(F.lit(1)) / block_rows).alias("waves"))
-    guests = visits.join(waves, place).withColumn("wave", F.pmod(F.xxhash64("id"), F.col("waves")))
-    hosts = binned.select("vector", *place).join(waves, place).withColumn("wave", F.explode(F.sequence(F.lit(0).cast("long"), F.col("waves") - 1)))
-    guests, hosts = _side(guests.drop("waves"), "q"), _side(hosts.drop("waves"), "s")
-
-    def across(group: tuple, q: pa.Table, s: pa.Table) -> pa.Table:
-        if not q.num_rows or not s.num_rows:
-            return q.select([]).append_column("id", q["q_id"]).slice(0, 0)
-        dim = group[1].as_py()
-        sims = unit_rows(to_matrix(q["q_vector"], dim)) @ unit_rows(to_matrix(s["s_vector"], dim)).T
-        return pa.table({"id": q["q_id"].filter(pa.array((sims > threshold).any(axis=1)))})
-
-    met = guests.groupBy(*[f"q_{c}" for c in (*place, "wave")]).cogroup(hosts.groupBy(*[f"s_{c}" for c in (*place, "wave")]))
+def _visitors(seekers: DataFrame, binned: DataFrame, sizes: DataFrame, place: list[str], reach: float, threshold: float, block_rows: int, id_type: str) -> DataFrame:
+    """Ids of the seekers that have a partner in another stretch than their own.
+
+    A label's rows are dealt by hash into `SIDES` tiles, more only where these would not fit a task, and a seeker is sent to
+    each tile once. Inside a task the rows of a cell lie in the order of their angle, and a block of seekers meets
+    those within `reach` of it."""
+    key, group = ["label", "dim"], ["label", "dim", "tile", "wave"]
+    most = F.greatest(F.lit(1), F.floor(F.lit(TILE_FLOATS) / F.col("dim")))
+    plan = sizes.join(seekers.groupBy(*key).agg(F.count(F.lit(1)).alias("m")), key)
+    plan = plan.withColumn("rows", F.least(most, F.greatest(F.lit(block_rows), F.ceil(F.col("n") / SIDES))))
+    plan = plan.select(*key, F.ceil(F.col("n") / F.col("rows")).alias("tiles"), F.ceil(F.col("m") / F.col("rows")).alias("waves"))
+    every = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
+    share = lambda c: F.pmod(F.xxhash64("id"), F.col(c))
+    guests = seekers.join(plan, key).withColumn("wave", share("waves")).withColumn("tile", every("tiles"))
+    hosts = binned.join(plan, key).withColumn("tile", share("tiles")).withColumn("wave", every("waves"))
+    guests = _side(guests.select(*group, "id", "vector", "cell", "bin", "part", "angles"), "q")
+    hosts = _side(hosts.select(*group, "vector", "cell", "bin", "part", "angle"), "s")
+
+    def across(keys: tuple, q: pa.Table, s: pa.Table) -> pa.Table:
+        left = np.ones(q.num_rows, dtype=bool)
+        if q.num_rows and s.num_rows:
+            dim = keys[1].as_py()
+            order = np.lexsort((s["s_angle"].to_numpy(), s["s_cell"].to_numpy()))
+            s = s.take(pa.array(order))
+            asked, held = unit_rows(to_matrix(q["q_vector"], dim)), unit_rows(to_matrix(s["s_vector"], dim))
+            toward = to_matrix(q["q_angles"], len(q["q_angles"][0]))
+            spots = [np.stack([t[f"{x}_{c}"].to_numpy() for c in ("cell", "bin", "part")], axis=1) for x, t in (("q", q), ("s", s))]
+            _, spot = np.unique(np.concatenate(spots), axis=0, return_inverse=True)
+            own, there = spot[: q.num_rows], spot[q.num_rows :]
+            angle, cell = s["s_angle"].to_numpy(), s["s_cell"].to_numpy()
+            for c in np.unique(cell).tolist():
+                first, last = np.searchsorted(cell, c, "left"), np.searchsorted(cell, c, "right")
+                seek = np.flatnonzero(left)
+                seek = seek[np.argsort(toward[seek, c], kind="stable")]
+                for at in range(0, len(seek), block_rows):
+                    rows = seek[at : at + block_rows]
+                    # by the triangle inequality a partner's angle to the pivot lies within `reach` of the seeker's
+                    start = first + np.searchsorted(angle[first:last], toward[rows[0], c] - reach, "left")
+                    stop = first + np.searchsorted(angle[first:last], toward[rows[-1], c] + reach, "right")
+                    for low in range(start, stop, block_rows):
+                        block = slice(low, min(low + block_rows, stop))
+                        hit = ((asked[rows] @ held[block].T > threshold) & (own[rows][:, None] != there[block][None, :])).any(axis=1)
+                        left[rows[hit]] = False
+                        rows = rows[~hit]
+                        if not len(rows):
+                            break
+        return pa.table({"id": q["q_id"].filter(pa.array(~left))})
+
+    met = guests.groupBy(*[f"q_{c}" for c in group]).cogroup(hosts.groupBy(*[f"s_{c}" for c in group]))
     return met.applyInArrow(across, f"id {id_type}").distinct()
 
 

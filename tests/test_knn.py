@@ -155,3 +155,27 @@ def test_inverted_lists_read_the_probed_partitions_only(spark, tmp_path):
     probes = again.probes_for(pairs, 0.9)
     recall = [len({(r["query_id"], r["neighbour_id"]) for r in again.search(df, 5, probes=p, exclude_self=True).collect()} & {e[:2] for e in exact}) / len(exact) for p in (probes - 1, probes)]
     assert recall[0] < 0.9 <= recall[1]
+
+
+def _sent(monkeypatch):
+    """Rows that each side of a cogroup is made of."""
+    rows, side = [], knn._side
+
+    def counted(df, prefix):
+        rows.append(df.count())
+        return side(df, prefix)
+
+    monkeypatch.setattr(knn, "_side", counted)
+    return rows
+
+
+def test_seekers_are_sent_to_few_tiles_however_small_the_blocks(spark, monkeypatch):
+    data, rows = random_rows(600, dim=16, seed=4, labels=1)
+    df = spark.createDataFrame(rows, "id long, vector array<float>, label int").repartition(4)
+    unit = data.astype(np.float64) / np.linalg.norm(data.astype(np.float64), axis=1, keepdims=True)
+    sims = unit @ unit.T
+    np.fill_diagonal(sims, -1)
+    sent = _sent(monkeypatch)
+    got = {r["id"] for r in knn.with_partner(df, "label", "id", "vector", 0.7, block_rows=8, lists=3).collect()}
+    assert got == set(np.flatnonzero((sims > 0.7).any(axis=1)).tolist())
+    assert len(sent) == 2 and max(sent) <= 8 * 600
