@@ -21,11 +21,11 @@ from talus.session import cut, scratch, written
 BLOCK_ROWS = 2048    # rows of one side in one block comparison
 MOST_CELLS = 4096    # pivots of a search; every task holds them
 LABEL_CELLS = 64     # pivots of one label
-WAVES = (2, 16)      # cells that a query has visited after the first and after the second wave
 SIDES = 8            # tiles of the stored rows, or of a label's, that a row is sent to at most while tiles have room
 TILE_FLOATS = 1 << 24  # numbers that the vectors of a tile have at most
 ORDER_DIGITS = 12    # similarities are compared to this many digits, then by id
 SLACK = 1e-6         # covers rounding in angles
+SAME = 1e-11         # similarities that lie closer may be equal in ORDER_DIGITS digits
 
 CANDIDATES = "query_id long, neighbour_id long, similarity double"
 
@@ -56,10 +56,10 @@ def nearest(queries: DataFrame, stored: DataFrame, k: int, exclude_self: bool =
     Both inputs have (id long, vector array); vectors of another length than most stored ones, and those without direction,
     take no part (`by_length` names them). Self is excluded by id, not by position.
 
-    The stored rows lie in `lists` cells around pivots, by default as many as the root of their number. Queries
-    visit cells in waves, those first that can hold the nearest rows; after a wave the k-th similarity rules out every cell
-    whose rows are all farther away. Crowded cells are compared block by block, and many queries for one cell in waves of
-    their own, so no task holds a whole hot cell.
+    The stored rows lie in `lists` cells around pivots, by default as many as the root of their number, and the cells lie in
+    a few tiles. A query first visits the tile of the cell that can hold the nearest row; its k-th similarity there rules
+    out every tile, and inside a tile every cell, whose rows are all farther away. A query is sent to a tile once, and many
+    queries for one tile go in waves, so no task holds a whole hot cell.
     """
     usable, _, dim = by_length(stored.select("id", "vector"))
     asked, _, _ = by_length(queries.select("id", "vector"), dim)
@@ -70,25 +70,60 @@ def nearest(queries: DataFrame, stored: DataFrame, k: int, exclude_self: bool =
     if lists is None:  # no more than there are blocks to fill
         lists = min(MOST_CELLS, math.ceil(math.sqrt(n)), math.ceil(n / block_rows))
     cells = PivotCells(usable, lists, dim)
-    found, start = None, 0
-    for stop in (*WAVES, len(cells.pivots)):
-        stop = min(stop, len(cells.pivots))
-        if start == stop:
-            break
-        bound = F.lit(math.pi)
-        asking = asked
-        if found is not None:
-            reached = found.groupBy(F.col("query_id").alias("id")).agg(F.count(F.lit(1)).alias("n"), F.min("similarity").alias("low"))
-            asking = asked.join(reached, "id", "left")
-            bound = F.when(F.col("n") >= k, F.acos(F.greatest(F.least("low", F.lit(1.0)), F.lit(-1.0)))).otherwise(bound)
-        visits, seen = written(cells.visits(asking.select("id", "vector", bound.alias("bound")), start, stop), "neighbour-visits")
-        start = stop
-        if seen["rows"]:
-            more = _probe(visits, cells.rows, k, exclude_self, block_rows, dim)
-            found = _rank(more if found is None else more.unionByName(found), k)
-            if start < len(cells.pivots):
-                found, _ = written(found.drop("rank"), "neighbours")
-    return none.withColumn("rank", F.lit(0)) if found is None else found if "rank" in found.columns else _rank(found, k)
+    tiles = Tiles(cells.sizes, tile_rows(n, dim, block_rows), cells.order())
+    hosts = cells.rows.select("id", "vector", "cell", tiles.of("cell").alias("tile"))
+    asked, _ = written(asked.select("id", "vector", cells.first_tile(tiles).alias("home")), "neighbour-queries")
+
+    def away(q: pa.Table, units: np.ndarray, present: np.ndarray) -> np.ndarray:
+        return np.arccos(np.clip(units @ pivots[present].T, -1.0, 1.0)) - radius[present]
+
+    pivots, radius = cells.pivots, cells.radius
+    compare = _tile_compare(k, exclude_self, dim, block_rows, away)
+    found = _probe(asked.select("id", "vector", F.lit(None).cast("double").alias("low"), F.col("home").alias("tile")), hosts, tiles, compare)
+    if tiles.count > 1:
+        found, _ = written(_rank(found, k).drop("rank"), "neighbours")
+        reached = found.groupBy(F.col("query_id").alias("id")).agg(F.when(F.count(F.lit(1)) >= k, F.min("similarity")).alias("low"))
+        asking = asked.join(reached, "id", "left")
+        # outer: a plain explode makes Spark infer a filter that would run the function twice
+        asking = asking.select("id", "vector", "low", "home", F.explode_outer(cells.tiles_within(tiles)).alias("tile"))
+        found = found.unionByName(_probe(asking.where("tile <> home").drop("home"), hosts, tiles, compare))
+    return _rank(found, k)
+
+
+def tile_rows(rows: int, dim: int, block_rows: int) -> int:
+    """Rows of a tile: an eighth of all, no less than a block and no more than a task holds easily."""
+    return max(1, min(max(block_rows, math.ceil(rows / SIDES)), TILE_FLOATS // max(dim, 1)))
+
+
+class Tiles:
+    """Cells side by side in tiles of `rows` rows; a row's place in its cell comes from the hash of its id, so a crowded cell
+    reaches over several tiles and small ones share one. `sizes` are the rows of each cell."""
+
+    def __init__(self, sizes: np.ndarray, rows: int, order: np.ndarray | None = None):
+        order = np.arange(len(sizes)) if order is None else order
+        self.sizes, self.rows = sizes.astype(np.int64), rows
+        self.starts = np.zeros(len(sizes), dtype=np.int64)
+        self.starts[order] = np.cumsum(self.sizes[order]) - self.sizes[order]
+        self.count = max(1, math.ceil(int(self.sizes.sum()) / rows))
+        numbers = np.arange(self.count)
+        first, last = self.starts // rows, (self.starts + self.sizes - 1) // rows
+        self.cover = ((numbers >= first[:, None]) & (numbers <= last[:, None]) & (self.sizes > 0)[:, None]).astype(np.float32)
+
+    def place(self, cells: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        return (self.starts[cells] + np.mod(hashes, np.maximum(self.sizes[cells], 1))) // self.rows
+
+    def of(self, cell: str):
+        @F.arrow_udf("int")
+        def tile(cells: pa.Array, hashes: pa.Array) -> pa.Array:
+            return pa.array(self.place(cells.to_numpy(zero_copy_only=False), hashes.to_numpy(zero_copy_only=False)).astype(np.int32))
+
+        return tile(cell, F.xxhash64("id"))
+
+    def touched(self, wanted: np.ndarray) -> pa.Array:
+        """For each row of wanted cells the tiles that these cells reach into."""
+        held = wanted.astype(np.float32) @ self.cover > 0
+        offsets = np.concatenate([[0], np.cumsum(held.sum(axis=1))]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.nonzero(held)[1].astype(np.int32)))
 
 
 class PivotCells:
@@ -100,9 +135,13 @@ class PivotCells:
         drawn = rows.orderBy(F.xxhash64("id"), "id").limit(lists).select("vector").toArrow()
         self.pivots = unit_rows(to_matrix(drawn["vector"], dim))
         self.rows, _ = written(rows.withColumn("_home", self._home()).select("id", "vector", "_home.cell", "_home.angle"), "pivot-cells")
-        self.radius = np.full(len(self.pivots), -np.inf)
-        for row in self.rows.groupBy("cell").agg(F.max("angle").alias("r")).collect():  # one row per cell
-            self.radius[row["cell"]] = row["r"]
+        self.radius, self.sizes = np.full(len(self.pivots), -np.inf), np.zeros(len(self.pivots), dtype=np.int64)
+        for row in self.rows.groupBy("cell").agg(F.max("angle").alias("r"), F.count(F.lit(1)).alias("n")).collect():  # one row per cell
+            self.radius[row["cell"]], self.sizes[row["cell"]] = row["r"], row["n"]
+
+    def order(self) -> np.ndarray:
+        """The cells by the angle of their pivot to the first one."""
+        return np.argsort(-(self.pivots @ self.pivots[0]), kind="stable")
 
     def _angles(self, vectors: pa.Array) -> np.ndarray:
         return _angles(vectors, self.pivots)
@@ -118,82 +157,115 @@ class PivotCells:
 
         return home("vector")
 
-    def visits(self, df: DataFrame, start: int, stop: int) -> DataFrame:
-        """(id, vector, cell): the cells from place `start` to `stop` in a row's order (how near a member may be) that can
-        hold a member within the row's angle `bound`."""
+    def first_tile(self, tiles: Tiles):
+        """The tile of the cell that can hold the row nearest to a query (`vector`)."""
+        pivots, radius = self.pivots, self.radius
+
+        @F.arrow_udf("int")
+        def home(vectors: pa.Array, hashes: pa.Array) -> pa.Array:
+            cells = (_angles(vectors, pivots) - radius).argmin(axis=1)  # empty cells are infinitely far
+            return pa.array(tiles.place(cells, hashes.to_numpy(zero_copy_only=False)).astype(np.int32))
+
+        return home("vector", F.xxhash64("id"))
+
+    def tiles_within(self, tiles: Tiles):
+        """The tiles with cells that can hold a row at least as similar to a query (`vector`) as its `low`, where it has one."""
         pivots, radius = self.pivots, self.radius
 
         @F.arrow_udf("array<int>")
-        def cells(vectors: pa.Array, bounds: pa.Array) -> pa.Array:
-            least = _angles(vectors, pivots) - radius  # empty cells are infinitely far
-            order = np.argsort(least, axis=1, kind="stable")[:, start:stop]
-            near = np.take_along_axis(least, order, axis=1) <= bounds.to_numpy(zero_copy_only=False)[:, None] + SLACK
-            offsets = np.concatenate([[0], np.cumsum(near.sum(axis=1))]).astype(np.int32)
-            return pa.ListArray.from_arrays(pa.array(offsets), pa.array(order[near].astype(np.int32)))
+        def within(vectors: pa.Array, lows: pa.Array) -> pa.Array:
+            low = lows.fill_null(-1.0).to_numpy(zero_copy_only=False)
+            return tiles.touched(_angles(vectors, pivots) - radius <= np.arccos(np.clip(low, -1.0, 1.0))[:, None] + SLACK)
 
-        # outer: a plain explode makes Spark infer a filter that would run the function twice
-        return df.select("id", "vector", F.explode_outer(cells("vector", "bound")).alias("cell")).where(F.col("cell").isNotNull())
+        return within("vector", "low")
 
 
 def _angles(vectors: pa.Array, pivots: np.ndarray) -> np.ndarray:
     return np.arccos(np.clip(unit_rows(to_matrix(vectors, pivots.shape[1])) @ pivots.T, -1.0, 1.0))
 
 
-def _top(query_ids: np.ndarray, ids: np.ndarray, sims: np.ndarray, k: int, exclude_self: bool) -> pa.Table:
-    """The k best columns of every row (similarity down, then id up); undefined similarities never count."""
-    keyed = np.round(sims, ORDER_DIGITS)
-    undefined = np.isnan(keyed)
-    if exclude_self:
-        undefined |= query_ids[:, None] == ids[None, :]
-    keyed[undefined] = -np.inf
-    wanted = ~undefined
-    width = keyed.shape[1]
-    if width > k:
-        # everything at or above the k-th value stays, so equal values are still ordered by id
-        wanted &= keyed >= np.partition(keyed, width - k, axis=1)[:, [width - k]]
-    rows, cols = np.nonzero(wanted)
-    order = np.lexsort((ids[cols], -keyed[rows, cols], rows))
-    rows, cols = rows[order], cols[order]
-    place = np.arange(len(rows)) - np.searchsorted(rows, rows, side="left")
-    rows, cols = rows[place < k], cols[place < k]
-    return pa.table({"query_id": query_ids[rows], "neighbour_id": ids[cols], "similarity": sims[rows, cols]})
-
-
 def _side(df: DataFrame, prefix: str) -> DataFrame:
     """Every column under a new name, so that a table can be cogrouped with itself."""
     return df.select(*[F.col(c).alias(f"{prefix}_{c.lstrip('_')}") for c in df.columns])
 
 
-def _block_compare(k: int, exclude_self: bool, dim: int):
+def _tile_compare(k: int, exclude_self: bool, dim: int, block_rows: int, away):
+    """Cogroup function: the k best stored rows of each query in a tile (similarity down, then id up), block by block;
+    undefined similarities never count. A query with a `low` is after rows that are at least as similar.
+    `away(table, units, cells)` is the least angle of each query to a row of each cell."""
+
     def compare(q: pa.Table, s: pa.Table) -> pa.Table:
-        if not q.num_rows or not s.num_rows:
-            none = np.zeros(0, np.int64)
-            return pa.table({"query_id": none, "neighbour_id": none, "similarity": np.zeros(0)})
-        sims = unit_rows(to_matrix(q["q_vector"], dim)) @ unit_rows(to_matrix(s["s_vector"], dim)).T
-        return _top(q["q_id"].to_numpy(), s["s_id"].to_numpy(), sims, k, exclude_self)
+        ids, found, sims_found = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+        if q.num_rows and s.num_rows:
+            order = np.argsort(s["s_cell"].to_numpy(), kind="stable")
+            present, starts = np.unique(s["s_cell"].to_numpy()[order], return_index=True)
+            stops = [*starts[1:], len(order)]
+            held, s_ids = unit_rows(to_matrix(s["s_vector"], dim))[order], s["s_id"].to_numpy()[order]
+            asked, q_ids = unit_rows(to_matrix(q["q_vector"], dim)), q["q_id"].to_numpy()
+            least = away(q, asked, present)
+            lows = q["q_low"].combine_chunks().fill_null(-np.inf).to_numpy(zero_copy_only=False)
+            turn = np.argsort(least.argmin(axis=1), kind="stable")  # queries of a block are near the same cells
+            for at in range(0, len(turn), block_rows):
+                rows = turn[at : at + block_rows]
+                best = _Best(q_ids[rows], lows[rows], k, exclude_self)
+                for c in np.argsort(least[rows].mean(axis=0), kind="stable").tolist():
+                    for first in range(starts[c], stops[c], block_rows):
+                        # NaN, a vector with gaps, is never near
+                        near = np.flatnonzero(least[rows, c] <= np.arccos(np.clip(best.low, -1.0, 1.0)) + SLACK)
+                        if len(near):
+                            block = slice(first, min(first + block_rows, stops[c]))
+                            best.offer(near, asked[rows[near]] @ held[block].T, s_ids[block])
+                r, place = np.nonzero(best.sims > -np.inf)
+                ids.append(q_ids[rows[r]])
+                found.append(best.ids[r, place])
+                sims_found.append(best.sims[r, place])
+        return pa.table({"query_id": np.concatenate(ids), "neighbour_id": np.concatenate(found), "similarity": np.concatenate(sims_found)})
 
     return compare
 
 
-def _probe(asking: DataFrame, stored: DataFrame, k: int, exclude_self: bool, block_rows: int, dim: int) -> DataFrame:
-    """Candidates of queries (id, vector, cell) among stored rows (id, vector, cell) of the same cell. A crowded
-    cell is split into blocks, and many queries for one cell into waves, so no task holds a whole hot cell."""
-    blocks = F.ceil(F.count(F.lit(1)) / F.lit(block_rows)).cast("int")
-    # one row per cell, and the cells are bounded, so the plan may be broadcast
-    plan = F.broadcast(stored.groupBy("cell").agg(blocks.alias("_blocks")).join(asking.groupBy("cell").agg(blocks.alias("_waves")), "cell"))
-    hosts = (
-        stored.select("id", "vector", "cell").join(plan, "cell").withColumn("_block", F.pmod(F.xxhash64("id"), F.col("_blocks")).cast("int"))
-        .withColumn("_wave", F.explode(F.sequence(F.lit(0), F.col("_waves") - 1)))
-    )
-    guests = (
-        asking.select("id", "vector", "cell").join(plan, "cell").withColumn("_wave", F.pmod(F.xxhash64("id"), F.col("_waves")).cast("int"))
-        .withColumn("_block", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-    )
-    guests, hosts = _side(guests, "q"), _side(hosts, "s")
-    return (
-        guests.groupBy("q_cell", "q_block", "q_wave").cogroup(hosts.groupBy("s_cell", "s_block", "s_wave"))
-        .applyInArrow(_block_compare(k, exclude_self, dim), CANDIDATES)
-    )
+class _Best:
+    """The k best rows so far of a block of queries, and in `low` what a row needs at least to be one of them."""
+
+    def __init__(self, query_ids: np.ndarray, low: np.ndarray, k: int, exclude_self: bool):
+        self.query_ids, self.low, self.k, self.exclude_self = query_ids, low.copy(), k, exclude_self
+        self.sims, self.ids = np.full((len(low), k), -np.inf), np.zeros((len(low), k), dtype=np.int64)
+
+    def offer(self, rows: np.ndarray, sims: np.ndarray, ids: np.ndarray) -> None:
+        """Similarities of the queries `rows` to stored rows."""
+        low, width = self.low[rows], sims.shape[1]
+        new = np.flatnonzero(low == -np.inf)
+        if len(new) and width > self.k:  # at or above the k-th value of the block, so that equal values are still ordered by id
+            part = sims[new]
+            part[np.isnan(part)] = -np.inf
+            if self.exclude_self:
+                part[self.query_ids[rows[new], None] == ids[None, :]] = -np.inf
+            low[new] = np.partition(part, width - self.k, axis=1)[:, width - self.k]
+        at, col = np.nonzero(sims >= (low - SAME)[:, None])
+        if self.exclude_self:
+            other = self.query_ids[rows[at]] != ids[col]
+            at, col = at[other], col[other]
+        if not len(at):
+            return
+        touched = np.unique(rows[at])
+        every = np.concatenate([np.repeat(touched, self.k), rows[at]])
+        sims, ids = np.concatenate([self.sims[touched].ravel(), sims[at, col]]), np.concatenate([self.ids[touched].ravel(), ids[col]])
+        order = np.lexsort((ids, -np.round(sims, ORDER_DIGITS), every))
+        place = np.arange(len(order)) - np.searchsorted(every[order], every[order], side="left")
+        order, place = order[place < self.k], place[place < self.k]
+        self.sims[every[order], place], self.ids[every[order], place] = sims[order], ids[order]
+        self.low[touched] = np.maximum(self.low[touched], self.sims[touched, self.k - 1])
+
+
+def _probe(asking: DataFrame, stored: DataFrame, tiles: Tiles, compare) -> DataFrame:
+    """Candidates of queries (id, vector, low, tile, what else `compare` reads) among stored rows (id, vector, cell, tile) of
+    the same tile. Many queries for one tile go in waves of half a tile's rows."""
+    waves = F.ceil(F.count(F.lit(1)) / F.lit(max(1, tiles.rows // 2))).cast("int")
+    plan = F.broadcast(asking.groupBy("tile").agg(waves.alias("_waves")))  # one row per tile
+    hosts = stored.join(plan, "tile").withColumn("_wave", F.explode(F.sequence(F.lit(0), F.col("_waves") - 1)))
+    guests = asking.join(plan, "tile").withColumn("_wave", F.pmod(F.xxhash64("id"), F.col("_waves")).cast("int"))
+    guests, hosts = _side(guests.drop("_waves"), "q"), _side(hosts.drop("_waves"), "s")
+    return guests.groupBy("q_tile", "q_wave").cogroup(hosts.groupBy("s_tile", "s_wave")).applyInArrow(compare, CANDIDATES)
 
 
 # --- partner mining ---------------------------------------------------------------------------------------
@@ -447,11 +519,11 @@ class InvertedLists:
         return cls(path, np.array([r["centroid"] for r in found]))
 
     def probed(self, queries: DataFrame, probes: int) -> tuple[DataFrame, DataFrame]:
-        """(asking, lists): the queries once for every cell they probe, and the rows of those cells. The cells come out of a
+        """(asking, lists): the queries with the cells they probe, and the rows of those cells. The cells come out of a
         filtered table, so Spark prunes the partitions of the lists at run time."""
         spark = queries.sparkSession
-        asking, _ = written(assign_cells(queries.select("id", "vector"), self.centroids, "vector", probes), "list-queries")
-        wanted = asking.where(F.col("cell") >= 0).select("cell").distinct()
+        asking, _ = written(queries.select("id", "vector", nearest_cells(self.centroids, probes)("vector").alias("cells")), "list-queries")
+        wanted = asking.select(F.explode("cells").alias("cell")).where(F.col("cell") >= 0).distinct()
         lists = spark.read.parquet(f"{self.path}/lists")
         return asking, lists.join(F.broadcast(wanted), "cell", "left_semi")  # a row per centroid at most
 
@@ -460,7 +532,7 @@ class InvertedLists:
         cells probed the exact answer."""
         usable, _, dim = by_length(queries.select("id", "vector"), self.centroids.shape[1])
         asking, lists = self.probed(usable, probes)
-        return _rank(_probe(asking, lists, k, exclude_self, block_rows, dim), k)
+        return _among_cells(asking, lists, len(self.centroids), k, exclude_self, block_rows, dim)
 
     def probes_for(self, exact: DataFrame, recall: float = 0.9) -> int:
         """The fewest probes with which at least this share of the pairs of `exact` (query_id, neighbour_id) is found: the
@@ -483,5 +555,30 @@ def probe_nearest(queries: DataFrame, cells: DataFrame, centroids: np.ndarray, k
     """Approximate top-k: each query meets the vectors of its nearest `probes` cells only. `cells` is
     `assign_cells` output (id, vector, cell); `InvertedLists` keeps it as a table partitioned by cell."""
     usable = queries.select("id", "vector").where(F.col("vector").isNotNull())
-    asking = cut(assign_cells(usable, centroids, "vector", probes))
-    return _rank(_probe(asking, cells, k, exclude_self, block_rows, centroids.shape[1]), k)
+    asking = cut(usable.withColumn("cells", nearest_cells(centroids, probes)("vector")))
+    return _among_cells(asking, cells, len(centroids), k, exclude_self, block_rows, centroids.shape[1])
+
+
+def _among_cells(asking: DataFrame, stored: DataFrame, count: int, k: int, exclude_self: bool, block_rows: int, dim: int) -> DataFrame:
+    """The k nearest stored rows (id, vector, cell) of queries (id, vector, cells) in the cells of each."""
+    sizes = np.zeros(count, dtype=np.int64)
+    for row in stored.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect():  # one row per cell
+        sizes[row["cell"]] = row["n"]
+    tiles = Tiles(sizes, tile_rows(int(sizes.sum()), dim, block_rows))
+
+    def wanted(cells: pa.ListArray) -> np.ndarray:
+        out = np.zeros((len(cells), count), dtype=bool)
+        out[np.repeat(np.arange(len(cells)), cells.value_lengths().to_numpy()), cells.flatten().to_numpy()] = True
+        return out
+
+    @F.arrow_udf("array<int>")
+    def tiles_of(cells: pa.Array) -> pa.Array:
+        return tiles.touched(wanted(cells))
+
+    def away(q: pa.Table, units: np.ndarray, present: np.ndarray) -> np.ndarray:
+        return np.where(wanted(q["q_cells"].combine_chunks())[:, present], -math.pi, math.inf)
+
+    hosts = stored.select("id", "vector", "cell", tiles.of("cell").alias("tile"))
+    # outer: a plain explode makes Spark infer a filter that would run the function twice
+    guests = asking.select("id", "vector", "cells", F.lit(None).cast("double").alias("low"), F.explode_outer(tiles_of("cells")).alias("tile")).where("tile IS NOT NULL")
+    return _rank(_probe(guests, hosts, tiles, _tile_compare(k, exclude_self, dim, block_rows, away)), k)

@@ -179,3 +179,13 @@ def test_seekers_are_sent_to_few_tiles_however_small_the_blocks(spark, monkeypat
     got = {r["id"] for r in knn.with_partner(df, "label", "id", "vector", 0.7, block_rows=8, lists=3).collect()}
     assert got == set(np.flatnonzero((sims > 0.7).any(axis=1)).tolist())
     assert len(sent) == 2 and max(sent) <= 8 * 600
+
+
+def test_queries_are_sent_to_few_tiles_however_small_the_blocks(spark, monkeypatch, tmp_path):
+    data, rows = random_rows(600, dim=16, seed=5)
+    df = spark.createDataFrame([r[:2] for r in rows], VECTORS).repartition(4)
+    index = knn.InvertedLists.build(df, lists=6, path=str(tmp_path / "index"))
+    sent = _sent(monkeypatch)
+    for found in (knn.nearest(df, df, 4, exclude_self=True, block_rows=10, lists=20), index.search(df, 4, probes=6, exclude_self=True, block_rows=10)):
+        assert {(r["query_id"], r["neighbour_id"], r["rank"]) for r in found.collect()} == brute(data, 4)
+    assert sum(sent[0:4:2]) <= 8 * 600 and len(sent) == 6 and sent[4] <= 8 * 600
