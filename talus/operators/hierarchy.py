@@ -223,27 +223,38 @@ def depth_first_key(path: Column) -> Column:
     return F.replace(path, F.lit("/"), F.lit("\u0001"))
 
 
-def _written(df: DataFrame) -> tuple[DataFrame, int]:
-    """The rows written once, and their number, in one job."""
-    seen = Observation()
-    written = cut(df.observe(seen, F.count(F.lit(1)).alias("rows")))
-    return written, seen.get["rows"]
+FEW = 1 << 17  # rows of a table that every task may hold, a level of a search for instance
+
+
+def _small(df: DataFrame, rows: int) -> DataFrame:
+    """The side of a join that Spark broadcasts while it is small; a larger one never passes the driver."""
+    return F.broadcast(df) if rows <= FEW else df.hint("merge")
 
 
 def reachable(links: DataFrame, roots: DataFrame, pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Pages reached from `roots` over `links(src, dst)`, each once with its distance, and the targets that
     are linked or given as a root but not stored in `pages(url)`.
 
-    One breadth-first level per round; only the new frontier is expanded, and each level is written once.
+    The links of stored pages are written once, whatever they are computed from. One breadth-first level per round; only
+    the new frontier is expanded, and each level is written once.
     """
-    frontier, count = _written(roots.select(F.col("url"), F.lit(0).alias("distance")).distinct())
-    visited, distance = frontier, 0
+    known = pages.select("url").hint("merge")
+    edges, _ = written(links.select("src", "dst").join(known, F.col("src") == F.col("url"), "left_semi"), "reach-links")
+    frontier, n = written(roots.select(F.col("url"), F.lit(0).alias("distance")).distinct(), "reach-level")
+    visited, distance, count = frontier, 0, n["rows"]
+    total = count
     while count:
         distance += 1
         if distance % 16 == 0:
-            visited = cut(visited)
-        stored = frontier.join(pages.select("url"), "url", "left_semi")
-        targets = stored.join(links, F.col("url") == F.col("src")).select(F.col("dst").alias("url")).distinct()
-        frontier, count = _written(targets.join(visited, "url", "left_anti").withColumn("distance", F.lit(distance)))
-        visited = visited.unionByName(frontier)
-    return visited.join(pages.select("url"), "url", "left_semi"), visited.join(pages.select("url"), "url", "left_anti")
+            visited, _ = written(visited, "reach-visited")
+        targets = edges.join(_small(frontier, count), F.col("url") == F.col("src")).select(F.col("dst").alias("url")).distinct()
+        seen, most = visited, total
+        if total > FEW:
+            targets, n = written(targets, "reach-targets")
+            if n["rows"] <= FEW:
+                seen, most = visited.join(F.broadcast(targets), "url", "left_semi"), n["rows"]
+        fresh = targets.join(_small(seen.select("url"), most), "url", "left_anti")
+        frontier, n = written(fresh.withColumn("distance", F.lit(distance)), "reach-level")
+        visited, count = visited.unionByName(frontier), n["rows"]
+        total += count
+    return visited.join(known, "url", "left_semi"), visited.join(known, "url", "left_anti")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from talus.operators import hierarchy as H, pages as P
 from talus.plans.registry import query
-from talus.session import cut, scratch
+from talus.session import scratch
 from talus.sources import tree as T
 
 
@@ -211,7 +211,7 @@ def linked_pages(c) -> DataFrame:
         UNION ALL SELECT unnest([2 * s.page + 1, 2 * s.page + 2]), s.distance + 1 FROM steps s JOIN pages p ON p.page_id = s.page""")
 def pages_reached_from_html(c):
     """Pages reached over the links that are read out of the pages' own HTML."""
-    pages = cut(linked_pages(c))
+    pages = linked_pages(c)
     links = P.outgoing_links(pages).select(F.col("url").alias("src"), F.col("href").alias("dst"))
     first = c.table("pages").agg(F.concat(F.lit("https://x/page/"), F.min("page_id").cast("string")).alias("url"))
     found, failed = H.reachable(links, first, pages.select("url"))

@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from talus.operators import hierarchy as H
@@ -39,6 +40,27 @@ def test_reachability_visits_once_and_lists_failures(spark):
     assert {(r["url"], r["distance"]) for r in failed.collect()} == {("missing", 0), ("gone", 2)}
 
 
+@pytest.mark.parametrize("few", [1 << 17, 3])
+def test_links_are_computed_once_and_large_levels_are_not_broadcast(spark, monkeypatch, few):
+    monkeypatch.setattr(H, "FEW", few)
+    calls = spark.sparkContext.accumulator(0)
+
+    def child(page):
+        calls.add(1)
+        return [2 * page + 1, 2 * page + 2] if page != 3 else [3, None, 0]
+
+    pages = spark.range(40).select(F.col("id").alias("url"))
+    links = pages.select(F.col("url").alias("src"), F.explode(F.udf(child, "array<long>")("url")).alias("dst"))
+    found, failed = H.reachable(links, spark.createDataFrame([(0,)], "url long"), pages)
+    expected = {i: (i + 1).bit_length() - 1 for i in range(81) if i == 0 or (i - 1) // 2 != 3}
+    for i in sorted(expected):
+        if i and (i - 1) // 2 not in expected:
+            del expected[i]
+    assert {r["url"]: r["distance"] for r in found.collect()} == {i: d for i, d in expected.items() if i < 40}
+    assert sorted((str(r["url"]), r["distance"]) for r in failed.collect()) == sorted([(str(i), d) for i, d in expected.items() if i >= 40] + [("None", 3)])
+    assert calls.value <= 40
+
+
 def brute_closure(rows):
     parent = {i: p for i, p, _ in rows}
     out = set()
