@@ -124,23 +124,47 @@ def links(fps: DataFrame, distance: int = 2, hot: int = HOT) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(fp, label) of every node that an edge (a, b) touches: the smallest node of its component.
+    """(fp, label), stored, of every node that an edge (a, b) touches: the smallest node of its component.
 
-    Every round each node takes the smallest label of its neighbours and then its label's label, so labels travel
-    twice as far each time. Rounds are written to the shared folder.
+    Every round each node points at its smallest neighbour (or itself) and from there to the end of that path; the edges
+    are then carried over to these ends, where most of them meet and drop out. No two ends of a path were neighbours, so
+    at most half of the nodes are left after two rounds, and all rounds together read little more than the first.
+    Rounds are written to the shared folder.
     """
-    both = stored(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), "component-edges")
-    labels = both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("fp"), F.least("a", "b").alias("label"))
+    rounds: list[DataFrame] = []
+    edges = stored(edges.select("a", "b"), "component-edges")
+    while not edges.isEmpty():
+        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        near = both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("fp"), F.least("a", "b").alias("label"))
+        rounds.append(ends := _path_ends(near))
+        ends_a, ends_b = (ends.select(F.col("fp").alias(x), F.col("label").alias(f"{x}_end")) for x in "ab")
+        moved = edges.join(ends_a, "a").join(ends_b, "b").where("a_end != b_end")
+        edges = stored(moved.select(F.greatest("a_end", "b_end").alias("a"), F.least("a_end", "b_end").alias("b")).distinct(), "component-edges")
+    labels = edges.select(F.col("a").alias("fp"), F.col("b").alias("label"))  # of the nodes that are left: none
+    for ends in reversed(rounds):
+        later = labels.select(F.col("fp").alias("end"), F.col("label").alias("last"))
+        labels = ends.join(later, F.col("label") == F.col("end"), "left").select("fp", F.coalesce("last", "label").alias("label"))
+    return stored(labels, "component-labels")
+
+
+def _stars(labels: DataFrame) -> DataFrame:
+    """(a, b): the fewest links that join the components again, from each node (fp) to its label."""
+    return labels.where("fp != label").select(F.col("fp").alias("a"), F.col("label").alias("b"))
+
+
+def _path_ends(near: DataFrame) -> DataFrame:
+    """(fp, label), stored: for (fp, label) that lead from node to node, where the path from each node ends. A written
+    round makes the paths four times as short."""
+    near = stored(near, "component-paths")
     while True:
-        labels = stored(labels, "component-labels")
-        offered = both.join(labels.select(F.col("fp").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("near"))
-        nearer = labels.join(offered, F.col("fp") == F.col("a")).select("fp", "label", F.least("label", "near").alias("next"))
-        hop = labels.select(F.col("fp").alias("h"), F.col("label").alias("h_next"))
-        moved = nearer.join(hop, F.col("next") == F.col("h")).select("fp", F.col("label").alias("old"), F.least("next", "h_next").alias("label"))
-        moved = stored(moved, "component-labels")
-        if moved.where(F.col("label") != F.col("old")).isEmpty():
-            return labels
-        labels = moved.drop("old")
+        hop = near.select(F.col("fp").alias("h"), F.col("label").alias("next"))
+        moved = near
+        for _ in range(3):
+            moved = moved.join(hop, F.col("label") == F.col("h")).select("fp", F.col("label").alias("old"), F.col("next").alias("label"))
+        moved = stored(moved, "component-paths")
+        near = moved.drop("old")
+        if moved.where("label != old").isEmpty():
+            return near
 
 
 def near_groups(docs: DataFrame, words: int = 3, distance: int = 2) -> DataFrame:
@@ -243,14 +267,16 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, blo
     counted = classes.select(F.explode("buckets").alias("bucket")).groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     keyed = classes.select("node", "sketch", F.explode("buckets").alias("bucket"))
     members = stored(keyed.join(counted, "bucket"), "wide-members")
-    few = members.where(F.col("n") <= hot)
-    sides = [few.select("bucket", F.col("node").alias(x), F.col("sketch").alias(f"s{x}")) for x in "ab"]
-    pairs = sides[0].join(sides[1], "bucket").where((F.col("a") > F.col("b")) & (_bits_apart("sa", "sb") <= bits_for(similarity, BITS, 4.6)))
-    links_ = _verified(pairs.select("a", "b"), classes, limit)
     crowd = members.where(F.col("n") > hot).select(F.col("bucket").alias("group"), "node").distinct()
     near = _near_bits(limit)
-    links_ = links_.unionByName(closure(crowd.join(classes.select("node", F.col("fp").alias("load")), "node"), near, tile))
-    loose = components(stored(links_.distinct(), "wide-links")).select(F.col("fp").alias("node"), F.col("label").alias("group"))
+    linked = components(closure(crowd.join(classes.select("node", F.col("fp").alias("load")), "node"), near, tile).distinct())
+    # what the crowded blocks have linked needs no further pairs
+    few = members.where(F.col("n") <= hot).join(linked.select(F.col("fp").alias("k"), "label"), F.col("node") == F.col("k"), "left")
+    few = few.withColumn("label", F.coalesce("label", "node"))
+    sides = [few.select("bucket", F.col("node").alias(x), F.col("sketch").alias(f"s{x}"), F.col("label").alias(f"l{x}")) for x in "ab"]
+    proposed = (F.col("a") > F.col("b")) & (F.col("la") != F.col("lb")) & (_bits_apart("sa", "sb") <= bits_for(similarity, BITS, 4.6))
+    links_ = _verified(sides[0].join(sides[1], "bucket").where(proposed).select("a", "b"), classes, limit).unionByName(_stars(linked))
+    loose = components(links_).select(F.col("fp").alias("node"), F.col("label").alias("group"))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -329,8 +355,8 @@ def closure(rows: DataFrame, near, tile: int = TILE) -> DataFrame:
     links_ = stored(first.groupBy("x", "y").applyInArrow(_in_tile(near, False), "a long, b long"), "closure-links")
     if large.isEmpty():
         return links_
-    labels = components(links_.distinct()).select(F.col("fp").alias("k"), "label")
-    named = large.join(labels, F.col("node") == F.col("k"), "left").select("group", "node", "load", F.coalesce("label", "node").alias("label"))
+    labels = components(links_.distinct())
+    named = large.join(labels, F.col("node") == F.col("fp"), "left").select("group", "node", "load", F.coalesce("label", "node").alias("label"))
     named = stored(named, "closure-named")
     most = named.groupBy("group", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("group")
     most = most.agg(F.max_by("label", F.struct("n", "label")).alias("major"), F.sum("n").alias("all"), F.max("n").alias("most")).where("all > most")
@@ -341,7 +367,7 @@ def closure(rows: DataFrame, near, tile: int = TILE) -> DataFrame:
     minor = open_.where("label != major").select("group", "node", "load", "label", F.lit(0).alias("side"), F.pmod(place, F.col("rows")).alias("x"), F.explode(F.sequence(zero, F.col("columns") - 1)).alias("y"))
     every = open_.select("group", "node", "load", "label", F.lit(1).alias("side"), F.explode(F.sequence(zero, F.col("rows") - 1)).alias("x"), F.pmod(place, F.col("columns")).alias("y"))
     crossed = minor.unionByName(every).select("x", "y", "group", "node", "load", "label", "side")
-    return links_.unionByName(stored(crossed.groupBy("group", "x", "y").applyInArrow(_in_tile(near, True), "a long, b long"), "closure-crossed"))
+    return _stars(labels).unionByName(stored(crossed.groupBy("group", "x", "y").applyInArrow(_in_tile(near, True), "a long, b long"), "closure-crossed"))
 
 
 def _in_tile(near, crossed: bool):

@@ -1,6 +1,7 @@
 """Near duplicates in crowded blocks: chains of edits must stay one group."""
 
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -118,3 +119,48 @@ def test_pairs_of_short_texts(few_parts):
     linked = sum(got[2 * k + 1] == 2 * k for k in range(300)) / 300
     print(linked)
     assert linked >= 0.87
+
+
+def test_rounds_of_components_read_little_more_than_the_edges(few_parts, monkeypatch):
+    """Cliques that a path joins: edges drop out round by round; a path in order of its nodes needs few rounds."""
+    spark, rng = few_parts, random.Random(8)
+    edges = [(max(x, y), min(x, y)) for k in range(12) for x in range(20 * k, 20 * k + 20) for y in range(20 * k, x)]
+    edges += [(20 * k + 20, 20 * k) for k in range(5)] + [(1001 + i, 1000 + i) for i in range(300)] + [(5000, 5000)]
+    names = list(range(300))
+    rng.shuffle(names)
+    edges += [(max(x, y) + 2000, min(x, y) + 2000) for x, y in zip(names, names[1:])]
+    read, stored = Counter(), simhash.stored
+
+    def counted(df, label):
+        df = stored(df, label)
+        read[label, "rounds"] += 1
+        read[label, "rows"] += df.count()
+        return df
+
+    monkeypatch.setattr(simhash, "stored", counted)
+    got = {r.fp: r.label for r in simhash.components(spark.createDataFrame(edges, "a long, b long").repartition(4)).collect()}
+    want = {i: 0 if i < 120 else i // 20 * 20 for i in range(240)} | {1000 + i: 1000 for i in range(301)} | {2000 + i: 2000 for i in range(300)} | {5000: 5000}
+    assert got == want
+    assert read["component-edges", "rows"] < 1.3 * len(edges) and read["component-edges", "rounds"] <= 12
+
+
+def test_what_crowded_blocks_link_is_not_paired_again(few_parts, monkeypatch):
+    """Near copies of one text share some blocks with all others and some with a few."""
+    spark, rng = few_parts, random.Random(9)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(300)]
+    rows = []
+    for i in range(60):
+        words = list(base)
+        for at in rng.sample(range(300), 4):
+            words[at] = f"e{rng.randrange(10**6)}"
+        rows.append((i, " ".join(words)))
+    pairs, verified = [], simhash._verified
+
+    def counted(df, *rest):
+        pairs.append(df.distinct().count())
+        return verified(df, *rest)
+
+    monkeypatch.setattr(simhash, "_verified", counted)
+    got = {r.doc_id: r.keep_id for r in simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert [got[i] for i in range(60)] == brute([shingles(t) for _, t in rows], similar)
+    assert sum(pairs) < len(rows)
