@@ -178,9 +178,8 @@ def pieces(docs: DataFrame, vocabulary: str, size: int = SIZE, end_id: int = tok
     has one piece, the end id."""
 
     def run(rows: Iterator[tuple]) -> Iterator[tuple]:
-        encoder = tokens.encoder(vocabulary)
-        for doc_id, text in rows:
-            ids = tokens.with_end(encoder.encode(text), end_id)
+        for doc_id, ids in tokens.encoder(vocabulary).encode_all(rows):
+            ids = tokens.with_end(ids, end_id)
             at, n, piece = 0, len(ids) // 4, 0
             while at < n:
                 length = ((n - 1) % size) + 1 if piece == 0 else size

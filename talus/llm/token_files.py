@@ -75,16 +75,15 @@ def write_records(docs: DataFrame, vocabulary: str, folder: str, end_id: int = t
     ordered = source.repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
 
     def run(rows: Iterator[tuple]) -> Iterator[tuple]:
-        encoder, out, offset, part = None, None, 0, TaskContext.get().partitionId()
+        out, offset, part = None, 0, TaskContext.get().partitionId()
         try:
-            for place, (doc_id, text) in enumerate(rows):
+            for place, (doc_id, ids) in enumerate(tokens.encoder(vocabulary).encode_all(rows)):
                 if out is None:
-                    encoder = tokens.encoder(vocabulary)
                     store, base = _store(folder)
                     store.create_dir(base, recursive=True)
                     name = f"{part:06d}-{uuid.uuid4().hex}.records"
                     out = store.open_output_stream(f"{base}/{name}", buffer_size=1 << 20)
-                data = record(doc_id, np.frombuffer(tokens.with_end(encoder.encode(text), end_id), "<u4"))
+                data = record(doc_id, np.frombuffer(tokens.with_end(ids, end_id), "<u4"))
                 out.write(data)
                 yield doc_id, name, part, place, offset, len(data)
                 offset += len(data)

@@ -3,20 +3,25 @@
 A text may be cut before every single space that stands between two non-space characters: byte-level pre-tokens
 never cross such a place (the space belongs to the word after it). Pieces between cuts repeat a lot, so each process
 asks the library only for pieces it has not seen and joins the remembered ids. Texts with other white space after
-a space go to the library whole.
+a space go to the library whole. Many texts are encoded in groups: Arrow cuts them and finds the different pieces, each
+is looked up once, and Arrow puts the ids in place.
 """
 
 from __future__ import annotations
 
 import re
 from array import array
+from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from talus.llm.common import per_process
 
 END_ID = 2
-MEMORY = 400_000  # pieces, and pre-tokens, remembered per process; beyond it the memory starts anew
+MEMORY = 800_000  # pieces, and pre-tokens, remembered per process; beyond it the memory starts anew
+GROUP = 8 << 20  # characters that are encoded together; a longer text is a group of its own
 _ODD = re.compile(r" [\s\x1c-\x1f\x85]| $")
 
 
@@ -41,14 +46,20 @@ class _Words(dict):
         super().__init__()
         self.tokenize, self.letters = model.tokenize, byte_letters()
 
+    def ids(self, word: str) -> bytes:
+        if word.isascii() and word.isprintable():
+            tokens = self.tokenize(word.replace(" ", self.letters[32]))
+        else:
+            tokens = self.tokenize(word.encode().decode("latin-1").translate(self.letters))
+        return array("I", [t.id for t in tokens]).tobytes()
+
     def __missing__(self, word: str) -> bytes:
-        tokens = self.tokenize(word.encode().decode("latin-1").translate(self.letters))
-        ids = self[word] = array("I", [t.id for t in tokens]).tobytes()
+        ids = self[word] = self.ids(word)
         return ids
 
 
 class _Pieces(dict):
-    """Piece (the space before it left off) -> ids."""
+    """Piece (the space before it left off) -> ids. Pieces of letters are one pre-token and are remembered here alone."""
 
     def __init__(self, words: _Words, pattern: str):
         super().__init__()
@@ -58,7 +69,11 @@ class _Pieces(dict):
 
     def __missing__(self, piece: str) -> bytes:
         spaced = " " + piece
-        ids = self[piece] = self.words[spaced] if piece.isalpha() else b"".join([self.words[w] for w in self.split(spaced)])
+        if piece.isalpha():
+            ids = self.words.ids(spaced)
+        else:
+            ids = b"".join([self[w[1:]] if w[0] == " " and w[1:].isalpha() else self.words[w] for w in self.split(spaced)])
+        self[piece] = ids
         return ids
 
 
@@ -83,11 +98,45 @@ class PieceEncoder:
     def encode(self, text: str) -> bytes:
         if _ODD.search(text):
             return self._whole(text)
+        self._forget()
+        first, *rest = text.split(" ")
+        return (self._whole(first) if first else b"") + b"".join(map(self.pieces.__getitem__, rest))
+
+    def _forget(self) -> None:
         for memory in (self.pieces, self.pieces.words):
             if len(memory) > MEMORY:
                 memory.clear()
-        first, *rest = text.split(" ")
-        return (self._whole(first) if first else b"") + b"".join(map(self.pieces.__getitem__, rest))
+
+    def encode_all(self, rows: Iterable[tuple], group: int = GROUP) -> Iterator[tuple]:
+        """(key, ids) for each (key, text), in the same order; the ids are those of `encode`."""
+        keys: list = []
+        held: list[str] = []
+        size = 0
+        for key, text in rows:
+            if size + len(text) > group and held:
+                yield from zip(keys, self._group(held))
+                keys, held, size = [], [], 0
+            keys.append(key)
+            held.append(text)
+            size += len(text)
+        if held:
+            yield from zip(keys, self._group(held))
+
+    def _group(self, texts: list[str]) -> Iterator[bytes]:
+        self._forget()
+        odd = [_ODD.search(t) is not None for t in texts]
+        cut = pc.split_pattern(pa.array(["" if o else t for t, o in zip(texts, odd)], pa.large_string()), " ")
+        bounds, pieces = cut.offsets.to_numpy(), cut.values.dictionary_encode()
+        known = pa.array([self.pieces[p] for p in pieces.dictionary.to_pylist()], pa.large_binary())
+        placed = known.take(pieces.indices)
+        _, starts, data = placed.buffers()
+        at, data = np.frombuffer(starts, np.int64), memoryview(data or b"")
+        for text, whole, start, stop in zip(texts, odd, bounds[:-1], bounds[1:]):
+            if whole:
+                yield self._whole(text)
+            else:  # the first piece has no space before it
+                first = text.split(" ", 1)[0]
+                yield (self._whole(first) if first else b"") + data[at[start + 1] : at[stop]]
 
 
 def encoder(path: str) -> PieceEncoder:

@@ -42,6 +42,25 @@ def test_token_files(make, library):
     assert len(got) == len(rows)
 
 
+@pytest.mark.parametrize("group", [1, 500, 1 << 20])
+def test_groups_of_texts_have_the_ids_of_the_library(library, group):
+    """A group asks once for a piece, however often it stands in its texts."""
+    rows = [(i, t or "") for i, t in documents()] + [(-1, "one, two three\nfour </s> x1" + " one, two three\nfour </s> x1" * 500)] + [(-2, t) for t in ODD]
+    made = tokens.PieceEncoder(tokens.vocabulary())
+    asked = Counter()
+
+    class Counted(tokens._Pieces):
+        def __getitem__(self, piece):
+            asked[piece] += 1
+            return super().__getitem__(piece)
+
+    made.pieces = Counted(made.pieces.words, public_tokenizers.PATTERN)
+    got = [(i, tokens.with_end(ids)) for i, ids in made.encode_all(iter(rows), group)]
+    assert got == [(i, library(t).tobytes()) for i, t in rows]
+    assert 0 < asked["x1"] < 5 and asked["three\nfour"] < 5
+    assert list(made.encode_all([], group)) == []
+
+
 def test_token_files_of_odd_ids_and_shuffled_reads(spark, make, tmp_path, library):
     rows = [(None, "first"), (5, "same"), (5, "id"), (-3, None)]
     index = token_files.write_records(make(rows), tokens.vocabulary(), str(tmp_path), parts=2).collect()
