@@ -2,7 +2,7 @@
 
 A text may be cut before every single space that stands between two non-space characters: byte-level pre-tokens
 never cross such a place (the space belongs to the word after it). Pieces between cuts repeat a lot, so each process
-asks the library only for pieces it has not seen and joins the remembered ids. Texts with other white space after
+asks the library only for words it has not seen lately and joins the remembered ids. Texts with other white space after
 a space go to the library whole. Many texts are encoded in groups: Arrow cuts them and finds the different pieces, each
 is looked up once, and Arrow puts the ids in place.
 """
@@ -12,6 +12,8 @@ from __future__ import annotations
 import re
 from array import array
 from collections.abc import Iterable, Iterator
+from operator import attrgetter
+from string import punctuation
 
 import numpy as np
 import pyarrow as pa
@@ -20,9 +22,10 @@ import pyarrow.compute as pc
 from talus.llm.common import per_process
 
 END_ID = 2
-MEMORY = 800_000  # pieces, and pre-tokens, remembered per process; beyond it the memory starts anew
+MEMORY = 800_000  # pieces, and pre-tokens, remembered per process; those not asked for lately go first
+SHORT = 64  # characters
 GROUP = 8 << 20  # characters that are encoded together; a longer text is a group of its own
-_ODD = re.compile(r" [\s\x1c-\x1f\x85]| $")
+_ODD = f" [{''.join(c for c in map(chr, range(0x3001)) if c.isspace())}]| $"  # for `re` and for Arrow alike
 
 
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:
@@ -39,27 +42,51 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(other)}
 
 
-class _Words(dict):
+_id = attrgetter("id")
+
+
+class _Memory(dict):
+    """What was asked for lately. When half of `MEMORY` is full, what it holds becomes `older` and what was older goes; what
+    is asked for again comes back from there, so frequent keys stay."""
+
+    def __init__(self):
+        super().__init__()
+        self.older: dict[str, bytes] = {}
+
+    def turn(self) -> None:
+        if len(self) > MEMORY // 2:
+            self.older = dict(self)
+            self.clear()
+
+
+class _Words(_Memory):
     """Pre-token -> ids, from the library's model."""
 
     def __init__(self, model):
         super().__init__()
         self.tokenize, self.letters = model.tokenize, byte_letters()
+        self.space = self.letters[32]
 
     def ids(self, word: str) -> bytes:
         if word.isascii() and word.isprintable():
-            tokens = self.tokenize(word.replace(" ", self.letters[32]))
+            tokens = self.tokenize(word.replace(" ", self.space))
         else:
             tokens = self.tokenize(word.encode().decode("latin-1").translate(self.letters))
-        return array("I", [t.id for t in tokens]).tobytes()
+        return array("I", map(_id, tokens)).tobytes()
+
+    def of_letters(self, word: str) -> bytes:
+        """Ids of a word of letters with a space before it."""
+        own = self.space + (word if word.isascii() else word.encode().decode("latin-1").translate(self.letters))
+        return array("I", map(_id, self.tokenize(own))).tobytes()
 
     def __missing__(self, word: str) -> bytes:
-        ids = self[word] = self.ids(word)
+        ids = self[word] = self.older.get(word) or self.ids(word)
         return ids
 
 
-class _Pieces(dict):
-    """Piece (the space before it left off) -> ids. Pieces of letters are one pre-token and are remembered here alone."""
+class _Pieces(_Memory):
+    """Piece (the space before it left off) -> ids. Pieces of letters are one pre-token and are remembered here alone; pieces of
+    letters and marks behind them are put together from the two and are not remembered."""
 
     def __init__(self, words: _Words, pattern: str):
         super().__init__()
@@ -68,14 +95,19 @@ class _Pieces(dict):
         self.words, self.split = words, regex.compile(pattern).findall
 
     def __missing__(self, piece: str) -> bytes:
-        spaced = " " + piece
-        if piece.isalpha():
-            ids = self.words.ids(spaced)
+        word = piece.rstrip(punctuation)
+        if not word.isalpha():
+            ids = self[piece] = self.older.get(piece) or self.joined(" " + piece)
+        elif len(word) < len(piece):
+            ids = self[word] + self.words[piece[len(word) :]]
         else:
-            ids = b"".join([self[w[1:]] if w[0] == " " and w[1:].isalpha() else self.words[w] for w in self.split(spaced)])
-        self[piece] = ids
+            ids = self[piece] = self.older.get(piece) or self.words.of_letters(piece)
         return ids
 
+    def joined(self, text: str) -> bytes:
+        """Ids of a text whose pre-tokens are looked up one by one."""
+        return b"".join([self[w[1:]] if w[0] == " " and w[1:].isalpha() else self.words[w] for w in self.split(text)])
+
 
 class PieceEncoder:
     """Ids of texts as little-endian unsigned 32-bit bytes. Special tokens' strings are ordinary text.
@@ -96,16 +128,19 @@ class PieceEncoder:
         return np.asarray(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def encode(self, text: str) -> bytes:
-        if _ODD.search(text):
+        if re.search(_ODD, text):
             return self._whole(text)
         self._forget()
         first, *rest = text.split(" ")
-        return (self._whole(first) if first else b"") + b"".join(map(self.pieces.__getitem__, rest))
+        return self._first(first) + b"".join(map(self.pieces.__getitem__, rest))
+
+    def _first(self, piece: str) -> bytes:
+        """Ids of what stands before a text's first space. Long ones are not looked up by parts, which would be remembered."""
+        return self.pieces.joined(piece) if len(piece) < SHORT else self._whole(piece)
 
     def _forget(self) -> None:
         for memory in (self.pieces, self.pieces.words):
-            if len(memory) > MEMORY:
-                memory.clear()
+            memory.turn()
 
     def encode_all(self, rows: Iterable[tuple], group: int = GROUP) -> Iterator[tuple]:
         """(key, ids) for each (key, text), in the same order; the ids are those of `encode`."""
@@ -124,19 +159,20 @@ class PieceEncoder:
 
     def _group(self, texts: list[str]) -> Iterator[bytes]:
         self._forget()
-        odd = [_ODD.search(t) is not None for t in texts]
-        cut = pc.split_pattern(pa.array(["" if o else t for t, o in zip(texts, odd)], pa.large_string()), " ")
+        whole = pa.array(texts, pa.large_string())
+        odd = pc.match_substring_regex(whole, _ODD)
+        cut = pc.split_pattern(pc.if_else(odd, "", whole), " ")
         bounds, pieces = cut.offsets.to_numpy(), cut.values.dictionary_encode()
-        known = pa.array([self.pieces[p] for p in pieces.dictionary.to_pylist()], pa.large_binary())
+        different = pieces.dictionary.to_numpy(zero_copy_only=False).tolist()
+        known = pa.array(list(map(self.pieces.__getitem__, different)), pa.large_binary())
         placed = known.take(pieces.indices)
         _, starts, data = placed.buffers()
         at, data = np.frombuffer(starts, np.int64), memoryview(data or b"")
-        for text, whole, start, stop in zip(texts, odd, bounds[:-1], bounds[1:]):
-            if whole:
+        for text, is_odd, start, stop in zip(texts, odd.to_numpy(zero_copy_only=False), bounds[:-1], bounds[1:]):
+            if is_odd:
                 yield self._whole(text)
             else:  # the first piece has no space before it
-                first = text.split(" ", 1)[0]
-                yield (self._whole(first) if first else b"") + data[at[start + 1] : at[stop]]
+                yield self._first(text.split(" ", 1)[0]) + data[at[start + 1] : at[stop]]
 
 
 def encoder(path: str) -> PieceEncoder:

@@ -3,11 +3,14 @@
 import base64
 import hashlib
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 import tiktoken
 from cases import documents
@@ -61,6 +64,42 @@ def test_groups_of_texts_have_the_ids_of_the_library(library, group):
     assert list(made.encode_all([], group)) == []
 
 
+def _counted(made):
+    """Counts what the library's model is asked for."""
+    asked, words = Counter(), made.pieces.words
+    tokenize = words.tokenize
+    words.tokenize = lambda word: asked.update([word]) or tokenize(word)
+    return asked
+
+
+def test_frequent_words_stay_remembered_when_the_memory_is_full(library, monkeypatch):
+    monkeypatch.setattr(tokens, "MEMORY", 40)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rows = [(i, f"so often, {' '.join(c + letters[i] + 'q' for c in letters)} often") for i in range(26)]
+    made = tokens.PieceEncoder(tokens.vocabulary())
+    asked = _counted(made)
+    assert [(i, tokens.with_end(ids)) for i, ids in made.encode_all(iter(rows), 1)] == [(i, library(t).tobytes()) for i, t in rows]
+    assert asked["Ġoften"] == 1 and asked["so"] == 1 and asked["Ġabq"] == 1
+    assert max(len(m) + len(m.older) for m in (made.pieces, made.pieces.words)) < 40 + 2 * 29
+
+
+def test_words_with_marks_behind_them_are_asked_for_and_remembered_once(library):
+    rows = [(i, f"x tree{m} große{m} tree{m * 2} it's{m} 3{m} _{m}") for i, m in enumerate("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")]
+    made = tokens.PieceEncoder(tokens.vocabulary())
+    asked = _counted(made)
+    assert [(i, tokens.with_end(ids)) for i, ids in made.encode_all(iter(rows))] == [(i, library(t).tobytes()) for i, t in rows]
+    assert asked["Ġtree"] == 1 and asked["ĠgroÃŁe"] == 1 and max(asked.values()) == 1
+    assert [p for p in made.pieces if p.startswith(("tree", "große"))] == ["tree", "große"]
+
+
+def test_arrow_and_re_find_the_same_places_that_cannot_be_cut():
+    chars = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    texts = [*(f"a {c}b" for c in chars), "a", " a", "a ", "a b ", "a\n", "a \n", "", " "]
+    found = pc.match_substring_regex(pa.array(texts, pa.large_string()), tokens._ODD).to_numpy(zero_copy_only=False).tolist()
+    before = re.compile(r" [\s\x1c-\x1f\x85]| $")
+    assert found == [before.search(t) is not None for t in texts] == [re.search(tokens._ODD, t) is not None for t in texts]
+
+
 def test_token_files_of_odd_ids_and_shuffled_reads(spark, make, tmp_path, library):
     rows = [(None, "first"), (5, "same"), (5, "id"), (-3, None)]
     index = token_files.write_records(make(rows), tokens.vocabulary(), str(tmp_path), parts=2).collect()
