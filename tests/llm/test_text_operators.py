@@ -6,6 +6,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from cases import documents
@@ -73,6 +74,73 @@ def test_suffix_repeats(make, hot):
     assert sum(r.n_removed for r in got) > 5000
 
 
+@pytest.mark.parametrize("hot", [1, 4096])
+def test_suffix_repeats_with_more_parts_than_entries_of_a_run(make, hot):
+    rows = documents()
+    got = suffix_dedup.repeats(make(rows), runs=20, parts=3000, hot=hot).collect()
+    assert Counter(tuple(r) for r in got) == Counter(brute_repeats(rows))
+
+
+def test_suffix_fragments_grow_with_the_table():
+    for total in (1 << 30, 2 << 30, 4 << 30):
+        size = suffix_dedup.bytes_of_run(total)
+        assert size <= suffix_dedup.MOST_BYTES
+        assert (total / size) ** 2 <= 1.01 * total / suffix_dedup.FRAGMENT_BYTES
+    assert suffix_dedup.bytes_of_run(100 << 30) == suffix_dedup.MOST_BYTES
+    assert suffix_dedup.bytes_of_run(0) == suffix_dedup.bytes_of_run(1 << 28) == suffix_dedup.RUN_BYTES
+
+
+def suffix_run(docs):
+    return suffix_dedup.Run(pa.table({"run": pa.array([0], pa.int32()), "docs": pa.array([suffix_dedup.pack(docs)], pa.binary())}))
+
+
+def test_suffix_entries_are_sorted_once_not_part_by_part(monkeypatch):
+    rng = random.Random(8)
+    run = suffix_run([(i, 0, rng.randbytes(3000)) for i in range(50)])
+    calls, sort = [], np.argsort
+    monkeypatch.setattr(np, "argsort", lambda *a, **b: (calls.append(1), sort(*a, **b))[1])
+
+    def sorts(parts):
+        calls.clear()
+        list(run.entries(parts, {p: (b"\xff" * 8000, bytes(8000)) for p in range(parts)}))
+        return len(calls)
+
+    assert sorts(500) == sorts(2)
+
+
+def test_suffix_anchors_are_not_met_by_shorter_strings():
+    rng = random.Random(9)
+    phrases = [rng.randbytes(20) for _ in range(100)]
+    docs = [(i, 0, b"".join(p + rng.randbytes(10) for p in phrases)) for i in range(2)]
+    passage = rng.randbytes(80)
+    hashes = lambda texts: [set(suffix_run([(0, 0, t)]).hash.tolist()) for t in texts]
+    one, other = hashes(t for *_, t in docs)
+    assert one and not one & other
+    one, other = hashes(t[:1000] + passage + t[1000:] for *_, t in docs)
+    assert one & other
+
+
+def test_suffix_anchors_and_stretches_against_every_window():
+    rng = random.Random(10)
+    run = suffix_run([(i, 0, bytes(rng.choices(b"ab", k=rng.randrange(200))) if i % 2 else b"xyz" * rng.randrange(60)) for i in range(60)])
+    anchors, least, span = set(), {}, suffix_dedup.SPAN
+    for a, b in zip(run.starts.tolist(), run.ends.tolist()):
+        order = suffix_dedup._gram_order(run.data[a:b]).tolist() if b - a >= suffix_dedup.LENGTH else []
+        for s in range(len(order) - span + 1):
+            least[a + s] = low = min(order[s : s + span])
+            anchors |= {a + s + o for o in range(span) if order[s + o] == low}
+    assert run.at.tolist() == sorted(anchors)
+    assert {s: v for a, b, v in zip(run.head.tolist(), run.tail.tolist(), run.least.tolist()) for s in range(a, b + 1)} == least
+
+
+def test_suffix_keys_are_decoded_in_blocks():
+    rng = np.random.default_rng(6)
+    keys = np.sort(rng.integers(0, 3, (3 * suffix_dedup.DECODED + 7, suffix_dedup.KEY), dtype=np.uint8).view(f"V{suffix_dedup.KEY}").ravel())
+    keys = keys.view(np.uint8).reshape(-1, suffix_dedup.KEY)
+    lengths, back = suffix_dedup.front_decode(*suffix_dedup.front_code(keys, np.array([0, 5, suffix_dedup.DECODED])))
+    assert (back == keys).all() and not lengths[[0, 5, suffix_dedup.DECODED]].any()
+
+
 def test_drop_repeats_text_and_columns(make):
     rows = documents()
     docs = make(rows)
